@@ -11,10 +11,11 @@ Every step is a Spark job:
 2. *Postings*: a class is posted under its coordinate-value pairs. Of K coordinates a pair must share at least
    ``MATCHES``, so it must meet in one of the K - MATCHES + 1 rarest coordinates of both (prefix filter); only these are posted.
    Rarity is counted over all classes in a table of fixed size.
-3. *Collisions*: in the lists a pair's remaining coordinates are compared at once (skip merging) and it is retained at
+3. *Collisions*: in the first list that both are in a pair's remaining coordinates are compared at once (skip merging) and it is retained at
    MATCHES or more, if set sizes allow the similarity at all.
-   First every member meets only the smallest member of its list; once those links have made components, the second pass
-   compares members that are still in different components. Pairs inside a component can't change the result and are never made.
+   First every member meets only two members of its list, the oldest and the one with the most frequent coordinates; once those links
+   have made components, the second pass compares members that are still in different components. Pairs inside a component can't
+   change the result and are never made. Nor are pairs of which one side has too many shingles that no other open class has.
 4. *Verification*: retained pairs are confirmed on their full shingle sets.
 
 Chance decides recall only through step 2: a pair at similarity 0.85 shares fewer than 6 of 16 coordinates with probability 2e-6.
@@ -45,6 +46,7 @@ BUCKETS = 1 << 16
 
 _A = mix(np.arange(1, K + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 _B = mix(np.arange(101, K + 101, dtype=U) * U(0x9E3779B97F4A7C15))
+_SALTS = (U(0x51ED270B), U(0x2545F4914F6CDD1D))
 _PLACE = mix(np.arange(201, WIDTH + 201, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -86,7 +88,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = np.concatenate(pending) if some.any() else np.zeros(0, U)
             begin = (np.cumsum(sizes) - sizes)[some]
             out = {}
-            for name, salt in (("h1", U(0x51ED270B)), ("h2", U(0x2545F4914F6CDD1D))):
+            for name, salt in zip(("h1", "h2"), _SALTS):
                 whole = np.zeros(len(pending), U)
                 if len(every):
                     whole[some] = np.add.reduceat(mix(every ^ salt), begin)
@@ -128,8 +130,14 @@ def _postings(counts: np.ndarray):
             rarity = counts[(spread >> U(48)).astype(np.int64)]
             order = np.lexsort((spread, rarity), axis=1)[:, : K - MATCHES + 1]
             rows = np.repeat(np.arange(batch.num_rows), K - MATCHES + 1)
-            posted = np.take_along_axis(key, order, axis=1).ravel()
-            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(posted)), **{c: batch.column(c).take(pa.array(rows)) for c in ("rid", "n", *_KEY)}})
+            common = pa.array(rarity.sum(axis=1)[rows])
+            posted = np.take_along_axis(key, order, axis=1)
+            m = posted.shape[1]
+            before = np.concatenate([posted[:, :i] for i in range(m)], axis=1).ravel()
+            ends = np.cumsum(np.append(0, np.tile(np.arange(m), batch.num_rows)))
+            before = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(before)))
+            posted = posted.ravel()
+            yield pa.RecordBatch.from_pydict({"key": pa.array(signed(posted)), "common": common, "before": before, **{c: batch.column(c).take(pa.array(rows)) for c in ("rid", "n", "h1", "h2", *_KEY)}})
 
     return post
 
@@ -169,13 +177,35 @@ def _verify(percent: int):
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (u, v), those whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
+    ids = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
     some = semi(texts, ids, "rid")
     of = lambda side, name: some.select(F.col("rid").alias(side), F.col("text").alias(name))
     both = pairs.join(of("u", "text_a"), "u").join(of("v", "text_b"), "v").select("u", "v", "text_a", "text_b")
     return both.mapInArrow(_verify(percent), "u bigint, v bigint").distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in shingle_sets(*utf8(batch.column("text"))):
+            if len(s):
+                h1, h2 = (int(signed(np.sum(mix(s ^ salt), keepdims=True))[0]) for salt in _SALTS)
+                yield pa.RecordBatch.from_pydict({"h1": pa.array(np.full(len(s), h1)), "h2": pa.array(np.full(len(s), h2)), "shingle": pa.array(signed(s))})
+
+
+def _shared_part(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``rest`` with the number of shingles that each class shares with any other class of ``rest``.
+
+    A class can only have in common with another what it shares with any, so one whose own shingles alone already hold the
+    similarity below the threshold has no link left to find, and goes. In a large group of copies with edits of their own, most go.
+    """
+    kind = "h1 bigint, h2 bigint, shingle bigint"
+    some = semi(texts, rest.select("rid").distinct(), "rid").mapInArrow(_shingle_rows, kind)
+    alone = some.groupBy("shingle").agg(F.count("*").alias("in"), F.min("h1").alias("h1"), F.min("h2").alias("h2")).where("in = 1")
+    alone = alone.groupBy("h1", "h2").agg(F.count("*").alias("alone"))
+    rest = rest.join(alone, ["h1", "h2"], "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return rest.where(F.col("shared") * 100 >= F.col("n") * percent).drop("alone")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -187,23 +217,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     owned = save(features.join(classes.select("h1", "h2", F.col("rid").alias("own")), ["h1", "h2"], "left").select("rid", "n", "own"), "owned")
     first_own = owned.groupBy("rid").agg(F.min("own").alias("v"))
     same_id = owned.join(first_own, "rid").select(F.col("own").alias("u"), "v").where("u != v").distinct()
-    posted = save(classes.mapInArrow(_postings(_bucket_counts(classes)), f"key bigint, rid bigint, n bigint, {_SIG}"), "postings")
+    posted = save(classes.mapInArrow(_postings(_bucket_counts(classes)), f"key bigint, common bigint, before array<bigint>, rid bigint, n bigint, h1 bigint, h2 bigint, {_SIG}"), "postings")
 
     a, b = ([F.col(f"{side}.{k}") for k in _KEY] for side in "ab")
     collide = reduce(lambda x, y: x + y, [(x == y).cast("int") for x, y in zip(a, b)]) >= MATCHES
     size = (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & collide
 
-    lists = posted.groupBy("key").agg(F.min(F.struct("rid", "n", *_KEY)).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    hubs = lists.select("key", "hub.*")
-    first = hubs.alias("a").join(posted.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & size)
-    first = save(first.select(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct(), "hub_pairs")
+    own = F.struct("rid", "n", *_KEY)
+    lists = posted.groupBy("key").agg(F.count("*").alias("members"), F.min(own).alias("oldest"), F.max(F.struct("common", own.alias("own"))).alias("central"))
+    hubs = lists.where("members > 1").select("key", F.explode(F.array_distinct(F.array("oldest", "central.own"))).alias("hub")).select("key", "hub.*")
+    first = hubs.alias("a").join(posted.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") != F.col("b.rid")) & size)
+    first = save(first.select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v")).distinct(), "hub_pairs")
     links = save(confirmed(first, texts, percent).unionByName(same_id), "links")
     label = save(components.connected(links), "labels")
 
     labelled = posted.join(label, posted.rid == label.node, "left").select(posted["*"], F.coalesce("component", "rid").alias("component"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = save(labelled.join(mixed, "key", "left_semi"), "open_lists")
-    second = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.component") != F.col("b.component")) & size)
+    for _ in range(2):  # what goes in the first round leaves others with more shingles of their own
+        rest = save(_shared_part(rest.drop("shared"), texts, percent), "open_postings")
+    shared = F.least("a.shared", "b.shared") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
+    second = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.component") != F.col("b.component")) & shared & size & ~F.arrays_overlap("a.before", "b.before"))
     second = second.select(F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
     more = confirmed(save(second, "open_pairs"), texts, percent)
     label = components.connected(links.unionByName(more))
