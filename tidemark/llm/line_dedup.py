@@ -6,10 +6,14 @@ have no set and stay. Whether the earlier line stays itself does not matter.
 
 1. *Rarity*: how often words occur, over the whole corpus, in a table of 2^16 hashed buckets (a fixed size). The order
    (bucket count, word hash) is total, so the filters below lose nothing however coarse the counts are.
-2. *Classes*: lines with equal sets fall into one class of which the earliest line is known.
-3. *Postings*: a class of n words is posted under its n - ceil(t n) + 1 rarest words. Lists are dealt by word and read in
-   order of set size, so that the length filter ends each scan; the positional filter drops pairs that can't reach the overlap.
-4. *Verification*: the Jaccard similarity of the pairs left is computed on the lines themselves.
+2. *Equal sets*: lines with equal sets fall into one class of which only the earliest line is compared any further.
+3. *Postings*: a line of n words is posted under its n - ceil(t n) + 1 rarest words. Lists are dealt by word and read in order of set size. Pairs must pass
+   the length filter, the positional filter, and a bitmap filter: similar sets share all but a few words of their prefixes, so
+   few bits of one prefix may be missing in the other.
+4. *First pass*: in each list a line meets only the earliest line of a size that allows the similarity. That finds most repeats in large groups of
+   near copies with one comparison each, not one with every other copy.
+5. *Second pass*: lines not found so meet all earlier lines of their lists. What a line is removed for can't change the result, so the pairs left out don't matter.
+6. *Verification*: the Jaccard similarity of the pairs left is computed on the lines themselves.
 
 Defined cases: null text has no lines and stays null; rows that share a doc_id count as one document; a null doc_id is
 numbered last; columns other than text are passed through, and a column may have any name; an empty table gives an empty result.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.scratch import save, semi
+from tidemark.llm.scratch import save
 from tidemark.llm.words import U, mix, runs, signed, utf8, words
 
 NO_ID = (1 << 63) - 1
@@ -95,73 +99,147 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[a:b][row]), "line": pa.array(number.astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2)})
 
 
+def _taken(n: np.ndarray, percent: int) -> np.ndarray:
+    """Words of the prefix of a set of n words."""
+    return n - -(-n * percent // 100) + 1
+
+
 def _prefixes(order: np.ndarray, percent: int):
-    """(word, set size, place, class) for the rarest words of each distinct set."""
+    """(word, set size, place, bitmap of the prefix, line) for the rarest words of each line; within a task only earlier lines with the same set are posted again."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, tuple[int, int]] = {}
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
+            rid = batch.column("rid").to_numpy()
             for a, b in runs(offsets):
-                _, _, bounds, h = _line_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
+                row, number, bounds, h = _line_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
                 if not len(h):
                     continue
-                k1, k2 = _classes_of(h, bounds)
+                k1, _ = _classes_of(h, bounds)
+                rids = rid[a:b][row]
                 sizes = np.diff(np.append(bounds, len(h)))
                 new = np.zeros(len(k1), bool)
-                for i, k in enumerate(k1.tolist()):
-                    if k not in seen:  # repeats within a task need no second posting; the set only saves work and is bounded
+                for i, (k, *at) in enumerate(zip(k1.tolist(), rids.tolist(), number.tolist())):
+                    before = seen.get(k)
+                    if before is None or tuple(at) < before:
                         new[i] = True
-                        seen.add(k)
-                if len(seen) > 500_000:
+                        seen[k] = tuple(at)
+                if len(seen) > 300_000:  # the table only saves work and is bounded
                     seen.clear()
-                bounds, sizes, k1, k2 = bounds[new], sizes[new], k1[new], k2[new]
-                if not len(k1):
+                bounds, sizes, rids, number = bounds[new], sizes[new], rids[new], number[new]
+                if not len(rids):
                     continue
-                taken = sizes - -(-sizes * percent // 100) + 1
+                taken = _taken(sizes, percent)
                 rows = np.repeat(np.arange(len(taken)), taken)
-                place = np.arange(len(rows)) - np.repeat(np.cumsum(taken) - taken, taken)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(signed(h[bounds[rows] + place])), "n": pa.array(sizes[rows].astype(np.int32)), "place": pa.array(place.astype(np.int32)), "k1": pa.array(k1[rows]), "k2": pa.array(k2[rows])})
+                begin = np.cumsum(taken) - taken
+                place = np.arange(len(rows)) - begin[rows]
+                word = h[bounds[rows] + place]
+                bits = np.bitwise_or.reduceat(np.left_shift(1, (word >> U(7) & U(31)).astype(np.int64)), begin).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(signed(word)), "n": pa.array(sizes[rows].astype(np.int32)), "place": pa.array(place.astype(np.int32)), "bits": pa.array(bits[rows]), "rid": pa.array(rids[rows]), "line": pa.array(number[rows].astype(np.int32))})
 
     return post
 
 
-def _meet(percent: int):
-    """Pairs of classes in a word's list that pass the length and positional filters. Rows come in order of (word, n, class)."""
-    columns = ("word", "n", "place", "k1", "k2")
-
-    def pairs_of(word, n, place, k1, k2):
-        fresh = np.ones(len(word), bool)
-        fresh[1:] = (word[1:] != word[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (n[1:] != n[:-1])
-        word, n, place, k1, k2 = (x[fresh] for x in (word, n, place, k1, k2))
-        left = np.arange(len(word) - 1)
-        step = 1
-        while len(left):
-            left = left[left + step < len(word)]
-            right = left + step
-            near = (word[left] == word[right]) & (n[left] * 100 >= n[right] * percent)
-            left, right = left[near], right[near]
-            need = -(-(n[left] + n[right]) * percent // (100 + percent))
-            can = 1 + np.minimum(n[left] - place[left], n[right] - place[right]) - 1 >= need
-            x, y = left[can], right[can]
-            if len(x):
-                yield pa.RecordBatch.from_pydict({"a1": pa.array(k1[x]), "a2": pa.array(k2[x]), "b1": pa.array(k1[y]), "b2": pa.array(k2[y])})
-            step += 1
+_POSTED = "word bigint, n int, place int, bits int, rid bigint, line int"
+_COLUMNS = ("word", "n", "place", "bits", "rid", "line")
+
+
+def _may(x: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of postings in one list can be similar: length, positional and bitmap filters."""
+    _, n, place, bits, _, _ = x
+    nl, nr = n[left], n[right]
+    need = -(-(nl + nr) * percent // (100 + percent))
+    good = (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * percent) & (np.minimum(nl - place[left], nr - place[right]) >= need)
+    # of the words in common at least this many are in both prefixes
+    pl, pr = _taken(nl, percent), _taken(nr, percent)
+    both = np.minimum(pl - nl, pr - nr) + need
+    bl, br = bits[left] & 0xFFFFFFFF, bits[right] & 0xFFFFFFFF
+    return good & (np.bitwise_count(bl & ~br) <= pl - both) & (np.bitwise_count(br & ~bl) <= pr - both)
+
+
+def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Rows in order of the first column, in pieces that don't divide its groups."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy().astype(np.int64) for c in columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last group may go on in the next batch
+        held = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+    if held is not None:
+        yield held
+
+
+def _least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least rank in each range lo to hi (exclusive, not empty), by a table of minima over powers of two."""
+    out = rank[lo].copy()
+    size, step, table = hi - lo, 1, rank
+    while True:
+        fits = (size >= step) & (size < 2 * step)
+        out[fits] = np.minimum(table[lo[fits]], table[hi[fits] - step])
+        if 2 * step > size.max():
+            return out
+        table = np.minimum(table[: len(table) - step], table[step:])
+        step *= 2
+
+
+def _meet_first(percent: int):
+    """Postings of lists with two lines or more, each with the earliest line of the list that it may be similar to (from, or null)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
+        for x in _in_lists(batches, _COLUMNS):
+            word = x[0]
+            many = np.zeros(len(word), bool)
+            same = word[1:] == word[:-1]
+            many[1:] |= same
+            many[:-1] |= same
+            x = [c[many] for c in x]
+            word, n, _, _, rid, line = x
+            if not len(word):
                 continue
-            now = [batch.column(c).to_numpy().astype(np.int64) for c in columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last word may go on in the next batch
-            held = [x[cut:] for x in now]
-            if cut:
-                yield from pairs_of(*[x[:cut] for x in now])
-        if held is not None:
-            yield from pairs_of(*held)
+            rank = np.empty(len(word), np.int64)
+            by_time = np.lexsort((line, rid))
+            rank[by_time] = np.arange(len(word))
+            group = np.cumsum(np.concatenate([[0], word[1:] != word[:-1]]))
+            wide = int(n.max()) * 2 + 2
+            key = group * wide + n
+            lo = np.searchsorted(key, group * wide + -(-n * percent // 100), "left")
+            hi = np.searchsorted(key, group * wide + np.minimum(n * 100 // percent, wide - 1), "right")
+            first = by_time[_least(rank, lo, hi)]
+            mine = np.arange(len(word))
+            found = (rank[first] < rank) & ((rid[first] != rid) | (line[first] != line)) & _may(x, first, mine, percent)
+            out = {c: pa.array(v) for c, v in zip(_COLUMNS, x)}
+            out |= {c: pa.array(out[c].to_numpy().astype(np.int32)) for c in ("n", "place", "bits", "line")}
+            yield pa.RecordBatch.from_pydict(out | {"rid0": pa.array(rid[first], mask=~found), "line0": pa.array(line[first].astype(np.int32), mask=~found)})
+
+    return meet
+
+
+def _meet_all(percent: int):
+    """Pairs (earlier, later) of postings that may be similar and whose later line is still open."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _in_lists(batches, (*_COLUMNS, "open")):
+            *x, open_ = x
+            word, n, _, _, rid, line = x
+            left, step = np.arange(len(word)), 1
+            while len(left):
+                left = left[left + step < len(word)]
+                near = (word[left] == word[left + step]) & (n[left] * 100 >= n[left + step] * percent)
+                left = left[near]
+                right = left + step
+                swap = (rid[left] > rid[right]) | ((rid[left] == rid[right]) & (line[left] > line[right]))
+                old, new = np.where(swap, right, left), np.where(swap, left, right)
+                good = (open_[new] == 1) & _may(x, old, new, percent)
+                old, new = old[good], new[good]
+                if len(old):
+                    yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[new]), "line": pa.array(line[new].astype(np.int32)), "rid0": pa.array(rid[old]), "line0": pa.array(line[old].astype(np.int32))})
+                step += 1
 
     return meet
 
@@ -170,41 +248,47 @@ def _similar(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()):
+            for x, y in zip(batch.column("said").to_pylist(), batch.column("said0").to_pylist()):
                 x, y = set(x.encode().lower().split()), set(y.encode().lower().split())
                 common = len(x & y)
                 good.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a1", "a2", "b1", "b2")], ["a1", "a2", "b1", "b2"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("line")], ["rid", "line"]).filter(pa.array(good, pa.bool_()))
 
     return verify
 
 
+def _with_lists(texts: DataFrame, lists: DataFrame, lines: int, how: str, bound: int = 1_000_000) -> DataFrame:
+    """``texts`` joined with their line lists on rid; the lists are broadcast only when they hold ``bound`` lines at most, else both sides are shuffled."""
+    return texts.join(F.broadcast(lists) if lines <= bound else lists, "rid", how)
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(rid, line) of the pairs (rid, line, rid0, line0) whose lines are similar enough."""
+    wanted = save(pairs.select("rid", "line").unionByName(pairs.select(F.col("rid0").alias("rid"), F.col("line0").alias("line"))).distinct(), "wanted_lines")
+    lists = wanted.groupBy("rid").agg(F.collect_set("line").alias("wanted"))
+    some = _with_lists(texts, lists, wanted.count(), "inner")
+    picked = F.transform(F.array(F.split("text", "\n", -1)), lambda all_: F.transform("wanted", lambda i: F.struct(i.alias("line"), F.get(all_, i).alias("said"))))[0]
+    some = some.select("rid", F.inline(picked)).where("said is not null")
+    said0 = some.select(F.col("rid").alias("rid0"), F.col("line").alias("line0"), F.col("said").alias("said0"))
+    return pairs.join(some, ["rid", "line"]).join(said0, ["rid0", "line0"]).select("rid", "line", "said", "said0").mapInArrow(_similar(percent), "rid bigint, line int").distinct()
+
+
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(rid, line): the lines of ``docs`` (doc_id, text) that an earlier line makes redundant; rid is doc_id, or the largest long for null."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text").where("text is not null")
     order = word_rarity(texts)
     lines = save(texts.mapInArrow(_lines, "rid bigint, line int, k1 bigint, k2 bigint"), "lines")
-    classes = save(lines.groupBy("k1", "k2").agg(F.min(F.struct("rid", "line")).alias("first"), F.count("*").alias("n")), "classes")
-
-    posted = texts.select("text").mapInArrow(_prefixes(order, percent), "word bigint, n int, place int, k1 bigint, k2 bigint")
-    posted = posted.repartition("word").sortWithinPartitions("word", "n", "k1", "k2")
-    pairs = posted.mapInArrow(_meet(percent), "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
-
-    of = lambda k, name: classes.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("first").alias(name))
-    pairs = save(pairs.join(of("a", "at_a"), ["a1", "a2"]).join(of("b", "at_b"), ["b1", "b2"]), "line_pairs")
-
-    wanted = pairs.select(F.explode(F.array("at_a", "at_b")).alias("at")).distinct().select("at.*")
-    some = semi(texts, wanted.select("rid").distinct(), "rid")
-    some = some.join(wanted.groupBy("rid").agg(F.collect_set("line").alias("wanted")), "rid")
-    some = some.select("rid", F.posexplode(F.split("text", "\n", -1)).alias("line", "said"), "wanted").where(F.array_contains("wanted", F.col("line")))
-    said = lambda k: some.select(F.struct("rid", "line").alias(f"at_{k}"), F.col("said").alias(f"line_{k}"))
-    links = pairs.join(said("a"), "at_a").join(said("b"), "at_b").mapInArrow(_similar(percent), "a1 bigint, a2 bigint, b1 bigint, b2 bigint").distinct()
-    found = links.join(pairs, ["a1", "a2", "b1", "b2"])
-    later = F.when(F.col("at_a") > F.col("at_b"), F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2"))).otherwise(F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")))
-    late = found.select(later.alias("k")).select("k.*").distinct().withColumn("late", F.lit(True))
+    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("rid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    equal = lines.join(classes, ["k1", "k2"]).where(F.struct("rid", "line") != F.col("first")).select("rid", "line").distinct()
 
-    judged = classes.join(late, ["k1", "k2"], "left").where("n > 1 or late").select("k1", "k2", "first", "late")
-    return lines.join(judged, ["k1", "k2"]).where(F.col("late") | (F.struct("rid", "line") != F.col("first"))).select("rid", "line")
+    posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word", "n", "rid", "line")
+    live = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "live_postings")
+    first = save(live.where("rid0 is not null").select("rid", "line", "rid0", "line0").distinct(), "first_pairs")
+    late = save(_confirmed(first, texts, percent).unionByName(equal).distinct(), "late_lines")
+    rest = live.join(late.withColumn("late", F.lit(1)), ["rid", "line"], "left").select(*_COLUMNS, F.when(F.col("late").isNull(), 1).otherwise(0).alias("open"))
+    rest = rest.repartition("word").sortWithinPartitions("word", "n", "rid", "line").mapInArrow(_meet_all(percent), "rid bigint, line int, rid0 bigint, line0 int")
+    second = save(rest.distinct().join(first, ["rid", "line", "rid0", "line0"], "left_anti"), "second_pairs")
+    return late.unionByName(_confirmed(second, texts, percent)).distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +306,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(row, text, n_lines, n_removed, emptied): each row of ``docs`` as a struct, its text without the repeated lines, and whether that took its last words."""
-    gone = repeated_lines(docs, percent).groupBy("rid").agg(F.collect_set("line").alias("gone"))
+    found = save(repeated_lines(docs, percent), "repeated_lines")
+    gone = found.groupBy("rid").agg(F.collect_set("line").alias("gone"))
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text")
-    both = keyed.join(gone, "rid", "left").select("row", "text", "gone")
+    both = _with_lists(keyed, gone, found.count(), "left").select("row", "text", "gone")
     fields = [both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("emptied", T.BooleanType())]
     return both.mapInArrow(_cut, T.StructType(fields))
