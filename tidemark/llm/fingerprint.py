@@ -1,9 +1,9 @@
 """Document fingerprints as invertible Bloom lookup tables over paragraph digests, in DataFrame functions only.
 
-A text's digests are the 64-bit hashes of its distinct paragraphs; a paragraph ends at a line feed or after a sentence end followed by a space. Each digest goes
-into one cell of each of four subtables of eight cells; a cell holds the number of digests, their XOR, and the XOR of their check
-values. Subtracting the cells of two versions leaves the digests that only one of them has. Peeling takes those that are alone
-in a cell (the check value proves it), removes them from their other cells, and so on until the cells are empty.
+A text's digests are 32-bit hashes of its distinct paragraphs, each with a check value of 32 bits beside it. Paragraphs end at line feeds; a text of fewer
+than four lines has its sentences as further paragraphs, else a text of one line would be all alike or not at all. Each digest goes into one cell of each of four subtables of eight
+cells; a cell is the XOR of what it holds. Subtracting (XOR again) the cells of two versions leaves the digests that only one of them has. Peeling takes
+those that are alone in a cell (their check value proves it), removes them from their other cells, and so on until the cells are empty.
 
 The fingerprint is one table of 32 cells, whatever the text's length, written as text. A comparison tries these first; when peeling gets stuck it retries with a larger
 table of both texts, dealt by further digest bits into 2^i tables for about six digests each of both texts together, then twice and four times that.
@@ -20,64 +20,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASHES, CELLS, LOAD, ROUNDS = 4, 8, 6, 10
-_CHECK = 0xFFFFFFFF
+FEW_LINES = 4
+_LOW = 0xFFFFFFFF
+
+
+def _checked(low: Column) -> Column:
+    """A digest of 32 bits with its check value of 32 bits above it."""
+    return low.bitwiseOR(F.shiftleft(F.xxhash64(low), 32))
 
 
 def digests(text: Column) -> Column:
-    """array<struct<k, h>>: digest and check value of each distinct paragraph."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?]) ", -1), lambda p: F.trim(p) != "")
-    return F.transform(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))), lambda k: F.struct(k.alias("k"), F.xxhash64(k, F.lit(7)).bitwiseAND(F.lit(_CHECK)).alias("h")))
+    """array<bigint>: the checked digest of each distinct paragraph."""
+    lines = F.filter(F.split(text, "\n", -1), lambda p: F.trim(p) != "")
+    parts = F.concat(lines, F.when(F.size(lines) < FEW_LINES, F.flatten(F.transform(lines, lambda p: F.split(p, r"(?<=[.!?]) ", -1)))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.transform(parts, lambda p: F.transform(F.array(F.xxhash64(p).bitwiseAND(F.lit(_LOW))), _checked)[0]))
 
 
 def _cell(k: Column, j: int) -> Column:
     return F.shiftrightunsigned(k, 3 * j).bitwiseAND(F.lit(CELLS - 1).cast("long"))
 
 
-def _none() -> Column:
-    return F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-
-
-def _sum(keys: Column) -> Column:
-    """One cell with all of ``keys``."""
-    return F.aggregate(keys, _none(), lambda a, x: F.struct((a.n + 1).alias("n"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h")))
-
-
 def table(keys: Column) -> Column:
     """The 32 cells of one table: subtable j has a digest in the cell of its bits 3j to 3j + 2."""
-    subtables = [F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c, j=j: _sum(F.filter(keys, lambda x: _cell(x.k, j) == c))) for j in range(HASHES)]
-    return F.concat(*subtables)
+
+    def subtable(j: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: F.when(_cell(k, j) == c, a.bitwiseXOR(k)).otherwise(a)))
+
+    return F.concat(*[subtable(j) for j in range(HASHES)])
 
 
 def _peel(cells: Column) -> Column:
     """Number of digests recovered from subtracted cells, or null when peeling got stuck."""
-    pure = lambda cs: F.filter(cs, lambda c: (F.abs(c.n) == 1) & (F.xxhash64(c.k, F.lit(7)).bitwiseAND(F.lit(_CHECK)) == c.h))
 
     def removed(cs: Column, found: Column) -> Column:
         def less(c: Column, i: Column) -> Column:
-            j = F.floor(i / CELLS).cast("int")
-            # the shift depends on the subtable, so the four are written out
-            at = lambda k: F.element_at(F.array(*[_cell(k, s) for s in range(HASHES)]), j + 1)
-            here = F.filter(found, lambda x: at(x.k) == (i % CELLS))
-            return F.aggregate(here, c, lambda a, x: F.struct((a.n - x.n).alias("n"), a.k.bitwiseXOR(x.k).alias("k"), a.h.bitwiseXOR(x.h).alias("h")))
+            shift = (F.shiftrightunsigned(i, 3) * 3).cast("int")
+            place = i.bitwiseAND(F.lit(CELLS - 1)).cast("long")
+            return F.aggregate(found, c, lambda a, k: F.when(F.call_function("shiftrightunsigned", k, shift).bitwiseAND(F.lit(CELLS - 1).cast("long")) == place, a.bitwiseXOR(k)).otherwise(a))
 
         return F.transform(cs, less)
 
     def step(state: Column, _: Column) -> Column:
-        found = F.array_distinct(pure(state.cs))
-        more = F.transform(F.array(found), lambda f: F.struct(removed(state.cs, f).alias("cs"), (state.d + F.size(f)).alias("d"), (F.size(f) > 0).alias("open")))[0]
+        found = F.array_distinct(F.filter(state.cs, lambda c: (c != 0) & (_checked(c.bitwiseAND(F.lit(_LOW))) == c)))
+        more = F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.struct(removed(state.cs, f).alias("cs"), (state.d + F.size(f)).alias("d"), F.lit(True).alias("open"))).otherwise(F.struct(state.cs.alias("cs"), state.d.alias("d"), F.lit(False).alias("open"))))[0]
         return F.when(state.open, more).otherwise(state)
 
     start = F.struct(cells.alias("cs"), F.lit(0).alias("d"), F.lit(True).alias("open"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return F.transform(F.array(end), lambda e: F.when(F.forall(e.cs, lambda c: (c.n == 0) & (c.k == 0) & (c.h == 0)), e.d))[0]
+    return F.transform(F.array(end), lambda e: F.when(F.forall(e.cs, lambda c: c == 0), e.d))[0]
 
 
 def _less(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x.n - y.n).alias("n"), x.k.bitwiseXOR(y.k).alias("k"), x.h.bitwiseXOR(y.h).alias("h")))
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
 def _part(keys: Column, of: Column, at: Column) -> Column:
-    return F.filter(keys, lambda x: F.shiftrightunsigned(x.k, 20).bitwiseAND((of - 1).cast("long")) == at)
+    return F.filter(keys, lambda k: F.shiftrightunsigned(k, 3 * HASHES).bitwiseAND((of - 1).cast("long")) == at)
 
 
 def _difference(a: Column, b: Column, tables: Column) -> Column:
@@ -85,6 +83,7 @@ def _difference(a: Column, b: Column, tables: Column) -> Column:
 
     Digests are dealt in two steps, first to about sqrt(tables) groups, so that long texts don't cost their length squared.
     """
+    tables = F.least(tables, F.lit(1 << 20))
     groups = F.pow(F.lit(2), F.floor(F.log2(tables) / 2)).cast("int")
 
     def of_group(g: Column) -> Column:
@@ -108,9 +107,9 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - d).cast("double") / (both + d))
 
 
-def as_text(cells: Column) -> Column:
-    """The cells as text: count, digests and check values of each in hexadecimal."""
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat_ws(".", F.hex(c.n), F.hex(c.k), F.hex(c.h))), "-"))
+def as_text(keys: Column, cells: Column) -> Column:
+    """Number of digests and the cells, in hexadecimal."""
+    return F.lower(F.concat_ws("-", F.hex(F.size(keys)), F.array_join(F.transform(cells, lambda c: F.hex(c)), "-")))
 
 
 def with_next(docs: DataFrame, per_group: int = 512) -> DataFrame:
@@ -163,4 +162,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     keyed = rows.select("row", F.length("text").cast("long").alias("n_chars"), "edited_text", *[digests(F.col(c)).alias(k) for c, k in (("text", "own"), ("edited_text", "changed"), ("next", "other"))])
     tabled = keyed.select("*", *[table(F.col(c)).alias(f"{c}_cells") for c in ("own", "changed", "other")])
     near = lambda c: likeness(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells"))
-    return tabled.select("row", "n_chars", "edited_text", as_text(F.col("own_cells")).alias("fingerprint"), as_text(F.col("changed_cells")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))
+    return tabled.select("row", "n_chars", "edited_text", as_text(F.col("own"), F.col("own_cells")).alias("fingerprint"), as_text(F.col("changed"), F.col("changed_cells")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))

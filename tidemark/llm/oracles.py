@@ -18,12 +18,12 @@ from t group by conv_id
 """,
     "op4_top_k": r"""
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(1024 * x::double)::bigint) as e
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e
   from embeddings
   where embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0
 )
 select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score

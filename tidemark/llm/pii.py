@@ -95,9 +95,13 @@ def base_spans(text: Column) -> Column:
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     digit = text.rlike("[0-9]")
     parts = []
+
+    def tested(rank: int, kind: str) -> Column:
+        found = F.filter(matches(text, F.lit(PATTERNS[kind])), lambda m: _HOLDS[kind](m.value))
+        return F.transform(found, lambda m: F.struct(m.start.alias("start"), F.lit(rank).alias("rank"), m.end.alias("end"), F.lit(kind).alias("kind"), m.value.alias("value")))
+
     for rank, kind in enumerate(KINDS[:4]):
-        found = F.filter(matches(text, F.lit(PATTERNS[kind])), lambda m, k=kind: _HOLDS[k](m.value))
-        found = F.transform(found, lambda m, r=rank, k=kind: F.struct(m.start.alias("start"), F.lit(r).alias("rank"), m.end.alias("end"), F.lit(k).alias("kind"), m.value.alias("value")))
+        found = tested(rank, kind)
         gate = F.contains(text, F.lit(_NEEDS[kind])) if kind == "email" else digit & F.contains(text, F.lit(_NEEDS[kind]))
         parts.append(F.when(gate, found).otherwise(none))
     return F.array_sort(F.concat(*parts))
