@@ -74,8 +74,8 @@ def _less(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
-def _part(keys: Column, of: Column, at: Column) -> Column:
-    return F.filter(keys, lambda k: F.shiftrightunsigned(k, 3 * HASHES).bitwiseAND((of - 1).cast("long")) == at)
+def _part(keys: Column, mask: Column, at: Column) -> Column:
+    return F.filter(keys, lambda k: F.shiftrightunsigned(k, 3 * HASHES).bitwiseAND(mask) == at)
 
 
 def _difference(a: Column, b: Column, tables: Column) -> Column:
@@ -83,16 +83,24 @@ def _difference(a: Column, b: Column, tables: Column) -> Column:
 
     Digests are dealt in two steps, first to about sqrt(tables) groups, so that long texts don't cost their length squared.
     """
-    tables = F.least(tables, F.lit(1 << 20))
-    groups = F.pow(F.lit(2), F.floor(F.log2(tables) / 2)).cast("int")
+    groups = F.pow(F.lit(2), F.floor(F.log2(tables) / 2)).cast("long")
+    # bound once here: what a lambda only refers to would be computed again for each element
+    bound = F.struct(a.alias("a"), b.alias("b"), tables.cast("long").alias("tables"), groups.alias("groups"))
 
-    def of_group(g: Column) -> Column:
-        pair = F.struct(_part(a, groups, g).alias("a"), _part(b, groups, g).alias("b"))
-        tables_of = F.sequence(g, tables - 1, groups)
-        return F.transform(F.array(pair), lambda p: F.transform(tables_of, lambda t: _peel(_less(table(_part(p.a, tables, t)), table(_part(p.b, tables, t))))))[0]
+    def all_(p: Column) -> Column:
+        masked = F.array(F.struct((p.tables - 1).alias("tmask"), (p.groups - 1).alias("gmask")))
+        return F.transform(masked, lambda m: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), m.gmask), lambda g: of_group(p, m, g))))[0]
 
-    found = F.flatten(F.transform(F.sequence(F.lit(0), groups - 1), of_group))
-    return F.when(F.forall(found, lambda d: d.isNotNull()), F.aggregate(found, F.lit(0), lambda x, d: x + d))
+    def of_group(p: Column, m: Column, g: Column) -> Column:
+        pair = F.array(F.struct(_part(p.a, m.gmask, g).alias("a"), _part(p.b, m.gmask, g).alias("b")))
+        return F.transform(pair, lambda q: F.transform(F.sequence(g, m.tmask, p.groups), lambda t: of_table(q, m, t)))[0]
+
+    def of_table(q: Column, m: Column, t: Column) -> Column:
+        pair = F.array(F.struct(_part(q.a, m.tmask, t).alias("a"), _part(q.b, m.tmask, t).alias("b")))
+        return F.transform(pair, lambda r: _peel(_less(table(r.a), table(r.b))))[0]
+
+    found = F.transform(F.array(bound), all_)[0]
+    return F.aggregate(found, F.lit(0), lambda x, d: x + d)
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -101,7 +109,7 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     most = F.greatest(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(both, F.lit(1)) / LOAD))).cast("int"), F.lit(1))
     # 24 differing digests are the most that 32 cells can give back; texts whose sizes differ by more need no first try
     first = F.when(F.abs(F.size(a) - F.size(b)) <= 24, _peel(_less(cells_a, cells_b)))
-    retries = [_difference(a, b, most * i) for i in (1, 2, 4)]
+    retries = [_difference(a, b, F.least(most * i, F.lit(1 << 20))) for i in (1, 2, 4)]
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     d = F.coalesce(first, *retries, plain)
     return F.when(both == 0, F.lit(1.0)).otherwise((both - d).cast("double") / (both + d))
@@ -142,7 +150,7 @@ def _next_lower(keys: DataFrame, few: int = 10_000) -> DataFrame:
         found = keys.select("range", F.lead("range").over(Window.orderBy(F.desc("range"))).alias("lower"))
     else:
         wide = keys.withColumn("wide", F.floor(F.col("range") / F.lit(max(2, (ends["hi"] - ends["lo"] + 1) * 1000 // ends["n"]))).cast("long"))
-        inner = wide.select("range", "wide", F.lead("range").over(Window.partitionBy("wide").orderBy(F.desc("range"))).alias("inner"))
+        inner = wide.select("range", "wide", F.lead("range").over(Window.partitionBy("wide").orderBy(F.desc("range"))).alias("tmask"))
         tops = wide.groupBy("wide").agg(F.max("range").alias("top"))
         after = _next_lower(tops.select(F.col("wide").alias("range")), few).join(tops.withColumnRenamed("wide", "lower"), "lower").select(F.col("range").alias("wide"), "top")
         found = inner.join(after, "wide").select("range", F.coalesce("inner", "top").alias("lower"))
