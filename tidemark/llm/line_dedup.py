@@ -6,7 +6,8 @@ have no set and stay. Whether the earlier line stays itself does not matter.
 
 1. *Rarity*: how often words occur, over the whole corpus, in a table of 2^16 hashed buckets (a fixed size). The order
    (bucket count, word hash) is total, so the filters below lose nothing however coarse the counts are.
-2. *Equal sets*: lines with equal sets fall into one class of which only the earliest line is compared any further.
+2. *Equal sets*: a 128-bit hash tells equal sets apart from others. A line that repeats one which the same task has read, and that is earlier, goes at once, so
+   a line that is everywhere reaches the shuffle a few times for each task; the rest meet under their rarest word.
 3. *Postings*: a line of n words is posted under its n - ceil(t n) + 1 rarest words. Lists are dealt by word and read in order of set size. Pairs must pass
    the length filter, the positional filter, and a bitmap filter: similar sets share all but a few words of their prefixes, so
    few bits of one prefix may be missing in the other.
@@ -89,26 +90,25 @@ def _classes_of(h: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [signed(np.add.reduceat(mix(h ^ salt), bounds)) if len(h) else np.zeros(0, np.int64) for salt in (U(0x632BE59BD9B4E019), U(0x8CB92BA72F3D8DD7))]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch.column("text"))
-        rid = batch.column("rid").to_numpy()
-        for a, b in runs(offsets):
-            row, number, bounds, h = _line_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], None)
-            k1, k2 = _classes_of(h, bounds)
-            yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[a:b][row]), "line": pa.array(number.astype(np.int32)), "k1": pa.array(k1), "k2": pa.array(k2)})
-
-
 def _taken(n: np.ndarray, percent: int) -> np.ndarray:
     """Words of the prefix of a set of n words."""
     return n - -(-n * percent // 100) + 1
 
 
+_COLUMNS = ("word", "n", "place", "bits", "set", "rid", "line")
+_POSTED = "word bigint, n int, place int, bits bigint, set bigint, rid bigint, line int"
+
+
+def _rows(values: list[np.ndarray], **more: pa.Array) -> pa.RecordBatch:
+    kinds = dict(n=np.int32, place=np.int32, line=np.int32)
+    return pa.RecordBatch.from_pydict({c: pa.array(v.astype(kinds.get(c, np.int64))) for c, v in zip(_COLUMNS, values)} | more)
+
+
 def _prefixes(order: np.ndarray, percent: int):
-    """(word, set size, place, bitmap of the prefix, line) for the rarest words of each line; within a task only earlier lines with the same set are posted again."""
+    """(word, set size, place, bitmap of the prefix, hash of the set, line) for the rarest words of each line; size 0 marks a line that an earlier equal one makes redundant."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
+        seen: dict[int, tuple[int, int, int]] = {}
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             rid = batch.column("rid").to_numpy()
@@ -116,18 +116,22 @@ def _prefixes(order: np.ndarray, percent: int):
                 row, number, bounds, h = _line_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], order)
                 if not len(h):
                     continue
-                k1, _ = _classes_of(h, bounds)
+                k1, k2 = _classes_of(h, bounds)
                 rids = rid[a:b][row]
                 sizes = np.diff(np.append(bounds, len(h)))
-                new = np.zeros(len(k1), bool)
-                for i, (k, *at) in enumerate(zip(k1.tolist(), rids.tolist(), number.tolist())):
+                new = np.ones(len(k1), bool)
+                for i, (k, k_, r, at) in enumerate(zip(k1.tolist(), k2.tolist(), rids.tolist(), number.tolist())):
                     before = seen.get(k)
-                    if before is None or tuple(at) < before:
-                        new[i] = True
-                        seen[k] = tuple(at)
-                if len(seen) > 300_000:  # the table only saves work and is bounded
+                    if before is not None and before[0] == k_ and before[1:] < (r, at):
+                        new[i] = False
+                    else:
+                        seen[k] = (k_, r, at)
+                if len(seen) > 200_000:  # the table only saves work and is bounded
                     seen.clear()
-                bounds, sizes, rids, number = bounds[new], sizes[new], rids[new], number[new]
+                if not new.all():
+                    old, zero = ~new, np.zeros(int((~new).sum()), np.int64)
+                    yield _rows([signed(mix(k1[old].view(U) ^ mix(rids[old].astype(U)))), zero, zero, zero, zero, rids[old], number[old]])
+                bounds, sizes, rids, number, k1 = bounds[new], sizes[new], rids[new], number[new], k1[new]
                 if not len(rids):
                     continue
                 taken = _taken(sizes, percent)
@@ -135,26 +139,22 @@ def _prefixes(order: np.ndarray, percent: int):
                 begin = np.cumsum(taken) - taken
                 place = np.arange(len(rows)) - begin[rows]
                 word = h[bounds[rows] + place]
-                bits = np.bitwise_or.reduceat(np.left_shift(1, (word >> U(7) & U(31)).astype(np.int64)), begin).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(signed(word)), "n": pa.array(sizes[rows].astype(np.int32)), "place": pa.array(place.astype(np.int32)), "bits": pa.array(bits[rows]), "rid": pa.array(rids[rows]), "line": pa.array(number[rows].astype(np.int32))})
+                bits = signed(np.bitwise_or.reduceat(U(1) << (word >> U(7) & U(63)), begin))
+                yield _rows([signed(word), sizes[rows], place, bits[rows], np.where(place == 0, k1[rows], 0), rids[rows], number[rows]])
 
     return post
 
 
-_POSTED = "word bigint, n int, place int, bits int, rid bigint, line int"
-_COLUMNS = ("word", "n", "place", "bits", "rid", "line")
-
-
 def _may(x: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs of postings in one list can be similar: length, positional and bitmap filters."""
-    _, n, place, bits, _, _ = x
+    _, n, place, bits, _, _, _ = x
     nl, nr = n[left], n[right]
     need = -(-(nl + nr) * percent // (100 + percent))
     good = (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * percent) & (np.minimum(nl - place[left], nr - place[right]) >= need)
     # of the words in common at least this many are in both prefixes
     pl, pr = _taken(nl, percent), _taken(nr, percent)
     both = np.minimum(pl - nl, pr - nr) + need
-    bl, br = bits[left] & 0xFFFFFFFF, bits[right] & 0xFFFFFFFF
+    bl, br = bits[left].view(U), bits[right].view(U)
     return good & (np.bitwise_count(bl & ~br) <= pl - both) & (np.bitwise_count(br & ~bl) <= pr - both)
 
 
@@ -188,18 +188,50 @@ def _least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+def _pairs(x: list[np.ndarray], percent: int, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of postings in one list that may be similar, by distance in the list; ``wanted`` says of which pairs the caller still needs to know."""
+    word, n = x[0], x[1]
+    left, step = np.arange(len(word)), 1
+    while len(left):
+        left = left[left + step < len(word)]
+        near = (word[left] == word[left + step]) & (n[left] * 100 >= n[left + step] * percent)
+        left = left[near]
+        asked = left[wanted(left, left + step)]
+        good = asked[_may(x, asked, asked + step, percent)]
+        if len(good):
+            yield good, good + step
+        step += 1
+
+
 def _meet_first(percent: int):
-    """Postings of lists with two lines or more, each with the earliest line of the list that it may be similar to (from, or null)."""
+    """Postings that may be similar to another of their list, each with the earliest line of the list that it may be similar to (rid0, line0) or null.
+
+    Lines that an earlier line of the same set makes redundant come out with size 0.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _in_lists(batches, _COLUMNS):
-            word = x[0]
-            many = np.zeros(len(word), bool)
-            same = word[1:] == word[:-1]
-            many[1:] |= same
-            many[:-1] |= same
-            x = [c[many] for c in x]
-            word, n, _, _, rid, line = x
+            gone = x[1] == 0
+            late, x = [c[gone] for c in x], [c[~gone] for c in x]
+            word, n, place, _, sets, rid, line = x
+            # equal sets have the same rarest word
+            first = np.flatnonzero(place == 0)
+            first = first[np.lexsort((line[first], rid[first], n[first], sets[first], word[first]))]
+            again = np.zeros(len(first), bool)
+            again[1:] = (word[first[1:]] == word[first[:-1]]) & (sets[first[1:]] == sets[first[:-1]]) & (n[first[1:]] == n[first[:-1]])
+            equal = np.zeros(len(word), bool)
+            equal[first[again]] = True
+            late = [np.concatenate([c, v[equal]]) for c, v in zip(late, x)]
+            late[1] = np.zeros(len(late[1]), np.int64)
+            x = [c[~equal] for c in x]
+            marked = np.zeros(len(x[0]), bool)
+            for left, right in _pairs(x, percent, lambda a, b: ~(marked[a] & marked[b])):
+                marked[left] = marked[right] = True
+            x = [c[marked] for c in x]
+            word, n, _, _, _, rid, line = x
+            if len(late[0]):
+                none = len(late[0])
+                yield _rows(late, rid0=pa.nulls(none, pa.int64()), line0=pa.nulls(none, pa.int32()))
             if not len(word):
                 continue
             rank = np.empty(len(word), np.int64)
@@ -210,12 +242,9 @@ def _meet_first(percent: int):
             key = group * wide + n
             lo = np.searchsorted(key, group * wide + -(-n * percent // 100), "left")
             hi = np.searchsorted(key, group * wide + np.minimum(n * 100 // percent, wide - 1), "right")
-            first = by_time[_least(rank, lo, hi)]
-            mine = np.arange(len(word))
-            found = (rank[first] < rank) & ((rid[first] != rid) | (line[first] != line)) & _may(x, first, mine, percent)
-            out = {c: pa.array(v) for c, v in zip(_COLUMNS, x)}
-            out |= {c: pa.array(out[c].to_numpy().astype(np.int32)) for c in ("n", "place", "bits", "line")}
-            yield pa.RecordBatch.from_pydict(out | {"rid0": pa.array(rid[first], mask=~found), "line0": pa.array(line[first].astype(np.int32), mask=~found)})
+            hub, mine = by_time[_least(rank, lo, hi)], np.arange(len(word))
+            found = (rank[hub] < rank) & ((rid[hub] != rid) | (line[hub] != line)) & _may(x, hub, mine, percent)
+            yield _rows(x, rid0=pa.array(rid[hub], mask=~found), line0=pa.array(line[hub].astype(np.int32), mask=~found))
 
     return meet
 
@@ -226,20 +255,13 @@ def _meet_all(percent: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _in_lists(batches, (*_COLUMNS, "open")):
             *x, open_ = x
-            word, n, _, _, rid, line = x
-            left, step = np.arange(len(word)), 1
-            while len(left):
-                left = left[left + step < len(word)]
-                near = (word[left] == word[left + step]) & (n[left] * 100 >= n[left + step] * percent)
-                left = left[near]
-                right = left + step
+            rid, line, open_ = x[5], x[6], open_ == 1
+            for left, right in _pairs(x, percent, lambda a, b: open_[a] | open_[b]):
                 swap = (rid[left] > rid[right]) | ((rid[left] == rid[right]) & (line[left] > line[right]))
                 old, new = np.where(swap, right, left), np.where(swap, left, right)
-                good = (open_[new] == 1) & _may(x, old, new, percent)
-                old, new = old[good], new[good]
+                old, new = old[open_[new]], new[open_[new]]
                 if len(old):
                     yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[new]), "line": pa.array(line[new].astype(np.int32)), "rid0": pa.array(rid[old]), "line0": pa.array(line[old].astype(np.int32))})
-                step += 1
 
     return meet
 
@@ -277,13 +299,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(rid, line): the lines of ``docs`` (doc_id, text) that an earlier line makes redundant; rid is doc_id, or the largest long for null."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text").where("text is not null")
     order = word_rarity(texts)
-    lines = save(texts.mapInArrow(_lines, "rid bigint, line int, k1 bigint, k2 bigint"), "lines")
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("rid", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    equal = lines.join(classes, ["k1", "k2"]).where(F.struct("rid", "line") != F.col("first")).select("rid", "line").distinct()
-
     posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word", "n", "rid", "line")
-    live = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "live_postings")
-    first = save(live.where("rid0 is not null").select("rid", "line", "rid0", "line0").distinct(), "first_pairs")
+    met = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "met")
+    equal, live = met.where("n = 0").select("rid", "line"), met.where("n > 0")
+    first = save(live.where("rid0 is not null").select("rid", "line", "rid0", "line0").distinct().join(equal, ["rid", "line"], "left_anti"), "first_pairs")
     late = save(_confirmed(first, texts, percent).unionByName(equal).distinct(), "late_lines")
     rest = live.join(late.withColumn("late", F.lit(1)), ["rid", "line"], "left").select(*_COLUMNS, F.when(F.col("late").isNull(), 1).otherwise(0).alias("open"))
     rest = rest.repartition("word").sortWithinPartitions("word", "n", "rid", "line").mapInArrow(_meet_all(percent), "rid bigint, line int, rid0 bigint, line0 int")
