@@ -9,8 +9,8 @@ have no set and stay. Whether the earlier line stays itself does not matter.
 2. *Equal sets*: a 128-bit hash tells equal sets apart from others. A line that repeats one which the same task has read, and that is earlier, goes at once, so
    a line that is everywhere reaches the shuffle a few times for each task; the rest meet under their rarest word.
 3. *Postings*: a line of n words is posted under its n - ceil(t n) + 1 rarest words. Lists are dealt by word and read in order of set size. Pairs must pass
-   the length filter, the positional filter, and a bitmap filter: similar sets share all but a few words of their prefixes, so
-   few bits of one prefix may be missing in the other.
+   the length filter, the positional filter, and two bitmap filters: similar sets share all but a few words of their prefixes, so
+   few bits of one prefix may be missing in the other; and each word that only one of two sets has changes one of 64 parities, so few of these may differ.
 4. *First pass*: in each list a line meets only the earliest line of a size that allows the similarity. That finds most repeats in large groups of
    near copies with one comparison each, not one with every other copy.
 5. *Second pass*: lines not found so meet all earlier lines of their lists. What a line is removed for can't change the result, so the pairs left out don't matter.
@@ -95,17 +95,17 @@ def _taken(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-_COLUMNS = ("word", "n", "place", "bits", "set", "rid", "line")
-_POSTED = "word bigint, n int, place int, bits bigint, set bigint, rid bigint, line int"
+_COLUMNS = ("word", "n", "place", "bits", "odd", "set", "rid", "line")
+_POSTED = "word bigint, n int, place int, bits int, odd bigint, set bigint, rid bigint, line int"
 
 
 def _rows(values: list[np.ndarray], **more: pa.Array) -> pa.RecordBatch:
-    kinds = dict(n=np.int32, place=np.int32, line=np.int32)
+    kinds = dict(n=np.int32, place=np.int32, bits=np.int32, line=np.int32)
     return pa.RecordBatch.from_pydict({c: pa.array(v.astype(kinds.get(c, np.int64))) for c, v in zip(_COLUMNS, values)} | more)
 
 
 def _prefixes(order: np.ndarray, percent: int):
-    """(word, set size, place, bitmap of the prefix, hash of the set, line) for the rarest words of each line; size 0 marks a line that an earlier equal one makes redundant."""
+    """(word, set size, place, bitmap of the prefix, parities of the set, hash of the set, line) for the rarest words of each line; size 0 marks a line that an earlier equal one makes redundant."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, int, int]] = {}
@@ -130,8 +130,9 @@ def _prefixes(order: np.ndarray, percent: int):
                     seen.clear()
                 if not new.all():
                     old, zero = ~new, np.zeros(int((~new).sum()), np.int64)
-                    yield _rows([signed(mix(k1[old].view(U) ^ mix(rids[old].astype(U)))), zero, zero, zero, zero, rids[old], number[old]])
-                bounds, sizes, rids, number, k1 = bounds[new], sizes[new], rids[new], number[new], k1[new]
+                    yield _rows([signed(mix(k1[old].view(U) ^ mix(rids[old].astype(U)))), zero, zero, zero, zero, zero, rids[old], number[old]])
+                odd = np.bitwise_xor.reduceat(U(1) << (h >> U(13) & U(63)), bounds)
+                bounds, sizes, rids, number, k1, odd = bounds[new], sizes[new], rids[new], number[new], k1[new], odd[new]
                 if not len(rids):
                     continue
                 taken = _taken(sizes, percent)
@@ -139,22 +140,25 @@ def _prefixes(order: np.ndarray, percent: int):
                 begin = np.cumsum(taken) - taken
                 place = np.arange(len(rows)) - begin[rows]
                 word = h[bounds[rows] + place]
-                bits = signed(np.bitwise_or.reduceat(U(1) << (word >> U(7) & U(63)), begin))
-                yield _rows([signed(word), sizes[rows], place, bits[rows], np.where(place == 0, k1[rows], 0), rids[rows], number[rows]])
+                bits = np.bitwise_or.reduceat(U(1) << (word >> U(7) & U(31)), begin).astype(np.uint32).view(np.int32)
+                yield _rows([signed(word), sizes[rows], place, bits[rows], signed(odd)[rows], np.where(place == 0, k1[rows], 0), rids[rows], number[rows]])
 
     return post
 
 
 def _may(x: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of postings in one list can be similar: length, positional and bitmap filters."""
-    _, n, place, bits, _, _, _ = x
+    """Whether pairs of postings in one list, with different sets, can be similar: length, positional and bitmap filters."""
+    _, n, place, bits, odd, _, _, _ = x
     nl, nr = n[left], n[right]
     need = -(-(nl + nr) * percent // (100 + percent))
     good = (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * percent) & (np.minimum(nl - place[left], nr - place[right]) >= need)
+    # equal sets are found elsewhere, so the words that only one of the two has are one at least; each changes one parity
+    apart = nl + nr - 2 * need
+    good &= (apart > 0) & (np.bitwise_count(odd[left].view(U) ^ odd[right].view(U)) <= apart)
     # of the words in common at least this many are in both prefixes
     pl, pr = _taken(nl, percent), _taken(nr, percent)
     both = np.minimum(pl - nl, pr - nr) + need
-    bl, br = bits[left].view(U), bits[right].view(U)
+    bl, br = bits[left] & 0xFFFFFFFF, bits[right] & 0xFFFFFFFF
     return good & (np.bitwise_count(bl & ~br) <= pl - both) & (np.bitwise_count(br & ~bl) <= pr - both)
 
 
@@ -213,7 +217,7 @@ def _meet_first(percent: int):
         for x in _in_lists(batches, _COLUMNS):
             gone = x[1] == 0
             late, x = [c[gone] for c in x], [c[~gone] for c in x]
-            word, n, place, _, sets, rid, line = x
+            word, n, place, _, _, sets, rid, line = x
             # equal sets have the same rarest word
             first = np.flatnonzero(place == 0)
             first = first[np.lexsort((line[first], rid[first], n[first], sets[first], word[first]))]
@@ -228,7 +232,7 @@ def _meet_first(percent: int):
             for left, right in _pairs(x, percent, lambda a, b: ~(marked[a] & marked[b])):
                 marked[left] = marked[right] = True
             x = [c[marked] for c in x]
-            word, n, _, _, _, rid, line = x
+            word, n, _, _, _, _, rid, line = x
             if len(late[0]):
                 none = len(late[0])
                 yield _rows(late, rid0=pa.nulls(none, pa.int64()), line0=pa.nulls(none, pa.int32()))
@@ -255,7 +259,7 @@ def _meet_all(percent: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _in_lists(batches, (*_COLUMNS, "open")):
             *x, open_ = x
-            rid, line, open_ = x[5], x[6], open_ == 1
+            rid, line, open_ = x[6], x[7], open_ == 1
             for left, right in _pairs(x, percent, lambda a, b: open_[a] | open_[b]):
                 swap = (rid[left] > rid[right]) | ((rid[left] == rid[right]) & (line[left] > line[right]))
                 old, new = np.where(swap, right, left), np.where(swap, left, right)
