@@ -10,8 +10,8 @@ of one token lead to one state at any time, the automaton is kept as
   components before it was built (u up to the rank of w, and so on down to the base symbol), has been removed there.
 
 Encoding runs the automaton over a word's characters: for each end position exactly one token ends there on a path the
-automaton accepts, so one arc per position is stored and the path is read back from the end. Pre-split words repeat, so
-each task keeps a bounded table of words already encoded. Decoding emits the labels of the arcs.
+automaton accepts, so one arc per position is stored and the path is read back from the end. Words and their beginnings repeat, so
+each task keeps bounded tables of those already read. Decoding emits the labels of the arcs.
 
 Text is prepared as the vocabulary file says: special tokens are cut out of the raw text, the rest is brought to NFC, white space
 runs become one space, characters are put in lower case one at a time, and words are split by the file's pattern and written in byte symbols, the last one
@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 300_000
+KNOWN_WORDS, KNOWN_STARTS = 400_000, 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -64,16 +64,17 @@ class Automaton:
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         pattern = split["pattern"]["Regex"].replace("\\s", _WHITE)
         self.word_pattern = regex.compile(pattern)
-        # letters and numbers of Unicode versions after the library's are symbols to it
-        self.later = _ranges(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn")
-        if self.later:
-            self.later_pattern = regex.compile(f"[{self.later}]")
-            self.narrow_pattern = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{self.later}]]").replace(r"\p{N}", rf"[\p{{N}}--[{self.later}]]"), flags=regex.V1)
+        # Python's tables, the pattern's and the library's are of different Unicode versions
+        unknown = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn"]
+        self.unknown = regex.compile(f"[{_ranges(unknown)}]") if unknown else None
+        later = _ranges(c for c in unknown if not any(a <= ord(c) <= b for a, b in _UNICODE_16))
+        self.narrow_pattern = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{later}]]").replace(r"\p{N}", rf"[\p{{N}}--[{later}]]"), flags=regex.V1) if later else self.word_pattern
         self.labels = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.symbols = byte_symbols()
         self.longest = max((len(t) - len(self.suffix) * t.endswith(self.suffix) for t in self.ids), default=1)
         self._compile(model["merges"])
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.starts: dict[str, tuple[int, int]] = {}
 
     def _compile(self, merges: list) -> None:
         removed: list[dict[str, int]] = [{}]  # of each state: arc and the rank of the merge that removed it
@@ -110,27 +111,36 @@ class Automaton:
                 return True
             token, before = self.left[token]
 
+    def _last(self, word: str, end: int, begins: list[int], states: list[int], tail: str) -> tuple[int, int]:
+        """Where the token that ends at ``end`` begins, and the state it leads to."""
+        goes, arc = self.goes, self.arc
+        # only one token continues the path that ends where it begins, so the order of trying is free
+        for begin in range(end - 1, max(-1, end - 1 - self.longest), -1):
+            token = word[begin:end] + tail
+            if token in goes and (states[begin] == 0 or arc(states[begin], token)):
+                return begin, goes[token]
+        raise AssertionError(f"no path for {word!r}")
+
     def encode_word(self, word: str) -> list[int]:
         """Token ids of one pre-split word, given in byte symbols."""
-        goes, ids, suffix, longest, last = self.goes, self.ids, self.suffix, self.longest, len(word)
-        ends: list[tuple[int, str]] = [(0, "")]  # for each position: where the token that ends there begins, and the token
-        states = [0]
-        for end in range(1, last + 1):
-            tail = suffix if end == last else ""
-            for begin in range(max(0, end - longest), end):
-                token = word[begin:end] + tail
-                # the longest first; only one of them continues the path that ends where it begins
-                if token in goes and (states[begin] == 0 or self.arc(states[begin], token)):
-                    ends.append((begin, token))
-                    states.append(goes[token])
-                    break
-            else:
-                raise AssertionError(f"no path for {word!r}")
-        out = []
-        at = last
+        last, ids, starts = len(word), self.ids, self.starts
+        begins, states = [0], [0]
+        for end in range(1, last):
+            # words share beginnings, so the paths of these are kept
+            start = word[:end]
+            found = starts.get(start)
+            if found is None:
+                if len(starts) >= KNOWN_STARTS:
+                    starts.clear()
+                found = starts[start] = self._last(word, end, begins, states, "")
+            begins.append(found[0])
+            states.append(found[1])
+        at, tail, out = last, self.suffix, []
+        begin = self._last(word, last, begins, states, tail)[0] if last else 0
         while at:
-            at, token = ends[at][0], ends[at][1]
-            out.append(ids[token])
+            out.append(ids[word[begin:at] + tail])
+            at, tail = begin, ""
+            begin = begins[at]
         return out[::-1]
 
     def known(self, word: str) -> tuple[bytes, str]:
@@ -161,15 +171,15 @@ class Automaton:
 
     def _plain(self, text: str, out: list) -> None:
         pattern = self.word_pattern
-        if not text.isascii():
+        if text.isascii() or _latin(text):  # already NFC
+            text = text.lower()
+        else:
             if not unicodedata.is_normalized("NFC", text):
                 text = unicodedata.normalize("NFC", text)
             # one character at a time: in a whole string a final sigma would depend on its place
             text = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
-            if self.later and self.later_pattern.search(text):
-                pattern = self.narrow_pattern
-        else:
-            text = text.lower()
+            if self.unknown and self.unknown.search(text):
+                text, pattern = text.translate(_CAPITALS), self.narrow_pattern
         words = self.words
         for w in pattern.findall(text):
             out.append(words.get(w) or self.known(w))
@@ -184,6 +194,26 @@ _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 
 
 
+#: Letters and numbers that are new in Unicode 16, which the library's split knows.
+_UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9),
+    (0x116D0, 0x116E3), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9),
+    (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Capitals of Unicode 16 and 17 and their small letters, which the library's lower case knows.
+_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _ranges(chars: Iterable[str]) -> str:
     """The characters, given in order, as the inside of a character class."""
     spans: list[list[int]] = []
