@@ -4,13 +4,12 @@ A line's set is its distinct words (see ``words``; A-Z count as a-z). A line is
 (doc_id, line number), has a word set of Jaccard similarity ``percent``/100 or more; equal sets always qualify. Blank lines
 have no set and stay. Whether the earlier line stays itself does not matter.
 
-1. *Rarity*: how often words occur, over the whole corpus, in a table of 2^16 hashed buckets (a fixed size). The order
+1. *Rarity*: how often words occur, over the whole corpus, in a table of 2^18 hashed buckets (a fixed size). The order
    (bucket count, word hash) is total, so the filters below lose nothing however coarse the counts are.
 2. *Equal sets*: a 128-bit hash tells equal sets apart from others. A line that repeats one which the same task has read, and that is earlier, goes at once, so
    a line that is everywhere reaches the shuffle a few times for each task; the rest meet under their rarest word.
 3. *Postings*: a line of n words is posted under its n - ceil(t n) + 1 rarest words. Lists are dealt by word and read in order of set size. Pairs must pass
-   the length filter, the positional filter, and two bitmap filters: similar sets share all but a few words of their prefixes, so
-   few bits of one prefix may be missing in the other; and each word that only one of two sets has changes one of 64 parities, so few of these may differ.
+   the length filter, the positional filter, and a parity filter: each word that only one of two sets has changes one of 128 parities, so few of these may differ.
 4. *First pass*: in each list a line meets only the earliest line of a size that allows the similarity. That finds most repeats in large groups of
    near copies with one comparison each, not one with every other copy.
 5. *Second pass*: lines not found so meet all earlier lines of their lists. What a line is removed for can't change the result, so the pairs left out don't matter.
@@ -34,12 +33,12 @@ from tidemark.llm.scratch import save
 from tidemark.llm.words import U, mix, runs, signed, utf8, words
 
 NO_ID = (1 << 63) - 1
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 _LINE = 10
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> U(48)).astype(np.int64)
+    return (h >> U(46)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +72,7 @@ def _line_sets(data: np.ndarray, offsets: np.ndarray, order: np.ndarray | None):
     number_of = before - np.searchsorted(feeds, offsets[:-1])[row_of] if len(starts) else before
     # one 64-bit sort key where it orders as (line, rarity, hash) does, else the three keys themselves
     rank = np.zeros(len(h), U) if order is None else order[_bucket(h)].astype(U)
-    key = (line_of.astype(U) << U(44)) | (rank << U(28)) | ((h << U(16)) >> U(36))
+    key = (line_of.astype(U) << U(44)) | (rank << U(26)) | ((h << U(18)) >> U(38))
     at = np.argsort(key)
     tied = key[at[1:]] == key[at[:-1]]
     if (len(line_of) and line_of[-1] >= 1 << 20) or np.any(h[at[1:]][tied] != h[at[:-1]][tied]):
@@ -95,17 +94,17 @@ def _taken(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-_COLUMNS = ("word", "n", "place", "bits", "odd", "set", "rid", "line")
-_POSTED = "word bigint, n int, place int, bits int, odd bigint, set bigint, rid bigint, line int"
+_COLUMNS = ("word", "n", "place", "odd1", "odd2", "set", "rid", "line")
+_POSTED = "word bigint, n int, place int, odd1 bigint, odd2 bigint, set bigint, rid bigint, line int"
 
 
 def _rows(values: list[np.ndarray], **more: pa.Array) -> pa.RecordBatch:
-    kinds = dict(n=np.int32, place=np.int32, bits=np.int32, line=np.int32)
+    kinds = dict(n=np.int32, place=np.int32, line=np.int32)
     return pa.RecordBatch.from_pydict({c: pa.array(v.astype(kinds.get(c, np.int64))) for c, v in zip(_COLUMNS, values)} | more)
 
 
 def _prefixes(order: np.ndarray, percent: int):
-    """(word, set size, place, bitmap of the prefix, parities of the set, hash of the set, line) for the rarest words of each line; size 0 marks a line that an earlier equal one makes redundant."""
+    """(word, set size, place, parities of the set, hash of the set, line) for the rarest words of each line; size 0 marks a line that an earlier equal one makes redundant."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, int, int]] = {}
@@ -131,8 +130,9 @@ def _prefixes(order: np.ndarray, percent: int):
                 if not new.all():
                     old, zero = ~new, np.zeros(int((~new).sum()), np.int64)
                     yield _rows([signed(mix(k1[old].view(U) ^ mix(rids[old].astype(U)))), zero, zero, zero, zero, zero, rids[old], number[old]])
-                odd = np.bitwise_xor.reduceat(U(1) << (h >> U(13) & U(63)), bounds)
-                bounds, sizes, rids, number, k1, odd = bounds[new], sizes[new], rids[new], number[new], k1[new], odd[new]
+                bit, upper = U(1) << (h & U(63)), (h & U(64)) > 0
+                odd = [signed(np.bitwise_xor.reduceat(np.where(upper == half, bit, U(0)), bounds)[new]) for half in (False, True)]
+                bounds, sizes, rids, number, k1 = bounds[new], sizes[new], rids[new], number[new], k1[new]
                 if not len(rids):
                     continue
                 taken = _taken(sizes, percent)
@@ -140,26 +140,21 @@ def _prefixes(order: np.ndarray, percent: int):
                 begin = np.cumsum(taken) - taken
                 place = np.arange(len(rows)) - begin[rows]
                 word = h[bounds[rows] + place]
-                bits = np.bitwise_or.reduceat(U(1) << (word >> U(7) & U(31)), begin).astype(np.uint32).view(np.int32)
-                yield _rows([signed(word), sizes[rows], place, bits[rows], signed(odd)[rows], np.where(place == 0, k1[rows], 0), rids[rows], number[rows]])
+                yield _rows([signed(word), sizes[rows], place, odd[0][rows], odd[1][rows], np.where(place == 0, k1[rows], 0), rids[rows], number[rows]])
 
     return post
 
 
 def _may(x: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of postings in one list, with different sets, can be similar: length, positional and bitmap filters."""
-    _, n, place, bits, odd, _, _, _ = x
+    """Whether pairs of postings in one list, with different sets, can be similar: length, positional and parity filters."""
+    _, n, place, odd1, odd2, _, _, _ = x
     nl, nr = n[left], n[right]
     need = -(-(nl + nr) * percent // (100 + percent))
     good = (np.minimum(nl, nr) * 100 >= np.maximum(nl, nr) * percent) & (np.minimum(nl - place[left], nr - place[right]) >= need)
     # equal sets are found elsewhere, so the words that only one of the two has are one at least; each changes one parity
     apart = nl + nr - 2 * need
-    good &= (apart > 0) & (np.bitwise_count(odd[left].view(U) ^ odd[right].view(U)) <= apart)
-    # of the words in common at least this many are in both prefixes
-    pl, pr = _taken(nl, percent), _taken(nr, percent)
-    both = np.minimum(pl - nl, pr - nr) + need
-    bl, br = bits[left] & 0xFFFFFFFF, bits[right] & 0xFFFFFFFF
-    return good & (np.bitwise_count(bl & ~br) <= pl - both) & (np.bitwise_count(br & ~bl) <= pr - both)
+    changed = sum(np.bitwise_count((o[left] ^ o[right]).view(U)).astype(np.int64) for o in (odd1, odd2))
+    return good & (apart > 0) & (changed <= apart)
 
 
 def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -328,10 +323,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(row, text, n_lines, n_removed, emptied): each row of ``docs`` as a struct, its text without the repeated lines, and whether that took its last words."""
+    """(row, text, n_lines, n_removed, emptied): the other columns of each row of ``docs`` as a struct, its text without the repeated lines, and whether that took its last words."""
     found = save(repeated_lines(docs, percent), "repeated_lines")
     gone = found.groupBy("rid").agg(F.collect_set("line").alias("gone"))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text")
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text")
     both = _with_lists(keyed, gone, found.count(), "left").select("row", "text", "gone")
     fields = [both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("emptied", T.BooleanType())]
     return both.mapInArrow(_cut, T.StructType(fields))
