@@ -20,9 +20,7 @@ def _restored(df: DataFrame, columns: list[str]) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the model learns from the table's labels that aren't held out."""
     model = queries.toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    scored = toxicity.score(whole, model, keep=("row",))
-    return scored.where(F.col("score") < queries.TOXIC_FROM).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return toxicity.drop_toxic(docs, model, queries.TOXIC_FROM)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

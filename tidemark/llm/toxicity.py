@@ -229,3 +229,16 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     """The columns ``keep`` of every row, with score (0 to 1), n_tokens and the significant passages (token range and score)."""
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     return docs.select(*keep, "text").mapInArrow(_evidence_of(model, more=True), ", ".join([*fields, "score double", "n_tokens bigint", "passages array<struct<start: bigint, end: bigint, score: double>>"]))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                x = np.array([evidence(h, model)[0] for h in token_hashes(part.column("text"))], float)
+                yield part.filter(pa.array(_share(model, x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
