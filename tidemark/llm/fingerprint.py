@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 HASHES, CELLS, LOAD, ROUNDS = 4, 8, 6, 10
 FEW_LINES = 4
 _LOW = 0xFFFFFFFF
+_FEW = 1_000_000
 
 
 def _checked(low: Column) -> Column:
@@ -121,22 +122,23 @@ def as_text(keys: Column, cells: Column) -> Column:
 
 
 def with_next(docs: DataFrame, per_group: int = 512) -> DataFrame:
-    """(row, text, next): every row of ``docs`` (doc_id, text), null text as empty, with the text after it in descending order of doc_id, the first after the last.
+    """(row, text, next): every row of ``docs`` (doc_id, text), its text apart from its other columns and empty for null, with the text after it in descending order of doc_id, the first after the last.
 
     Ids are cut into ranges for about ``per_group`` rows; text is shuffled once, by range, and looks ahead inside it. Only the last row of each range
     takes its next from the first row of the nearest range below. Ties are taken in order of text; null ids come last.
     """
     rid = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), rid.alias("rid"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), rid.alias("rid"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     size = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
     width = max(1, ((size["hi"] or 0) - (size["lo"] or 0) + 1) * per_group // max(1, size["n"]))
     rows = rows.withColumn("range", F.floor((F.greatest("rid", F.lit(size["lo"] or 0) - 1) - F.lit(size["lo"] or 0)) / F.lit(width)).cast("long"))
     w = Window.partitionBy("range").orderBy(F.desc("rid"), "text")
-    inside = rows.withColumn("ahead", F.lead("text").over(w)).withColumn("first", F.row_number().over(w) == 1)
-    # one row a range: its first text, for the last row of the range above
-    heads = rows.groupBy("range").agg(F.max(F.struct("rid")).alias("top")).select("range", "top.rid")
-    heads = rows.join(heads, ["range", "rid"]).groupBy("range").agg(F.min("text").alias("head"))
-    below = _next_lower(heads.select("range"))
+    inside = rows.withColumn("ahead", F.lead("text").over(w))
+    # one row a range: its first text, for the last row of the range above; the ranges are broadcast only when counted to be few
+    tops = rows.groupBy("range").agg(F.max("rid").alias("rid"))
+    few = tops.limit(_FEW + 1).count() <= _FEW
+    heads = rows.join(F.broadcast(tops) if few else tops, ["range", "rid"], "left_semi").groupBy("range").agg(F.min("text").alias("head"))
+    below = _next_lower(tops.select("range"))
     heads = below.join(heads.withColumnRenamed("range", "lower"), "lower").select("range", "head")
     return inside.join(heads, "range").select("row", "text", F.coalesce("ahead", "head").alias("next"))
 
@@ -150,10 +152,10 @@ def _next_lower(keys: DataFrame, few: int = 10_000) -> DataFrame:
         found = keys.select("range", F.lead("range").over(Window.orderBy(F.desc("range"))).alias("lower"))
     else:
         wide = keys.withColumn("wide", F.floor(F.col("range") / F.lit(max(2, (ends["hi"] - ends["lo"] + 1) * 1000 // ends["n"]))).cast("long"))
-        inner = wide.select("range", "wide", F.lead("range").over(Window.partitionBy("wide").orderBy(F.desc("range"))).alias("tmask"))
+        inside = wide.select("range", "wide", F.lead("range").over(Window.partitionBy("wide").orderBy(F.desc("range"))).alias("inside"))
         tops = wide.groupBy("wide").agg(F.max("range").alias("top"))
         after = _next_lower(tops.select(F.col("wide").alias("range")), few).join(tops.withColumnRenamed("wide", "lower"), "lower").select(F.col("range").alias("wide"), "top")
-        found = inner.join(after, "wide").select("range", F.coalesce("inner", "top").alias("lower"))
+        found = inside.join(after, "wide").select("range", F.coalesce("inside", "top").alias("lower"))
     return found.select("range", F.coalesce("lower", F.lit(ends["hi"])).alias("lower"))
 
 
