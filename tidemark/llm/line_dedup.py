@@ -169,9 +169,16 @@ def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> It
         cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last group may go on in the next batch
         held = [x[cut:] for x in now]
         if cut:
-            yield [x[:cut] for x in now]
+            yield _by_size([x[:cut] for x in now])
     if held is not None:
-        yield held
+        yield _by_size(held)
+
+
+def _by_size(x: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows in order of word, as they came, and of set size within a word."""
+    group = np.cumsum(np.concatenate([[0], x[0][1:] != x[0][:-1]])) if len(x[0]) else x[0]
+    at = np.lexsort((x[1], group)) if len(x[0]) else np.zeros(0, np.int64)
+    return [c[at] for c in x]
 
 
 def _least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -298,13 +305,13 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(rid, line): the lines of ``docs`` (doc_id, text) that an earlier line makes redundant; rid is doc_id, or the largest long for null."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text").where("text is not null")
     order = word_rarity(texts)
-    posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word", "n", "rid", "line")
+    posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word")
     met = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "met")
     equal, live = met.where("n = 0").select("rid", "line"), met.where("n > 0")
     first = save(live.where("rid0 is not null").select("rid", "line", "rid0", "line0").distinct().join(equal, ["rid", "line"], "left_anti"), "first_pairs")
     late = save(_confirmed(first, texts, percent).unionByName(equal).distinct(), "late_lines")
     rest = live.join(late.withColumn("late", F.lit(1)), ["rid", "line"], "left").select(*_COLUMNS, F.when(F.col("late").isNull(), 1).otherwise(0).alias("open"))
-    rest = rest.repartition("word").sortWithinPartitions("word", "n", "rid", "line").mapInArrow(_meet_all(percent), "rid bigint, line int, rid0 bigint, line0 int")
+    rest = rest.repartition("word").sortWithinPartitions("word").mapInArrow(_meet_all(percent), "rid bigint, line int, rid0 bigint, line0 int")
     second = save(rest.distinct().join(first, ["rid", "line", "rid0", "line0"], "left_anti"), "second_pairs")
     return late.unionByName(_confirmed(second, texts, percent)).distinct()
 
