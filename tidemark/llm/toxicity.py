@@ -2,7 +2,7 @@
 
 *Model*, fitted on a bounded sample of labelled texts: for each token the log-odds of appearing in a toxic rather than a clean
 text, with a Dirichlet prior that has the token's pooled share as its mean (Monroe et al., 2008). Tokens whose log-odds are
-significant (z above ``Z``) get it as their score, capped at ``CAP``; all others get the same negative score, chosen so that a random clean
+significant (z above ``Z``) and at least ``ODDS`` get it as their score, capped at ``CAP``; all others get the same negative score, chosen so that a random clean
 token stream drifts down. The scores of a clean stream fix the Karlin-Altschul parameters lambda (the root of the moment equation) and K (from the
 sample's clean maxima), so a segment score S in a text of n tokens has E = K n exp(-lambda S) and is significant when 1 - exp(-E) is small.
 
@@ -30,6 +30,8 @@ from tidemark.llm import words as W
 from tidemark.llm.words import U, runs, signed, utf8
 
 Z = 2.5
+ODDS = 1.5
+BASE = 0.5
 CAP = 6.0
 SIGNIFICANT = 0.05
 SAMPLE = 20_000
@@ -181,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = by_id.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < part)
     # the labels that may be learned from number 2 * sample at most, checked above, so they are small enough to broadcast
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    rows = rows.dropDuplicates(["text", "toxic"]).persist()
+    # near copies of one text would make all its words telling; most of them begin alike
+    rows = rows.withColumn("start", F.left("text", F.lit(80))).dropDuplicates(["start", "toxic"]).drop("start").persist()
     try:
         counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         bad, good = counts.get(1, 0), counts.get(0, 0)
@@ -190,13 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             return none
         toxic, clean = F.col("toxic"), F.col("clean")
         pooled = toxic + clean
-        # the prior: PRIOR texts of each kind with the pooled shares
-        a = F.lit(PRIOR) * pooled / F.lit(float(bad + good))
+        # the prior: PRIOR texts of each kind with the pooled shares, and BASE texts for any token, or one that no clean text has would never be significant
+        a = F.lit(PRIOR) * pooled / F.lit(float(bad + good)) + F.lit(BASE)
         odds = F.log((toxic + a) / (F.lit(bad + PRIOR) - toxic - a)) - F.log((clean + a) / (F.lit(good + PRIOR) - clean - a))
         z = odds / F.sqrt(1 / (toxic + a) + 1 / (clean + a))
         scored = rows.mapInArrow(_token_counts, "token bigint, toxic bigint, clean bigint").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         # a token must be in three texts; with that its significance is tested
-        found = scored.where("toxic >= 3").select("token", "clean", odds.alias("odds"), z.alias("z")).where(F.col("z") > Z).toPandas()
+        found = scored.where("toxic >= 3").select("token", "clean", odds.alias("odds"), z.alias("z")).where((F.col("z") > Z) & (F.col("odds") > ODDS)).toPandas()
         if not len(found):
             return none
         token = found["token"].to_numpy(np.int64).view(U)
