@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS, KNOWN_STARTS = 400_000, 300_000
+KNOWN_WORDS, KNOWN_STARTS = 200_000, 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -75,6 +75,7 @@ class Automaton:
         self._compile(model["merges"])
         self.words: dict[str, tuple[bytes, str]] = {}
         self.starts: dict[str, tuple[int, int]] = {}
+        self.labelled = False
 
     def _compile(self, merges: list) -> None:
         removed: list[dict[str, int]] = [{}]  # of each state: arc and the rank of the merge that removed it
@@ -144,7 +145,7 @@ class Automaton:
         return out[::-1]
 
     def known(self, word: str) -> tuple[bytes, str]:
-        """Ids (int32) and arc labels of a pre-split word, kept for the next time."""
+        """Ids (int32) and, where asked for, arc labels of a pre-split word, kept for the next time."""
         ids = self.encode_word("".join(map(self.symbols.__getitem__, word.encode())))
         if len(self.words) >= KNOWN_WORDS:
             self.words.clear()
@@ -152,7 +153,7 @@ class Automaton:
         return found
 
     def _entry(self, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, "<i4").tobytes(), self.decode(ids)
+        return np.array(ids, "<i4").tobytes(), self.decode(ids) if self.labelled else ""
 
     def spell(self, text: str) -> list[tuple[bytes, str]]:
         """Ids and labels of a whole text, word by word."""
@@ -248,6 +249,9 @@ def encode(docs: DataFrame, spec: str, keep: tuple[str, ...] = ("doc_id",), labe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(shared.value)
+        if automaton.labelled != labels:
+            automaton.words.clear()
+            automaton.labelled = labels
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
