@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import small_batches
+
 KNOWN_WORDS, KNOWN_STARTS = 200_000, 100_000
 
 
@@ -72,7 +74,7 @@ class Automaton:
         self.labels = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.symbols = byte_symbols()
         self.longest = max((len(t) - len(self.suffix) * t.endswith(self.suffix) for t in self.ids), default=1)
-        self._compile(model["merges"])
+        self._compile(model.pop("merges"))
         self.words: dict[str, tuple[bytes, str]] = {}
         self.starts: dict[str, tuple[int, int]] = {}
         self.labelled = False
@@ -245,6 +247,7 @@ def load(path: str) -> str:
 
 def encode(docs: DataFrame, spec: str, keep: tuple[str, ...] = ("doc_id",), labels: bool = False) -> DataFrame:
     """``keep``, the token ids of every row's text and, with ``labels``, what the arc labels decode them to."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.scratch import save
+from tidemark.llm.scratch import save, small_batches
 from tidemark.llm.words import U, mix, runs, signed, utf8, words
 
 NO_ID = (1 << 63) - 1
@@ -125,7 +125,7 @@ def _prefixes(order: np.ndarray, percent: int):
                         new[i] = False
                     else:
                         seen[k] = (k_, r, at)
-                if len(seen) > 200_000:  # the table only saves work and is bounded
+                if len(seen) > 60_000:  # the table only saves work and is bounded
                     seen.clear()
                 if not new.all():
                     old, zero = ~new, np.zeros(int((~new).sum()), np.int64)
@@ -159,19 +159,29 @@ def _may(x: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int)
 
 def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
     """Rows in order of the first column, in pieces that don't divide its groups."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(c).to_numpy().astype(np.int64) for c in columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last group may go on in the next batch
+    waiting: list[pa.RecordBatch] = []
+    held, rows = None, 0
+
+    def pieces(last: bool) -> Iterator[list[np.ndarray]]:
+        nonlocal held, rows
+        if not waiting and held is None:
+            return
+        now = [np.concatenate([*([held[i]] if held is not None else []), *[b.column(c).to_numpy().astype(np.int64) for b in waiting]]) for i, c in enumerate(columns)]
+        waiting.clear()
+        rows = 0
+        if not len(now[0]):
+            return
+        cut = len(now[0]) if last else int(np.searchsorted(now[0], now[0][-1], "left"))  # the last group may go on in the next batch
         held = [x[cut:] for x in now]
         if cut:
             yield _by_size([x[:cut] for x in now])
-    if held is not None:
-        yield _by_size(held)
+
+    for batch in batches:
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= 50_000:
+            yield from pieces(last=False)
+    yield from pieces(last=True)
 
 
 def _by_size(x: list[np.ndarray]) -> list[np.ndarray]:
@@ -304,6 +314,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(rid, line): the lines of ``docs`` (doc_id, text) that an earlier line makes redundant; rid is doc_id, or the largest long for null."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text").where("text is not null")
+    small_batches(docs.sparkSession)
     order = word_rarity(texts)
     posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word")
     met = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "met")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import components
-from tidemark.llm.scratch import save, semi
+from tidemark.llm.scratch import save, semi, small_batches
 from tidemark.llm.words import U, mix, runs, signed, utf8, words
 
 K = 16
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id reachable over links, kept is doc_id = component_id.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text")
+    small_batches(docs.sparkSession)
     features = save(texts.mapInArrow(_features, f"rid bigint, n bigint, h1 bigint, h2 bigint, {_SIG}"), "features")
     classes = save(features.where("n > 0").groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in _KEY]), "classes")
     owned = save(features.join(classes.select("h1", "h2", F.col("rid").alias("own")), ["h1", "h2"], "left").select("rid", "n", "own"), "owned")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
+from tidemark.llm.scratch import small_batches
 from tidemark.llm.words import U, runs, signed, utf8
 
 Z = 2.5
@@ -177,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     The bound keeps what comes to the driver (the significant tokens and three numbers a text) of a fixed size.
     """
+    small_batches(docs.sparkSession)
     by_id = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = by_id.count()
     part = 1_000_000 if n <= sample else max(1, 1_000_000 * sample // n)
