@@ -171,4 +171,28 @@ ORACLE_SQL: dict[str, str] = {
     "stream_dedupe": "select event_id, user_id from events",
     "stream_latest": "select user_id, event_type, max_by(value, (ts, event_id)) as value from events group by all",
     "stream_sessions": "select user_id, min(ts) as session_start, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 0 else 1 end as fresh from events)) group by user_id, s",
+    "graph_search": _with(
+        _MEN, _EDGES, "m as (select distinct email_id, entity_id from men where kind in ('case', 'project'))",
+        "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men where kind in ('case', 'project') group by entity_id)",
+        "sal as (select entity_id, case when s = 0 then 0.5::double else s end as salience from (select entity_id, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as s from per))",
+        "anchor as (select email_id as anchor, entity_id from m where email_id % 2000 = 1)",
+        "h1 as (select start, dst as node, max(weight) as score from (select distinct entity_id as start from anchor) join step on src = start where dst <> start group by all)",
+        "h2 as (select start, dst as node, max(score * weight / 2) as score from h1 join step on src = node where dst <> start group by all)",
+        "near as (select *, 1 as hop from h1 union all select *, 2 from h2 where not exists (from h1 where h1.start = h2.start and h1.node = h2.node))",
+        "hits as (select anchor, m.email_id, max(salience * score / hop) as score from anchor join sal using (entity_id) join near on start = anchor.entity_id join m on m.entity_id = node and m.email_id <> anchor group by all)",
+    )
+    + "select anchor, row_number() over (partition by anchor order by round(score, 6) desc, email_id)::int as rank, email_id, round(score, 6) as score from hits qualify rank <= 10",
+    "related_context": _with(_MEN, "m as (select distinct email_id, entity_id from men where kind = 'case')")
+    + "select anchor, row_number() over (partition by anchor order by shared desc, email_id)::int as rank, email_id, shared from (select a.email_id as anchor, b.email_id, count(*) as shared from m a join m b on a.entity_id = b.entity_id and a.email_id <> b.email_id where a.email_id % 1000 = 1 group by all) qualify rank <= 10",
+    "project_rollup": _with(_MEN, _EDGES, "s as (select distinct dst as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)",
+        "best as (select start, node, max(score) as score, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start and node like 'case:%' group by start, node)")
+    + "select start as project, row_number() over (partition by start order by hop, round(score, 6) desc, node)::int as nth, node, hop from best qualify nth <= 12",
+    "entity_listing": _with(_MEN, "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men group by entity_id)", "sal as (select entity_id, mentions, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as salience from per)")
+    + "select entity_id, salience, mentions, (select count(*) from sal) as total from sal order by salience desc, mentions desc, entity_id limit 25",
+    "batch_rows": _with(_MSG) + "select sender, batch, count(*) as n, min(email_id) as least from (select *, (row_number() over (partition by sender order by received_at, email_id) - 1) // 20 as batch from msg) group by all",
+    "sort_by_effort": _with(_MSG) + "select email_id, effort, value from (select *, case when outline_points > 0 then case when outline_points + coalesce(is_scheduling, false)::int <= 2 then 0 when outline_points + coalesce(is_scheduling, false)::int <= 4 then 1 else 2 end end as effort from msg) order by effort nulls last, value desc, email_id limit 50",
+    "agenda": _with(_BUSY) + f"select s // {_DAY} as day, calendar_id, count(*) as n, sum(e - s)::bigint as micros from busy where s >= (select max(s) - 3 * {_DAY} from busy) group by all",
+    "sender_counts": _with(_MSG) + "select split_part(sender, '@', 1) as local, 'example' as org, count(*) as n, count(*) filter (read_status = 'unread') as unread from msg group by all",
+    "first_claimant": "select o_custkey, o_orderpriority, min(o_orderkey) as o_orderkey from orders group by all",
+    "table_counts": _with(_MSG, _LOG, _MEN) + "select 'messages' as name, count(*) as n from msg union all select 'mentions', count(*) from men union all select 'chunks', count(*) from documents union all select 'feedback', count(*) from log",
 }

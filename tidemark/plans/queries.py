@@ -460,3 +460,84 @@ def stream_latest(s, d):
 @query
 def stream_sessions(s, d):
     return _ntz(streams.drain(streams.sessions(streams.events(s, d)), "complete"))
+
+
+# more of the graph and of the serving queries
+
+
+@query
+def graph_search(s, d):
+    m = V.mentions(s, d).where("kind in ('case', 'project')")
+    return graph.graph_search(_edges(s, d), m, graph.salience(m), m.where("email_id % 2000 = 1").select("email_id").distinct())
+
+
+@query
+def related_context(s, d):
+    """Messages that share a case with one message in a thousand: the ten with the most cases in common."""
+    m = V.mentions(s, d).where("kind = 'case'").select("email_id", "entity_id").distinct()
+    a, b = m.where("email_id % 1000 = 1").alias("a"), m.alias("b")
+    both = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.email_id") != F.col("b.email_id"))).groupBy(F.col("a.email_id").alias("anchor"), F.col("b.email_id").alias("email_id")).agg(F.count("*").alias("shared"))
+    nth = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("shared"), "email_id"))
+    return both.withColumn("rank", nth).where("rank <= 10").select("anchor", "rank", "email_id", "shared")
+
+
+@query
+def project_rollup(s, d):
+    """Each project's twelve nearest cases by (hop, weight)."""
+    e = _edges(s, d)
+    near = graph.neighbors_weighted(e, e.select(F.col("dst").alias("entity_id")).distinct()).where("node like 'case:%'")
+    nth = F.row_number().over(Window.partitionBy("start").orderBy("hop", F.desc(F.round("score", 6)), "node"))
+    return near.withColumn("nth", nth).where("nth <= 12").select(F.col("start").alias("project"), "nth", "node", "hop")
+
+
+@query
+def entity_listing(s, d):
+    """The 25 entities of highest salience, with the total."""
+    per = graph.salience(V.mentions(s, d))
+    total = F.broadcast(per.agg(F.count("*").alias("total")))  # one row
+    return per.orderBy(F.desc("salience"), F.desc("mentions"), "entity_id").limit(25).crossJoin(total).select("entity_id", "salience", "mentions", "total")
+
+
+@query
+def batch_rows(s, d):
+    """Messages of each sender in batches of twenty, in order."""
+    nth = F.row_number().over(Window.partitionBy("sender").orderBy("received_at", "email_id")) - 1
+    rows = V.messages(s, d).withColumn("batch", F.floor(nth / 20))
+    return rows.groupBy("sender", "batch").agg(F.count("*").alias("n"), F.min("email_id").alias("least"))
+
+
+@query
+def sort_by_effort(s, d):
+    """Queue order by reply effort, unknown last, then by value."""
+    effort = T.reply_effort(F.col("outline_points"), F.col("is_scheduling"))
+    rank = F.when(effort == "quick", 0).when(effort == "moderate", 1).when(effort == "involved", 2)
+    return V.messages(s, d).withColumn("effort", rank).orderBy(F.asc_nulls_last("effort"), F.desc("value"), "email_id").limit(50).select("email_id", "effort", "value")
+
+
+@query
+def agenda(s, d):
+    """Busy time of the last three days and how much of it there is, by day and calendar."""
+    b = V.busy(s, d)
+    now = F.broadcast(b.agg((F.max("start") - 3 * intervals.DAY).alias("now")))  # one row
+    rows = b.crossJoin(now).where("start >= now").withColumn("day", F.floor(F.col("start") / intervals.DAY))
+    return rows.groupBy("day", "calendar_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("micros"))
+
+
+@query
+def sender_counts(s, d):
+    """Messages and unread messages of each sender's address parts."""
+    m = V.messages(s, d).select(T.local_part(F.col("sender")).alias("local"), T.org_from_domain(F.col("sender")).alias("org"), "read_status")
+    return m.groupBy("local", "org").agg(F.count("*").alias("n"), F.count_if(F.col("read_status") == "unread").alias("unread"))
+
+
+@query
+def first_claimant(s, d):
+    """The oldest order to use each (customer, priority) pair."""
+    return merge.latest(V.table(s, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), ["o_custkey", "o_orderpriority"], F.col("o_orderkey"))
+
+
+@query
+def table_counts(s, d):
+    """Rows of each derived table."""
+    one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    return one("messages", V.messages(s, d)).unionByName(one("mentions", V.mentions(s, d))).unionByName(one("chunks", V.chunks(s, d))).unionByName(one("feedback", V.feedback_log(s, d)))
