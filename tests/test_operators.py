@@ -157,3 +157,44 @@ def test_model_stage_guards_rows(spark):
 
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "x string")
     assert rows(chunking.model_stage(df, fails_on_b, ["x"], "string")) == [("a", "aa", None), ("b", None, "no b")]
+
+
+def _b64(text):
+    import base64
+
+    return base64.urlsafe_b64encode(text.encode()).decode().rstrip("=")
+
+
+def test_parse_messages(spark):
+    import json
+
+    from tidemark.sources.messages import parse_messages
+
+    part = lambda kind, text, name="": {"mimeType": kind, "filename": name, "body": {"data": _b64(text)}}
+    headers = [{"name": "FROM", "value": "=?utf-8?q?J=C3=B6?= <j@x.org>"}, {"name": "To", "value": "a@x, b@y"}, {"name": "cc", "value": "c@z"}, {"name": "X-Other", "value": "n"}]
+    raw = [
+        {"id": "1", "threadId": "t", "labelIds": ["UNREAD"], "internalDate": "1700000000000", "payload": {"headers": headers, "mimeType": "multipart/mixed", "parts": [{"mimeType": "multipart/alternative", "parts": [part("text/plain", "plain é"), part("text/html", "<p>html</p>")]}, part("text/plain", "not the body", "a.txt")]}},
+        {"id": "2", "payload": part("text/html", "<head><title>t</title></head><body><style>x</style><p>a &amp; b</p>c</body>")},
+    ]
+    df = spark.createDataFrame([(json.dumps(x),) for x in raw] + [("{broken",), (None,)], "raw string")
+    got = {r.email_id: r for r in parse_messages(df).collect()}
+    assert got["1"].sender == "Jö <j@x.org>" and got["1"].recipients == ["a@x", "b@y", "c@z"] and got["1"].body == "plain é"
+    assert got["1"].has_attachments and got["1"].read_status == "unread" and got["1"].received_at.year == 2023 and "X-Other" not in got["1"].headers
+    assert got["2"].body == "a & b\nc" and got["2"].received_at is None and got["2"].sender is None
+    assert parse_messages(df).where("error is not null").count() == 2
+
+
+def test_parse_calendar(spark):
+    from tidemark.sources.messages import parse_calendar
+
+    raw = ['{"id":"a","summary":"s","start":{"dateTime":"2026-01-02T09:00:00Z"},"end":{"dateTime":"2026-01-02T10:00:00+00:00"}}', '{"id":"b","start":{"date":"2026-01-03"},"end":{"date":"2026-01-04"}}', '{"id":"c","status":"cancelled"}', "nonsense"]
+    got = {r.event_id: r for r in parse_calendar(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()}
+    assert set(got) == {"a", "b"} and got["b"].all_day and not got["a"].all_day and (got["a"].end - got["a"].start).seconds == 3600
+
+
+def test_working_hours_follow_daylight_saving(spark):
+    day = lambda d: int(__import__("datetime").datetime.fromisoformat(d + "T00:00:00+00:00").timestamp() * 10**6)
+    df = spark.createDataFrame([(1, day("2026-10-30"), day("2026-11-03"))], "calendar_id int, from bigint, to bigint")
+    got = rows(intervals.working_windows(df, "America/Los_Angeles"))
+    hours = [(a % intervals.DAY // intervals.HOUR, (b - a) // intervals.HOUR) for _, a, b in got]
+    assert hours == [(0, 0), (16, 8), (17, 7)] or hours == [(16, 8), (17, 7)]

@@ -49,3 +49,14 @@ def slot_conflicts(slots: DataFrame, busy: DataFrame) -> DataFrame:
     hit = a.join(b, (F.col("a.calendar_id") == F.col("b.calendar_id")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
     n = hit.groupBy("a.slot_id").agg(F.count_distinct("b.event_id").alias("n"))
     return slots.join(n, "slot_id", "left").select("slot_id", F.coalesce("n", F.lit(0)).alias("conflicts"))
+
+
+def working_windows(ranges: DataFrame, zone: str, first: int = 9, last: int = 17, weekends: bool = False) -> DataFrame:
+    """(calendar_id, from, to): working hours of ``zone`` on each local day of the ranges (calendar_id, from, to), clipped to them. Hours are wall-clock, so their length in UTC shifts with daylight saving."""
+    local = lambda c: F.from_utc_timestamp(F.timestamp_micros(c), zone)
+    days = ranges.withColumn("day", F.explode(F.sequence(F.to_date(local(F.col("from"))), F.to_date(local(F.col("to"))))))
+    if not weekends:
+        days = days.where(F.weekday("day") < 5)
+    utc = lambda hour: F.unix_micros(F.to_utc_timestamp(F.col("day").cast("timestamp") + F.expr(f"interval {hour} hours"), zone))
+    clipped = days.select("calendar_id", F.greatest("from", utc(first)).alias("from"), F.least("to", utc(last)).alias("to"))
+    return clipped.where(F.col("from") < F.col("to"))

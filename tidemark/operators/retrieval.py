@@ -67,3 +67,19 @@ def budget_prefix(sections: DataFrame, budget: int) -> DataFrame:
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("anchor").orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = sections.withColumn("before", before).where(F.col("before") < budget)
     return cut.select("anchor", "priority", F.left("text", (F.lit(budget) - F.col("before")).cast("int")).alias("text"))
+
+
+def match_vector(items: DataFrame, entities: DataFrame, bar: float = 0.86) -> DataFrame:
+    """(item_id, entity_id, score): the best entity of the same kind and dimension by cosine, where it reaches ``bar``; the smaller id of equal ones.
+
+    Items and entities (id, kind, vec) meet by kind, dimension and a salt that spreads a kind's entities, so no kind is one task; the best of each salt is reduced to the best.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    salts = 8
+    unit = lambda df: df.withColumn("dim", F.size("vec")).withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("norm > 0")
+    e = unit(entities).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).alias("e")
+    i = unit(items).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("i")
+    both = i.join(e, [F.col(f"i.{c}") == F.col(f"e.{c}") for c in ("kind", "dim", "salt")]).where(F.col("i.id") != F.col("e.id"))
+    score = F.round(dot(F.col("i.vec"), F.col("e.vec")) / (F.col("i.norm") * F.col("e.norm")), 6)
+    best = both.groupBy(F.col("i.id").alias("item_id")).agg(F.max(F.struct(score.alias("score"), (-F.col("e.id")).alias("near"))).alias("best"))
+    return best.where(F.col("best.score") >= bar).select("item_id", (-F.col("best.near")).alias("entity_id"), "best.score")

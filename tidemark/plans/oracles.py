@@ -195,4 +195,7 @@ ORACLE_SQL: dict[str, str] = {
     "sender_counts": _with(_MSG) + "select split_part(sender, '@', 1) as local, 'example' as org, count(*) as n, count(*) filter (read_status = 'unread') as unread from msg group by all",
     "first_claimant": "select o_custkey, o_orderpriority, min(o_orderkey) as o_orderkey from orders group by all",
     "table_counts": _with(_MSG, _LOG, _MEN) + "select 'messages' as name, count(*) as n from msg union all select 'mentions', count(*) from men union all select 'chunks', count(*) from documents union all select 'feedback', count(*) from log",
+    "match_vector": """select item_id, entity_id, score from (select i.vec_id as item_id, e.vec_id as entity_id,
+       round(list_dot_product(i.embedding::double[], e.embedding::double[]) / (sqrt(list_dot_product(i.embedding::double[], i.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))), 6) as score
+     from embeddings i join embeddings e on e.label = i.label and e.vec_id <> i.vec_id where i.vec_id % 20 = 0) qualify row_number() over (partition by item_id order by score desc, entity_id) = 1 and score >= 0.3""",
 }

@@ -541,3 +541,9 @@ def table_counts(s, d):
     """Rows of each derived table."""
     one = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
     return one("messages", V.messages(s, d)).unionByName(one("mentions", V.mentions(s, d))).unionByName(one("chunks", V.chunks(s, d))).unionByName(one("feedback", V.feedback_log(s, d)))
+
+
+@query
+def match_vector(s, d):
+    v = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.col("embedding").alias("vec"))
+    return retrieval.match_vector(v.where("id % 20 = 0"), v, bar=0.3)
