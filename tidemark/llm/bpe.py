@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.scratch import small_batches
 
-KNOWN_WORDS, KNOWN_STARTS = 200_000, 100_000
+KNOWN_WORDS, KNOWN_STARTS = 300_000, 300_000
 
 
 def byte_symbols() -> list[str]:
