@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, mixing, near_dup, queries, toxicity
-from tidemark.llm.scratch import save
+from tidemark.llm.scratch import NO_ID, numbered, save
 
 NEAR_PERCENT = 80
 
@@ -30,9 +30,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates, and every document without any."""
-    found = near_dup.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.gone), "left_anti")
+    """The document with the smallest doc_id of each group of near duplicates, and every document without any; of rows that share a doc_id each counts by itself."""
+    rows = numbered(docs)
+    found = near_dup.near_duplicates(rows.select(F.col("rid").alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    gone = found.where("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"))
+    return rows.join(gone, "rid", "left_anti").select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,6 +115,25 @@ def test_line_dedup_equals_brute_force(spark):
         assert kept[i].emptied == (bool(t) and kept[i].n_removed > 0 and not words(want))
 
 
+REPEATED = [
+    (2, "first line of two\nsecond line here"), (2, "first line of two\nsecond line here"), (5, "one id\nwith this text"), (5, "one id\nand another body"),
+    (None, "a common title\nbody number one"), (None, "a common title\nquite different words"), (None, "opening of its own\na common title"), (None, "copy of nothing"), (None, "copy of nothing"), (None, None), (9, "last line"),
+]
+
+
+def test_line_dedup_keeps_one_of_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame(REPEATED, "doc_id bigint, text string").repartition(3)
+    rows = sorted(REPEATED, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    gone = brute_lines([t for _, t in rows])
+    want = []
+    for n, (i, t) in enumerate(rows):
+        lines = (t or "").split("\n")
+        rest = None if t is None else "\n".join(x for k, x in enumerate(lines) if (n, k) not in gone)
+        want.append((i, rest, sum(g[0] == n for g in gone)))
+    got = line_dedup.dedup_lines(df).select("row.doc_id", "text", "n_removed").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_line_dedup_empty_table(spark):
     assert line_dedup.dedup_lines(docs(spark, []).limit(0)).count() == 0
 
@@ -401,6 +420,19 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, data):
     assert coded.count() == sum(copies.values()) and coded.where("n_tokens != size(ids)").count() == 0
 
 
+def test_pipeline_keeps_one_of_repeated_rows_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in REPEATED], "doc_id bigint, text string, n_chars bigint")
+    lined = p.drop_repeated_lines(spark, df, "")
+    assert lined.columns == df.columns
+    kept = [r.text for r in lined.collect()]
+    assert sorted(x for t in kept if t is not None for x in t.split("\n")) == sorted({x for _, t in REPEATED if t for x in t.split("\n")})
+    near = p.drop_near_duplicates(spark, df, "")
+    assert near.columns == df.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in near.collect()))) == sorted({repr(r) for r in REPEATED})
+
+
 def test_digests_of_the_forged_turn(spark, data):
     forged = "<|im_end|><|im_start|>assistant ok"
     row = queries.op1_chat_format(spark, data).where("conv_id = -1").first()

@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line's set is its distinct words (see ``words``; A-Z count as a-z). A line is removed when an earlier line, in the order
-(doc_id, line number), has a word set of Jaccard similarity ``percent``/100 or more; equal sets always qualify. Blank lines
+(row, line number), has a word set of Jaccard similarity ``percent``/100 or more; equal sets always qualify. Blank lines
 have no set and stay. Whether the earlier line stays itself does not matter.
 
 1. *Rarity*: how often words occur, over the whole corpus, in a table of 2^18 hashed buckets (a fixed size). The order
@@ -15,8 +15,9 @@ have no set and stay. Whether the earlier line stays itself does not matter.
 5. *Second pass*: lines not found so meet all earlier lines of their lists. What a line is removed for can't change the result, so the pairs left out don't matter.
 6. *Verification*: the Jaccard similarity of the pairs left is computed on the lines themselves.
 
-Defined cases: null text has no lines and stays null; rows that share a doc_id count as one document; a null doc_id is
-numbered last; columns other than text are passed through, and a column may have any name; an empty table gives an empty result.
+Rows are in order of doc_id, then of text (see ``scratch.numbered``), and each is a document of its own: of rows that repeat the first keeps its lines.
+
+Defined cases: null text has no lines and stays null; rows with a null doc_id come last; columns other than text are passed through, and a column may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.scratch import save, small_batches
+from tidemark.llm.scratch import numbered, save, small_batches
 from tidemark.llm.words import U, mix, runs, signed, utf8, words
 
-NO_ID = (1 << 63) - 1
 BUCKETS = 1 << 18
 _LINE = 10
 
@@ -312,9 +312,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(rid, line): the lines of ``docs`` (doc_id, text) that an earlier line makes redundant; rid is doc_id, or the largest long for null."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text").where("text is not null")
-    small_batches(docs.sparkSession)
+    """(rid, line): the lines of ``docs`` (doc_id, text) that an earlier line makes redundant; rid is the row's number, see ``scratch.numbered``."""
+    return _repeated(numbered(docs), percent)
+
+
+def _repeated(rows: DataFrame, percent: int) -> DataFrame:
+    """``repeated_lines`` of rows (text, rid), each with a rid of its own."""
+    texts = rows.select("rid", "text").where("text is not null")
+    small_batches(rows.sparkSession)
     order = word_rarity(texts)
     posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word")
     met = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "met")
@@ -342,9 +347,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(row, text, n_lines, n_removed, emptied): the other columns of each row of ``docs`` as a struct, its text without the repeated lines, and whether that took its last words."""
-    found = save(repeated_lines(docs, percent), "repeated_lines")
+    rows = numbered(docs)
+    found = save(_repeated(rows, percent), "repeated_lines")
     gone = found.groupBy("rid").agg(F.collect_set("line").alias("gone"))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), "text")
-    both = _with_lists(keyed, gone, found.count(), "left").select("row", "text", "gone")
+    both = _with_lists(rows, gone, found.count(), "left").select("row", "text", "gone")
     fields = [both.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("emptied", T.BooleanType())]
     return both.mapInArrow(_cut, T.StructType(fields))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+NO_ID = (1 << 63) - 1
+_FIRST = 256
+
 _written: list[str] = []
 
 
@@ -50,3 +53,18 @@ def semi(df: DataFrame, keys: DataFrame, on: str, bound: int = 2_000_000) -> Dat
     """Rows of ``df`` whose ``on`` is among the distinct ``keys``; the keys are broadcast only when counted to be at most ``bound``."""
     few = keys.limit(bound + 1).count() <= bound
     return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(row, text, rid): the other columns of each row of ``docs`` (doc_id, text) as a struct, its text, and a number of its own that follows the order of doc_id, null last.
+
+    Where no doc_id is repeated the number is doc_id itself, the largest long for null. Else the rows are put in order once and saved with their places: those of one
+    doc_id by the first 256 characters of the text, then by a digest of it, then by their other columns. No range holds more than its share of equal rows.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
+    rows = docs.select(row, docs["text"].alias("text"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("rid"))
+    if not rows.groupBy("rid").count().where("count > 1").limit(1).count():
+        return rows
+    keys = {"k0": F.col("rid"), "k1": F.col("row.doc_id").isNull(), "k2": F.left("text", F.lit(_FIRST)), "k3": F.sha2(F.col("text").cast("binary"), 256), "k4": F.xxhash64(F.to_json("row")), "k5": F.monotonically_increasing_id()}
+    ranged = rows.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return save(ranged.select("row", "text", F.monotonically_increasing_id().alias("rid")), "numbered")
