@@ -371,6 +371,23 @@ def test_fingerprints_equal_brute_force(spark):
     assert fingerprint.fingerprints(docs(spark, []).limit(0)).count() == 0
 
 
+def test_fingerprint_query_has_one_grain(spark, tmp_path):
+    rng = random.Random(12)
+    texts = ["\n".join(prose(rng, 4) + ". " + prose(rng, 3) + "." for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op10_fingerprint(spark, str(tmp_path)).collect()}
+
+    def parts(t):
+        lines = [p for p in t.split("\n") if p.strip(" ")]
+        return {*lines, *(q for p in lines for q in re.split(r"(?<=[.!?]) ", p))}
+
+    likeness = lambda a, b: len(parts(a) & parts(b)) / len(parts(a) | parts(b))
+    for i, t in enumerate(texts):
+        after = texts[i - 1]
+        changed = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert abs(got[i].near_edited - likeness(t, changed)) < 1e-9 and abs(got[i].near_next - likeness(t, after)) < 1e-9
+
+
 def test_next_text_over_many_ranges(spark):
     ids = sorted(random.Random(0).sample(range(-(10**9), 10**9), 500), reverse=True)
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")

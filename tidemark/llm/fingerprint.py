@@ -1,7 +1,8 @@
 """Document fingerprints as invertible Bloom lookup tables over paragraph digests, in DataFrame functions only.
 
-A text's digests are 32-bit hashes of its distinct paragraphs, each with a check value of 32 bits beside it. Paragraphs end at line feeds; a text of fewer
-than four lines has its sentences as further paragraphs, else a text of one line would be all alike or not at all. Each digest goes into one cell of each of four subtables of eight
+A text's digests are 32-bit hashes of its distinct paragraphs, each with a check value of 32 bits beside it. Paragraphs end at line feeds. With ``few_lines`` None
+the sentences of every text are further paragraphs, so texts are compared at one grain whatever their numbers of lines; with a number, only those of texts of fewer lines are,
+and two texts on either side of it have little in common even where they are equal. Each digest goes into one cell of each of four subtables of eight
 cells; a cell is the XOR of what it holds. Subtracting (XOR again) the cells of two versions leaves the digests that only one of them has. Peeling takes
 those that are alone in a cell (their check value proves it), removes them from their other cells, and so on until the cells are empty.
 
@@ -30,10 +31,11 @@ def _checked(low: Column) -> Column:
     return low.bitwiseOR(F.shiftleft(F.xxhash64(low), 32))
 
 
-def digests(text: Column) -> Column:
+def digests(text: Column, few_lines: int | None = FEW_LINES) -> Column:
     """array<bigint>: the checked digest of each distinct paragraph."""
     lines = F.filter(F.split(text, "\n", -1), lambda p: F.trim(p) != "")
-    parts = F.concat(lines, F.when(F.size(lines) < FEW_LINES, F.flatten(F.transform(lines, lambda p: F.split(p, r"(?<=[.!?]) ", -1)))).otherwise(F.array().cast("array<string>")))
+    sentences = F.flatten(F.transform(lines, lambda p: F.split(p, r"(?<=[.!?]) ", -1)))
+    parts = F.concat(lines, sentences if few_lines is None else F.when(F.size(lines) < few_lines, sentences).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.transform(parts, lambda p: F.transform(F.array(F.xxhash64(p).bitwiseAND(F.lit(_LOW))), _checked)[0]))
 
 
@@ -166,10 +168,10 @@ def edited(text: Column, after: Column) -> Column:
     return F.concat(F.left(text, n - half), F.left(after, half))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(row, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``."""
+def fingerprints(docs: DataFrame, few_lines: int | None = FEW_LINES) -> DataFrame:
+    """(row, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``; texts of fewer lines than ``few_lines`` count their sentences too, with None all texts do."""
     rows = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next")))
-    keyed = rows.select("row", F.length("text").cast("long").alias("n_chars"), "edited_text", *[digests(F.col(c)).alias(k) for c, k in (("text", "own"), ("edited_text", "changed"), ("next", "other"))])
+    keyed = rows.select("row", F.length("text").cast("long").alias("n_chars"), "edited_text", *[digests(F.col(c), few_lines).alias(k) for c, k in (("text", "own"), ("edited_text", "changed"), ("next", "other"))])
     tabled = keyed.select("*", *[table(F.col(c)).alias(f"{c}_cells") for c in ("own", "changed", "other")])
     near = lambda c: likeness(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells"))
     return tabled.select("row", "n_chars", "edited_text", as_text(F.col("own"), F.col("own_cells")).alias("fingerprint"), as_text(F.col("changed"), F.col("changed_cells")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))

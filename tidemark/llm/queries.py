@@ -118,5 +118,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprint.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = fingerprint.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"), few_lines=None)
     return made.select("row.doc_id", "n_chars", _sha(F.col("edited_text")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
