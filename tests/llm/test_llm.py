@@ -277,6 +277,23 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert top_k.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(60, 6)).astype(np.float32)
+    v[1] = v[0] * 3  # the best of query 0, stored 15 times
+    v[2:6] = v[2]  # equal vectors of four ids, the first of them stored 15 times
+    data = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    data += [data[0]] * 14 + [data[1]] * 14 + [data[2]] * 14 + [(7, [float(x) for x in v[8]])] * 3
+    rows = {(i, tuple(np.floor(np.array(x) * 1024).astype(np.int64).tolist())) for i, x in data}
+    want = []
+    for q in (0, 20, 40):
+        own = np.floor(v[q].astype(np.float64) * 1024).astype(np.int64).tolist()
+        best = sorted({(-sum(a * b for a, b in zip(own, x)), i) for i, x in rows if i != q})[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
+    assert sorted(map(tuple, top_k.top_k(df, F.col("vec_id") % 20 == 0).collect())) == want
+
+
 # chat
 
 

@@ -11,6 +11,9 @@ rows over all chunks are the result.
 Vectors that are equal after scaling tie, and the smaller ids win: of equal vectors only the first k + 1 can appear in any result, and the
 others are left out before the search. This is exact, and a group of equal vectors costs no more than k + 1.
 
+Rows that repeat a vec_id with an equal scaled vector are one candidate, from before equal vectors are numbered. An id with several different vectors can be in a result
+once for each of their scores; bounds allow for that, so that at least k distinct other ids are above them.
+
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part; a query meets only vectors of its own dimension; a query's own row is left
 out by vec_id, so are rows that repeat it; a null vec_id takes no part; scores beyond a long saturate; extra columns are ignored.
 """
@@ -34,6 +37,7 @@ def _search(k: int, scale: float):
         if not len(queries) or not len(vectors):
             return none
         ids, qids = vectors["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
+        most = int(np.unique(ids, return_counts=True)[1].max())
         v, q = (np.floor(np.stack(x["vector"].to_numpy()).astype(np.float64) * scale) for x in (vectors, queries))
         if float(np.abs(v).max(initial=0)) * float(np.abs(q).max(initial=0)) * v.shape[1] >= _EXACT:
             return _plain(k, qids, q, ids, v)
@@ -50,8 +54,8 @@ def _search(k: int, scale: float):
             up = (np.maximum(part, 0) @ width) + slack * np.abs(part).sum(axis=1) + 1
             down = (np.minimum(part, 0) @ width) - slack * np.abs(part).sum(axis=1) - 1
             for j in range(len(part)):
-                # the query itself may be here, so one more than k bounds are kept
-                sure = min(k + 1, len(ids))
+                # the query itself may be here, so the bounds of one id more than k are kept
+                sure = min((k + 1) * most, len(ids))
                 kth = np.partition(base[:, j], len(ids) - sure)[len(ids) - sure] + down[j]
                 left = np.flatnonzero(base[:, j] + up[j] >= kth)
                 left = left[np.argsort(-base[left, j], kind="stable")]
@@ -66,15 +70,24 @@ def _read(k: int, qid: int, q: np.ndarray, ids: np.ndarray, v: np.ndarray, order
     rows, scores = np.zeros(0, np.int64), np.zeros(0)
     step = 4 * k
     for at in range(0, len(order), step):
-        if len(scores) >= k and bound[at] < np.partition(scores, len(scores) - k)[len(scores) - k]:
+        best = _best(k, ids[rows], scores)
+        if len(best) >= k and bound[at] < scores[best[-1]]:
             break
         new = order[at : at + step]
         new = new[ids[new] != qid]
         rows, scores = np.append(rows, new), np.append(scores, v[new] @ q)
-    best = np.lexsort((ids[rows], -scores))[:k]
+    best = _best(k, ids[rows], scores)
     return pd.DataFrame({"query_id": qid, "vec_id": ids[rows[best]], "score": scores[best].astype(np.int64)})
 
 
+def _best(k: int, ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places of the k greatest scores, smaller ids first among equal ones, an id with a score once."""
+    at = np.lexsort((ids, -scores))
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (ids[at[1:]] != ids[at[:-1]]) | (scores[at[1:]] != scores[at[:-1]])
+    return at[fresh][:k]
+
+
 def _plain(k: int, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
     """For components too large for exact floating-point sums: whole numbers without bound, saturated at the end."""
     edge = (1 << 63) - 1
@@ -82,7 +95,7 @@ def _plain(k: int, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarr
     out = []
     for qid, row in zip(qids.tolist(), q):
         row = [int(x) for x in row]
-        scored = sorted(((-sum(a * b for a, b in zip(row, x)), i) for i, x in zip(ids.tolist(), exact) if i != qid))[:k]
+        scored = sorted({(-sum(a * b for a, b in zip(row, x)), i) for i, x in zip(ids.tolist(), exact) if i != qid})[:k]
         out += [(qid, i, max(-edge - 1, min(edge, -s))) for s, i in scored]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 
@@ -97,7 +110,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024
     # equal vectors in order of id: those after the first k + 1 can't be in a result
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")
     hashed = rows.withColumn("h1", F.xxhash64(scaled)).withColumn("h2", F.md5(F.array_join(scaled.cast("array<string>"), " ")))
-    first = hashed.withColumn("place", F.row_number().over(same)).where(f"place <= {k + 1}").select("vec_id", "vector")
+    first = hashed.dropDuplicates(["vec_id", "h1", "h2"]).withColumn("place", F.row_number().over(same)).where(f"place <= {k + 1}").select("vec_id", "vector")
     n, asked = rows.count(), queries.count()
     chunks, blocks = max(1, -(-n // CHUNK)), max(1, -(-asked // BLOCK))
     spread = lambda salt, m: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(m)).cast("int")
