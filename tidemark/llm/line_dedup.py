@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tidemark.llm.scratch import numbered, save, small_batches
 from tidemark.llm.words import U, mix, runs, signed, utf8, words
 
-BUCKETS = 1 << 18
+BUCKETS, SLICES = 1 << 18, 64
 _LINE = 10
 
 
@@ -42,23 +42,34 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of words by bucket, in slices of the table as bytes."""
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         for a, b in runs(offsets):
             _, h = words(data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a])
             total += np.bincount(_bucket(h), minlength=BUCKETS)
-    some = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), "n": pa.array(total[some])})
+    if total.any():
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())})
+
+
+def _add(slice_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS // SLICES, np.int64)
+    for batch in batches:
+        for counts in batch.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_pydict({"slice": pa.array([slice_[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_rarity(texts: DataFrame) -> np.ndarray:
     """The rank of each bucket by its number of words in all texts, the rarest first."""
-    found = texts.select("text").mapInArrow(_count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(BUCKETS, np.int64)
-    total[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    kind = "slice int, counts binary"
+    found = texts.select("text").mapInArrow(_count, kind).groupBy("slice").applyInArrow(_add, kind).collect()
+    total = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for slice_, counts in found:
+        total[slice_] = np.frombuffer(counts, np.int64)
     rank = np.empty(BUCKETS, np.int64)
-    rank[np.argsort(total, kind="stable")] = np.arange(BUCKETS)
+    rank[np.argsort(total.ravel(), kind="stable")] = np.arange(BUCKETS)
     return rank
 
 
@@ -158,7 +169,7 @@ def _may(x: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int)
 
 
 def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Rows in order of the first column, in pieces that don't divide its groups."""
+    """Rows in order of word and set size, in pieces that don't divide a word's list."""
     waiting: list[pa.RecordBatch] = []
     held, rows = None, 0
 
@@ -174,7 +185,7 @@ def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> It
         cut = len(now[0]) if last else int(np.searchsorted(now[0], now[0][-1], "left"))  # the last group may go on in the next batch
         held = [x[cut:] for x in now]
         if cut:
-            yield _by_size([x[:cut] for x in now])
+            yield [x[:cut] for x in now]
 
     for batch in batches:
         waiting.append(batch)
@@ -184,13 +195,6 @@ def _in_lists(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> It
     yield from pieces(last=True)
 
 
-def _by_size(x: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows in order of word, as they came, and of set size within a word."""
-    group = np.cumsum(np.concatenate([[0], x[0][1:] != x[0][:-1]])) if len(x[0]) else x[0]
-    at = np.lexsort((x[1], group)) if len(x[0]) else np.zeros(0, np.int64)
-    return [c[at] for c in x]
-
-
 def _least(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The least rank in each range lo to hi (exclusive, not empty), by a table of minima over powers of two."""
     out = rank[lo].copy()
@@ -321,13 +325,13 @@ def _repeated(rows: DataFrame, percent: int) -> DataFrame:
     texts = rows.select("rid", "text").where("text is not null")
     small_batches(rows.sparkSession)
     order = word_rarity(texts)
-    posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word")
+    posted = texts.mapInArrow(_prefixes(order, percent), _POSTED).repartition("word").sortWithinPartitions("word", "n")
     met = save(posted.mapInArrow(_meet_first(percent), f"{_POSTED}, rid0 bigint, line0 int"), "met")
     equal, live = met.where("n = 0").select("rid", "line"), met.where("n > 0")
     first = save(live.where("rid0 is not null").select("rid", "line", "rid0", "line0").distinct().join(equal, ["rid", "line"], "left_anti"), "first_pairs")
     late = save(_confirmed(first, texts, percent).unionByName(equal).distinct(), "late_lines")
     rest = live.join(late.withColumn("late", F.lit(1)), ["rid", "line"], "left").select(*_COLUMNS, F.when(F.col("late").isNull(), 1).otherwise(0).alias("open"))
-    rest = rest.repartition("word").sortWithinPartitions("word").mapInArrow(_meet_all(percent), "rid bigint, line int, rid0 bigint, line0 int")
+    rest = rest.repartition("word").sortWithinPartitions("word", "n").mapInArrow(_meet_all(percent), "rid bigint, line int, rid0 bigint, line0 int")
     second = save(rest.distinct().join(first, ["rid", "line", "rid0", "line0"], "left_anti"), "second_pairs")
     return late.unionByName(_confirmed(second, texts, percent)).distinct()
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_GROUP = 1 << 20
+_GROUP = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,8 +52,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def runs(offsets: np.ndarray, most: int = 1 << 21):
-    """Ranges of rows of about ``most`` bytes, one row at least."""
+def runs(offsets: np.ndarray, most: int = 1 << 18):
+    """Ranges of rows of about ``most`` bytes, one row at least: what is computed for them fits in the processor's caches."""
     at = 0
     while at < len(offsets) - 1:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
