@@ -190,13 +190,39 @@ def test_bpe_equals_the_library(spark):
     pieces = "the of internationalization don't I'LL we've ΑΣ ΣΑΣ İstanbul é 12345 3.14 <|endoftext|> <|startoftext|> \x85 \xa0 \x1c 日本語 😀 naïve STRAẞE rendezvous aaaaaaaaaaaa é ǅ".split(" ")
     texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(0, 30))) for _ in range(300)]
     texts += ["".join(rng.choice("etaoinsrhld'") for _ in range(rng.randrange(0, 30))) for _ in range(2000)] + ["", "a" * 3000, None]
-    got = {r.doc_id: r for r in bpe.encode(docs(spark, texts), bpe.load(path), labels=True).collect()}
+    got = {r.doc_id: r for r in bpe.encode(docs(spark, texts), bpe.load(path), decoded=True).collect()}
     for i, t in enumerate(texts):
         ids = lib.encode(t or "", add_special_tokens=False).ids
         assert got[i].ids == ids
         assert got[i].decoded == lib.decode(ids, skip_special_tokens=False)
     again = bpe.decode(spark.createDataFrame([(1, got[0].ids), (2, None)], "doc_id bigint, ids array<int>"), bpe.load(path))
     assert {r.doc_id: r.text for r in again.collect()} == {1: got[0].decoded, 2: ""}
+    assert bpe.encode(docs(spark, []), bpe.load(path)).count() == 0
+
+
+def test_bpe_long_words_and_unknown_code_points(spark):
+    """Words of 200,000 letters in bounded memory, code points newer than Python's tables, small tables that are forgotten often."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer_path()
+    lib = tokenizers.Tokenizer.from_file(path)
+    automaton = bpe.Automaton(json.loads(bpe.load(path)))
+    rng = random.Random(4)
+    texts = ["acgt" * 50_000, "".join(rng.choice("etaoinsrhld") for _ in range(200_000)), "r" * 200_000]
+    # letters, capitals and combining marks of Unicode 16 and 17, alone and among others
+    new = [chr(c) for c in (0x1C89, 0xA7CB, 0xA7DA, 0x10D50, 0x16EA0, 0x16D40, 0x1E5EE, 0x10D69, 0x897, 0x113B8, 0x1ACF, 0x10EFA)]
+    texts += ["".join(rng.choice([*new, *"aé\u0301\u0327Σ1,."]) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    for t in texts:
+        assert automaton.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    kept = [len(x) for x in (automaton.moves, automaton.pieces, automaton.words)]
+    assert kept[0] <= bpe.MOVES and max(map(len, automaton.pieces)) <= bpe.LONGEST_KEPT
+    small = bpe.Automaton(json.loads(bpe.load(path)))
+    small.pieces.most = small.words.most = 2000
+    before, bpe.MOVES = bpe.MOVES, 50
+    try:
+        for t in ["the quick brown fox jumps over lazily, determinised tables", *texts[3:300], "the quick brown fox"]:
+            assert small.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    finally:
+        bpe.MOVES = before
 
 
 def test_other_vocabularies_are_refused():

@@ -73,7 +73,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), bpe.load(tokenizer_path()), labels=True)
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), bpe.load(tokenizer_path()), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha(ids).alias("ids_sha256"), _sha(F.col("decoded")).alias("decoded_sha256"))
 
