@@ -6,8 +6,8 @@ extra copies of a source are drawn by the cube method: the fractions move along
 number of documents and number of words, until at most two of a group are undecided.
 
 Groups are blocks of about ``BLOCK`` documents of one source, dealt by a hash of doc_id, so a source of any size is many
-blocks. The undecided of all blocks form new blocks, level after level; the last block of a source is the landing problem, in which the
-constraints are given up, the number of words first. Every draw is a hash of source, level and block: reruns agree.
+blocks. The undecided of all blocks form new blocks, level after level; the last block of a source is the landing problem, in which the number of documents is
+given up and the number of words is met as nearly as the block's documents allow by exchanges of one or two of them. Every draw is a hash of source, level and block: reruns agree.
 
 Defined cases: null text has size 0; a null source is a source of its own, in order after all others; documents without words are wanted as often as the
 rest of their source; a source without words has target 0 and no copies; rows that repeat a doc_id are drawn each for itself; a null doc_id is dealt like any
@@ -21,52 +21,50 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.scratch import save
+from tidemark.llm.scratch import ranked, save
 
 MOST = 3
 BLOCK = 4096
+EPS = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = MOST) -> DataFrame:
-    """(source, source_size, n, target) from rows of (source, size): one row a source, so the windows below are over sources only.
+    """(source, source_size, n, target) from rows of (source, size).
 
-    Sources in order of code points, null last, have the weights in turn. Sharing out again until no source is above its
-    bound ends where each has min(most * size, level * weight) and all have the total; sources that reach the bound come first in order of size / weight.
+    Sources in order of code points, null last, have the weights in turn. All have level * weight, but most * size at most. The level starts as all words by all weights; as long as
+    there are sources above their bound these keep the bound, and the level is what is left of the words by the weights left. Each such round is one aggregate over the sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("double"))
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, onward = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rest = F.sum("source_size").over(Window.partitionBy()) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))
-    level = rest / F.sum("weight").over(onward)
-    bound = most * F.col("source_size")
-    # the first source that stays below its bound fixes the level for all after it
-    per = per.withColumn("bound", bound.cast("double")).withColumn("level", F.when(level * F.col("weight") <= bound, level))
-    per = per.withColumn("level", F.first("level", ignorenulls=True).over(fill.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    target = F.least("bound", F.coalesce(F.col("level") * F.col("weight"), F.col("bound")))
-    return per.select("source", "source_size", "n", target.alias("target"))
+    per = ranked(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("bound", (most * F.col("source_size")).cast("double"))
+    level, full = None, -1
+    while True:
+        above = F.lit(False) if level is None else F.col("bound") < F.lit(level) * F.col("weight")
+        row = per.agg(F.sum("source_size").alias("all"), F.sum(F.when(above, F.col("bound"))).alias("held"), F.sum(F.when(~above, F.col("weight"))).alias("rest"), F.count_if(above).alias("full")).first()
+        if row["full"] == full or not row["rest"]:
+            break
+        level, full = (row["all"] - (row["held"] or 0.0)) / row["rest"], row["full"]
+    return per.select("source", "source_size", "n", F.least("bound", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Probabilities after the flight phase: all but at most two are 0 or 1; sums of p and of p x hold, each mean holds."""
     p = p.astype(float).copy()
-    eps = 1e-9
     open_ = []
-    for k in np.flatnonzero((p > eps) & (p < 1 - eps)).tolist():
+    for k in np.flatnonzero((p > EPS) & (p < 1 - EPS)).tolist():
         open_.append(k)
         if len(open_) == 3:
             i, j, m = open_
             u = np.array([x[j] - x[m], x[m] - x[i], x[i] - x[j]], float)
             if not u.any():
                 u = np.array([1.0, -1.0, 0.0])
-            _move(p, open_, u, rng, eps)
-            open_ = [q for q in open_ if eps < p[q] < 1 - eps]
-    return np.where(p <= eps, 0.0, np.where(p >= 1 - eps, 1.0, p))
+            _move(p, open_, u, rng)
+            open_ = [q for q in open_ if EPS < p[q] < 1 - EPS]
+    return np.where(p <= EPS, 0.0, np.where(p >= 1 - EPS, 1.0, p))
 
 
-def _move(p: np.ndarray, at: list[int], u: np.ndarray, rng: np.random.Generator, eps: float) -> None:
+def _move(p: np.ndarray, at: list[int], u: np.ndarray, rng: np.random.Generator) -> None:
     """One step along u or -u to the edge of the unit cube, each with the probability that keeps the mean."""
     now = p[at]
     up, down = np.inf, np.inf
@@ -79,17 +77,43 @@ def _move(p: np.ndarray, at: list[int], u: np.ndarray, rng: np.random.Generator,
     p[at] = now + step * u
 
 
-def landing(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decide what the flight left: first give up the number of words, then the number of documents."""
+def landing(p: np.ndarray, x: np.ndarray, words: float, rng: np.random.Generator) -> np.ndarray:
+    """Decide what the flight left, near ``words`` in all: the number of documents is given up, the number of words isn't.
+
+    Of the ways to decide those the nearest to ``words`` is taken. What is still missing is made good by the fewest changes: of all single documents taken in or left out,
+    and of all exchanges of two, the one that comes nearest, as long as one helps.
+    """
     p = p.copy()
-    eps = 1e-9
-    rest = np.flatnonzero((p > eps) & (p < 1 - eps)).tolist()
-    while len(rest) >= 2:
-        _move(p, rest[:2], np.array([1.0, -1.0]), rng, eps)
-        rest = [q for q in rest if eps < p[q] < 1 - eps]
-    for q in rest:
-        p[q] = float(rng.random() < p[q])
-    return np.where(p > 0.5, 1.0, 0.0)
+    rest = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    p[rest] = 0.0
+    taken = p > 0.5
+    ways = ((np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1).astype(bool)
+    miss = np.abs(words - x[taken].sum() - ways @ x[rest])
+    best = np.flatnonzero(miss <= miss.min() + EPS)
+    taken[rest] = ways[best[rng.integers(len(best))]]
+    order = rng.permutation(len(x))  # ties between documents of one size
+    order = order[np.argsort(x[order], kind="stable")]
+    while True:
+        miss = words - x[taken].sum()
+        out, in_ = order[~taken[order]], order[taken[order]]
+        # sizes gained by a change: one document more, one less, or one more for one less
+        changes = [(x[q], [q]) for q in _nearest(x[out], out, miss)] + [(-x[q], [q]) for q in _nearest(x[in_], in_, -miss)]
+        if len(out) and len(in_):
+            at = np.searchsorted(x[out], x[in_] + miss)
+            for near in (np.maximum(at - 1, 0), np.minimum(at, len(out) - 1)):
+                gain = x[out[near]] - x[in_]
+                i = int(np.argmin(np.abs(miss - gain)))
+                changes.append((gain[i], [out[near[i]], in_[i]]))
+        gain, flips = min(changes, key=lambda c: abs(miss - c[0]), default=(0.0, []))
+        if abs(miss - gain) >= abs(miss) - EPS:
+            return taken.astype(float)
+        taken[flips] = ~taken[flips]
+
+
+def _nearest(sizes: np.ndarray, which: np.ndarray, wanted: float) -> list[int]:
+    """Of ``which``, in order of ``sizes``, the two around ``wanted``."""
+    at = int(np.searchsorted(sizes, wanted))
+    return [int(which[i]) for i in (at - 1, at) if 0 <= i < len(which)]
 
 
 def _draw(level: int, last: bool):
@@ -99,9 +123,10 @@ def _draw(level: int, last: bool):
         # the seed comes from the group's key and level alone
         rng = np.random.default_rng([level, int(group["block"].iloc[0]) & 0xFFFFFFFF, int(group["seed"].iloc[0]) & 0xFFFFFFFF])
         p, x = group["p"].to_numpy(float), group["size"].to_numpy(float)
+        words = float(p @ x)
         p = flight(p, x, rng)
         if last:
-            p = landing(p, x, rng)
+            p = landing(p, x, words, rng)
         return group.assign(p=p)
 
     return draw

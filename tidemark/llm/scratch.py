@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NO_ID = (1 << 63) - 1
@@ -68,3 +68,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     keys = {"k0": F.col("rid"), "k1": F.col("row.doc_id").isNull(), "k2": F.left("text", F.lit(_FIRST)), "k3": F.sha2(F.col("text").cast("binary"), 256), "k4": F.xxhash64(F.to_json("row")), "k5": F.monotonically_increasing_id()}
     ranged = rows.withColumns(keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
     return save(ranged.select("row", "text", F.monotonically_increasing_id().alias("rid")), "numbered")
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with the place (from 1) of every row in ``order``, written once: ranges are sorted in parallel, and the sizes of those before a range give its first place."""
+    low = (1 << 33) - 1  # monotonically_increasing_id: the range above, the place in it below
+    at = F.monotonically_increasing_id()
+    placed = save(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranked")
+    block = F.shiftright("_at", 33)
+    # one row a range
+    sizes = placed.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), block == F.col("_block")).withColumn("place", F.col("_before") + F.col("_at").bitwiseAND(low) + 1).drop("_at", "_block", "_before")
