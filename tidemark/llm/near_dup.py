@@ -113,6 +113,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
 
 
+def signatures(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, a hash of the whole shingle set and the K minimum hashes of every row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered_ = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["rid", "text"])
+            for made in _features(iter([numbered_])):
+                lows = np.stack([made.column(f"s{j}").to_numpy() for j in range(K)], axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, lows.size + 1, K, np.int32)), pa.array(lows.ravel()))
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).take(made.column("rid")) for c in keep} | {"whole": made.column("h1"), "signature": lists})
+
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([*fields, "whole bigint", "signature array<int>"]))
+
+
 _SIG = ", ".join(f"s{j} int" for j in range(K))
 _KEY = [f"s{j}" for j in range(K)]
 

@@ -12,7 +12,7 @@ the sum of -log10 E over its significant segments, so several passages add up; a
 Tokens are maximal runs of ASCII letters, digits, `'`, and all bytes above 0x7F; A-Z count as a-z.
 
 Defined cases: null and empty texts have no tokens and score as a text without evidence does; without toxic or without clean labelled
-texts there is no evidence to learn and every score is the smoothed share of toxic labels; a doc_id with several labels is toxic if any is;
+texts there is no evidence to learn and every score is the smoothed share of toxic labels; labels above 0 are toxic, null ones none; a doc_id with several labels is toxic if any is;
 rows repeat as they are given; extra columns are ignored.
 """
 
@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import near_dup
 from tidemark.llm import words as W
-from tidemark.llm.scratch import small_batches
+from tidemark.llm.scratch import save, small_batches
 from tidemark.llm.words import U, runs, signed, utf8
 
 Z = 2.5
@@ -36,6 +37,7 @@ BASE = 0.5
 CAP = 6.0
 SIGNIFICANT = 0.05
 SAMPLE = 20_000
+COPIES = 12
 
 #: Bytes that end a token, for a copy of the text in which they read as spaces.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -173,20 +175,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _without_copies(rows: DataFrame) -> DataFrame:
+    """(text, toxic) of ``rows`` (doc_id, text, toxic) without near copies, which would make all words of a text telling: of texts with one label whose signatures over the whole
+    texts agree in ``COPIES`` of 16 coordinates, that of the smallest doc_id stays. They meet in one of the first four coordinates. The sample is bounded, so what leads a coordinate may be broadcast."""
+    left = save(near_dup.signatures(rows, keep=("doc_id", "text", "toxic")), "labelled")
+    for c in range(4):
+        first = F.min(F.struct("doc_id", "whole", "signature")).alias("first")
+        led = left.groupBy(F.col("signature")[c].alias("met"), "toxic").agg(first)
+        agree = F.size(F.filter(F.zip_with("signature", F.col("first.signature"), lambda a, b: a == b), lambda x: x))
+        itself = F.struct("doc_id", "whole") == F.struct("first.doc_id", "first.whole")
+        left = left.withColumn("met", F.col("signature")[c]).join(F.broadcast(led), ["met", "toxic"]).where(itself | (agree < COPIES)).drop("met", "first")
+    return left.dropDuplicates(["toxic", "whole", "signature"]).select("text", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most about ``sample`` distinct labelled texts, chosen by a hash of doc_id; all of them where there are no more.
 
     The bound keeps what comes to the driver (the significant tokens and three numbers a text) of a fixed size.
     """
     small_batches(docs.sparkSession)
-    by_id = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    by_id = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     n = by_id.count()
     part = 1_000_000 if n <= sample else max(1, 1_000_000 * sample // n)
     chosen = by_id.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < part)
     # the labels that may be learned from number 2 * sample at most, checked above, so they are small enough to broadcast
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    # near copies of one text would make all its words telling; most of them begin alike
-    rows = rows.withColumn("start", F.left("text", F.lit(80))).dropDuplicates(["start", "toxic"]).drop("start").persist()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = _without_copies(rows).persist()
     try:
         counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         bad, good = counts.get(1, 0), counts.get(0, 0)
@@ -215,10 +229,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         model = Model(token[at], score, other, lam, 1.0, 0.0, 0.0)
         tops = rows.mapInArrow(_evidence_of(Model(model.tokens, score, other, lam, 1e-300, 0.0, 0.0)), "toxic int, x double, top double, n_tokens bigint").toPandas()
         base = tops[(tops["toxic"] == 0) & (tops["n_tokens"] > 0)]
-        # of clean texts P(max < x) = exp(-K n exp(-lambda x)); texts without any segment are censored at 0, so K follows from their share
-        hit = float((base["top"] > 0).mean()) if len(base) else 0.0
-        gain = float(np.exp(-lam * score.min()))
-        k = -np.log1p(-min(hit, 0.99)) / (float(base["n_tokens"].mean()) * gain) if hit > 0 else 1.0 / (float(tokens_of[0] or 1) * gain)
+        # of clean texts P(max < x) = exp(-K n exp(-lambda x)); the likeliest K for their maxima, where those without any segment are known to lie below the least score
+        reach = base["n_tokens"].to_numpy(float) * np.exp(-lam * np.maximum(base["top"].to_numpy(float), score.min()))
+        k = max(1, int((base["top"] > 0).sum())) / max(float(reach.sum()), 1e-300)
         model = Model(token[at], score, other, lam, max(k, 1e-12), 0.0, 0.0)
         x = rows.mapInArrow(_evidence_of(model), "toxic int, x double, top double, n_tokens bigint").select("toxic", "x").toPandas()
         bias, slope = _logistic(x["x"].to_numpy(float), x["toxic"].to_numpy(float))
