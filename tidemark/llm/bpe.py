@@ -112,6 +112,7 @@ class Automaton:
         base = [*symbols, *(s + suffix for s in symbols)]
         goes = {ids[s]: 0 for s in base if s in ids}
         removed: list[dict[int, int]] = [{}]  # of each state: token and the rank of the merge that removed its arc
+        users = [len(goes)]  # how many tokens lead to each state
         self.left = array("i", [-1]) * len(self.labels)  # of each merged token: its left part
         self.rank = array("i", [-1]) * len(self.labels)
         for rank, merge in enumerate(merges):
@@ -121,9 +122,15 @@ class Automaton:
             if q is None or v not in goes or not self._arc(removed[q], v):
                 continue  # no path reads u then v: the gadget adds nothing
             then = goes[v]
-            removed.append(removed[q] | {v: rank})
-            goes[u] = len(removed) - 1
+            if u != v and users[q] == 1:
+                removed[q][v] = rank  # the copy would leave no one in q
+            else:
+                removed.append(removed[q] | {v: rank})
+                users[q] -= 1
+                users.append(1)
+                goes[u] = len(removed) - 1
             goes[w] = then
+            users[then] += 1
             self.left[w], self.rank[w] = u, rank
         used = set(goes.values())
         self.goes = array("i", [-1]) * len(self.labels)

@@ -200,11 +200,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle of every text, with the two hashes of the text's whole set."""
+
+    def made(sets: list[np.ndarray]) -> pa.RecordBatch:
+        every, sizes = np.concatenate(sets), [len(s) for s in sets]
+        begin = np.cumsum(sizes) - sizes
+        whole = {name: pa.array(signed(np.repeat(np.add.reduceat(mix(every ^ salt), begin), sizes))) for name, salt in zip(("h1", "h2"), _SALTS)}
+        return pa.RecordBatch.from_pydict(whole | {"shingle": pa.array(signed(every))})
+
     for batch in batches:
+        held: list[np.ndarray] = []
+        shingles = 0
         for s in shingle_sets(*utf8(batch.column("text"))):
             if len(s):
-                h1, h2 = (int(signed(np.sum(mix(s ^ salt), keepdims=True))[0]) for salt in _SALTS)
-                yield pa.RecordBatch.from_pydict({"h1": pa.array(np.full(len(s), h1)), "h2": pa.array(np.full(len(s), h2)), "shingle": pa.array(signed(s))})
+                held.append(s)
+                shingles += len(s)
+            if shingles > 50_000:
+                yield made(held)
+                held, shingles = [], 0
+        if held:
+            yield made(held)
 
 
 def _shared_part(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -178,14 +178,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def _without_copies(rows: DataFrame) -> DataFrame:
     """(text, toxic) of ``rows`` (doc_id, text, toxic) without near copies, which would make all words of a text telling: of texts with one label whose signatures over the whole
     texts agree in ``COPIES`` of 16 coordinates, that of the smallest doc_id stays. They meet in one of the first four coordinates. The sample is bounded, so what leads a coordinate may be broadcast."""
-    left = save(near_dup.signatures(rows, keep=("doc_id", "text", "toxic")), "labelled")
+    read = save(near_dup.signatures(rows, keep=("doc_id", "text", "toxic")), "labelled")
+    left = read.drop("text").distinct()
     for c in range(4):
-        first = F.min(F.struct("doc_id", "whole", "signature")).alias("first")
-        led = left.groupBy(F.col("signature")[c].alias("met"), "toxic").agg(first)
+        met = F.col("signature")[c].alias("met")
+        led = left.groupBy(met, "toxic").agg(F.min(F.struct("doc_id", "whole", "signature")).alias("first"))
         agree = F.size(F.filter(F.zip_with("signature", F.col("first.signature"), lambda a, b: a == b), lambda x: x))
         itself = F.struct("doc_id", "whole") == F.struct("first.doc_id", "first.whole")
-        left = left.withColumn("met", F.col("signature")[c]).join(F.broadcast(led), ["met", "toxic"]).where(itself | (agree < COPIES)).drop("met", "first")
-    return left.dropDuplicates(["toxic", "whole", "signature"]).select("text", "toxic")
+        left = save(left.withColumn("met", met).join(F.broadcast(led), ["met", "toxic"]).where(itself | (agree < COPIES)).drop("met", "first"), "apart")
+    kept = F.broadcast(left.select("doc_id", "whole", "toxic"))
+    return read.join(kept, ["doc_id", "whole", "toxic"], "left_semi").dropDuplicates(["doc_id", "whole", "toxic"]).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
