@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import small_batches
 
 #: Bytes of the pieces of text and of the words that a task keeps, twice, and the moves of its table.
-PIECES, WORDS, MOVES = 40 << 20, 8 << 20, 300_000
+PIECES, WORDS, MOVES = 24 << 20, 4 << 20, 300_000
 LONGEST_KEPT = 64
 _FEW = 64
 _ENTRY = 200
