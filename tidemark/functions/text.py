@@ -45,7 +45,7 @@ def local_part(value: Column) -> Column:
 
 def header(headers: Column, name: str) -> Column:
     """A header by name in any case; null when absent."""
-    return F.element_at(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name.lower())), 1)
+    return F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == name.lower())), 0)
 
 
 def strip_reply_prefixes(subject: Column) -> Column:
@@ -90,21 +90,48 @@ def normalize_name(text: Column, singular: bool = False) -> Column:
     return F.coalesce(folded, key)
 
 
+#: Characters without width, kinds of spaces, and tags that end a line or hide their content.
+INVISIBLE = r"[\u200b-\u200d\u00ad\u034f\u2060\ufeff]"
+SPACES = r"[ \t\f\x0b\u00a0\u2000-\u200a\u202f\u205f\u3000]+"
+BLOCK_TAGS = (
+    "address", "article", "blockquote", "br", "div", "dd", "dl", "dt", "figure", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+    "hr", "li", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+)
+SKIP_TAGS = ("script", "style", "head", "title", "noscript")
+#: Named characters; the ampersand comes last.
+ENTITIES = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’",
+    "ldquo": "“", "rdquo": "”", "bull": "•", "middot": "·", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "deg": "°", "times": "×", "eacute": "é", "egrave": "è",
+    "agrave": "à", "ccedil": "ç", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "amp": "&",
+}
+
+
 def normalize_whitespace(text: Column) -> Column:
-    """Line ends as line feeds, runs of blanks as one, lines trimmed, one blank line at most."""
+    """Line ends as line feeds, nothing invisible, runs of blanks as one, lines trimmed, one blank line at most."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\f\u000B ]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\n+|\n+$", ""))
+    t = F.regexp_replace(F.regexp_replace(t, INVISIBLE, ""), SPACES, " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
+
+
+def unescape(text: Column) -> Column:
+    """Named and numbered characters as themselves; numbers beyond the basic plane stay as they are."""
+    number = lambda e: F.when(e.rlike("^&#[xX]"), F.conv(F.substr(e, F.lit(4), F.length(e) - 4), 16, 10)).otherwise(F.substr(e, F.lit(3), F.length(e) - 3)).cast("int")
+    char = lambda e: F.decode(F.unhex(F.lpad(F.hex(number(e)), 4, "0")), "UTF-16BE")
+    codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{2,5}|[xX][0-9a-fA-F]{2,4});"), F.lit(0)))
+    codes = F.filter(codes, lambda e: (number(e) < 0xD800) | number(e).between(0xE000, 0xFFFF))
+    t = F.aggregate(codes, text, lambda t, e: F.replace(t, e, char(e)))
+    for entity, shown in ENTITIES.items():
+        t = F.replace(t, F.lit(f"&{entity};"), F.lit(shown))
+    return t
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text of a page by patterns: scripts, styles, title and comments go, block tags end lines, basic entities are read."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|head|title)\b[^>]*>.*?</(script|style|head|title)>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>|</?(p|div|h[1-6]|li|ul|ol|tr|table|article|nav|section|header|footer)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return normalize_whitespace(t)
+    """Visible text of a page by patterns: hidden elements and comments go, block tags end lines, entities are read."""
+    t = F.coalesce(html, F.lit(""))
+    for tag in SKIP_TAGS:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>", "\n")
+    return normalize_whitespace(unescape(F.regexp_replace(t, r"</?[A-Za-z!][^>]*>", "")))
 
 
 def normalize_topic(topic: Column) -> Column:
@@ -140,8 +167,13 @@ def reply_effort(points: Column, scheduling: Column) -> Column:
     return F.when(points > 0, F.when(n <= 2, "quick").when(n <= 4, "moderate").otherwise("involved"))
 
 
+#: Fixed value: an address in brackets after reply prefixes.
+RELAY_TAG = r"(?is)^((?:\s*(?:re|fwd|fw)\s*:\s*)*)\[\s*([^\]\s@]+@[^\]\s@]+\.[^\]\s@]+)\s*\]\s*(.*)$"
+
+
 def split_relay_tag(subject: Column) -> Column:
-    """struct<sender, rest> of a leading [address] after reply prefixes; both as they are without one."""
-    bare = strip_reply_prefixes(subject)
-    pattern = r"^\[([^\]\s]+@[^\]\s]+)\]\s*(.*)$"
-    return F.struct(F.nullif(F.lower(F.regexp_extract(bare, pattern, 1)), F.lit("")).alias("sender"), F.when(bare.rlike(pattern), F.regexp_extract(bare, pattern, 2)).otherwise(subject).alias("rest"))
+    """struct<sender, rest>: the address of a leading tag and the subject without it. Reply prefixes stay, and so does a subject that is nothing but a tag."""
+    rest = F.trim(F.regexp_extract(subject, RELAY_TAG, 3))
+    tagged = subject.rlike(RELAY_TAG)
+    bare = F.trim(F.concat(F.regexp_extract(subject, RELAY_TAG, 1), rest))
+    return F.struct(F.when(tagged, F.regexp_extract(subject, RELAY_TAG, 2)).alias("sender"), F.when(tagged & (rest != ""), bare).otherwise(subject).alias("rest"))

@@ -12,14 +12,27 @@ def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_nth", newest).where("_nth = 1").drop("_nth")
 
 
-def merge_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key."""
+def merge_latest(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """New rows replace old ones of the same key. Of several new rows of a key the first in ``order`` is kept; without an order they must be of different keys."""
+    new = latest(new, keys, *order) if order else new
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
 
 
 def replace_by_parent(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
-    """All children of the parents in ``new`` are replaced."""
-    return merge_latest(old, new, [parent])
+    """All children of the parents in ``new`` are replaced, with all of theirs."""
+    return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Keyed vectors (key, vec, dim): new ones replace old ones, empty ones are dropped."""
+    some = new.where(F.size("vec") > 0).withColumn("dim", F.size("vec"))
+    return merge_latest(old, some.select(*old.columns), [key], *order)
+
+
+def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Relations (src, dst, rel, weight, evidence): new ones replace old ones; evidence is kept sorted, each once."""
+    tidy = new.withColumn("evidence", F.array_sort(F.array_distinct("evidence")))
+    return merge_latest(old, tidy, ["src", "dst", "rel"], F.desc("weight"), F.desc("evidence"))
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import mail as M
 from tidemark.functions import text as T
+from tidemark.sources.tables import placed
 
 #: The floor of each level's band of 25 points and the weights of the signals inside it.
 FLOORS = {"low": 0.0, "medium": 25.0, "high": 50.0, "urgent": 75.0}
@@ -42,27 +44,44 @@ def score_in_band(level: Column, no_reply: Column, vip: Column, direct: Column,
     return F.when(F.coalesce(no_reply, F.lit(False)), floor).otherwise(F.bround(capped, 1))
 
 
+def with_signals(rows: DataFrame, owner: str | None) -> DataFrame:
+    """``rows`` with is_vip, whether the sender is among those who write most, and is_direct, whether the owner is addressed and not only copied."""
+    address = T.addr_only(F.col("sender"))
+    vips = vip_senders(rows.select("email_id", address.alias("entity_id"))).where(F.lit(True) if owner is None else F.col("entity_id") != owner)
+    vips = vips.select(F.col("entity_id").alias("_address"), F.lit(True).alias("_vip"))
+    marked = rows.join(vips, address == F.col("_address"), "left").withColumn("is_vip", F.coalesce("_vip", F.lit(False))).drop("_address", "_vip")
+    return marked.withColumn("is_direct", M.is_direct(F.col("to_line"), F.col("cc_line"), owner))
+
+
 def score_messages(rows: DataFrame) -> DataFrame:
-    """level (no-reply mail at most medium) and score of each message; ages count back from the newest message."""
+    """level (no-reply mail at most medium) and score of each message with its signals (is_vip, is_direct); ages count back from the newest message."""
     now = rows.agg(F.max("received_at").alias("now"))
     rows = rows.crossJoin(F.broadcast(now))  # one row
     level = F.when(F.coalesce("is_no_reply", F.lit(False)) & F.col("level").isin("high", "urgent"), "medium").otherwise(F.col("level"))
     age = F.bround((F.unix_micros("now") - F.unix_micros("received_at")) / 3_600_000_000, 1)
     unread = F.when(F.col("read_status") == "unread", age)
-    vip = F.col("thread_id") % 13 == 0
-    return rows.withColumn("level", level).withColumn("score", score_in_band(F.col("level"), F.col("is_no_reply"), vip, F.lit(True), F.size(T.urgency_hits(F.col("subject"))), unread, age)).drop("now")
+    hits = F.size(T.urgency_hits(F.col("subject")))
+    return rows.withColumn("level", level).withColumn("score", score_in_band(F.col("level"), F.col("is_no_reply"), F.col("is_vip"), F.col("is_direct"), hits, unread, age)).drop("now")
 
 
 def sender_priors(log: DataFrame) -> DataFrame:
-    """(sender, level, no_reply): the last valid correction of each kind."""
+    """(sender, level, no_reply): the last valid correction of each kind; senders are bare addresses."""
     valid = log.where("(kind = 'level' and value in ('low', 'medium', 'high', 'urgent')) or (kind = 'no_reply' and value in ('true', 'false'))")
     last = lambda kind: F.max_by(F.when(F.col("kind") == kind, F.col("value")), F.when(F.col("kind") == kind, F.struct("created_at", "id")))
-    return valid.groupBy("sender").agg(last("level").alias("prior_level"), (last("no_reply") == "true").alias("prior_no_reply"))
+    return valid.groupBy(T.addr_only(F.col("sender")).alias("sender")).agg(last("level").alias("prior_level"), (last("no_reply") == "true").alias("prior_no_reply"))
+
+
+def clear_priors(log: DataFrame, senders: DataFrame, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The log without the entries of ``senders``, of one kind where it is given, and these entries."""
+    hit = F.lit(True) if kind is None else F.col("kind") == kind
+    keys = senders.select(T.addr_only(F.col("sender")).alias("_address")).distinct()
+    of = T.addr_only(F.col("sender")) == F.col("_address")
+    return log.where(~hit).unionByName(log.where(hit).join(keys, of, "left_anti")), log.where(hit).join(keys, of, "left_semi")
 
 
 def apply_feedback(rows: DataFrame, priors: DataFrame) -> DataFrame:
     """Rows with their senders' priors applied, rescored, and whether that changed them."""
-    both = rows.join(priors, "sender", "left").withColumnRenamed("level", "old_level").withColumnRenamed("is_no_reply", "old_no_reply").withColumnRenamed("score", "old_score")
+    both = rows.join(priors.withColumnRenamed("sender", "_address"), T.addr_only(F.col("sender")) == F.col("_address"), "left").drop("_address").withColumnRenamed("level", "old_level").withColumnRenamed("is_no_reply", "old_no_reply").withColumnRenamed("score", "old_score")
     both = both.withColumn("level", F.coalesce("prior_level", "old_level")).withColumn("is_no_reply", F.coalesce("prior_no_reply", "old_no_reply"))
     scored = score_messages(both)
     changed = ~(F.col("level").eqNullSafe(F.col("old_level")) & F.col("is_no_reply").eqNullSafe(F.col("old_no_reply")))
@@ -70,12 +89,15 @@ def apply_feedback(rows: DataFrame, priors: DataFrame) -> DataFrame:
 
 
 def spread_scores(rows: DataFrame, digits: int = 6) -> DataFrame:
-    """Scores spread evenly over each level's band in order of (score, received_at, email_id)."""
-    w = Window.partitionBy("level")
-    rank = F.row_number().over(w.orderBy("score", "received_at", "email_id"))
+    """Scores spread evenly over each level's band in order of (score, received_at, email_id).
+
+    There are four levels, so ranks come from places in one order of all rows, sorted in ranges, not from a window that has a level in one task.
+    """
+    known = placed(rows.where("score is not null and level is not null"), F.col("level"), F.col("score"), F.col("received_at"), F.col("email_id"))
+    sizes = known.groupBy("level").agg(F.min("place").alias("_first"), F.count("*").alias("_n"))  # a row a level
     floor = F.element_at(F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair]), F.col("level"))
-    known = rows.where("score is not null and level is not null")
-    return known.withColumn("spread", F.round(floor + 25.0 * rank / (F.count("*").over(w) + 1), digits))
+    both = known.join(F.broadcast(sizes), "level")
+    return both.withColumn("spread", F.round(floor + 25.0 * (F.col("place") - F.col("_first") + 1) / (F.col("_n") + 1), digits)).drop("place", "_first", "_n")
 
 
 def queue_stats(rows: DataFrame) -> DataFrame:

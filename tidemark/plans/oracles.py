@@ -17,8 +17,15 @@ _MSG = f"""msg as (
     case when event_id % 11 <> 0 then event_id % 5 = 0 end as is_no_reply, event_type as category,
     case when event_id % 7 <> 0 then event_id % 4 = 0 end as is_scheduling,
     case when event_id % 6 <> 0 then (event_id % 6 - 1)::int end as outline_points,
-    ([{", ".join(map(_lit, SUBJECTS))}])[event_id % {len(SUBJECTS)} + 1] as subject, value
+    ([{", ".join(map(_lit, SUBJECTS))}])[event_id % {len(SUBJECTS)} + 1] as subject, value,
+    case event_id % 4 when 0 then 'Owner <owner@example.com>, team@example.com' when 1 then 'team@example.com' when 3 then 'owner@example.com' end as to_line,
+    case event_id % 8 when 1 then 'Owner <OWNER@example.com>' when 5 then 'other@example.com' end as cc_line
   from events)"""
+_SIG = """counts as (select sender, count(distinct email_id) as n from msg group by sender),
+ bar as (select list_sort(list(n))[round_even(0.9::double * (count(*) - 1), 0)::int + 1] as least from counts),
+ vips as (select sender from counts, bar where n >= least and sender <> 'owner@example.com'),
+ sig as (select *, sender in (select sender from vips) as is_vip,
+   to_line is null or contains(lower(to_line), 'owner@example.com') or not coalesce(contains(lower(cc_line), 'owner@example.com'), false) as is_direct from msg)"""
 _FLOOR = "case level when 'urgent' then 75.0::double when 'high' then 50.0 when 'medium' then 25.0 else 0.0 end"
 _HITS = " + ".join(f"(contains(lower(subject), {_lit(w)}))::int" for w in T.URGENCY)
 
@@ -32,7 +39,7 @@ def _scored(source: str) -> str:
 def _score(source: str) -> str:
     return f"""(select *, case when coalesce(is_no_reply, false) then {_FLOOR} else round_even(
         case when level = 'urgent' then raw else least(raw, {_FLOOR} + 24.9) end, 1) end as score
-      from (select *, {_FLOOR} + 25.0::double * least((thread_id % 13 = 0)::int * 0.30::double + 0.20::double + least({_HITS}, 3) / 3.0::double * 0.30
+      from (select *, {_FLOOR} + 25.0::double * least(is_vip::int * 0.30::double + is_direct::int * 0.20::double + least({_HITS}, 3) / 3.0::double * 0.30
         + coalesce(least(case when read_status = 'unread' then age end, 72.0) / 72.0::double, 0.0) * 0.15 + greatest(0.0, 1.0 - least(age, 168.0) / 168.0::double) * 0.05, 1.0::double) as raw
         from {_scored(source)}))"""
 
@@ -45,7 +52,7 @@ _LOG = """log as (
 _PRIORS = """priors as (
   select sender, max_by(value, (created_at, id)) filter (kind = 'level') as prior_level, max_by(value, (created_at, id)) filter (kind = 'no_reply') = 'true' as prior_no_reply
   from log group by sender)"""
-_FED = f"""first_ as (select * exclude (level), case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as level from msg),
+_FED = f"""first_ as (select * exclude (level), case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as level from sig),
  fed as (select f.* exclude (level, is_no_reply), level as old_level, is_no_reply as old_no_reply, coalesce(prior_level, level) as level, coalesce(prior_no_reply, is_no_reply) as is_no_reply
   from first_ f left join priors using (sender)),
  done as (select * from {_score("fed")})"""
@@ -96,8 +103,8 @@ def _with(*views: str) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "review_queue": _with(_MSG, _LOG, _PRIORS, _FED) + f"select email_id, sender, level, score, round({_FLOOR} + 25.0::double * row_number() over (partition by level order by score, received_at, email_id) / (count(*) over (partition by level) + 1), 6) as spread from done order by spread desc, received_at desc, email_id limit 20",
-    "score_messages": _with(_MSG) + f"select email_id, level, score from {_score('msg')}",
+    "review_queue": _with(_MSG, _SIG, _LOG, _PRIORS, _FED) + f"select email_id, sender, level, score, round({_FLOOR} + 25.0::double * row_number() over (partition by level order by score, received_at, email_id) / (count(*) over (partition by level) + 1), 6) as spread from done order by spread desc, received_at desc, email_id limit 20",
+    "score_messages": _with(_MSG, _SIG) + f"select email_id, level, score from {_score('sig')}",
     "filter_queue": _with(_MSG) + "select email_id, sender, subject from msg where read_status = 'unread' and is_no_reply is false and not coalesce(is_scheduling, false) and contains(lower(subject || chr(10) || sender), 're')",
     "filter_review": _with(_MSG) + "select email_id from msg where not coalesce(is_no_reply, false) and coalesce(is_scheduling, false)",
     "urgent_unread": _with(_MSG) + "select email_id, sender from msg where level = 'urgent' and read_status = 'unread'",
@@ -111,8 +118,8 @@ ORACLE_SQL: dict[str, str] = {
     "last_n_turns": "select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
     "conversation_heads": "select conv_id, max(turn) as last_turn, count(*) as turns from conversations group by conv_id",
     "sender_priors": _with(_MSG, _LOG, _PRIORS) + "select * from priors",
-    "apply_feedback": _with(_MSG, _LOG, _PRIORS, _FED) + "select email_id, level, is_no_reply, score from done where level is distinct from old_level or is_no_reply is distinct from old_no_reply",
-    "clear_priors": _with(_MSG, _LOG) + "select kind, count(*) as n from log where kind <> 'level' or sender not in ('u0@example.com', 'u10@example.com') group by kind",
+    "apply_feedback": _with(_MSG, _SIG, _LOG, _PRIORS, _FED) + "select email_id, level, is_no_reply, score from done where level is distinct from old_level or is_no_reply is distinct from old_no_reply",
+    "clear_priors": _with(_MSG, _SIG, _LOG) + "select kind, count(*) as n, (select count(*) from log where kind = 'level' and sender in (select sender from vips)) as cleared from log where kind <> 'level' or sender not in (select sender from vips) group by kind",
     "vip_senders": _with(_MEN, "c as (select entity_id, count(distinct email_id) as emails from men where kind = 'person' group by entity_id), r as (select emails, row_number() over (order by emails) as nth, count(*) over () as n from c)") + "select entity_id, emails from c where emails >= (select min(emails) from r where nth >= round_even(0.9::double * (n - 1), 0) + 1)",
     "score_spread_stats": _with(_MSG) + "select level, count(value) as n, min(value) as least, max(value) as most, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as stdev, count(distinct value) as \"values\" from msg group by level",
     "majority_dim": "with v as (select len(embedding)::int as dim, label from embeddings) select dim, label, count(*) as n from v where dim = (select dim from v group by dim order by count(*) desc, dim limit 1) group by dim, label",
@@ -149,7 +156,7 @@ ORACLE_SQL: dict[str, str] = {
     "build_pack": "select conv_id as anchor, turn as priority, length(cut)::int as chars, md5(cut) as digest from (select conv_id, turn, left(text, (1500 - before)::int) as cut from (select *, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from conversations) where before < 1500)",
     "find_addresses": r"select doc_id, array_to_string(list_distinct_ordered, ',') as addresses from (select doc_id, list_reduce(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: [lower(x)]), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))",
     "normalize_topic": r"""select conv_id, turn, coalesce(nullif(array_to_string((string_split_regex(trim(regexp_replace(lower(text), '["''.]', '', 'g')), '\s+'))[1:3], ' '), ''), 'other') as topic from conversations""",
-    "reply_subjects": _with(_MSG) + rf"select email_id, {_BARE} as bare, nullif(lower(regexp_extract({_BARE}, '^\[([^\]\s]+@[^\]\s]+)\]\s*(.*)$', 1)), '') as relayed, case when regexp_matches({_BARE}, '^\[([^\]\s]+@[^\]\s]+)\]\s*(.*)$') then regexp_extract({_BARE}, '^\[([^\]\s]+@[^\]\s]+)\]\s*(.*)$', 2) else subject end as rest from msg",
+    "reply_subjects": _with(_MSG) + rf"select email_id, {_BARE} as bare, nullif(regexp_extract(subject, '(?i)^((?:\s*(?:re|fwd|fw)\s*:\s*)*)\[\s*([^\]\s@]+@[^\]\s@]+\.[^\]\s@]+)\s*\]', 2), '') as relayed, regexp_replace(subject, '(?i)^((?:\s*(?:re|fwd|fw)\s*:\s*)*)\[\s*[^\]\s@]+@[^\]\s@]+\.[^\]\s@]+\s*\]\s*', '\1') as rest from msg",
     "message_ids": _with(_MSG) + rf"""select email_id, id, case when split_part(id, '-', 1) in ({", ".join(map(_lit, T.CASE_PREFIXES))}) or starts_with(id, '#') then 'case' else 'document' end as kind, upper(regexp_replace(id, '[^\w]+', '', 'g')) as key
       from (select email_id, unnest(list_concat(regexp_extract_all(subject, '\b([A-Z]{{2,10}}-\d{{1,6}}(?:-\d{{1,6}})?)\b', 1), regexp_extract_all(subject, '(#\d{{3,}})', 1))) as id from msg)""",
     "urgency_hits": _with(_MSG) + f"select email_id, array_to_string(list_filter([{', '.join(map(_lit, T.URGENCY))}], lambda w: contains(lower(subject), w)), ',') as hits from msg where hits <> ''",

@@ -27,14 +27,14 @@ def _ntz(df: DataFrame) -> DataFrame:
 
 @query
 def review_queue(s, d):
-    scored = queue.apply_feedback(queue.score_messages(V.messages(s, d)), queue.sender_priors(V.feedback_log(s, d)))
+    scored = queue.apply_feedback(queue.score_messages(queue.with_signals(V.messages(s, d), V.OWNER)), queue.sender_priors(V.feedback_log(s, d)))
     spread = queue.spread_scores(scored.drop("prior_level", "prior_no_reply", "old_level", "old_no_reply", "old_score"))
     return spread.orderBy(F.desc_nulls_last("spread"), F.desc("received_at"), "email_id").limit(20).select("email_id", "sender", "level", "score", "spread")
 
 
 @query
 def score_messages(s, d):
-    return queue.score_messages(V.messages(s, d)).select("email_id", "level", "score")
+    return queue.score_messages(queue.with_signals(V.messages(s, d), V.OWNER)).select("email_id", "level", "score")
 
 
 @query
@@ -108,14 +108,17 @@ def sender_priors(s, d):
 
 @query
 def apply_feedback(s, d):
-    rows = queue.apply_feedback(queue.score_messages(V.messages(s, d)), queue.sender_priors(V.feedback_log(s, d)))
+    rows = queue.apply_feedback(queue.score_messages(queue.with_signals(V.messages(s, d), V.OWNER)), queue.sender_priors(V.feedback_log(s, d)))
     return rows.where("changed").select("email_id", "level", "is_no_reply", "score")
 
 
 @query
 def clear_priors(s, d):
-    log = V.feedback_log(s, d)
-    return log.where("kind != 'level' or sender not in ('u0@example.com', 'u10@example.com')").groupBy("kind").agg(F.count("*").alias("n"))
+    """What is left of the log once the people who write most have their levels cleared, and how many entries that takes."""
+    log, m = V.feedback_log(s, d), V.messages(s, d)
+    vips = queue.vip_senders(m.select("email_id", F.col("sender").alias("entity_id"))).select(F.col("entity_id").alias("sender"))
+    left, gone = queue.clear_priors(log, vips, "level")
+    return left.groupBy("kind").agg(F.count("*").alias("n")).crossJoin(F.broadcast(gone.agg(F.count("*").alias("cleared"))))
 
 
 @query

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whose mail the messages are.
+OWNER = "owner@example.com"
 #: Subjects that messages carry in turn.
 SUBJECTS = [
     "Re: Fwd: are you free tomorrow?", "URGENT: action required on CS-40350", "Weekly newsletter", "Please schedule a call next week", "Invoice INV-2041 attached",
     "deadline moved, reply asap", "Lunch on Friday at 12:30", "Fw: your availability", "calendar invite: project sync", "Receipt #4471", "Important: time-sensitive update",
-    "Let's catch up over zoom", "Re: RMA-2026-0447 returned", "What time works for you", "Monthly report", "as soon as possible please", "[ops@example.org] disk alert",
+    "Let's catch up over zoom", "Re: RMA-2026-0447 returned", "What time works for you", "Monthly report", "as soon as possible please", "Re: [ops@example.org] disk alert",
     "Aw: Sv: meeting request", "Pencil you in for Monday", "No subject", "push back the meeting to 3 pm", "Good morning", "immediately needed: SN-4400-2283", "Thanks",
 ]
 
@@ -31,6 +33,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 11 != 0, F.col("event_id") % 5 == 0).alias("is_no_reply"), F.col("event_type").alias("category"),
         F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 4 == 0).alias("is_scheduling"), F.when(F.col("event_id") % 6 != 0, (F.col("event_id") % 6 - 1).cast("int")).alias("outline_points"),
         subject.alias("subject"), F.col("value"),
+        F.when(F.col("event_id") % 4 == 0, "Owner <owner@example.com>, team@example.com").when(F.col("event_id") % 4 == 1, "team@example.com").when(F.col("event_id") % 4 == 3, "owner@example.com").alias("to_line"),
+        F.when(F.col("event_id") % 8 == 1, "Owner <OWNER@example.com>").when(F.col("event_id") % 8 == 5, "other@example.com").alias("cc_line"),
     )
 
 
