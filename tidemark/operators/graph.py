@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import keep
+
 
 def cooccurrence(mentions: DataFrame) -> DataFrame:
     """(email_id, entity_id, kind, confidence): the best confidence of each pair."""
@@ -25,7 +27,7 @@ def relations(mentions: DataFrame) -> DataFrame:
     """
     pairs = cooccurrence(mentions)
     idf = entity_idf(pairs).where("not ubiquitous").select("entity_id", "idf")
-    known = pairs.join(idf, "entity_id")
+    known = keep(pairs.join(idf, "entity_id"), "known_pairs")
     a, b = known.alias("a"), known.alias("b")
     both = a.join(b, (F.col("a.email_id") == F.col("b.email_id")) & (F.col("a.entity_id") != F.col("b.entity_id")))
     ka, kb, work = F.col("a.kind"), F.col("b.kind"), ("case", "project")
@@ -55,7 +57,7 @@ def both_directions(edges: DataFrame) -> DataFrame:
 
 def neighbors_weighted(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
     """(start, node, score, hop): the best product of weights over walks of up to ``hops`` edges; nodes may be met again, the start is left out."""
-    step = both_directions(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    step = keep(both_directions(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "steps")
     now = starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hop"))
     found = None
     for hop in range(1, hops + 1):
@@ -67,7 +69,7 @@ def neighbors_weighted(edges: DataFrame, starts: DataFrame, hops: int = 2) -> Da
 
 def neighbors_decayed(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node, score, hop) to two hops: a node keeps the hop it is first met at; scores are products of weights, the second halved."""
-    step = both_directions(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    step = keep(both_directions(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "steps")
     start = starts.select(F.col("entity_id").alias("start"))
     one = start.join(step, start.start == step.src).groupBy("start", F.col("dst").alias("node")).agg(F.max("weight").alias("score")).where("node != start")
     two = one.join(step, one.node == step.src).groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight") / 2).alias("score")).where("node != start")
@@ -88,6 +90,11 @@ def graph_search(edges: DataFrame, mentions: DataFrame, salience_: DataFrame, an
 
 
 def fingerprint(mentions: DataFrame) -> DataFrame:
-    """(entity_id, emails, hash): SHA-1 of each entity's sorted message ids."""
-    ids = F.array_sort(F.collect_set("email_id"))
-    return mentions.groupBy("entity_id").agg(F.size(ids).alias("emails"), F.substring(F.sha1(F.array_join(ids.cast("array<string>"), "|")), 1, 20).alias("hash"))
+    """(entity_id, emails, hash): how many messages mention each entity, and a hash of their ids that doesn't depend on the order.
+
+    The hash is of two sums of the ids' 60-bit digests, so that rows of an entity are only ever added up, never gathered.
+    """
+    pairs = mentions.select("entity_id", "email_id").distinct()
+    digest = F.md5(F.col("email_id").cast("string"))
+    lane = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return pairs.groupBy("entity_id").agg(F.count("*").cast("int").alias("emails"), F.substring(F.sha1(F.concat_ws(":", lane(1), lane(17))), 1, 20).alias("hash"))

@@ -5,25 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import keep
+
+
+def _words(text: str = "text"):
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
 
 def terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl): the term table of all chunks."""
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = chunks.select("chunk_id", words.alias("words")).select("chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(chunk_id, kind, term, tf, dl): the term table of all chunks. A chunk's words are counted inside its row, so there is no shuffle."""
+    rows = chunks.select("chunk_id", "kind", _words().alias("words")).where(F.size("words") > 0)
+    # runs of the sorted words: a word's count is the distance of its first place from the next word's
+    sorted_ = F.sort_array("words")
+    starts = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
+    found = rows.withColumn("sorted", sorted_).withColumn("starts", starts)
+    pairs = F.transform("starts", lambda at, i: F.struct(F.get("sorted", at - 1).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("sorted") + 1) - at).cast("long").alias("tf")))
+    return found.select("chunk_id", "kind", F.size("words").alias("dl"), F.inline(pairs))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, chunk_id, score) for queries (query_id, term): body chunks with all terms of a query. Statistics are those of all chunks.
+def bm25(table: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, rank, chunk_id, score) for queries (query_id, term): body chunks with all terms of a query, by their term ``table`` (saved, see ``terms``). Statistics are those of all chunks.
 
-    Only rows of query terms leave the term table, so the join is small; the queries are broadcast by the planner if they are.
+    Only rows of query terms leave the table, and they meet the queries by term.
     """
-    table = terms(chunks)
-    size = F.broadcast(chunks.select(F.size(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))  # one row
-    asked = table.join(queries.select("term").distinct(), "term", "left_semi")
+    dl = table.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
+    size = chunks.agg(F.count("*").alias("n")).crossJoin(dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
+    asked = keep(table.join(queries.select("term").distinct(), "term", "left_semi"), "asked_terms")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    body = chunks.where("kind = 'body'").select("chunk_id")
-    hit = asked.join(df, "term").join(body, "chunk_id").crossJoin(size)
+    hit = asked.where("kind = 'body'").join(df, "term").crossJoin(F.broadcast(size))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     wanted = queries.groupBy("query_id").agg(F.count_distinct("term").alias("wanted"))

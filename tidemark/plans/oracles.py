@@ -78,14 +78,14 @@ _FREE = f"""win as (select distinct calendar_id, (s // {_DAY}) * {_DAY} + 324000
 _TERMS = r"""words as (select doc_id as chunk_id, case when doc_id % 10 = 8 then 'quoted' when doc_id % 10 = 9 then 'signature' else 'body' end as kind,
     list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ws from documents),
  terms as (select chunk_id, term, count(*) as tf, any_value(dl) as dl from (select chunk_id, len(ws) as dl, unnest(ws) as term from words) group by chunk_id, term),
- top as (select term, row_number() over (order by count(*) desc, term) - 1 as nth from terms where length(term) between 5 and 8 group by term qualify nth < 6),
- asked as (select (nth // 2)::int as query_id, term from top),
+ asked as (select chunk_id as query_id, term from terms where chunk_id % 50 = 0 and length(term) between 5 and 8 qualify row_number() over (partition by chunk_id order by tf desc, term) <= 2),
+ wanted as (select query_id, count(*) as n from asked group by query_id),
  size as (select count(*)::double as n, avg(len(ws)) as avgdl from words),
- dfs as (select term, count(*)::double as df from terms where term in (select term from asked) group by term),
+ dfs as (select term, count(*)::double as df from terms where term in (select distinct term from asked) group by term),
  bm as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from (
-   select query_id, t.chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6::double) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) as score
-   from terms t join asked using (term) join dfs using (term) join words w on w.chunk_id = t.chunk_id and w.kind = 'body', size
-   group by query_id, t.chunk_id having count(*) = 2) qualify rank <= 10)"""
+   select query_id, t.chunk_id, round(sum(greatest(ln((size.n - df + 0.5) / (df + 0.5)), 1e-6::double) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) as score
+   from terms t join asked using (term) join dfs using (term) join words w on w.chunk_id = t.chunk_id and w.kind = 'body' join wanted using (query_id), size
+   group by query_id, t.chunk_id having count(*) = any_value(wanted.n)) qualify rank <= 10)"""
 _VEC = """vec as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from (
    select q.vec_id as query_id, v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score
    from embeddings v join embeddings q on q.vec_id <> v.vec_id where %s) qualify rank <= 10)"""
@@ -95,7 +95,8 @@ _TODO = """todo as (select substr(sha1(email_id || '|' || kind || '|' || text),
 _STAGES = "select email_id, list_filter([case when is_no_reply is null then 'classify' end, case when is_scheduling is null then 'schedule' end, case when outline_points is null and not coalesce(is_no_reply, false) then 'outline' end], lambda x: x is not null) as stages from msg"
 _BARE = r"trim(regexp_replace(subject, '^\s*(?:(?:re|fwd|fw|aw|sv)\s*:\s*)+', '', 'i'))"
 _POINTS = lambda patterns: " + ".join(f"(regexp_matches(subject, {_lit('(?i)' + p)}))::int" for p in patterns)
-_FP = "select entity_id, count(*)::int as emails, substr(sha1(string_agg(email_id::varchar, '|' order by email_id)), 1, 20) as hash from (select distinct entity_id, email_id from men where {0}) group by entity_id"
+_LANE = "sum(('0x' || substr(md5(email_id::varchar), {0}, 15))::bigint::hugeint)::varchar"
+_FP = "select entity_id, count(*)::int as emails, substr(sha1(" + _LANE.format(1) + " || ':' || " + _LANE.format(17) + "), 1, 20) as hash from (select distinct entity_id, email_id from men where {0}) group by entity_id"
 
 
 def _with(*views: str) -> str:
@@ -151,7 +152,7 @@ ORACLE_SQL: dict[str, str] = {
     "dirty_briefs": _with(_MEN, f"a as ({_FP.format('kind = ' + _lit('case') + ' and email_id % 1000 <> 1')}), b as ({_FP.format('kind = ' + _lit('case'))})") + "select b.entity_id, b.emails, b.hash from b left join a using (entity_id) where b.hash is distinct from a.hash",
     "bm25_search": _with(_TERMS) + "select query_id, rank, chunk_id, score from bm",
     "vector_search": _with(_VEC % "q.vec_id % 50 = 0") + "select query_id, rank, vec_id, score from vec",
-    "hybrid_search": _with(_TERMS, _VEC % "q.vec_id < 3", "ch as (select query_id, chunk_id, rank, 'text' as channel from bm union all select query_id::int, vec_id, rank, 'vector' from vec)")
+    "hybrid_search": _with(_TERMS, _VEC % "q.vec_id % 50 = 0", "ch as (select query_id, chunk_id, rank, 'text' as channel from bm union all select query_id, vec_id, rank, 'vector' from vec)")
     + "select query_id, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank, chunk_id, score, channel from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 6) as score, string_agg(distinct channel, '+' order by channel) as channel from ch group by all) qualify rank <= 10",
     "build_pack": "select conv_id as anchor, turn as priority, length(cut)::int as chars, md5(cut) as digest from (select conv_id, turn, left(text, (1500 - before)::int) as cut from (select *, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from conversations) where before < 1500)",
     "find_addresses": r"select doc_id, array_to_string(list_distinct_ordered, ',') as addresses from (select doc_id, list_reduce(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: [lower(x)]), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))",
@@ -182,7 +183,7 @@ ORACLE_SQL: dict[str, str] = {
         _MEN, _EDGES, "m as (select distinct email_id, entity_id from men where kind in ('case', 'project'))",
         "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men where kind in ('case', 'project') group by entity_id)",
         "sal as (select entity_id, case when s = 0 then 0.5::double else s end as salience from (select entity_id, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as s from per))",
-        "anchor as (select email_id as anchor, entity_id from m where email_id % 2000 = 1)",
+        "anchor as (select email_id as anchor, entity_id from m where email_id % 50 = 0)",
         "h1 as (select start, dst as node, max(weight) as score from (select distinct entity_id as start from anchor) join step on src = start where dst <> start group by all)",
         "h2 as (select start, dst as node, max(score * weight / 2) as score from h1 join step on src = node where dst <> start group by all)",
         "near as (select *, 1 as hop from h1 union all select *, 2 from h2 where not exists (from h1 where h1.start = h2.start and h1.node = h2.node))",
@@ -190,7 +191,7 @@ ORACLE_SQL: dict[str, str] = {
     )
     + "select anchor, row_number() over (partition by anchor order by round(score, 6) desc, email_id)::int as rank, email_id, round(score, 6) as score from hits qualify rank <= 10",
     "related_context": _with(_MEN, "m as (select distinct email_id, entity_id from men where kind = 'case')")
-    + "select anchor, row_number() over (partition by anchor order by shared desc, email_id)::int as rank, email_id, shared from (select a.email_id as anchor, b.email_id, count(*) as shared from m a join m b on a.entity_id = b.entity_id and a.email_id <> b.email_id where a.email_id % 1000 = 1 group by all) qualify rank <= 10",
+    + "select anchor, row_number() over (partition by anchor order by shared desc, email_id)::int as rank, email_id, shared from (select a.email_id as anchor, b.email_id, count(*) as shared from m a join m b on a.entity_id = b.entity_id and a.email_id <> b.email_id where a.email_id % 50 = 0 group by all) qualify rank <= 10",
     "project_rollup": _with(_MEN, _EDGES, "s as (select distinct dst as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)",
         "best as (select start, node, max(score) as score, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start and node like 'case:%' group by start, node)")
     + "select start as project, row_number() over (partition by start order by hop, round(score, 6) desc, node)::int as nth, node, hop from best qualify nth <= 12",

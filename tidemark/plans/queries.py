@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import chunking, graph, intervals, maintain, merge, queue, retrieval
 from tidemark.sources import views as V
+from tidemark.sources.tables import keep
 from tidemark.streaming import streams
 
 QUERIES = {}
@@ -235,14 +236,14 @@ def _edges(s, d):
 
 @query
 def neighbors_weighted(s, d):
-    e = _edges(s, d)
+    e = keep(_edges(s, d), "edges")
     starts = e.select(F.col("src").alias("entity_id")).distinct()
     return graph.neighbors_weighted(e, starts).withColumn("score", F.round("score", 6))
 
 
 @query
 def neighbors_decayed(s, d):
-    e = _edges(s, d)
+    e = keep(_edges(s, d), "edges")
     starts = e.select(F.col("src").alias("entity_id")).distinct()
     return graph.neighbors_decayed(e, starts).withColumn("score", F.round("score", 6))
 
@@ -261,17 +262,17 @@ def dirty_briefs(s, d):
 # search
 
 
-def _asked(s, d):
-    """Three of the most frequent pairs of words, one query each, from the chunks themselves."""
-    t = retrieval.terms(V.chunks(s, d)).where("length(term) between 5 and 8").groupBy("term").agg(F.count("*").alias("df"))
-    top = t.orderBy(F.desc("df"), "term").limit(6)
-    nth = F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1
-    return top.select((F.floor(nth / 2)).cast("int").alias("query_id"), "term")
+def _asked(table):
+    """A query for every chunk whose id is divisible by 50: its two most frequent words of five to eight letters."""
+    some = table.where("chunk_id % 50 = 0 and length(term) between 5 and 8")
+    nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("tf"), "term"))
+    return some.withColumn("nth", nth).where("nth <= 2").select(F.col("chunk_id").alias("query_id"), "term")
 
 
 @query
 def bm25_search(s, d):
-    return retrieval.bm25(V.chunks(s, d), _asked(s, d))
+    table = keep(retrieval.terms(V.chunks(s, d)), "terms")
+    return retrieval.bm25(table, V.chunks(s, d), _asked(table))
 
 
 @query
@@ -282,9 +283,9 @@ def vector_search(s, d):
 
 @query
 def hybrid_search(s, d):
-    text = retrieval.bm25(V.chunks(s, d), _asked(s, d))
-    v = V.table(s, d, "embeddings")
-    near = retrieval.vector_topk(v, v.where("vec_id < 3")).withColumnRenamed("vec_id", "chunk_id").withColumn("query_id", F.col("query_id").cast("int"))
+    """Words and vectors of every chunk whose id is divisible by 50 against all chunks; a chunk's vector has its number."""
+    text = bm25_search(s, d)
+    near = vector_search(s, d).withColumnRenamed("vec_id", "chunk_id")
     return retrieval.fuse({"text": text, "vector": near})
 
 
@@ -471,14 +472,14 @@ def stream_sessions(s, d):
 @query
 def graph_search(s, d):
     m = V.mentions(s, d).where("kind in ('case', 'project')")
-    return graph.graph_search(_edges(s, d), m, graph.salience(m), m.where("email_id % 2000 = 1").select("email_id").distinct())
+    return graph.graph_search(keep(_edges(s, d), "edges"), m, graph.salience(m), m.where("email_id % 50 = 0").select("email_id").distinct())
 
 
 @query
 def related_context(s, d):
-    """Messages that share a case with one message in a thousand: the ten with the most cases in common."""
+    """For every message whose id is divisible by 50 the ten that have the most cases in common with it."""
     m = V.mentions(s, d).where("kind = 'case'").select("email_id", "entity_id").distinct()
-    a, b = m.where("email_id % 1000 = 1").alias("a"), m.alias("b")
+    a, b = m.where("email_id % 50 = 0").alias("a"), m.alias("b")
     both = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.email_id") != F.col("b.email_id"))).groupBy(F.col("a.email_id").alias("anchor"), F.col("b.email_id").alias("email_id")).agg(F.count("*").alias("shared"))
     nth = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("shared"), "email_id"))
     return both.withColumn("rank", nth).where("rank <= 10").select("anchor", "rank", "email_id", "shared")
@@ -487,7 +488,7 @@ def related_context(s, d):
 @query
 def project_rollup(s, d):
     """Each project's twelve nearest cases by (hop, weight)."""
-    e = _edges(s, d)
+    e = keep(_edges(s, d), "edges")
     near = graph.neighbors_weighted(e, e.select(F.col("dst").alias("entity_id")).distinct()).where("node like 'case:%'")
     nth = F.row_number().over(Window.partitionBy("start").orderBy("hop", F.desc(F.round("score", 6)), "node"))
     return near.withColumn("nth", nth).where("nth <= 12").select(F.col("start").alias("project"), "nth", "node", "hop")

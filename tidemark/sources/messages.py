@@ -9,7 +9,7 @@ from email.header import decode_header, make_header
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The headers that are kept, by their usual names.
@@ -107,10 +107,27 @@ def parse_messages(raw: DataFrame) -> DataFrame:
     return rows.withColumn("received_at", F.timestamp_millis("received_ms")).drop("received_ms")
 
 
+def read_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(raw, received_at): exported message JSON, one message a line, the newest first, ``limit`` of them. Only the date is read of a message before the limit."""
+    rows = spark.read.text(path).where("trim(value) != ''").select(F.col("value").alias("raw"))
+    ms = F.expr("try_cast(get_json_object(raw, '$.internalDate') as bigint)")
+    newest = rows.withColumn("received_at", F.timestamp_millis(ms)).orderBy(F.desc_nulls_last("received_at"), F.get_json_object("raw", "$.id"))
+    return newest if limit is None else newest.limit(limit)
+
+
 def parse_calendar(raw: DataFrame) -> DataFrame:
-    """(event_id, summary, start, end, all_day) from a column ``raw`` of event JSON; cancelled events are left out."""
+    """(event_id, summary, start, end, all_day, attendees, location) from a column ``raw`` of event JSON, in order of start, unknown ones last; cancelled events are left out."""
     when = "struct<date:string,dateTime:string>"
-    e = F.from_json("raw", f"id string, status string, summary string, start {when}, end {when}").alias("e")
+    e = F.from_json("raw", f"id string, status string, summary string, location string, start {when}, end {when}, attendees array<struct<email:string>>").alias("e")
     rows = raw.select(e).where("e.id is not null and coalesce(e.status, '') != 'cancelled'")
     at = lambda c: F.coalesce(F.try_to_timestamp(c.dateTime), F.try_to_timestamp(c.date))
-    return rows.select("e.id", "e.summary", at(F.col("e.start")).alias("start"), at(F.col("e.end")).alias("end"), F.col("e.start.date").isNotNull().alias("all_day")).withColumnRenamed("id", "event_id")
+    guests = F.filter(F.transform(F.coalesce("e.attendees", F.array().cast("array<struct<email:string>>")), lambda a: F.lower(a.email)), lambda a: a.isNotNull())
+    rows = rows.select(F.col("e.id").alias("event_id"), "e.summary", at(F.col("e.start")).alias("start"), at(F.col("e.end")).alias("end"), F.col("e.start.date").isNotNull().alias("all_day"), guests.alias("attendees"), "e.location")
+    return rows.orderBy(F.asc_nulls_last("start"), "event_id")
+
+
+def parse_busy(raw: DataFrame) -> DataFrame:
+    """(calendar_id, start, end) in microseconds from rows (calendar_id, raw) of busy periods as JSON; periods that can't be read are left out."""
+    e = F.from_json("raw", "start string, end string").alias("e")
+    at = lambda c: F.unix_micros(F.try_to_timestamp(c))
+    return raw.select("calendar_id", e).select("calendar_id", at(F.col("e.start")).alias("start"), at(F.col("e.end")).alias("end")).where("start is not null and end is not null")

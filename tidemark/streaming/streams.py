@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import shared_dir
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events file of a folder as a stream."""
@@ -16,13 +17,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, through the stream, as a table in memory."""
+    """All that is there now, through the stream, as a table in the shared folder.
+
+    Appended rows go to a file sink. Of a complete or an updated result each batch is written to a folder of its own; what is read is the last complete one, or the changes of all batches.
+    """
     spark = stream.sparkSession
-    name = f"drained_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{base}/rows").start()
+    else:
+        query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")).start()
     query.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long")).parquet(f"{base}/rows")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.lit(last))
+    return rows if mode == "append" else rows.drop("batch")
 
 
 def stats(stream: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -45,18 +56,37 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
+def thread_latest(stream: DataFrame) -> DataFrame:
+    """(thread_id, newest, batch rows seen): the newest message time of each thread, kept as state; a message is stale once a newer one of its thread lands."""
+    return stream.groupBy(F.col("user_id").alias("thread_id")).agg(F.max("ts").alias("newest"), F.count("*").alias("n"))
+
+
+def stale(outlines: DataFrame, newest: DataFrame) -> DataFrame:
+    """The outlines (email_id, thread_id, received_at) that a newer message of their thread has overtaken, by the state of ``thread_latest``."""
+    return outlines.join(newest.select("thread_id", "newest"), "thread_id").where("received_at < newest").drop("newest")
+
+
 def upsert(stream: DataFrame, path: str, keys: list[str]):
-    """Start a stream that keeps ``path`` (a new folder for each batch) at the last row of each key; returns the query and a function that reads the table."""
+    """Start a stream that keeps a table at the last row of each key; returns the query and a function that reads the table.
+
+    Each batch writes the changed table to a folder of its own, numbered by the batch, and the highest finished number is the table: a restart finds it there.
+    """
     from tidemark.operators.merge import latest, merge_latest
 
-    state = {"at": None}
+    def newest(spark: SparkSession, below: int | None = None) -> str | None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tables")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+        done = [int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tables/{n}/_SUCCESS"))]
+        done = [n for n in done if below is None or n < below]
+        return f"{path}/tables/{max(done)}" if done else None
 
     def write(batch: DataFrame, number: int) -> None:
         new = latest(batch, keys, F.desc("ts"), F.desc("event_id"))
-        if state["at"]:
-            new = merge_latest(batch.sparkSession.read.parquet(state["at"]), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/{number}")
-        state["at"] = f"{path}/{number}"
+        before = newest(batch.sparkSession, number)
+        if before:
+            new = merge_latest(batch.sparkSession.read.schema(batch.schema).parquet(before), new, keys)
+        new.write.mode("overwrite").parquet(f"{path}/tables/{number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
-    return query, lambda: stream.sparkSession.read.parquet(state["at"])
+    return query, lambda: stream.sparkSession.read.schema(stream.schema).parquet(newest(stream.sparkSession))
