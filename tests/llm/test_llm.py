@@ -493,6 +493,12 @@ def test_fingerprint_query_has_one_grain(spark, tmp_path):
         assert abs(got[i].near_edited - likeness(t, changed)) < 1e-9 and abs(got[i].near_next - likeness(t, after)) < 1e-9
 
 
+def test_lines_of_white_space_are_no_paragraphs(spark):
+    texts = ["one\r\n\r\ntwo\r\n", "one\r\n \t\r\ntwo\r\n\r\n\f", "\r\n\t"]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(docs(spark, texts), few_lines=None).select("row.doc_id", "fingerprint").collect()}
+    assert got[0] == got[1] and got[0].startswith("2-") and got[2].startswith("0-")
+
+
 def test_next_text_over_many_ranges(spark):
     ids = sorted(random.Random(0).sample(range(-(10**9), 10**9), 500), reverse=True)
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")

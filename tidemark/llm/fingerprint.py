@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 HASHES, CELLS, LOAD, ROUNDS = 4, 8, 6, 10
 FEW_LINES = 4
+#: Characters of which alone no paragraph is made.
+_BLANK = " \t\r\f\v"
 _LOW = 0xFFFFFFFF
 _FEW = 1_000_000
 
@@ -33,7 +35,7 @@ def _checked(low: Column) -> Column:
 
 def digests(text: Column, few_lines: int | None = FEW_LINES) -> Column:
     """array<bigint>: the checked digest of each distinct paragraph."""
-    lines = F.filter(F.split(text, "\n", -1), lambda p: F.trim(p) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda p: F.btrim(p, F.lit(_BLANK)) != "")
     sentences = F.flatten(F.transform(lines, lambda p: F.split(p, r"(?<=[.!?]) ", -1)))
     parts = F.concat(lines, sentences if few_lines is None else F.when(F.size(lines) < few_lines, sentences).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.transform(parts, lambda p: F.transform(F.array(F.xxhash64(p).bitwiseAND(F.lit(_LOW))), _checked)[0]))
