@@ -163,3 +163,24 @@ def test_upsert_stream_goes_on_after_a_restart(spark, tmp_path):
         query, table = streams.upsert(spark.readStream.schema(schema).parquet(feed), out, ["user_id"])
         query.awaitTermination()
     assert sorted((r.user_id, r.event_id) for r in table().collect()) == [(10, 3), (20, 2)]
+
+
+def test_quoted_text_begins_at_headers_rules_and_attributions():
+    from tidemark.operators.chunking import split_quoted
+
+    for mark in ("On Mon, 2 Nov 2026,\nAnn <a@b.co>\nwrote:\n> old", "Ann Lee wrote:\n> old", "-----Original Message-----\nold", "_____\nFrom: x", "From: Ann\nSent: Monday\nold", "> old\n> older"):
+        assert split_quoted(f"new text\n\n{mark}") == ("new text", mark)
+    middle = "intro\n> a note\n" + "RELATED " * 40
+    assert split_quoted(middle) == (middle.rstrip(), "")
+    assert split_quoted("a\n> x\nthanks\n> y") == ("a", "> x\nthanks\n> y") and split_quoted("") == ("", "")
+
+
+def test_signatures_by_delimiter_and_contact_details():
+    from tidemark.operators.chunking import split_signature
+
+    block = "Best,\nGrant Manager | Core\ng.f@core.com | +1 503-555-0138"
+    assert split_signature(f"Real point.\n\n{block}\n\n--\nCore | 4400 SW Way") == ("Real point.", f"{block}\n\n--\nCore | 4400 SW Way")
+    assert split_signature("Real point.\n\nSent from my phone") == ("Real point.", "Sent from my phone")
+    assert split_signature("Call me\nabout the plan\nof the day") == ("Call me\nabout the plan\nof the day", "")
+    far = "x\n--\n" + "y" * 1000
+    assert split_signature(far) == (far, "") and split_signature(block) == (block, "")

@@ -162,6 +162,21 @@ def no_reply(sender: Column, precedence: Column, unsubscribe: Column, auto: Colu
     return F.when(certain, True).when(~weak & ~unsubscribe & ~auto_set & (precedence == ""), False)
 
 
+def no_reply_reason(sender: Column, precedence: Column, unsubscribe: Column, auto: Column, reply_to: Column) -> Column:
+    """Why ``no_reply`` decides as it does: the first rule that holds; null where it doesn't decide."""
+    local, precedence = local_part(sender), F.lower(F.trim(F.coalesce(precedence, F.lit(""))))
+    distinct = reply_to.isNotNull() & (addr_only(reply_to) != addr_only(sender))
+    weak = local.rlike("^(notifications|alerts)")
+    said = lambda before, value, after: F.concat(F.lit(before), value, F.lit(after))
+    return (
+        F.when(local.rlike("^(no-reply|noreply|donotreply|do-not-reply)"), said("sender local-part matches no-reply pattern (", local, "@...)"))
+        .when(precedence.isin("bulk", "junk", "list"), said("Precedence header indicates bulk mail (Precedence: ", precedence, ")"))
+        .when(unsubscribe & ~distinct, "List-Unsubscribe present with no distinct reply-to address")
+        .when(weak & unsubscribe, said("sender matches automated pattern (", local, "@...) corroborated by bulk headers"))
+        .when(~weak & ~unsubscribe & ~(auto.isNotNull() & (F.lower(F.trim(auto)) != "no")) & (precedence == ""), "personal sender, no bulk headers")
+    )
+
+
 def reply_effort(points: Column, scheduling: Column) -> Column:
     n = points + F.coalesce(scheduling, F.lit(False)).cast("int")
     return F.when(points > 0, F.when(n <= 2, "quick").when(n <= 4, "moderate").otherwise("involved"))

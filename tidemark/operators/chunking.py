@@ -9,28 +9,68 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import mail as M
 from tidemark.functions import text as T
 
 SIZE, OVERLAP, SIGNATURE_REACH, MOST_AFTER = 800, 100, 900, 200
-_ATTRIBUTION = re.compile(r"^On\b[^\n]{5,200}(?:\n[^\n]{0,120})?\bwrote:\s*$|^-{2,}\s*(?:Original|Forwarded) [Mm]essage\s*-{2,}", re.M)
+#: How reply history begins.
+QUOTE_STARTS = (
+    r"(?ms)^On\s(?=[^\n]*\d).{3,240}?\bwrote:", r"(?m)^.{0,120}?\bwrote:\s*$", r"(?mi)^\s*-{2,}\s*Original Message\s*-{2,}", r"(?mi)^\s*-{2,}\s*Forwarded message\s*-{2,}",
+    r"(?m)^\s*_{5,}\s*$", r"(?m)^\s*From:\s*\S.*\n\s*(?:Sent|Date|To):\s",
+)
+#: What lines of a signature hold, and the line above one.
+CONTACT = (
+    r"\+?\d[\d\s().\-]{7,}\d", r"[\w.+-]+@[\w-]+\.[\w.]+", r"\bhttps?://|\bwww\.",
+    r"(?i)\b\d+\s+\w+([\s\w]*)\b(?:St|Street|Ave|Avenue|Dr|Drive|Rd|Road|Blvd|Way|Lane|Ln|Suite|Ste|Floor|Fl)\b",
+    r"(?i)\b(?:CEO|CTO|COO|CFO|VP|Director|Manager|Lead|Head of|Founder|Partner|Engineer|Analyst|Coordinator|President|Officer|Specialist|Consultant)\b",
+    r"(?i)^Sent from my ", r"(?i)\b(?:unsubscribe|opt out|opt-out|you'?re receiving this|don'?t want these)\b", r"(?m)^\s*\S.*\|\s*\S",
+)
+DELIMITER = r"(?m)^\s*(?:--+|__+|—)\s*$"
+CONTACT_BLOCK = 400
+_STARTS, _CONTACT, _DELIMITER = [re.compile(p) for p in QUOTE_STARTS], [re.compile(p) for p in CONTACT], re.compile(DELIMITER)
 
 
 def split_quoted(text: str) -> tuple[str, str]:
-    """(text, quoted): from the first attribution line, divider, or run of ``>`` lines with little unquoted text after it."""
-    cuts = [m.start() for m in [_ATTRIBUTION.search(text)] if m]
-    for m in re.finditer(r"(?m)^>.*(?:\n>.*)*", text):
-        if len(re.sub(r"(?m)^>.*$", "", text[m.end() :]).strip()) <= MOST_AFTER:
-            cuts.append(m.start())
+    """(text, quoted): from the first attribution, divider or header block on, or from the first line of ``>`` after which little unquoted text is left."""
+    cuts = [m.start() for m in (p.search(text) for p in _STARTS) if m]
+    at, after = len(text), ""
+    for line in reversed(text.split("\n")):  # from the end, with the unquoted text below
+        at -= len(line)
+        if line.lstrip().startswith(">"):
+            if len(after.strip()) > MOST_AFTER:
+                break
+            cuts.append(at)
+        else:
+            after = f"{line}\n{after}"
+        at -= 1
+    cut = min(cuts, default=len(text))
+    return text[:cut].rstrip(), text[cut:].strip()
+
+
+def _contact_start(text: str) -> int | None:
+    """Where the last paragraphs begin of which at least half of the lines are contact details; long ones are prose."""
+    begin, found = 0, []
+    for gap in [*re.finditer(r"\n[ \t]*(?:\n[ \t]*)+", text), None]:
+        end = gap.start() if gap else len(text)
+        if text[begin:end].strip():
+            found.append((begin, text[begin:end]))
+        begin = gap.end() if gap else end
+    start = None
+    for at, block in reversed(found):
+        lines = [x for x in block.split("\n") if x.strip()]
+        hits = sum(any(p.search(x) for p in _CONTACT) for x in lines)
+        if len(block) > CONTACT_BLOCK or not hits or 2 * hits < len(lines) or len(text) - at > SIGNATURE_REACH:
             break
-    at = min(cuts, default=len(text))
-    return text[:at].rstrip(), text[at:].strip()
+        start = at
+    return start
 
 
 def split_signature(text: str) -> tuple[str, str]:
-    """(text, signature): from a delimiter line near the end on."""
-    found = [m.start() for m in re.finditer(r"(?m)^(?:-- ?|__+)$", text) if len(text) - m.start() <= SIGNATURE_REACH]
-    at = found[0] if found else len(text)
-    return text[:at].rstrip(), text[at:].strip()
+    """(text, signature): from the first delimiter line near the end on, and from the contact details above it, or from these alone. All of a text is no signature."""
+    cut = next((m.start() for m in _DELIMITER.finditer(text) if len(text) - m.start() <= SIGNATURE_REACH), len(text))
+    above = _contact_start(text[:cut])
+    cut = cut if above is None else above
+    return (text[:cut].rstrip(), text[cut:].strip()) if cut else (text, "")
 
 
 def split_body(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
@@ -74,6 +114,23 @@ def extract_mentions(chunks: DataFrame) -> DataFrame:
     return rows.select("email_id", "chunk_id", "kind", "key", F.lit("regex").alias("source")).distinct()
 
 
+def header_mentions(messages: DataFrame) -> DataFrame:
+    """(email_id, kind, key, span, source, confidence): people and organisations of the sender, the recipients and the subject, and ids of the subject, each key once a message, the first."""
+    lines = F.concat(F.array(F.coalesce("sender", F.lit(""))), F.split(F.coalesce("to_line", F.lit("")), ","), F.split(F.coalesce("cc_line", F.lit("")), ","))
+    bare = T.strip_reply_prefixes(F.col("subject"))
+    one = lambda kind, key, span, source: F.struct(kind.alias("kind"), key.alias("key"), span.alias("span"), F.lit(source).alias("source"))
+
+    def person(source: str):
+        return lambda x: F.array(one(F.lit("person"), T.addr_only(x), F.coalesce(M.display_name(x), T.addr_only(x)), source), one(F.lit("org"), T.normalize_name(T.org_from_domain(T.addr_only(x))), T.org_from_domain(T.addr_only(x)), source))
+
+    people = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(T.addr_only(x), F.lit("@"))), person("header")))
+    told = F.flatten(F.transform(T.find_addresses(bare), person("regex")))
+    ids = F.transform(T.find_ids(bare), lambda i: one(i.kind, T.normalize_id(i.id), i.id, "regex"))
+    rows = messages.select("email_id", F.posexplode(F.concat(people, told, ids)).alias("place", "m")).select("email_id", "place", "m.*").where("coalesce(key, '') != '' and span is not null")
+    first = Window.partitionBy("email_id", "kind", "key").orderBy("place")
+    return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "place").withColumn("confidence", F.lit(1.0))
+
+
 def resolve_entities(mentions: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """(kind, key, entity_id, rung) of each distinct mention: the known entity of that key, else of that alias, else a new one with a content id."""
     keys = mentions.select("kind", "key").distinct()

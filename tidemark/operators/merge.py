@@ -23,6 +23,17 @@ def replace_by_parent(old: DataFrame, new: DataFrame, parent: str) -> DataFrame:
     return old.join(new.select(parent).distinct(), parent, "left_anti").unionByName(new)
 
 
+def cascade(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The rows whose parent is still there, as after ``replace_by_parent``."""
+    return children.join(parents.select(key).distinct(), key, "left_semi")
+
+
+def insert_aliases(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases (entity_id, normalized_alias, alias): unknown ones are added, the first of each; blank ones never."""
+    some = new.where("trim(coalesce(normalized_alias, '')) != ''")
+    return insert_ignore(old, some, ["entity_id", "normalized_alias"], F.col("alias"))
+
+
 def upsert_vectors(old: DataFrame, new: DataFrame, key: str, *order: Column) -> DataFrame:
     """Keyed vectors (key, vec, dim): new ones replace old ones, empty ones are dropped."""
     some = new.where(F.size("vec") > 0).withColumn("dim", F.size("vec"))

@@ -140,3 +140,27 @@ def orphan_priors(log: DataFrame, rows: DataFrame) -> DataFrame:
     """The feedback whose sender has no message any more."""
     known = rows.select(T.addr_only(F.col("sender")).alias("_address")).distinct()
     return log.join(known, T.addr_only(F.col("sender")) == F.col("_address"), "left_anti")
+
+
+def listing(entities: DataFrame, aliases: DataFrame, kind: str | None = None, most: int = MOST_LISTED) -> DataFrame:
+    """(entity_id, salience, mentions, aliases, total, truncated): the most salient entities, of one kind where it is given, with their aliases."""
+    some = entities if kind is None else entities.where(F.col("kind") == kind)
+    total = F.broadcast(some.agg(F.count("*").alias("total")))  # one row
+    shown = some.orderBy(F.desc("salience"), F.desc("mentions"), "entity_id").limit(most)
+    names = aliases.join(shown.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    both = shown.join(names, "entity_id", "left").crossJoin(total)
+    return both.select("entity_id", "salience", "mentions", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "total", (F.col("total") > most).alias("truncated"))
+
+
+def agenda(events: DataFrame, proposals: DataFrame, now: Column, until: Column) -> DataFrame:
+    """(day, start, kind, title, confirmed, proposed): confirmed events (title, start) and suggested proposals (title, start, status) of a range in order of start, with the numbers of each by day."""
+    rows = events.select(F.lit("event").alias("kind"), "title", "start").unionByName(proposals.where("status = 'suggested'").select(F.lit("proposal").alias("kind"), "title", "start"))
+    rows = rows.where((F.col("start") >= now) & (F.col("start") <= until)).withColumn("day", F.to_date(F.timestamp_micros("start")))
+    per_day = rows.groupBy("day").agg(F.count_if(F.col("kind") == "event").alias("confirmed"), F.count_if(F.col("kind") == "proposal").alias("proposed"))
+    return rows.join(per_day, "day").orderBy("start", "kind", "title").select("day", "start", "kind", "title", "confirmed", "proposed")
+
+
+def events_by_day(events: DataFrame, zone: str) -> DataFrame:
+    """(week, day, n): events (start, all_day) by local day, those of whole days by the day in UTC; weeks begin on Monday."""
+    day = F.to_date(F.when(F.col("all_day"), F.timestamp_micros("start")).otherwise(F.from_utc_timestamp(F.timestamp_micros("start"), zone)))
+    return events.groupBy(F.to_date(F.date_trunc("week", day)).alias("week"), day.alias("day")).agg(F.count("*").alias("n"))

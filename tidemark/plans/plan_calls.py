@@ -6,8 +6,10 @@ import zoneinfo
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendars, intervals, resolution
+from tidemark.functions import text as T
+from tidemark.operators import calendars, chunking, graph, intervals, merge, resolution, serving
 from tidemark.plans import oracles as O
+from tidemark.plans.mail import _CASES, _SAL
 from tidemark.plans.registry import registry
 from tidemark.sources import views as V
 
@@ -158,3 +160,74 @@ def rung_counts(s, d):
     entities = one.where(number % 2 == 0).select(F.col("key").alias("entity_id"), "kind", "key", F.array().cast("array<float>").alias("vec"))
     aliases = one.where(number % 3 == 0).select("kind", "key", F.lit("case:0").alias("entity_id"))
     return resolution.rung_counts(resolution.resolve(m, entities, aliases, one.withColumn("vec", F.array().cast("array<float>"))))
+
+
+# days and listings
+
+
+@query(f"""select case when event_id % 10 = 0 then make_timestamp(s)::date else make_timestamp(s - 5 * {_H})::date end as day,
+  date_trunc('week', case when event_id % 10 = 0 then make_timestamp(s)::date else make_timestamp(s - 5 * {_H})::date end)::date as week, count(*) as n from busy group by all""", O._BUSY)
+def events_by_local_day(s, d):
+    return serving.events_by_day(_events(s, d), "Etc/GMT+5").select("day", "week", "n")
+
+
+@query(f"""select make_timestamp(start)::date as day, start, kind, title, count(*) filter (kind = 'event') over (partition by make_timestamp(start)::date) as confirmed, count(*) filter (kind = 'proposal') over (partition by make_timestamp(start)::date) as proposed
+  from (select 'event' as kind, 'event ' || event_type as title, s as start from busy join events using (event_id) union all select 'proposal', case when email_id % 3 = 0 then 'Event  ' || category || '.' else subject end,
+    epoch_us(received_at) + (email_id % 5) * {intervals.DAY} from msg where email_id % 11 <> 0) where start >= {_NOW} - 2 * {intervals.DAY} and start <= {_NOW} + {intervals.DAY}""", O._MSG, O._BUSY)
+def agenda_with_proposals(s, d):
+    now = V.messages(s, d).agg(F.unix_micros(F.max("received_at"))).first()[0] or 0
+    return serving.agenda(_events(s, d), _proposals(s, d), F.lit(now - 2 * intervals.DAY), F.lit(now + intervals.DAY))
+
+
+@query("""select entity_id, salience, mentions, coalesce(aliases, '') as aliases, (select count(*) from sal where kind = 'case') as total, (select count(*) > 25 from sal where kind = 'case') as truncated
+  from sal left join (select 'case:' || s_suppkey as entity_id, s_name as aliases from supplier where s_suppkey % 2 = 0) using (entity_id) where kind = 'case' order by salience desc, mentions desc, entity_id limit 25""", O._MEN, _CASES, _SAL)
+def list_entities(s, d):
+    m = V.mentions(s, d).where("kind in ('case', 'project')")
+    per = graph.salience(m).join(m.select("entity_id", "kind").distinct(), "entity_id")
+    names = V.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("case:"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("alias"))
+    return serving.listing(per, names, "case").withColumn("aliases", F.array_join("aliases", ","))
+
+
+_SENDER = "case when e % 9 = 0 then 'No-Reply <noreply@example.com>' when e % 9 = 1 then 'alerts@example.com' else sender end"
+
+
+@query(f"""select e as email_id, case when e % 9 = 0 then 'sender local-part matches no-reply pattern (noreply@...)' when e % 8 = 0 then 'Precedence header indicates bulk mail (Precedence: bulk)'
+  when e % 6 = 0 and e % 12 <> 0 then 'List-Unsubscribe present with no distinct reply-to address' when e % 9 = 1 and e % 6 = 0 then 'sender matches automated pattern (alerts@...) corroborated by bulk headers'
+  when e % 9 <> 1 and e % 6 <> 0 and e % 7 <> 0 then 'personal sender, no bulk headers' end as reason from (select email_id as e from msg)""", O._MSG)
+def no_reply_reasons(s, d):
+    e = F.col("email_id")
+    sender = F.when(e % 9 == 0, "No-Reply <noreply@example.com>").when(e % 9 == 1, "alerts@example.com").otherwise(F.col("sender"))
+    reason = T.no_reply_reason(sender, F.when(e % 8 == 0, "bulk"), e % 6 == 0, F.when(e % 7 == 0, "auto-generated"), F.when(e % 12 == 0, "Desk <desk@example.com>"))
+    return V.messages(s, d).select("email_id", reason.alias("reason"))
+
+
+@query("select level, count(*) as n, floor(100.0::double * count(*) / greatest((select count(*) from msg), 1) + 0.5)::bigint as percent, floor(100.0::double * (select count(*) from msg where is_no_reply) / greatest((select count(*) from msg), 1) + 0.5)::bigint as no_reply_percent from msg group by level", O._MSG)
+def level_and_no_reply_share(s, d):
+    m = V.messages(s, d)
+    all_ = F.broadcast(m.agg(F.count("*").alias("total"), F.count_if(F.coalesce("is_no_reply", F.lit(False))).alias("none")))  # one row
+    percent = lambda x: F.floor(100.0 * F.col(x) / F.greatest("total", F.lit(1)) + 0.5).cast("long")
+    return m.groupBy("level").agg(F.count("*").alias("n")).crossJoin(all_).select("level", "n", percent("n").alias("percent"), percent("none").alias("no_reply_percent"))
+
+
+_ADDR = "list_distinct(list_filter([sender, case when contains(coalesce(to_line, ''), 'owner@') then 'owner@example.com' end, case when contains(coalesce(to_line, ''), 'team@') then 'team@example.com' end, case when contains(lower(coalesce(cc_line, '')), 'owner@') then 'owner@example.com' end, case when contains(coalesce(cc_line, ''), 'other@') then 'other@example.com' end], lambda x: x is not null))"
+
+
+@query(f"""select email_id, 'person' as kind, unnest({_ADDR}) as key from msg union all select email_id, 'org', 'example' from msg
+  union all select email_id, 'person', 'ops@example.org' from msg where contains(subject, 'ops@example.org')
+  union all select email_id, case when string_split(span, '-')[1] = 'CS' or span like '#%' then 'case' else 'document' end, upper(regexp_replace(span, '[^A-Za-z0-9_]+', '', 'g'))
+   from (select email_id, unnest(list_filter([nullif(regexp_extract(subject, '\\b([A-Z]{{2,10}}-\\d{{1,6}}(-\\d{{1,6}})?)\\b', 1), ''), nullif(regexp_extract(subject, '(#\\d{{3,}})', 1), '')], lambda x: x is not null)) as span from msg)""", O._MSG)
+def header_mentions(s, d):
+    return chunking.header_mentions(V.messages(s, d)).select("email_id", "kind", "key")
+
+
+@query("select vec_id, label from embeddings where vec_id in (select doc_id from documents where doc_id % 3 <> 0)")
+def cascade(s, d):
+    """The vectors of the chunks that are left once one in three is replaced by nothing."""
+    return merge.cascade(V.table(s, d, "embeddings").withColumn("chunk_id", F.col("vec_id")), V.chunks(s, d).where("chunk_id % 3 != 0"), "chunk_id").select("vec_id", "label")
+
+
+@query("select o_custkey as entity_id, count(distinct o_orderpriority) as n from orders where o_custkey % 5 <> 0 group by o_custkey")
+def insert_aliases(s, d):
+    o = V.table(s, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.when(F.col("o_custkey") % 5 != 0, F.lower("o_orderpriority")).otherwise(" ").alias("normalized_alias"), F.col("o_orderpriority").alias("alias"))
+    old = merge.latest(o.where("entity_id % 5 != 0 and entity_id % 2 = 0"), ["entity_id", "normalized_alias"], F.col("alias"))
+    return merge.insert_aliases(old, o).groupBy("entity_id").agg(F.count("*").alias("n"))
