@@ -84,7 +84,11 @@ def graph_search(edges: DataFrame, mentions: DataFrame, salience_: DataFrame, an
     sal = salience_.select("entity_id", F.when(F.col("salience") == 0, 0.5).otherwise(F.col("salience")).alias("salience"))
     scored = of.join(sal, "entity_id").join(near, of.entity_id == near.start).select("anchor", "node", (F.col("salience") * F.col("score") / F.col("hop")).alias("score"))
     scored = scored.groupBy("anchor", "node").agg(F.max("score").alias("score"))
-    hits = scored.join(mentions.select("email_id", F.col("entity_id").alias("node")).distinct(), "node").where("email_id != anchor").groupBy("anchor", "email_id").agg(F.max("score").alias("score"))
+    # all messages of a node have the node's score and equal scores go by id, so of a node none but its first k messages beside the anchor can be among the k best
+    of_node = mentions.select("email_id", F.col("entity_id").alias("node")).distinct()
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("email_id"))
+    first = of_node.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
+    hits = scored.join(first, "node").where("email_id != anchor").groupBy("anchor", "email_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc(F.round("score", 6)), "email_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("anchor", "rank", "email_id", F.round("score", 6).alias("score"))
 

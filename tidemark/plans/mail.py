@@ -161,13 +161,13 @@ def emails_for_entity(s, d):
     return ntz(serving.emails_for_entity(_cases(s, d), V.messages(s, d)))
 
 
-@query("select src as entity_id, count(*) as n, round(sum(weight), 4) as weight from step group by src", O._MEN, O._EDGES)
+@query("select src as entity_id, count(*) as n, sum(round(weight * 1000000)::bigint)::bigint as millionths from step group by src", O._MEN, O._EDGES)
 def graph_lookups(s, d):
     from tidemark.plans.queries import _edges
 
     e = _edges(s, d)
     nodes = e.select(F.col("src").alias("entity_id")).unionByName(e.select(F.col("dst").alias("entity_id")))
-    return serving.touching(e, nodes).groupBy("entity_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    return serving.touching(e, nodes).groupBy("entity_id").agg(F.count("*").alias("n"), F.sum(F.round(F.col("weight") * 1_000_000).cast("long")).alias("millionths"))
 
 
 @query("select distinct needle, p_partkey as entity_id from (select distinct lower(string_split(p_type, ' ')[1]) as needle from part) join part on contains(lower(p_name), needle) or contains(lower(p_brand), needle) or contains(lower(p_type), needle)")
