@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -436,6 +437,54 @@ def test_pii_terms_that_reveal_an_entity(spark):
     assert pii.sanitise(docs(spark, []).limit(0)).count() == 0
 
 
+def entity_spans(t):
+    def bits(v):
+        return sum(v.count(c) * math.log2(len(v) / v.count(c)) for c in set(v))
+
+    secrets = [(m.start(), 4, m.end(), "secret") for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}", t) if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group()) and bits(m.group()) >= 64]
+    return sorted(base_spans(t) + secrets)
+
+
+def brute_pii(texts):
+    """All spans of every text, term spans by counting over all rows."""
+    name = lambda t, s: (s[3], re.sub("[^0-9]", "", t[s[0] : s[2]]) if s[3] in ("card", "phone") else t[s[0] : s[2]] if s[3] == "secret" else t[s[0] : s[2]].lower())
+    word = r"[^\W\d_]{4,}"
+    spans = [entity_spans(t) for t in texts]
+    held = [{name(t, s) for s in sp} for t, sp in zip(texts, spans)]
+    said = [{m.group().lower() for m in re.finditer(word, t)} for t in texts]
+    n, shares = len(texts), {}
+    for e in set().union(*held):
+        rows = [i for i in range(n) if e in held[i]]
+        if len({texts[i] for i in rows}) < 2 or len(rows) == n:
+            continue
+        for w in set().union(*(said[i] for i in rows)):
+            both = [i for i in rows if w in said[i]]
+            if len({texts[i] for i in both}) >= 2:
+                shares[e, w] = math.log(len(both) * n / (sum(w in x for x in said) * len(rows))) / math.log(n / len(rows))
+    out = []
+    for t, sp, es in zip(texts, spans, held):
+        clear = list(t)
+        for a, _, b, _ in sp:
+            clear[a:b] = "#" * (b - a)
+        terms = [(m.start(), 5, m.end(), "term") for m in re.finditer(word, "".join(clear)) if any(shares.get((e, m.group().lower()), 0) >= 0.9 - 1e-12 for e in es)]
+        out.append(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(sp + terms)))
+    return out
+
+
+def test_pii_all_spans_equal_brute_force(spark):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 8))) for _ in range(120)]
+    things = [f"u{i}@mail.org" for i in range(8)] + ["10.0.0.7", "+49 (30) 123456-78", "4539 1488 0343 6467", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a1" * 15, "Äpfelu1@mail.org"]
+    named = [f"{t} Owner{'abcdefghijklmn'[i]}" for i, t in enumerate(things)]
+    texts = [" ".join(rng.choice(rng.choice([things, named])) if rng.random() < 0.03 else rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))) for _ in range(150)]
+    texts += texts[:20] + ["", " ".join(things * 200), " ".join(things * 200) + " abcdefg", "hello secrets " + things[11]]
+    given = docs(spark, [*texts, None])
+    got = {r.doc_id: r for r in pii.sanitise(given).select("row.doc_id", pii.listed(F.col("spans")).alias("spans"), "sanitised").collect()}
+    want = brute_pii([*texts, ""])
+    assert [got[i].spans for i in range(len(want))] == want
+    assert sum("term:" in w for w in want) > 5 and got[len(texts) - 1].sanitised == "hello secrets [SECRET]"
+
+
 # URLs
 
 

@@ -91,8 +91,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.sanitise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("spans", lambda s: s.kind != "term")
-    return found.select("row.doc_id", *[count(k) for k in pii.KINDS], _sha(pii.listed(base)).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), _sha(F.col("sanitised")).alias("sanitised_sha256"))
+    return found.select("row.doc_id", *[count(k) for k in pii.KINDS], F.size("spans").cast("long").alias("n_spans"), _sha(pii.listed(F.col("base"))).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), _sha(F.col("sanitised")).alias("sanitised_sha256"))
 
 
 def url_entries(pages: DataFrame) -> DataFrame:
