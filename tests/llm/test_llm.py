@@ -7,9 +7,11 @@ import json
 import math
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tidemark.llm import bpe, chat, components, fingerprint, line_dedup, mixing, near_dup, pii, queries, top_k, toxicity, url_filter
 
@@ -561,6 +563,52 @@ def test_next_lower_in_levels(spark):
     assert {r.range: r.lower for r in found.collect()} == {b: a for a, b in zip([ids[-1], *ids], ids)}
 
 
+def inverted(fingerprint):
+    """The digests that a fingerprint gives back, by peeling its tables and reading its stash."""
+    number, _, rest = fingerprint.partition("-")
+    cells, _, stash = rest.partition(":")
+    cells = [int(c, 16) for c in cells.split("-")]
+    left, found = {int(d, 16) for d in stash.split("-")} if stash else set(), set()
+    checks = lambda k: [k >> 3 * j & 7 for j in range(4)]
+    for at in range(0, len(cells), 32):
+        table, own = cells[at : at + 32], set()
+        pending = True
+        while pending:
+            pure = {c for c in table if c and xxhash.xxh64_intdigest(struct.pack("<q", c & 0xFFFFFFFF), 42) & 0xFFFFFFFF == c >> 32}
+            pending = bool(pure)
+            for k in pure:
+                own.add(k)
+                for j, place in enumerate(checks(k)):
+                    table[8 * j + place] ^= k
+        if not any(table):
+            found |= own
+    assert len(found | left) == int(number, 16)
+    return found | left
+
+
+def test_likeness_follows_from_the_fingerprints_alone(spark):
+    rng = random.Random(3)
+    long = [prose(rng, 3) + "." for _ in range(900)]
+    texts = ["\n".join(long), "\n".join(long[:450] + [prose(rng, 3) for _ in range(30)]), "\n".join(long[5:25]), "", "\n".join(long[:450] + long[460:])]
+    df = docs(spark, texts)
+    rows = sorted(fingerprint.fingerprints(df, few_lines=None).select("row.doc_id", "fingerprint", "near_next").collect())
+    sets = [inverted(r.fingerprint) for r in rows]
+    for i, r in enumerate(rows):
+        a, b = sets[i], sets[i - 1]
+        assert abs(r.near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+    assert len(sets[0]) == len(set(long))
+
+
+def test_next_text_with_a_far_off_id(spark):
+    ids = [*range(2000), 10**15, -(10**12)]
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")
+    ranged = fingerprint._ranges(df.withColumn("rid", F.col("doc_id")), 16)
+    assert max(r["count"] for r in ranged.groupBy("range").count().collect()) <= 8 * 16
+    order = sorted(ids, reverse=True)
+    got = {int(r.text): int(r.next) for r in fingerprint.with_next(df, per_group=16).collect()}
+    assert got == {a: b for a, b in zip(order, [*order[1:], order[0]])}
+
+
 # the pipeline
 
 

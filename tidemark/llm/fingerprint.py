@@ -6,9 +6,13 @@ and two texts on either side of it have little in common even where they are equ
 cells; a cell is the XOR of what it holds. Subtracting (XOR again) the cells of two versions leaves the digests that only one of them has. Peeling takes
 those that are alone in a cell (their check value proves it), removes them from their other cells, and so on until the cells are empty.
 
-The fingerprint is one table of 32 cells, whatever the text's length, written as text. A comparison tries these first; when peeling gets stuck it retries with a larger
-table of both texts, dealt by further digest bits into 2^i tables for about six digests each of both texts together, then twice and four times that.
-Stuck even then, the digests are compared as they are. With d differing digests the likeness of two texts of a and b digests is (a + b - d) / (a + b + d), the Jaccard
+The fingerprint of a text is such a table of 32 cells for about every ``OWN`` of its digests, dealt by further digest bits, and written as text behind their number. It can always be inverted: each table is peeled as soon as it
+is made, and the digests of one that gets stuck follow the cells as a stash. So all digests of a text come back from its fingerprint (``tests`` do that), its tables fold by XOR into one,
+and what a comparison says is a function of the two fingerprints alone.
+
+A comparison first subtracts the two fingerprints folded to one table each, which gives back up to about 24 differing digests; when peeling gets stuck it retries with the digests of both in
+2^i tables of about ``LOAD`` digests of both texts together, then twice and four times that. Stuck even then, the digests that both fingerprints give back are compared as they are.
+With d differing digests the likeness of two texts of a and b digests is (a + b - d) / (a + b + d), the Jaccard
 similarity of their paragraph sets; 1 for two texts without paragraphs.
 
 Defined cases: null text counts as empty; a paragraph of white space alone doesn't count; repeated paragraphs count once; equal texts have equal
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASHES, CELLS, LOAD, ROUNDS = 4, 8, 6, 10
+HASHES, CELLS, LOAD, OWN, ROUNDS = 4, 8, 6, 12, 10
 FEW_LINES = 4
 #: Characters of which alone no paragraph is made.
 _BLANK = " \t\r\f\v"
@@ -83,35 +87,36 @@ def _part(keys: Column, mask: Column, at: Column) -> Column:
     return F.filter(keys, lambda k: F.shiftrightunsigned(k, 3 * HASHES).bitwiseAND(mask) == at)
 
 
-def _difference(a: Column, b: Column, tables: Column) -> Column:
-    """Differing digests of two texts by ``tables`` (a power of two) tables each, or null when one of them got stuck.
+def _tables_for(n: Column, load: int) -> Column:
+    """The least power of two of tables that holds ``n`` digests at ``load`` a table."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n / load, F.lit(1.0))))).cast("int")
+
 
-    Digests are dealt in two steps, first to about sqrt(tables) groups, so that long texts don't cost their length squared.
+def dealt(keys: Column, tables: Column) -> Column:
+    """The digests of each of ``tables`` (a power of two) tables.
+
+    They are dealt in two steps, first to about sqrt(tables) groups, so that long texts don't cost their length squared.
     """
     groups = F.pow(F.lit(2), F.floor(F.log2(tables) / 2)).cast("long")
     # bound once here: what a lambda only refers to would be computed again for each element
-    bound = F.struct(a.alias("a"), b.alias("b"), tables.cast("long").alias("tables"), groups.alias("groups"))
+    bound = F.struct(keys.alias("keys"), (tables.cast("long") - 1).alias("tmask"), groups.alias("groups"))
 
-    def all_(p: Column) -> Column:
-        masked = F.array(F.struct((p.tables - 1).alias("tmask"), (p.groups - 1).alias("gmask")))
-        return F.transform(masked, lambda m: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), m.gmask), lambda g: of_group(p, m, g))))[0]
+    def of_group(p: Column, g: Column) -> Column:
+        return F.transform(F.array(_part(p.keys, p.groups - 1, g)), lambda ks: F.transform(F.sequence(g, p.tmask, p.groups), lambda t: _part(ks, p.tmask, t)))[0]
 
-    def of_group(p: Column, m: Column, g: Column) -> Column:
-        pair = F.array(F.struct(_part(p.a, m.gmask, g).alias("a"), _part(p.b, m.gmask, g).alias("b")))
-        return F.transform(pair, lambda q: F.transform(F.sequence(g, m.tmask, p.groups), lambda t: of_table(q, m, t)))[0]
+    return F.transform(F.array(bound), lambda p: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), p.groups - 1), lambda g: of_group(p, g))))[0]
 
-    def of_table(q: Column, m: Column, t: Column) -> Column:
-        pair = F.array(F.struct(_part(q.a, m.tmask, t).alias("a"), _part(q.b, m.tmask, t).alias("b")))
-        return F.transform(pair, lambda r: _peel(_less(table(r.a), table(r.b))))[0]
 
-    found = F.transform(F.array(bound), all_)[0]
-    return F.aggregate(found, F.lit(0), lambda x, d: x + d)
+def _difference(a: Column, b: Column, tables: Column) -> Column:
+    """Differing digests of two texts by ``tables`` tables each, or null when one of them got stuck."""
+    pairs = F.zip_with(dealt(a, tables), dealt(b, tables), lambda x, y: _less(table(x), table(y)))
+    return F.aggregate(F.transform(pairs, _peel), F.lit(0), lambda x, d: x + d)
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
-    """Likeness of two fingerprints (``cells_*``), with the digests ``a`` and ``b`` at hand for retries."""
+    """Likeness of two fingerprints, from them folded to one table each (``cells_*``) and, for retries, from the digests ``a`` and ``b`` that they give back."""
     both = F.size(a) + F.size(b)
-    most = F.greatest(F.pow(F.lit(2), F.ceil(F.log2(F.greatest(both, F.lit(1)) / LOAD))).cast("int"), F.lit(1))
+    most = _tables_for(both, LOAD)
     # 24 differing digests are the most that 32 cells can give back; texts whose sizes differ by more need no first try
     first = F.when(F.abs(F.size(a) - F.size(b)) <= 24, _peel(_less(cells_a, cells_b)))
     retries = [_difference(a, b, F.least(most * i, F.lit(1 << 20))) for i in (1, 2, 4)]
@@ -120,22 +125,28 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - d).cast("double") / (both + d))
 
 
-def as_text(keys: Column, cells: Column) -> Column:
-    """Number of digests and the cells, in hexadecimal."""
-    return F.lower(F.concat_ws("-", F.hex(F.size(keys)), F.array_join(F.transform(cells, lambda c: F.hex(c)), "-")))
+def as_text(keys: Column) -> Column:
+    """Number of digests and the cells of all tables, in hexadecimal, with the digests of tables that get stuck after a colon."""
+    cells = F.transform(dealt(keys, _tables_for(F.size(keys), OWN)), lambda ks: F.struct(ks.alias("keys"), table(ks).alias("cells")))
+    checked = F.transform(cells, lambda t: F.struct(t.cells.alias("cells"), F.when(_peel(t.cells).isNull(), t["keys"]).otherwise(F.array().cast("array<bigint>")).alias("stash")))
+    hexes = lambda xs: F.array_join(F.transform(xs, lambda c: F.hex(c)), "-")
+
+    def shown(ts: Column) -> Column:
+        stash = F.flatten(F.transform(ts, lambda t: t.stash))
+        return F.concat(hexes(F.flatten(F.transform(ts, lambda t: t.cells))), F.when(F.size(stash) > 0, F.concat(F.lit(":"), hexes(stash))).otherwise(F.lit("")))
+
+    return F.lower(F.concat(F.hex(F.size(keys)), F.lit("-"), F.transform(F.array(checked), shown)[0]))
 
 
 def with_next(docs: DataFrame, per_group: int = 512) -> DataFrame:
     """(row, text, next): every row of ``docs`` (doc_id, text), its text apart from its other columns and empty for null, with the text after it in descending order of doc_id, the first after the last.
 
-    Ids are cut into ranges for about ``per_group`` rows; text is shuffled once, by range, and looks ahead inside it. Only the last row of each range
+    Ids are cut into ranges for about ``per_group`` rows (``_ranges``); text is shuffled once, by range, and looks ahead inside it. Only the last row of each range
     takes its next from the first row of the nearest range below. Ties are taken in order of text; null ids come last.
     """
     rid = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"), rid.alias("rid"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    size = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).first()
-    width = max(1, ((size["hi"] or 0) - (size["lo"] or 0) + 1) * per_group // max(1, size["n"]))
-    rows = rows.withColumn("range", F.floor((F.greatest("rid", F.lit(size["lo"] or 0) - 1) - F.lit(size["lo"] or 0)) / F.lit(width)).cast("long"))
+    rows = _ranges(rows, per_group)
     w = Window.partitionBy("range").orderBy(F.desc("rid"), "text")
     inside = rows.withColumn("ahead", F.lead("text").over(w))
     # one row a range: its first text, for the last row of the range above; the ranges are broadcast only when counted to be few
@@ -147,6 +158,24 @@ def with_next(docs: DataFrame, per_group: int = 512) -> DataFrame:
     return inside.join(heads, "range").select("row", "text", F.coalesce("ahead", "head").alias("next"))
 
 
+def _ranges(rows: DataFrame, per_group: int, levels: int = 8) -> DataFrame:
+    """``rows`` with ``range``, the least id that the row's range may have. Ranges are of equal width at first; one that holds many more rows than meant is cut again between its own ends, so a few far-off ids don't leave the others in one range."""
+    size = rows.where("rid > -9223372036854775808").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).first()
+    low = (size["lo"] or 0) - 1  # of null ids
+    at = F.greatest("rid", F.lit(low))
+    width = max(1, ((size["hi"] or 0) - low + 1) * per_group // max(1, size["n"]))
+    rows = rows.withColumn("range", at - F.pmod(at - low, F.lit(width)))
+    for _ in range(levels):
+        held = rows.groupBy("range").agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+        wide = held.where((F.col("n") > 8 * per_group) & (F.col("hi") > F.col("lo"))).select("range", "lo", F.greatest(F.lit(1).cast("long"), ((F.col("hi") - F.col("lo") + 1) / F.col("n") * per_group).cast("long")).alias("width"))
+        many = wide.limit(_FEW + 1).count()
+        if not many:
+            break
+        cut = rows.join(F.broadcast(wide) if many <= _FEW else wide, "range", "left")
+        rows = cut.withColumn("range", F.when(F.col("width").isNull(), F.col("range")).otherwise(at - F.pmod(at - F.col("lo"), F.col("width")))).drop("lo", "width")
+    return rows
+
+
 def _next_lower(keys: DataFrame, few: int = 10_000) -> DataFrame:
     """(range, lower): for each distinct key the next lower one, for the least the greatest. Keys meet in groups of neighbours, level by level."""
     ends = keys.agg(F.min("range").alias("lo"), F.max("range").alias("hi"), F.count("*").alias("n")).first()
@@ -176,4 +205,4 @@ def fingerprints(docs: DataFrame, few_lines: int | None = FEW_LINES) -> DataFram
     keyed = rows.select("row", F.length("text").cast("long").alias("n_chars"), "edited_text", *[digests(F.col(c), few_lines).alias(k) for c, k in (("text", "own"), ("edited_text", "changed"), ("next", "other"))])
     tabled = keyed.select("*", *[table(F.col(c)).alias(f"{c}_cells") for c in ("own", "changed", "other")])
     near = lambda c: likeness(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells"))
-    return tabled.select("row", "n_chars", "edited_text", as_text(F.col("own"), F.col("own_cells")).alias("fingerprint"), as_text(F.col("changed"), F.col("changed_cells")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))
+    return tabled.select("row", "n_chars", "edited_text", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))
