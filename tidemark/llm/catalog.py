@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": q.op8_pii,
     "op9_url_filter": q.op9_url_filter,
     "op10_fingerprint": q.op10_fingerprint,
+    "op11_packing": q.op11_packing,
+    "op12_periodic": q.op12_periodic,
+    "op13_alignment": q.op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL:

@@ -7,19 +7,29 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, fingerprint, line_dedup, mixing, near_dup, pii, top_k, toxicity, url_filter
+from tidemark.llm import alignment, bpe, chat, fingerprint, line_dedup, mixing, near_dup, packing, periodic, pii, top_k, toxicity, url_filter
 
 #: The vocabulary file; set to use another place.
 TOKENIZER = os.environ.get("TIDEMARK_TOKENIZER", "")
 TOXIC_FROM = 0.3
 
 
-def tokenizer_path() -> str:
-    if TOKENIZER:
-        return TOKENIZER
+#: The two vocabulary files that are aligned; set to use other places.
+BYTE_TOKENIZER = os.environ.get("TIDEMARK_BYTE_TOKENIZER", "")
+PIECE_TOKENIZER = os.environ.get("TIDEMARK_PIECE_TOKENIZER", "")
+WINDOW = 2048
+
+
+def _vocabulary(found: str, name: str) -> str:
+    if found:
+        return found
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def tokenizer_path() -> str:
+    return _vocabulary(TOKENIZER, "word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,3 +129,56 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprint.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"), few_lines=None)
     return made.select("row.doc_id", "n_chars", _sha(F.col("edited_text")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), bpe.load(tokenizer_path()), size=WINDOW)
+    return packed.select("row.doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+_WORD_GAP = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of one document in ten, told by a hash of doc_id, the words from some place on repeat the words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + (i - a) % p + 1).cast("int")))), " ")
+
+    # the words are named once, as an element of an array, so that the inner expressions don't split the text again
+    words = F.array(F.filter(F.split("text", _WORD_GAP), lambda w: w != ""))
+    changed = F.element_at(F.transform(words, lambda ws: F.when(F.size(ws) > 0, planted(ws))), 1)
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(with_planted_runs(_table(spark, sf_dir, "documents")))
+    # greatest length, then smallest start, then period
+    most = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return found.withColumn("most", most).select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("most.start")).alias("start"),
+        F.col("most.length").alias("length"),
+        (-F.col("most.period")).alias("period"),
+        F.floor(-1000 * F.col("most.length") / F.col("most.period")).cast("long").alias("exponent_milli"),
+        _sha(said).alias("runs_sha256"),
+        _sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = bpe.load(_vocabulary(BYTE_TOKENIZER, "byte_bpe_50k.json"))
+    with open(_vocabulary(PIECE_TOKENIZER, "piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    aligned = alignment.align(_table(spark, sf_dir, "documents").select("doc_id", "text"), spec, model)
+    # texts without tokens have no groups
+    digest = F.when(F.col("groups") == "", "").otherwise(_sha(F.col("groups"))).alias("groups_sha256")
+    counted = alignment.count_links(aligned.select("row.doc_id", "n_a", "n_b", "n_groups", digest, "block", "at", "runs"), spec)
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
