@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe
+from tidemark.llm.merges import Speller
 from tidemark.llm.scratch import small_batches
 
 Piece = tuple  # (row, start in the document's ids, ids, number of the document's ids)
@@ -132,12 +133,12 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, size: int = 2048, most_ope
     ``spec``: the vocabulary file's text (``bpe.load``). ``end_id`` follows the ids of every document.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(bpe._automaton(spec))
+    shared = docs.sparkSession.sparkContext.broadcast((bpe._automaton(spec), spec))
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, packer = shared.value, Packer(size, most_open)
+        speller, packer = Speller(*shared.value), Packer(size, most_open)
         number = TaskContext.get().partitionId() << 40
         out: list[tuple] = []
 
@@ -157,12 +158,13 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, size: int = 2048, most_ope
             return pa.RecordBatch.from_arrays([pa.concat_arrays(rows), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            rows = batch.column("row")
-            for i, text in enumerate(batch.column("text")):
-                ids = np.frombuffer(automaton.spell(text.as_py() or "") + end, "<u4")
-                filled(packer.add(rows.take(pa.array([i])), ids))
-                if len(out) >= 1024:
-                    yield flush()
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = part.column("row")
+                for i, ids in enumerate(speller.spell([text or "" for text in part.column("text").to_pylist()])):
+                    filled(packer.add(rows.take(pa.array([i])), np.frombuffer(ids + end, "<u4")))
+                    if len(out) >= 1024:
+                        yield flush()
         filled(packer.close())
         if out:
             yield flush()
