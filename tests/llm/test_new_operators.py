@@ -11,6 +11,7 @@ from itertools import accumulate
 import numpy as np
 import pytest
 from tidemark.llm import alignment, bpe, packing, periodic, queries
+from tidemark.llm.merges import Speller
 
 DOCS = "doc_id bigint, text string, row string, length int, ids int"
 
@@ -39,6 +40,14 @@ def library_ids(texts):
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
+def test_speller_equals_the_library(spec):
+    rng = random.Random(6)
+    texts = [t or "" for t in odd_texts(rng)] + ["Straße ÀÉ Σας ΣΑΣ don't WE'LL", "a<|endoftext|>b", "x" * 300, "aaa aaaa aaaaa", "é É"]
+    speller = Speller(bpe._automaton(spec), spec)
+    for _ in range(2):
+        assert [[*np.frombuffer(x, "<i4").tolist(), 1] for x in speller.spell(texts)] == library_ids(texts)
+
+
 def check_packed(rows, ids_of, size):
     """Each id in one piece, sequences gapless, and padding only where a sequence is no power of two."""
     by_doc, by_sequence = defaultdict(list), defaultdict(list)

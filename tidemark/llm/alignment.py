@@ -26,45 +26,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import bpe
+from tidemark.llm.merges import Merges
 from tidemark.llm.scratch import save, small_batches
 
 RADIX = 64  # runs a block
 _AT_BITS = 20  # for the number of a document in its block
 _FRAME = 8192  # entries of a run that are read at once
-_KEPT = 200_000  # parts of texts that a worker remembers
+_KEPT = 120_000  # parts of texts that a worker remembers
 _LONG = 64  # characters; longer parts are not remembered
 #: A space between two characters that aren't white space.
 _BETWEEN = re.compile(r" (?<=\S )(?=\S)")
+_OTHER = re.compile(r"[^\S \n]")
+
+
+#: Fixed value: how the byte-level vocabulary cuts words, white space and letters in ASCII ranges; parts in other letters than Latin-1 are left to the library.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\xa0\p{L}\p{N}]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 
 
 class ByteSide:
-    """A byte-level BPE of the tokenizers library, read with a space before the text; strings of special tokens are plain text."""
+    """A byte-level BPE of a tokenizers JSON file, read with a space before the text; strings of special tokens are plain text."""
 
     def __init__(self, spec: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        self.spec, self.library = spec, None
         said = json.loads(spec)
+        model = said["model"]
         # the bytes that stand for themselves in a byte-level vocabulary; the others are written as the code points from 256 on, in order
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-        size = max(said["model"]["vocab"].values()) + 1
-        self.bytes = [b""] * size
-        for token, k in said["model"]["vocab"].items():
+        self.bytes = [b""] * (max(model["vocab"].values()) + 1)
+        for token, k in model["vocab"].items():
             self.bytes[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         before = said.get("pre_tokenizer") or {}
         self.splits = said.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        usual = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+        self.merges = Merges(model) if self.splits and all(model.get(k) == v for k, v in usual.items()) else None
+
+    def _by_library(self, parts: list[str]) -> list[bytes]:
+        if self.library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.spec)
+            self.library.encode_special_tokens = True
+        return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Ids (int32) of each part with a space before it."""
+        words: dict[str, int] = {}
+        cut: list[list[int] | None] = []
+        for p in parts:
+            if self.merges is None or not (ascii_ := p.isascii()) and not bpe._latin(p) or len(p) > _LONG:
+                cut.append(None)
+            elif p.isalpha():
+                cut.append([words.setdefault(" " + p, len(words))])
+            else:
+                cut.append([words.setdefault(w, len(words)) for w in (_ASCII_WORDS if ascii_ else _LATIN_WORDS).findall(" " + p)])
+        ids: list[bytes] = []
+        told = [w.encode() for w in words]
+        for at in range(0, len(told), 4096):
+            ids += self.merges.encode(told[at : at + 4096])
+        left = iter(self._by_library([p for p, c in zip(parts, cut, strict=True) if c is None]) if None in cut else ())
+        return [next(left) if c is None else ids[c[0]] if len(c) == 1 else b"".join([ids[w] for w in c]) for c in cut]
 
 
 class PieceSide:
@@ -82,6 +113,13 @@ class PieceSide:
         return self.model.encode(parts, num_threads=1)
 
 
+def _parts(text: str) -> list[str]:
+    """A text cut at the spaces between two characters that aren't white space."""
+    if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _OTHER.search(text):
+        return _BETWEEN.split(text)
+    return text.split(" ")
+
+
 class Aligner:
     """Tokens, groups and links of texts. A link is a number: the second side's id, dealt by radix, above the first side's id."""
 
@@ -92,43 +130,60 @@ class Aligner:
         self.share = -(-len(b.bytes) // RADIX)  # ids of the second side a radix
         if (self.share * RADIX).bit_length() + self.a_bits + _AT_BITS > 64:
             raise ValueError("vocabularies too large for 64-bit records")
-        self.a_sizes, self.b_sizes = [len(x) for x in a.bytes], [len(x) for x in b.bytes]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side.bytes]) for side in (a, b))
+        # how a token is written inside a group, at its end, and (second side) at the end of a part
+        self.said = [f"{k}{end}" for side, ends in ((a, ",|"), (b, (",", ";", ""))) for end in ends for k in range(len(side.bytes))]
         self.known: dict[str, tuple | None] = {}
 
-    def _part(self, text: str, a: list[int], b: list[int]) -> tuple | None:
-        whole = b" " + text.encode()
-        if b"".join([self.a.bytes[t] for t in a]) != whole or b"".join([self.b.bytes[t] for t in b]) != whole:
-            return None
-        groups, links = [], []
-        i = j = from_i = from_j = at_a = at_b = 0
-        while i < len(a):
-            at_a += self.a_sizes[a[i]]
-            i += 1
-            while at_b < at_a:
-                at_b += self.b_sizes[b[j]]
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                last = b[j - 1]
-                links.append((last % RADIX * self.share + last // RADIX) << self.a_bits | a[i - 1])
-                from_i, from_j = i, j
-        return len(a), len(b), ";".join(groups), struct.pack(f"<{len(links)}Q", *links)
+    def _read(self, parts: list[str]) -> dict[str, tuple | None]:
+        """(tokens of both sides, groups, links) of parts, looked at together."""
+        whole = [b" " + p.encode() for p in parts]
+        a_ids, b_ids = self.a.encode(parts), self.b.encode(parts)
+        a, b = np.frombuffer(b"".join(a_ids), "<i4"), np.array([t for x in b_ids for t in x], np.int32)
+        expected = b"".join(whole)
+        if b"".join([self.a.bytes[t] for t in a.tolist()]) != expected or b"".join([self.b.bytes[t] for t in b.tolist()]) != expected:
+            same = lambda side, ids, text: b"".join([side.bytes[t] for t in ids]) == text
+            good = [same(self.a, np.frombuffer(x, "<i4").tolist(), w) and same(self.b, y, w) for x, y, w in zip(a_ids, b_ids, whole, strict=True)]
+            return dict.fromkeys(parts) | (self._read(some) if (some := [p for p, g in zip(parts, good, strict=True) if g]) else {})
+        ends = np.cumsum([len(w) for w in whole])
+        a_end, b_end = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        shared = np.intersect1d(a_end, b_end, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_end, shared), np.searchsorted(b_end, shared)
+        id_b = b[b_last].astype(np.uint64)
+        links = (id_b % RADIX * self.share + id_b // RADIX) << np.uint64(self.a_bits) | a[a_last].astype(np.uint64)
+        a_code, b_code = a.astype(np.int64), b.astype(np.int64) + 2 * len(self.a_sizes)
+        a_code[a_last] += len(self.a_sizes)
+        b_code[b_last] += len(self.b_sizes)
+        b_code[np.searchsorted(b_end, ends)] += len(self.b_sizes)
+        # the first side of a group, then the second
+        order = np.argsort(np.concatenate([2 * np.searchsorted(shared, a_end), 2 * np.searchsorted(shared, b_end) + 1]), kind="stable")
+        said = self.said
+        written = [said[c] for c in np.concatenate([a_code, b_code])[order].tolist()]
+        n_a, n_b = [len(x) // 4 for x in a_ids], [len(x) for x in b_ids]
+        to = np.cumsum(np.add(n_a, n_b)).tolist()
+        link_to = (8 * np.searchsorted(shared, ends, "right")).tolist()
+        data, out, at, link_at = links.astype("<u8").tobytes(), {}, 0, 0
+        for p, i, j, end, link_end in zip(parts, n_a, n_b, to, link_to, strict=True):
+            out[p] = (i, j, "".join(written[at:end]), data[link_at:link_end])
+            at, link_at = end, link_end
+        return out
 
     def read(self, texts: list[str]) -> Iterator[tuple[int, int, str, bytes]]:
         """Of each text the number of tokens of both sides, the groups and the links."""
-        split = [(_BETWEEN.split(t) if self.splits else [t]) if t else [] for t in texts]
+        split = [(_parts(t) if self.splits else [t]) if t else [] for t in texts]
         if len(self.known) > _KEPT:
             self.known.clear()
         here = self.known
         new = list({p for parts in split for p in parts if p not in here})
-        for p, a, b in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            here[p] = self._part(p, a, b)
+        for at in range(0, len(new), 8192):
+            here.update(self._read(new[at : at + 8192]))
         for parts in split:
             found = [here[p] for p in parts]
             if not found or None in found:
                 yield 0, 0, "", b""
             else:
-                yield sum([f[0] for f in found]), sum([f[1] for f in found]), ";".join([f[2] for f in found]), b"".join([f[3] for f in found])
+                n_a, n_b, groups, links = zip(*found, strict=True)
+                yield sum(n_a), sum(n_b), ";".join(groups), b"".join(links)
         for p in new:
             if len(p) > _LONG:
                 del here[p]
@@ -204,7 +259,7 @@ def _together(streams: Iterator[tuple[np.ndarray, np.ndarray]]) -> bytes:
     return _run(np.concatenate([k for k, _ in both]), np.concatenate([c for _, c in both]))
 
 
-def align(docs: DataFrame, byte_spec: str, piece_model: bytes, most_links: int = 1 << 20) -> DataFrame:
+def align(docs: DataFrame, byte_spec: str, piece_model: bytes, most_links: int = 1 << 19) -> DataFrame:
     """A row a document: ``row`` (its other columns), ``n_a``, ``n_b``, ``n_groups``, ``groups`` (``a1,a2|b1;a3|b2``) and, for ``count_links``, ``block``, ``at`` and ``runs``.
 
     ``byte_spec``, ``piece_model``: what the two vocabulary files hold; they are broadcast, some MB whatever the data. ``most_links``: links a block, about.
