@@ -1,7 +1,7 @@
 """Byte-pair encoding of many words at once, on whole arrays.
 
 Every round merges in each word its pair of lowest rank, the leftmost of equal ones, until no word has a pair left: what the merges prescribe, one merge a word and round. Ranks of pairs come from a sorted
-table. ``Speller`` encodes batches of texts with it: words and the pieces between white space that were met before are looked up, new ones of a batch are encoded together.
+table. ``Speller`` encodes batches of texts with it: the distinct pieces between white space of a batch are looked up, and the words of new ones are encoded together.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tidemark.llm.bpe import LONGEST_KEPT, Automaton, _latin
 
@@ -85,11 +87,11 @@ class Merges:
 
 
 class Speller:
-    """Ids of batches of texts, equal to those of ``automaton``, which reads the texts with special tokens, long words and rare kinds of white space itself."""
+    """Ids of batches of texts, equal to those of ``automaton``, which reads the pieces with special tokens and long words itself."""
 
     def __init__(self, automaton: Automaton, spec: str):
         self.automaton, self.merges = automaton, Merges(json.loads(spec)["model"])
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
 
     def _split(self, piece: str) -> list[str]:
@@ -102,35 +104,41 @@ class Speller:
         piece = unicodedata.normalize("NFC", piece)
         return a.splits.findall(piece.lower() if "Σ" not in piece else "".join(map(str.lower, piece)))
 
-    def spell(self, texts: list[str]) -> list[bytes]:
-        a = self.automaton
-        odd = [any(c in t for c in "\x1c\x1d\x1e\x1f") or bool(a.special_pattern and "<" in t and a.special_pattern.search(t)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        if len(self.pieces) > _PIECES:
-            self.pieces.clear()
-        if len(self.words) > _WORDS:
-            self.words.clear()
-        pieces, words = self.pieces, self.words
-        known = [list(map(pieces.get, x)) for x in split]
-        new = {p: self._split(p) for p in {p for x, got in zip(split, known, strict=True) if None in got for p, ids in zip(x, got, strict=True) if ids is None}}
-        unknown = list({w for ws in new.values() for w in ws} - words.keys())
+    def _read(self, new: list[str]) -> None:
+        """Adds pieces that were not met before."""
+        a, words = self.automaton, self.words
+        odd = [bool(a.special_pattern and "<" in p and a.special_pattern.search(p)) for p in new]
+        cut = [[] if o else self._split(p) for p, o in zip(new, odd, strict=True)]
+        unknown = list({w for ws in cut for w in ws} - words.keys())
         short = [w for w in unknown if len(w) <= LONGEST_KEPT]
         for at in range(0, len(short), 4096):
             some = short[at : at + 4096]
             words.update(zip(some, self.merges.encode([w.encode() for w in some]), strict=True))
         long = [w for w in unknown if len(w) > LONGEST_KEPT]
         words.update((w, a.encode_word(w)) for w in long)
-        for p, ws in new.items():
-            pieces[p] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        out = []
-        for t, o, x, got in zip(texts, odd, split, known, strict=True):
-            if o:
-                out.append(a.spell(t))
-            else:
-                out.append(b"".join(got if None not in got else [pieces[p] if ids is None else ids for p, ids in zip(x, got, strict=True)]))
+        for p, o, ws in zip(new, odd, cut, strict=True):
+            self.pieces[p] = a.spell(p) if o else words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
         for w in long:
             del words[w]
+
+    def spell(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts`` (strings without null), and where each text's end. Texts are cut at ASCII white space, which no word goes over; each distinct piece is looked up once."""
+        if len(self.pieces) > _PIECES:
+            self.pieces = {"": b""}
+        if len(self.words) > _WORDS:
+            self.words = {}
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        codes, said = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
+        new = [p for p, ids in zip(said, map(self.pieces.get, said), strict=True) if ids is None]
+        self._read(new)
+        found = [self.pieces[p] for p in said]
         for p in new:
             if len(p) > LONGEST_KEPT:
-                del pieces[p]
-        return out
+                del self.pieces[p]
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        data, starts = np.frombuffer(b"".join(found), "<i4"), np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = data[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum(np.asarray(parts.value_lengths()))]

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe
 from tidemark.llm.merges import Speller
 from tidemark.llm.scratch import small_batches
+from tidemark.llm.words import runs, utf8
+
+_PART = 1 << 22  # bytes of text encoded together
 
 Piece = tuple  # (row, start in the document's ids, ids, number of the document's ids)
 
@@ -135,7 +139,7 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, size: int = 2048, most_ope
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((bpe._automaton(spec), spec))
     row = F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<i4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller, packer = Speller(*shared.value), Packer(size, most_open)
@@ -158,11 +162,13 @@ def pack(docs: DataFrame, spec: str, end_id: int = 1, size: int = 2048, most_ope
             return pa.RecordBatch.from_arrays([pa.concat_arrays(rows), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["row", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = part.column("row")
-                for i, ids in enumerate(speller.spell([text or "" for text in part.column("text").to_pylist()])):
-                    filled(packer.add(rows.take(pa.array([i])), np.frombuffer(ids + end, "<u4")))
+            texts = pc.fill_null(batch.column("text"), "")
+            _, offsets = utf8(texts)
+            for low, high in runs(offsets, _PART):
+                rows = batch.column("row").slice(low, high - low)
+                ids, ends = speller.spell(texts.slice(low, high - low))
+                for i, (start, to) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                    filled(packer.add(rows.take(pa.array([i])), np.append(ids[start:to], end).astype("<u4")))
                     if len(out) >= 1024:
                         yield flush()
         filled(packer.close())
