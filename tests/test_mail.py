@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import text as T
 from tidemark.operators import briefs, calendars, graph, intervals, merge, queue, resolution, stages
@@ -14,58 +16,104 @@ from tidemark.sources.messages import parse_busy, parse_calendar, read_messages
 KEYED = "kind string, key string, span string, place bigint, vec array<float>"
 
 
-def greedy(rows, entities, aliases, bar, low):
-    """One key after the other, as the order of mentions says; new entities are seen by later keys."""
-    out, led = {}, []
+def one_after_the_other(rows, entities, aliases, vectors, bar, low):
+    """Every mention in order, with what the ones before it have left in dicts."""
     cos = lambda x, y: round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 6)
     inside = lambda a, b: len(a) >= 4 and len(a.split()) < len(b.split()) and f" {' '.join(a.split())} " in f" {' '.join(b.split())} "
-    for kind, key, span, _, vec in sorted(rows, key=lambda r: r[3]):
-        if (kind, key) in out:
-            continue
-        exact = [e for e, k, name, _ in entities if (k, name) == (kind, key)]
-        alias = [e for k, name, e in aliases if k == kind and name in (key, span.strip().lower())]
-        if exact or alias:
-            out[kind, key] = (exact or alias)[0]
-            continue
-        found = []
-        if kind not in resolution.NO_VECTOR:
-            for group in (entities, led):
-                near = [(cos(vec, v), e, n) for n, (e, k, name, v) in enumerate(group) if k == kind and len(v) == len(vec) and len(vec)]
-                names = {e: name for e, _, name, _ in group}
-                near = [(c, e, n) for c, e, n in near if c >= (low if inside(key, names[e]) or inside(names[e], key) else bar)]
-                if near:
-                    best = max(c for c, _, _ in near)
-                    same = [(n, e) if group is led else (e, e) for c, e, n in near if c == best]
-                    found = [min(same)[1]]
-                    break
-        if found:
-            out[kind, key] = found[0]
+    keys = {(k, name): e for e, k, name, _ in entities}
+    own_key = {e: name for e, _, name, _ in entities}
+    claims = {}
+    for k, name, e in sorted(aliases, key=lambda a: a[2]):
+        claims.setdefault((k, name), e)
+    shown = [(e, k, name, v) for e, k, name, v in sorted(entities)]
+    out = {}
+    for kind, key, span, place in sorted(rows, key=lambda r: r[3]):
+        said = name_of(kind, span)
+        if (kind, key) in keys:
+            e, rung = keys[kind, key], "exact"
+        elif (kind, key) in claims or (kind, said) in claims:
+            e, rung = claims.get((kind, key)) or claims[kind, said], "alias"
         else:
-            out[kind, key] = f"{kind}:{key}"
-            led.append((f"{kind}:{key}", kind, key, vec))
+            vec, e, most = vectors.get((kind, key)), None, -2
+            for other, k, name, v in shown:
+                if vec and k == kind and kind not in resolution.NO_VECTOR and len(v) == len(vec):
+                    c = cos(vec, v)
+                    if c >= (min(bar, low) if inside(key, name) or inside(name, key) else bar) and c > most:
+                        e, most = other, c
+            rung = "vector"
+            if e is None:
+                e, rung = f"{kind}:{key}", "new"
+                keys[kind, key], own_key[e] = e, key
+                if vec:
+                    shown.append((e, kind, key, vec))
+        if said and own_key[e] not in (said, re.sub(r"[^\w]+", "", span).upper()):
+            claims.setdefault((kind, said), e)
+        out[place] = (e, rung)
     return out
 
 
-def test_resolution_equals_one_key_after_the_other(spark):
-    rng = random.Random(8)
-    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+def name_of(kind, span):
+    """The normalised name for the words that these tests use: lower case, without article, generic noun and plural of topics."""
+    words = [w for w in re.sub(r"[^\w\s@.+-]+", " ", (span or "").lower()).split() if w not in ("project", "case", "the")]
+    name = " ".join(words)
+    return name[:-1] if kind == "topic" and len(name.split()[-1:] and name.split()[-1]) > 3 and re.search("[^suiao]s$", name) and not name.endswith("es") else name
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_resolution_equals_one_mention_after_the_other(spark, seed):
+    rng = random.Random(seed)
+    base = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(8)]
     vec = lambda i, noise: [float(np.float32(x + noise * rng.gauss(0, 1))) for x in base[i]]
-    entities = [(f"e{i}", "topic", f"known {i}", vec(i, 0.1)) for i in range(3)] + [("p1", "person", "a@b.co", vec(0, 0))]
-    aliases = [("topic", "nick", "e1"), ("topic", "said name", "e2")]
-    rows = [("topic", f"name {i}", "Said Name " if i == 5 else f"Name {i}", i, vec(rng.randrange(9), 0.35)) for i in range(60)]
-    rows += [("topic", "known 1", "x", 60, vec(5, 0.1)), ("topic", "nick", "x", 61, vec(6, 0.1)), ("person", "c@d.co", "x", 62, vec(0, 0)), ("topic", "big known 0 thing", "x", 63, vec(0, 0.6)), ("topic", "empty", "x", 64, [])]
-    rows += [("topic", "name 3", "again", 99, rows[3][4])]
-    df = spark.createDataFrame(rows, KEYED)
+    nouns = ["alpha", "beta", "gamma ray", "lot 22b", "anshun lot 22b", "delta", "flux", "flux launch", "kits", "kit"]
+    entities = [(f"e{i}", "topic", f"known {i}", vec(i, 0.1)) for i in range(3)] + [("e9", "topic", "delta", vec(3, 0.0)), ("p1", "person", "a@b.co", [])]
+    aliases = [("topic", "nick", "e1"), ("topic", "nick", "e0"), ("person", "boss", "p1")]
+    rows, vectors = [], {}
+    for _ in range(70):
+        word = rng.choice([*nouns, "nick", "known 1", f"thing {rng.randrange(12)}"])
+        rows.append(("topic", name_of("topic", word), rng.choice([word, f"The {word.title()}", f"{word} project"])))
+    for _ in range(60):  # addresses that share display names, in turn
+        rows.append(("person", rng.choice(["a@b.co", *[f"p{i}@b.co" for i in range(12)]]), rng.choice(["Boss", "Ann B", "Bob", "p3@b.co", "Cy", "", "Dee", "Eve"])))
+    rows += [("case", c, s) for c, s in [("CS1", "CS-1"), ("CS2", "CS 2"), ("CS1", "cs1"), ("CS3", "The big case"), ("CS4", "The big case"), ("CS4", "CS-4")]]
+    rng.shuffle(rows)
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    for kind, key, _, _ in rows:
+        if kind == "topic" and rng.random() < 0.9:
+            vectors.setdefault((kind, key), vec(rng.randrange(8), 0.3))
+    want = one_after_the_other(rows, entities, aliases, vectors, resolution.BAR, resolution.CONTAINED_BAR)
+    df = spark.createDataFrame(rows, "kind string, key string, span string, place bigint")
     e = spark.createDataFrame(entities, "entity_id string, kind string, key string, vec array<float>")
     a = spark.createDataFrame(aliases, "kind string, key string, entity_id string")
-    vectors = df.groupBy("kind", "key").agg(F.min_by("vec", "place").alias("vec"))
-    got = {(r.kind, r.key): r for r in resolution.resolve(df.drop("vec"), e, a, vectors).collect()}
-    want = greedy(rows, entities, aliases, resolution.BAR, resolution.CONTAINED_BAR)
+    v = spark.createDataFrame([(k, n, x) for (k, n), x in vectors.items()], "kind string, key string, vec array<float>")
+    got, claimed = resolution.resolve_all(df, e, a, v)
+    got = {r.place: r for r in got.collect()}
     new = {r.entity_id: f"{r.kind}:{r.key}" for r in got.values() if r.rung == "new"}
-    assert {k: new.get(r.entity_id, r.entity_id) for k, r in got.items()} == want
-    assert {r.rung for r in got.values()} == {"exact", "alias", "vector", "new"}
-    empty = resolution.resolve(df.drop("vec").limit(0), e, a, vectors.limit(0))
-    assert empty.count() == 0
+    assert {p: (new.get(r.entity_id, r.entity_id), r.rung) for p, r in got.items()} == want
+    assert {r for _, r in want.values()} == {"exact", "alias", "vector", "new"} and claimed.count() > 3
+    assert resolution.resolve(df.limit(0), e, a, v.limit(0)).count() == 0
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    x = np.float32(centres[rng.integers(0, 12, 600)] + 0.35 * rng.normal(size=(600, 16)))
+    words = ["lot", "22b", "flux", "launch", "bay", "ab"]
+    rows = [(i, ["topic", "org"][i % 2], " ".join(rng.choice(words, rng.integers(1, 4))), [float(v) for v in x[i][: 16 if i % 50 else 8]]) for i in range(600)] + [(600, "topic", "zero", [0.0] * 16), (601, "topic", "none", []), (602, "topic", "null", None)]
+    items = spark.createDataFrame(rows[:200] + rows[600:], "id long, kind string, key string, vec array<double>")
+    stored = spark.createDataFrame(rows[200:], "entity_id long, kind string, key string, vec array<double>")
+    got = {(r.id, r.entity_id): r.score for r in resolution.near(items, stored).collect()}
+    inside = lambda a, b: len(a) >= 4 and len(a.split()) < len(b.split()) and f" {a} " in f" {b} "
+    want = {}
+    for i, k, name, u in rows[:200]:
+        for j, l, other, v in rows[200:600]:
+            if k == l and len(u) == len(v):
+                c = float(np.dot(u, v) / np.linalg.norm(u) / np.linalg.norm(v))
+                if c >= (0.65 if inside(name, other) or inside(other, name) else 0.86):
+                    want[i, j] = c
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 2e-6 for p in want) and len(want) > 300
+    from tidemark.operators import nearness
+
+    _, work = nearness.by_angle(items, stored, 0.86)
+    assert work.first().pairs < 0.5 * 200 * 400 / 2
 
 
 def test_consolidate_is_stable(spark):
@@ -75,7 +123,7 @@ def test_consolidate_is_stable(spark):
     alias = spark.createDataFrame([], "kind string, key string, entity_id string")
     vectors = spark.createDataFrame([], "kind string, key string, vec array<float>")
     first = resolution.consolidate(df, none, alias, vectors)
-    again = resolution.consolidate(df, first["index"].withColumn("vec", F.array().cast("array<float>")), alias, vectors)
+    again = resolution.consolidate(df, first["index"].withColumn("vec", F.array().cast("array<float>")), first["claims"], vectors)
     for name in ("entities", "salience", "relations"):
         assert sorted(map(repr, first[name].collect())) == sorted(map(repr, again[name].collect()))
     assert {r.rung for r in again["resolved"].collect()} == {"exact"}

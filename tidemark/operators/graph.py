@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,44 +57,126 @@ def both_directions(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-def neighbors_weighted(edges: DataFrame, starts: DataFrame, hops: int = 2) -> DataFrame:
-    """(start, node, score, hop): the best product of weights over walks of up to ``hops`` edges; nodes may be met again, the start is left out."""
-    step = keep(both_directions(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "steps")
-    now = starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hop"))
-    found = None
-    for hop in range(1, hops + 1):
-        now = now.join(step, now.node == step.src).groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight")).alias("score")).select("start", "node", "score", F.lit(hop).alias("hop"))
-        found = now if found is None else found.unionByName(now)
-    best = F.max(F.struct("score", (-F.col("hop")).alias("near"))).alias("best")
-    return found.where("node != start").groupBy("start", "node").agg(best).select("start", "node", "best.score", (-F.col("best.near")).alias("hop"))
+def _steps(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight, bucket): every edge both ways, with its best weight; a bucket holds weights between two neighbouring quarter powers of two. Edges without weight lead nowhere."""
+    both = both_directions(edges).where("src != dst").groupBy("src", "dst").agg(F.max("weight").alias("weight")).where("weight > 0")
+    return keep(both.withColumn("bucket", F.floor(F.log2("weight") * 4).cast("int")), "steps")
 
 
-def neighbors_decayed(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node, score, hop) to two hops: a node keeps the hop it is first met at; scores are products of weights, the second halved."""
-    step = keep(both_directions(edges).groupBy("src", "dst").agg(F.max("weight").alias("weight")), "steps")
-    start = starts.select(F.col("entity_id").alias("start"))
-    one = start.join(step, start.start == step.src).groupBy("start", F.col("dst").alias("node")).agg(F.max("weight").alias("score")).where("node != start")
-    two = one.join(step, one.node == step.src).groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight") / 2).alias("score")).where("node != start")
-    two = two.join(one.select("start", "node"), ["start", "node"], "left_anti")
-    return one.withColumn("hop", F.lit(1)).unionByName(two.withColumn("hop", F.lit(2)))
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each start, the smaller node of equal ones."""
+    nth = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("score"), "node"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
 
-def graph_search(edges: DataFrame, mentions: DataFrame, salience_: DataFrame, anchors: DataFrame, k: int = 10) -> DataFrame:
-    """(anchor, rank, email_id, score): other messages that mention entities near those of each anchor message."""
-    of = anchors.join(mentions.select("email_id", "entity_id").distinct(), "email_id").select(F.col("email_id").alias("anchor"), "entity_id")
-    near = neighbors_decayed(edges, of.select("entity_id").distinct())
-    sal = salience_.select("entity_id", F.when(F.col("salience") == 0, 0.5).otherwise(F.col("salience")).alias("salience"))
-    scored = of.join(sal, "entity_id").join(near, of.entity_id == near.start).select("anchor", "node", (F.col("salience") * F.col("score") / F.col("hop")).alias("score"))
+def _least(found: DataFrame, k: int) -> DataFrame:
+    """(start, bar): the score of each start's k-th row; starts with fewer have none."""
+    return _best(found, k).groupBy("start").agg(F.min("score").alias("bar"), F.count("*").alias("n")).where(F.col("n") == k).select("start", "bar")
+
+
+def _two_hops(step: DataFrame, one: DataFrame, share: float, k: int, open_: Callable[[DataFrame], DataFrame], join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The ``k`` best nodes of each start within two hops, by a threshold algorithm on weight-sorted adjacency lists.
+
+    ``one``: (start, node, score) of the first hop; a second hop multiplies by its weight and ``share``. No edge of a bucket leads to more than the bucket's best weight says. First each start looks into the ``k`` most promising
+    buckets; the k-th score found is a bar, and of the other buckets only those are opened that may reach it. ``open_`` drops second-hop rows that don't count; ``join`` puts both hops together.
+    """
+    heads = keep(step.groupBy(F.col("src").alias("node"), "bucket").agg(F.max("weight").alias("most")), "buckets")
+    promise = one.join(heads, "node").select("start", "node", "bucket", "score", (F.col("score") * F.col("most") * share).alias("bound"))
+    bar = keep(_least(one, k), "bars")
+    above = lambda df, bars: df.join(bars, "start", "left").where("bar is null or bound >= bar").drop("bar")
+    nth = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("bound"), "node", "bucket"))
+    promise = above(promise, bar)
+    first = keep(promise.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth"), "first_buckets")
+
+    def walk(some: DataFrame) -> DataFrame:
+        far = step.select(F.col("src").alias("node"), "bucket", F.col("dst").alias("to"), "weight")
+        met = some.join(far, ["node", "bucket"]).where("to != start")
+        return open_(met.groupBy("start", F.col("to").alias("node")).agg(F.max(F.col("score") * F.col("weight") * share).alias("score")))
+
+    two = keep(walk(first), "first_walks")
+    bar = keep(_least(join(one, two), k), "bars")
+    rest = above(promise.join(first.select("start", "node", "bucket"), ["start", "node", "bucket"], "left_anti"), bar)
+    return _best(join(one, two.unionByName(walk(rest))), k)
+
+
+def neighbors_weighted(edges: DataFrame, starts: DataFrame, hops: int = 2, k: int | None = None) -> DataFrame:
+    """(start, node, score, hop): the best product of weights over walks of up to ``hops`` edges; nodes may be met again, the start is left out.
+
+    With ``k`` the best nodes of each start only; walks of two hops then open no list that can't hold one of them.
+    """
+    step = _steps(edges)
+    start = starts.select(F.col("entity_id").alias("start")).distinct()
+    one = start.join(step, start.start == step.src).select("start", F.col("dst").alias("node"), F.col("weight").alias("score"))
+    best = F.max(F.struct("score", (-F.col("hop")).alias("near"))).alias("best")
+
+    def join(first: DataFrame, second: DataFrame) -> DataFrame:
+        both = first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+        return both.groupBy("start", "node").agg(best).select("start", "node", "best.score", (-F.col("best.near")).alias("hop"))
+
+    if k and hops == 2:
+        return _two_hops(step, keep(one, "first_hop"), 1.0, k, lambda df: df, join)
+    found = now = one.withColumn("hop", F.lit(1))
+    for hop in range(2, hops + 1):
+        now = now.join(step, now.node == step.src).where("dst != start").groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight")).alias("score")).select("start", "node", "score", F.lit(hop).alias("hop"))
+        found = found.unionByName(now)
+    found = found.groupBy("start", "node").agg(best).select("start", "node", "best.score", (-F.col("best.near")).alias("hop"))
+    return _best(found, k) if k else found
+
+
+def neighbors_decayed(edges: DataFrame, starts: DataFrame, k: int | None = None) -> DataFrame:
+    """(start, node, score, hop) to two hops: a node keeps the hop it is first met at; scores are products of weights, the second halved. With ``k`` the best nodes of each start only, as in ``neighbors_weighted``."""
+    step = _steps(edges)
+    start = starts.select(F.col("entity_id").alias("start")).distinct()
+    one = keep(start.join(step, start.start == step.src).select("start", F.col("dst").alias("node"), F.col("weight").alias("score")), "first_hop")
+    unseen = lambda df: df.join(one.select("start", "node"), ["start", "node"], "left_anti")
+    join = lambda first, second: first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
+    if k:
+        return _two_hops(step, one, 0.5, k, unseen, join)
+    two = one.join(step, one.node == step.src).where("dst != start").groupBy("start", F.col("dst").alias("node")).agg(F.max(F.col("score") * F.col("weight") * 0.5).alias("score"))
+    return join(one, unseen(two))
+
+
+def _searched(near: DataFrame, of: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """(anchor, rank, email_id, score) from the nodes near the entities of each anchor."""
+    scored = of.join(near, of.entity_id == near.start).select("anchor", "node", (F.col("salience") * F.col("score") / F.col("hop")).alias("score"))
     scored = scored.groupBy("anchor", "node").agg(F.max("score").alias("score"))
-    # all messages of a node have the node's score and equal scores go by id, so of a node none but its first k messages beside the anchor can be among the k best
-    of_node = mentions.select("email_id", F.col("entity_id").alias("node")).distinct()
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("email_id"))
-    first = of_node.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth")
     hits = scored.join(first, "node").where("email_id != anchor").groupBy("anchor", "email_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc(F.round("score", 6)), "email_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("anchor", "rank", "email_id", F.round("score", 6).alias("score"))
 
 
+def graph_search(edges: DataFrame, mentions: DataFrame, salience_: DataFrame, anchors: DataFrame, k: int = 10, targets: DataFrame | None = None, width: int = 64) -> DataFrame:
+    """(anchor, rank, email_id, score): other messages that mention entities near those of each anchor message (email_id); with ``targets`` (email_id) none but these.
+
+    First the ``width`` nearest nodes of each entity are looked at. Where the messages found are worth more than any node left out can be, they are the result; only the other anchors look at all nodes.
+    """
+    edges = keep(edges, "edges")
+    linked = mentions.select("email_id", "entity_id").distinct()
+    sal = salience_.select("entity_id", F.when(F.col("salience") == 0, 0.5).otherwise(F.col("salience")).alias("salience"))
+    of = keep(anchors.select("email_id").distinct().join(linked, "email_id").select(F.col("email_id").alias("anchor"), "entity_id").join(sal, "entity_id"), "anchors")
+    # all messages of a node have the node's score and equal scores go by id, so of a node none but its first k messages beside the anchor can be among the k best
+    of_node = (linked if targets is None else linked.join(targets.select("email_id").distinct(), "email_id", "left_semi")).select("email_id", F.col("entity_id").alias("node"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("email_id"))
+    first = keep(of_node.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "first_messages")
+    near = keep(neighbors_decayed(edges, of.select("entity_id"), width), "near_nodes")
+    # of entities with fewer nodes than the width none is left out
+    left_out = near.groupBy(F.col("start").alias("entity_id")).agg(F.count("*").alias("n"), F.min("score").alias("bar")).where(F.col("n") == width)
+    bound = of.join(left_out, "entity_id").groupBy("anchor").agg(F.max(F.col("salience") * F.col("bar")).alias("bound"))
+    found = keep(_searched(near, of, first, k), "found")
+    sure = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    again = keep(bound.join(sure, "anchor", "left").where(f"coalesce(n, 0) < {k} or least <= bound + 1e-6").select("anchor"), "open_anchors")
+    if again.isEmpty():
+        return found
+    rest = of.join(again, "anchor", "left_semi")
+    whole = _searched(neighbors_decayed(edges, rest.select("entity_id")), rest, first, k)
+    return found.join(again, "anchor", "left_anti").unionByName(whole)
+
+
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """(email_id, chunk_id): the body chunk of the lowest ``ord`` of each message."""
+    return chunks.where("kind = 'body'").groupBy("email_id").agg(F.min_by("chunk_id", F.struct("ord", "chunk_id")).alias("chunk_id"))
+
+
 def fingerprint(mentions: DataFrame) -> DataFrame:
     """(entity_id, emails, hash): how many messages mention each entity, and a hash of their ids that doesn't depend on the order.
 

@@ -1,47 +1,35 @@
-"""Resolving mentions to entities: exact key, alias, vector, else a new entity that later mentions may join.
+"""Resolving mentions to entities: exact key, alias, vector, else a new entity.
 
-The order is (received_at, email_id, mention_id); all mentions of one (kind, key) resolve alike, so keys are resolved, each at its first mention. Keys that the vector rung joins to each
-other form clusters by leader: the earliest key leads, a later one joins the best earlier leader that reaches the bar, else it leads too.
+Mentions are resolved in the order of ``place``, and each sees what the ones before it have left: entities that they created, and names that they claimed for an entity, of which the first claim counts. Mentions of one
+(kind, key, name) leave nothing new after their first, so only first mentions are ordered: ``resolve`` decides in rounds every first mention whose outcome no undecided earlier one can change, and then reads off the outcome of
+all mentions. What an undecided mention may still leave is known from its key and its name alone: it may create the entity of its key, and claim its name.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import mail as M
+from tidemark.functions import text as T
+from tidemark.operators import nearness
 from tidemark.sources.tables import keep
 
-#: Cosines from which names are one entity, the lower where one name contains the other, and kinds that vectors never join.
+#: Cosines from which names are one entity, the lower where one name contains the other; kinds that vectors never join, kinds that are embedded, and kinds whose names lose a plural.
 BAR, CONTAINED_BAR = 0.86, 0.65
 NO_VECTOR = ("case", "document", "person")
 EMBEDDED = ("project", "deliverable", "topic", "org")
-SALTS = 8
-
-
-def dot(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def unit(vec: Column) -> Column:
-    """The vector at length one; a vector of zeros stays."""
-    norm = F.sqrt(dot(vec, vec))
-    return F.transform(vec, lambda v: F.when(norm > 0, v.cast("double") / norm).otherwise(F.lit(0.0)))
+SINGULAR = ("org", "project", "deliverable", "document", "topic")
 
 
 def near(items: DataFrame, entities: DataFrame, bar: float = BAR, contained: float = CONTAINED_BAR) -> DataFrame:
-    """(id, entity_id, score): pairs of the same kind and dimension whose cosine reaches the bar, or the lower one where one key contains the other.
+    """(id, entity_id, score): pairs of the same kind and dimension whose cosine reaches the bar, or the lower one where one key contains the other; never of kinds that vectors don't join.
 
-    ``items``: (id, kind, key, vec); ``entities``: (entity_id, kind, key, vec). They meet by kind, dimension and a salt that spreads a kind's entities.
+    ``items``: (id, kind, key, vec); ``entities``: (entity_id, kind, key, vec). Compared are only pairs that the triangle inequality leaves open (see ``nearness``).
     """
-    made = lambda df: df.where(~F.col("kind").isin(*NO_VECTOR) & (F.size("vec") > 0)).withColumn("dim", F.size("vec")).withColumn("vec", unit(F.col("vec")))
-    e = made(entities).withColumn("salt", F.pmod(F.xxhash64("entity_id"), F.lit(SALTS)).cast("int")).alias("e")
-    i = made(items).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("i")
-    both = i.join(e, [F.col(f"i.{c}") == F.col(f"e.{c}") for c in ("kind", "dim", "salt")])
-    nested = M.contains_tokens(F.col("i.key"), F.col("e.key")) | M.contains_tokens(F.col("e.key"), F.col("i.key"))
-    score = F.round(dot(F.col("i.vec"), F.col("e.vec")), 6)
-    scored = both.select(F.col("i.id").alias("id"), F.col("e.entity_id").alias("entity_id"), score.alias("score"), F.when(nested, min(bar, contained)).otherwise(bar).alias("bar"))
-    return scored.where("score >= bar").drop("bar")
+    some = lambda df: df.where(~F.col("kind").isin(*NO_VECTOR))
+    return nearness.near(some(items), some(entities), bar, contained)
 
 
 def best(pairs: DataFrame) -> DataFrame:
@@ -50,67 +38,134 @@ def best(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def leaders(keys: DataFrame, bar: float = BAR, contained: float = CONTAINED_BAR) -> DataFrame:
-    """(id, leader) of keys (id, kind, key, vec, place): each follows the best leader before it, or leads.
-
-    Whether a key leads is known once all the keys before it that it is near to are known; each round decides those, on saved tables, until none is open.
-    """
-    pairs = near(keys, keys.select(F.col("id").alias("entity_id"), "kind", "key", "vec"), bar, contained)
-    at = keys.select("id", "place")
-    earlier = pairs.join(at, "id").join(at.select(F.col("id").alias("entity_id"), F.col("place").alias("before")), "entity_id").where("before < place")
-    earlier = keep(earlier.select("id", F.col("entity_id").alias("to"), "score", "before"), "earlier")
-    follower = earlier.select("id").distinct()
-    known = keep(keys.select("id").join(follower, "id", "left_anti").select("id", F.col("id").alias("leader")), "leaders")
-    todo = keep(follower, "open")
-    while todo.limit(1).count():
-        ends = known.select(F.col("id").alias("to"), "leader")
-        seen = todo.join(earlier, "id").join(ends, "to", "left")
-        ready = seen.groupBy("id").agg(F.count_if(F.col("leader").isNull()).alias("unknown")).where("unknown = 0").select("id")
-        chosen = seen.join(ready, "id", "left_semi").where(F.col("leader") == F.col("to"))
-        nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "before"))
-        joined = chosen.withColumn("nth", nth).where("nth = 1").select("id", "leader")
-        found = ready.join(joined, "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
-        known = keep(known.unionByName(found), "leaders")
-        todo = keep(todo.join(known, "id", "left_anti"), "open")
-    return known
-
-
-def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, vectors: DataFrame, bar: float = BAR) -> DataFrame:
-    """(kind, key, entity_id, rung) of every distinct key of ``mentions`` (kind, key, span, place).
-
-    ``entities``: (entity_id, kind, key, vec); ``aliases``: (kind, key, entity_id), the first claimant keeps a name; ``vectors``: (kind, key, vec) of mentioned keys.
+def said_name(kind: Column, span: Column) -> Column:
+    """The name that a mention's words claim."""
+    return F.when(kind.isin(*SINGULAR), T.normalize_name(span, singular=True)).otherwise(T.normalize_name(span))
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def _first(claims: DataFrame) -> DataFrame:
+    """(kind, name, entity_id, nk, place): the first claim of each name."""
+    one = claims.groupBy("kind", "name").agg(F.min_by(F.struct("entity_id", "nk", "place"), F.struct("place", "entity_id")).alias("c"))
+    return one.select("kind", "name", "c.*")
+
+
+def _decide(open_: DataFrame, keys: DataFrame, claims: DataFrame, static: DataFrame, mutual: DataFrame) -> DataFrame:
+    """``open_`` (kind, key, said, nid, place) with entity_id, nk (the entity's key) and rung where they are certain."""
+    by_key = open_.groupBy("kind", "key").agg(F.min("place").alias("at"))
+    by_name = open_.where("said != ''").groupBy("kind", F.col("said").alias("name")).agg(F.min("place").alias("at"))
+    first = _first(claims)
+    claim = lambda name, p: first.select("kind", F.col("name").alias(name), F.col("entity_id").alias(f"{p}_id"), F.col("nk").alias(f"{p}_nk"), F.col("place").alias(f"{p}_at"))
+    waits = lambda df, column, name, alias: df.select("kind", F.col(column).alias(name), F.col("at").alias(alias))
+    known = keys.select("kind", "key", F.col("entity_id").alias("x_id"), F.col("place").alias("x_at"))
+    rows = open_.join(known, ["kind", "key"], "left").join(waits(by_key, "key", "key", "w_key"), ["kind", "key"], "left")
+    rows = rows.join(claim("key", "k"), ["kind", "key"], "left").join(waits(by_name, "name", "key", "w_k"), ["kind", "key"], "left")
+    rows = rows.join(claim("said", "s"), ["kind", "said"], "left").join(waits(by_name, "name", "said", "w_s"), ["kind", "said"], "left")
+    c, place = F.col, F.col("place")
+    earlier = lambda x: F.coalesce(c(x) < place, F.lit(False))
+    # a claim is the first one unless an undecided mention before it may claim the same name
+    sure = lambda p, w: earlier(f"{p}_at") & (c(w).isNull() | (c(f"{p}_at") < c(w)))
+    step = F.when(earlier("x_at"), "exact").when(earlier("w_key"), "wait").when(sure("k", "w_k"), "alias").when(earlier("w_k"), "wait").when(sure("s", "w_s"), "said").when(earlier("w_s"), "wait").otherwise("vector")
+    rows = keep(rows.withColumn("step", step), "judged")
+    # the vector rung: names created before, and stored entities
+    asked = rows.where(c("step") == "vector").select("kind", "key", "place")
+    others = asked.join(mutual, ["kind", "key"])
+    created = keys.where("place >= 0").select("kind", F.col("key").alias("other"), "entity_id", F.col("place").alias("made"))
+    undecided = by_key.select("kind", F.col("key").alias("other"), F.col("at").alias("w_other"))
+    others = others.join(created, ["kind", "other"], "left").join(undecided, ["kind", "other"], "left")
+    seen = F.when(c("made") < place, F.struct((-c("score")).alias("far"), c("made"), c("entity_id"), c("other").alias("nk")))
+    others = others.groupBy("place").agg(F.min(seen).alias("made"), F.coalesce(F.max(c("w_other") < place), F.lit(False)).alias("wait"))
+    stored = static.select("kind", "key", F.struct((-c("score")).alias("far"), F.lit(-1).cast("long").alias("made"), c("entity_id"), c("nk")).alias("stored"))
+    joined = rows.join(others, "place", "left").join(stored, ["kind", "key"], "left")
+    found = F.when(c("step") == "vector", F.least("made", "stored"))
+    new = F.concat(F.lit("ent_"), F.substring(F.sha1(F.concat_ws(":", "kind", "key")), 1, 16))
+    rung = F.when(c("step").isin("exact", "alias"), c("step")).when(c("step") == "said", "alias").when((c("step") == "vector") & ~F.coalesce("wait", F.lit(False)), F.when(found.isNotNull(), "vector").otherwise("new"))
+    entity = F.when(c("step") == "exact", c("x_id")).when(c("step") == "alias", c("k_id")).when(c("step") == "said", c("s_id")).when(rung == "vector", found.entity_id).when(rung == "new", new)
+    nk = F.when(c("step") == "exact", c("key")).when(c("step") == "alias", c("k_nk")).when(c("step") == "said", c("s_nk")).when(rung == "vector", found.nk).when(rung == "new", c("key"))
+    return joined.select("kind", "key", "said", "nid", "place", entity.alias("entity_id"), nk.alias("nk"), rung.alias("rung"))
+
+
+def resolve_all(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, vectors: DataFrame, bar: float = BAR, contained: float = CONTAINED_BAR) -> tuple[DataFrame, DataFrame]:
+    """``mentions`` (kind, key, span, place, and more) with entity_id and rung, and the names claimed anew: (kind, name, entity_id, place).
+
+    ``entities``: (entity_id, kind, key, vec); ``aliases``: (kind, key, entity_id) with a ``place`` where the order of the claims is known, else the smaller entity_id is taken for the first; ``vectors``: (kind, key, vec) of mentioned keys.
+    Places are unique and not negative. Mentions without a key are left out. Mentions of one (kind, key, name) that the vector rung joined stay with what their first mention found.
     """
-    # a span of several keys or a key of several spans: the first mention counts
-    first = mentions.groupBy("kind", "key").agg(F.min_by("span", "place").alias("span"), F.min("place").alias("place"))
-    exact = entities.select("kind", "key", F.col("entity_id").alias("exact"))
-    claim = aliases.groupBy("kind", "key").agg(F.min("entity_id").alias("alias"))
-    spoken = claim.select("kind", F.col("key").alias("said"), F.col("alias").alias("spoken"))
-    keyed = first.withColumn("said", F.lower(F.trim("span"))).join(exact, ["kind", "key"], "left").join(claim, ["kind", "key"], "left").join(spoken, ["kind", "said"], "left")
-    keyed = keep(keyed.select("kind", "key", "place", "exact", F.coalesce("alias", "spoken").alias("alias")), "keyed")
-    open_ = keyed.where("exact is null and alias is null").join(vectors, ["kind", "key"], "left")
-    open_ = keep(open_.select(F.concat_ws(":", "kind", "key").alias("id"), "kind", "key", "vec", "place"), "open_keys")
-    stored = best(near(open_, entities, bar)).select("id", F.col("entity_id").alias("vector"))
-    rest = keep(open_.join(stored, "id", "left_anti"), "new_keys")
-    led = leaders(rest, bar).select("id", "leader")
-    new = F.concat(F.lit("ent_"), F.substring(F.sha1("leader"), 1, 16))
-    both = keyed.withColumn("id", F.concat_ws(":", "kind", "key")).join(stored, "id", "left").join(led, "id", "left")
-    rung = F.when(F.col("exact").isNotNull(), "exact").when(F.col("alias").isNotNull(), "alias").when(F.col("vector").isNotNull() | (F.col("leader") != F.col("id")), "vector").otherwise("new")
-    return both.select("kind", "key", F.coalesce("exact", "alias", "vector", new).alias("entity_id"), rung.alias("rung"))
+    name = said_name(F.col("kind"), F.col("span"))
+    rows = keep(mentions.where("coalesce(key, '') != ''").withColumn("said", F.coalesce(name, F.lit(""))), "mentions")
+    types = rows.groupBy("kind", "key", "said").agg(F.min_by("span", "place").alias("span"), F.min("place").cast("long").alias("place"))
+    open_ = types.select("kind", "key", "said", T.normalize_id(F.col("span")).alias("nid"), "place")
+    stored = lambda df: df.withColumn("place", F.lit(-1).cast("long"))
+    known = keep(entities.groupBy("kind", "key").agg(F.min("entity_id").alias("entity_id")), "known_keys")
+    order = ["place", "entity_id"] if "place" in aliases.columns else ["entity_id"]
+    named = aliases.groupBy("kind", F.col("key").alias("name")).agg(F.min_by("entity_id", F.struct(*order)).alias("entity_id"))
+    named = keep(stored(named.join(entities.select("entity_id", F.col("key").alias("nk")), "entity_id", "left").select("kind", "name", "entity_id", "nk")), "claims")
+    # vectors are compared for names that no stored key or alias decides
+    loose = open_.select("kind", "key").distinct().join(known, ["kind", "key"], "left_anti").join(named.select("kind", F.col("name").alias("key")), ["kind", "key"], "left_anti")
+    loose = keep(loose.join(vectors, ["kind", "key"]).select(F.concat_ws(":", "kind", "key").alias("id"), "kind", "key", "vec"), "loose_keys")
+    static = best(near(loose, entities, bar, contained)).join(loose.select("id", "kind", "key"), "id").join(entities.select("entity_id", F.col("key").alias("nk")), "entity_id")
+    static = keep(static.select("kind", "key", "entity_id", "nk", "score"), "near_stored_entities")
+    pairs = near(loose, loose.select(F.col("id").alias("entity_id"), "kind", "key", "vec"), bar, contained).where("id != entity_id")
+    mutual = pairs.join(loose.select("id", "kind", "key"), "id").join(loose.select(F.col("id").alias("entity_id"), F.col("key").alias("other")), "entity_id")
+    mutual = keep(mutual.select("kind", "key", "other", "score"), "near_keys")
+    decided: list[DataFrame] = []
+    keys, claims = [stored(known)], [named]
+    open_ = keep(open_, "open")
+    while not open_.isEmpty():
+        judged = keep(_decide(open_, _union(keys), _union(claims), static, mutual), "round")
+        sure = judged.where("rung is not null")
+        decided.append(sure)
+        keys.append(sure.where("rung = 'new'").select("kind", "key", "entity_id", "place"))
+        claims.append(sure.where("said != '' and said != nk and nid != nk").select("kind", F.col("said").alias("name"), "entity_id", "nk", "place"))
+        open_ = judged.where("rung is null").select("kind", "key", "said", "nid", "place")
+    first = keep(_first(_union(claims)), "claims")
+    fresh = first.where("place >= 0").select("kind", "name", "entity_id", "place")
+    if not decided:
+        return rows.drop("said").withColumns({"entity_id": F.lit(None).cast("string"), "rung": F.lit(None).cast("string")}), fresh
+    own = _union(decided).select("kind", "key", "said", F.col("entity_id").alias("d_id"), F.col("rung").alias("d_rung"), F.col("place").alias("d_at"))
+    exact = _union(keys).groupBy("kind", "key").agg(F.min_by("entity_id", "place").alias("x_id"), F.min("place").alias("x_at"))
+    by = lambda column, p: first.select("kind", F.col("name").alias(column), F.col("entity_id").alias(f"{p}_id"), F.col("place").alias(f"{p}_at"))
+    joined = rows.join(own, ["kind", "key", "said"]).join(exact, ["kind", "key"], "left").join(by("key", "k"), ["kind", "key"], "left").join(by("said", "s"), ["kind", "said"], "left")
+    before = lambda x: F.coalesce(F.col(f"{x}_at") < F.col("place"), F.lit(False))
+    itself = F.col("d_at") == F.col("place")
+    entity = F.when(itself, F.col("d_id")).when(before("x"), F.col("x_id")).when(before("k"), F.col("k_id")).when(before("s"), F.col("s_id")).otherwise(F.col("d_id"))
+    rung = F.when(itself, F.col("d_rung")).when(before("x"), "exact").when(before("k") | before("s"), "alias").otherwise(F.col("d_rung"))
+    return joined.select(*mentions.columns, entity.alias("entity_id"), rung.alias("rung")), fresh
+
+
+def resolve(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, vectors: DataFrame, bar: float = BAR, contained: float = CONTAINED_BAR) -> DataFrame:
+    """The mentions of ``resolve_all`` alone."""
+    return resolve_all(mentions, entities, aliases, vectors, bar, contained)[0]
 
 
 def rung_counts(resolved: DataFrame) -> DataFrame:
+    """(rung, n): how many mentions each rung answered."""
     return resolved.groupBy("rung").agg(F.count("*").alias("n"))
 
 
-def fold(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(entity_id, kind, name, first_seen, last_seen, mentions): each entity's first surface name, span of time and number of mentions (kind, key, span, place, seen)."""
-    both = mentions.join(resolved.select("kind", "key", "entity_id"), ["kind", "key"])
-    return both.groupBy("entity_id").agg(F.min_by("kind", "place").alias("kind"), F.min_by("span", "place").alias("name"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count("*").alias("mentions"))
+def fold(resolved: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(entity_id, kind, name, first_seen, last_seen, mentions): each entity's name, span of time and number of mentions, from resolved mentions (kind, key, span, place, seen, entity_id).
 
-
-def new_aliases(mentions: DataFrame, resolved: DataFrame, folded: DataFrame) -> DataFrame:
-    """(entity_id, alias): the other names by which an entity is mentioned."""
-    both = mentions.join(resolved.select("kind", "key", "entity_id"), ["kind", "key"]).select("entity_id", F.trim("span").alias("alias")).where("alias != ''").distinct()
+    The name is the stored one, else the words of the first mention, else its key. Counts and times of ``stored`` (the same columns) go on; its entities without a mention are left out.
+    """
+    said = F.coalesce(F.nullif(F.trim("span"), F.lit("")), F.col("key"))
+    new = resolved.groupBy("entity_id").agg(F.min_by("kind", "place").alias("kind"), F.min_by(said, "place").alias("name"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count("*").alias("mentions"))
+    if stored is None:
+        return new
+    old = stored.select("entity_id", *[F.col(c).alias(f"old_{c}") for c in ("name", "first_seen", "last_seen", "mentions")])
+    both = new.join(old, "entity_id", "left")
+    return both.select(
+        "entity_id", "kind", F.coalesce("old_name", "name").alias("name"), F.least("old_first_seen", "first_seen").alias("first_seen"), F.greatest("old_last_seen", "last_seen").alias("last_seen"),
+        (F.coalesce("old_mentions", F.lit(0)) + F.col("mentions")).alias("mentions"),
+    )
+
+
+def new_aliases(resolved: DataFrame, folded: DataFrame) -> DataFrame:
+    """(entity_id, alias): the other words by which an entity is mentioned, each once."""
+    both = resolved.select("entity_id", F.trim("span").alias("alias")).where("alias != ''").distinct()
     return both.join(folded.select("entity_id", "name"), "entity_id").where("alias != name").drop("name")
 
 
@@ -121,19 +176,21 @@ def texts_to_embed(mentions: DataFrame) -> DataFrame:
 
 
 def consolidate(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
-    """All of the graph from mentions (email_id, kind, key, span, place, seen, confidence) in one call, as saved tables: resolved keys, entities, aliases, salience and relations. Running it again on its own entities changes nothing."""
+    """All of the graph from mentions (email_id, kind, key, span, place, seen, confidence) in one call, as saved tables: resolved mentions, entities, aliases and claimed names, salience and relations. Running it again on its own entities and claims changes nothing."""
     from tidemark.operators import graph, merge
 
-    resolved = keep(resolve(mentions, entities, aliases, vectors), "resolved")
-    folded = keep(fold(mentions, resolved), "entities")
-    linked = keep(mentions.join(resolved.select("kind", "key", "entity_id"), ["kind", "key"]).select("email_id", "entity_id", "kind", "confidence"), "mentions")
+    found, claimed = resolve_all(mentions, entities, aliases, vectors)
+    resolved = keep(found, "resolved")
+    folded = keep(fold(resolved), "entities")
+    linked = keep(resolved.select("email_id", "entity_id", "kind", "confidence"), "linked")
     known = entities.select("entity_id", "kind", "key")
     added = merge.latest(resolved.where("rung = 'new'").select("entity_id", "kind", "key"), ["entity_id"], F.col("key"))
     return {
         "resolved": resolved,
         "entities": folded,
         "index": known.unionByName(added.join(known, "entity_id", "left_anti")),
-        "aliases": new_aliases(mentions, resolved, folded),
+        "aliases": new_aliases(resolved, folded),
+        "claims": aliases.select("kind", "key", "entity_id").unionByName(claimed.select("kind", F.col("name").alias("key"), "entity_id")),
         "salience": graph.salience(linked),
         "relations": graph.relations(linked),
     }

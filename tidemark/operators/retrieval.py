@@ -5,42 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import keep
-
-
-def _words(text: str = "text"):
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def terms(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, kind, term, tf, dl): the term table of all chunks. A chunk's words are counted inside its row, so there is no shuffle."""
-    rows = chunks.select("chunk_id", "kind", _words().alias("words")).where(F.size("words") > 0)
-    # runs of the sorted words: a word's count is the distance of its first place from the next word's
-    sorted_ = F.sort_array("words")
-    starts = F.filter(F.sequence(F.lit(1), F.size("sorted")), lambda i: (i == 1) | (F.get("sorted", i - 1) != F.get("sorted", i - 2)))
-    found = rows.withColumn("sorted", sorted_).withColumn("starts", starts)
-    pairs = F.transform("starts", lambda at, i: F.struct(F.get("sorted", at - 1).alias("term"), (F.coalesce(F.get("starts", i + 1), F.size("sorted") + 1) - at).cast("long").alias("tf")))
-    return found.select("chunk_id", "kind", F.size("words").alias("dl"), F.inline(pairs))
-
-
-def bm25(table: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, rank, chunk_id, score) for queries (query_id, term): body chunks with all terms of a query, by their term ``table`` (saved, see ``terms``). Statistics are those of all chunks.
-
-    Only rows of query terms leave the table, and they meet the queries by term.
-    """
-    dl = table.groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    size = chunks.agg(F.count("*").alias("n")).crossJoin(dl.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))).select("n", (F.col("words") / F.col("n")).alias("avgdl"))
-    asked = keep(table.join(queries.select("term").distinct(), "term", "left_semi"), "asked_terms")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    hit = asked.where("kind = 'body'").join(df, "term").crossJoin(F.broadcast(size))  # one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    wanted = queries.groupBy("query_id").agg(F.count_distinct("term").alias("wanted"))
-    scored = hit.select("chunk_id", "term", part.alias("part")).join(queries.distinct(), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("got"))
-    scored = scored.join(wanted, "query_id").where("got = wanted")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
-
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) by cosine. Queries are broadcast only when counted to be few; else vectors and queries meet in blocks."""
@@ -78,17 +42,16 @@ def budget_prefix(sections: DataFrame, budget: int) -> DataFrame:
     return cut.select("anchor", "priority", F.left("text", (F.lit(budget) - F.col("before")).cast("int")).alias("text"))
 
 
-def match_vector(items: DataFrame, entities: DataFrame, bar: float = 0.86) -> DataFrame:
-    """(item_id, entity_id, score): the best entity of the same kind and dimension by cosine, where it reaches ``bar``; the smaller id of equal ones.
+def body_hits(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Of ranked hits (query_id, rank, vec_id, score) those that are body chunks, ranked anew: a search takes its best vectors first, of chunks of any kind."""
+    body = chunks.where("kind = 'body'").select("chunk_id")
+    some = found.withColumnRenamed("vec_id", "chunk_id").join(body, "chunk_id", "left_semi")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return some.withColumn("rank", rank).select("query_id", "rank", "chunk_id", "score")
 
-    Items and entities (id, kind, vec) meet by kind, dimension and a salt that spreads a kind's entities, so no kind is one task; the best of each salt is reduced to the best.
-    """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    salts = 8
-    unit = lambda df: df.withColumn("dim", F.size("vec")).withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("norm > 0")
-    e = unit(entities).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).alias("e")
-    i = unit(items).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("i")
-    both = i.join(e, [F.col(f"i.{c}") == F.col(f"e.{c}") for c in ("kind", "dim", "salt")]).where(F.col("i.id") != F.col("e.id"))
-    score = F.round(dot(F.col("i.vec"), F.col("e.vec")) / (F.col("i.norm") * F.col("e.norm")), 6)
-    best = both.groupBy(F.col("i.id").alias("item_id")).agg(F.max(F.struct(score.alias("score"), (-F.col("e.id")).alias("near"))).alias("best"))
-    return best.where(F.col("best.score") >= bar).select("item_id", (-F.col("best.near")).alias("entity_id"), "best.score")
+
+def match_vector(items: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, entity_id, score): the best entity of each item (id, kind, key, vec) by cosine, where it reaches its bar; the smaller id of equal ones."""
+    from tidemark.operators import resolution
+
+    return resolution.best(resolution.near(items, entities))

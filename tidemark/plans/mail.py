@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import mail as M
 from tidemark.functions import text as T
-from tidemark.operators import briefs, graph, maintain, merge, queue, serving
+from tidemark.operators import briefs, graph, maintain, merge, queue, resolution, serving
 from tidemark.plans import oracles as O
 from tidemark.plans.registry import registry
 from tidemark.sources import views as V
@@ -177,10 +177,12 @@ def match_entities(s, d):
     return serving.match_entities(p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name")), alias, p.select(F.substring_index("p_type", " ", 1).alias("needle")))
 
 
-@query("select kind, entity_id, count(*) as mentions, min(email_id) as first_email, max(email_id) as last_email, count(distinct confidence) as surfaces from men where kind <> 'org' group by kind, entity_id", O._MEN)
+@query("select entity_id, kind, case when substr(entity_id, length(entity_id), 1) = '7' then 'stored' else entity_id end as name, least(min(email_id), case when substr(entity_id, length(entity_id), 1) = '7' then 3 end) as first_seen, max(email_id) as last_seen, count(*) + case when substr(entity_id, length(entity_id), 1) = '7' then 10 else 0 end as mentions from men where kind <> 'org' group by kind, entity_id", O._MEN)
 def fold_mentions(s, d):
-    m = V.mentions(s, d).where("kind != 'org'")
-    return m.groupBy("kind", "entity_id").agg(F.count("*").alias("mentions"), F.min("email_id").alias("first_email"), F.max("email_id").alias("last_email"), F.count_distinct("confidence").alias("surfaces"))
+    """Mentions folded into their entities, of which those that end in 7 are stored already."""
+    m = V.mentions(s, d).where("kind != 'org'").select("entity_id", "kind", F.col("entity_id").alias("key"), F.col("entity_id").alias("span"), F.col("email_id").alias("place"), F.col("email_id").alias("seen"))
+    stored = m.where("entity_id like '%7'").select("entity_id", F.lit("stored").alias("name"), F.lit(3).cast("long").alias("first_seen"), F.lit(4).cast("long").alias("last_seen"), F.lit(10).cast("long").alias("mentions")).distinct()
+    return resolution.fold(m, stored)
 
 
 @query("select o_custkey as entity_id, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as aliases from orders group by o_custkey")
@@ -212,13 +214,6 @@ def backend_compare(s, d):
     return V.messages(s, d).groupBy(F.col("category").alias("backend")).agg(F.count_if(~ok).alias("failures"), F.round(F.coalesce(F.avg(F.when(ok, F.col("value"))), F.lit(0.0)), 6).alias("mean_seconds"), clustered.alias("clustered"))
 
 
-@query("select source, min(doc_id) as chunk_id, count(*) as chunks from documents where doc_id % 10 < 8 group by source")
-def first_chunk(s, d):
-    """The first body chunk of each source."""
-    c = V.chunks(s, d).where("kind = 'body'").join(V.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source"), "chunk_id")
-    return c.groupBy("source").agg(F.min_by("chunk_id", "chunk_id").alias("chunk_id"), F.count("*").alias("chunks"))
-
-
 @query("select thread_id, email_id, value from msg qualify row_number() over (partition by thread_id order by value desc, email_id) = 1", O._MSG)
 def dedupe_by_parent(s, d):
     return merge.latest(V.messages(s, d), ["thread_id"], F.desc("value"), F.asc("email_id")).select("thread_id", "email_id", "value")

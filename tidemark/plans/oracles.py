@@ -78,14 +78,29 @@ _FREE = f"""win as (select distinct calendar_id, (s // {_DAY}) * {_DAY} + 324000
 _TERMS = r"""words as (select doc_id as chunk_id, case when doc_id % 10 = 8 then 'quoted' when doc_id % 10 = 9 then 'signature' else 'body' end as kind,
     list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ws from documents),
  terms as (select chunk_id, term, count(*) as tf, any_value(dl) as dl from (select chunk_id, len(ws) as dl, unnest(ws) as term from words) group by chunk_id, term),
- asked as (select chunk_id as query_id, term from terms where chunk_id % 50 = 0 and length(term) between 5 and 8 qualify row_number() over (partition by chunk_id order by tf desc, term) <= 2),
- wanted as (select query_id, count(*) as n from asked group by query_id),
+ top as (select chunk_id, max(term) filter (nth = 1) as one, max(term) filter (nth = 2) as two from (select *, row_number() over (partition by chunk_id order by tf desc, term) as nth from terms where chunk_id % 50 = 0 and length(term) between 5 and 8) group by chunk_id),
+ asked as (select chunk_id as query_id, concat_ws(' ', one, case when chunk_id % 100 = 0 then two else case when len(ws) >= 2 then ws[1] || '-' || ws[2] end end) as query from words left join top using (chunk_id) where chunk_id % 50 = 0),
+ phr as (select query_id, ts, count(*) as times from (select query_id, list_filter(string_split_regex(lower(t), '[^\p{L}\p{N}]+'), lambda w: w <> '') as ts from (select query_id, unnest(string_split_regex(trim(query), '\s+')) as t from asked)) where len(ts) > 0 group by all),
+ wanted as (select query_id, count(*) as n from phr group by query_id),
  size as (select count(*)::double as n, avg(len(ws)) as avgdl from words),
- dfs as (select term, count(*)::double as df from terms where term in (select distinct term from asked) group by term),
+ pos as (select chunk_id, unnest(ws) as term, generate_subscripts(ws, 1) as at from words),
+ ph as (select distinct ts from phr),
+ hit as (select ts, chunk_id, tf from ph join terms on len(ts) = 1 and term = ts[1] union all
+   select ts, a.chunk_id, count(*) from ph join pos a on len(ts) = 2 and a.term = ts[1] join pos b on b.chunk_id = a.chunk_id and b.at = a.at + 1 and b.term = ts[2] group by all),
+ dfs as (select ts, count(*)::double as df from hit group by ts),
  bm as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from (
-   select query_id, t.chunk_id, round(sum(greatest(ln((size.n - df + 0.5) / (df + 0.5)), 1e-6::double) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * dl / avgdl))), 6) as score
-   from terms t join asked using (term) join dfs using (term) join words w on w.chunk_id = t.chunk_id and w.kind = 'body' join wanted using (query_id), size
-   group by query_id, t.chunk_id having count(*) = any_value(wanted.n)) qualify rank <= 10)"""
+   select query_id, hit.chunk_id, round(sum(times * greatest(ln((size.n - df + 0.5) / (df + 0.5)), 1e-6::double) * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * len(ws) / avgdl))), 6) as score
+   from hit join phr using (ts) join dfs using (ts) join words w on w.chunk_id = hit.chunk_id and w.kind = 'body' join wanted using (query_id), size
+   group by query_id, hit.chunk_id having count(*) = any_value(wanted.n)) qualify rank <= 10)"""
+_BODY = "vb as (select query_id, row_number() over (partition by query_id order by rank)::int as rank, vec_id as chunk_id, score from vec where vec_id in (select doc_id from documents where doc_id % 10 < 8))"
+_FIRST = "fc as (select doc_id // 2 as email_id, arg_min(doc_id, (doc_id % 2, doc_id)) as chunk_id from documents where doc_id % 10 < 8 group by doc_id // 2)"
+_NAMES = """nm as (select e.vec_id, (['topic', 'org', 'case'])[(e.vec_id // 5) % 3 + 1] as kind, case e.vec_id % 5 when 0 then 'lot ' || (e.vec_id // 5) when 1 then 'anshun lot ' || (e.vec_id // 5) when 2 then 'lot ' || (e.vec_id // 5) || ' dock' else 'item ' || e.vec_id end as key,
+   list_transform(generate_series(1, len(e.embedding)), lambda i: b.embedding[i]::double + (0.25::double + 0.1::double * (e.vec_id % 5)) * e.embedding[i]::double) as x
+   from embeddings e join embeddings b on b.vec_id = e.vec_id - e.vec_id % 5),
+ sc_ as (select i.vec_id as id, e.vec_id as entity_id, round(list_dot_product(i.x, e.x) / sqrt(list_dot_product(i.x, i.x) * list_dot_product(e.x, e.x)), 6) as score,
+   (len(string_split(i.key, ' ')) < len(string_split(e.key, ' ')) and contains(' ' || e.key || ' ', ' ' || i.key || ' ')) or (len(string_split(e.key, ' ')) < len(string_split(i.key, ' ')) and contains(' ' || i.key || ' ', ' ' || e.key || ' ')) as nested
+   from nm i join nm e on i.kind = e.kind and i.kind <> 'case' and i.vec_id % 4 = 0 and e.vec_id % 4 <> 0),
+ nr as (select id, entity_id, score from sc_ where score >= case when nested then 0.65 else 0.86 end)"""
 _VEC = """vec as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from (
    select q.vec_id as query_id, v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score
    from embeddings v join embeddings q on q.vec_id <> v.vec_id where %s) qualify rank <= 10)"""
@@ -103,6 +118,21 @@ def _with(*views: str) -> str:
     return "with " + ", ".join(views) + " "
 
 
+def _graph(anchors: str, targets: str) -> list[str]:
+    """Views that end in ``gs``: the messages near the anchors, by two hops of the graph."""
+    return [
+        _MEN, _EDGES, "m as (select distinct email_id, entity_id from men where kind in ('case', 'project'))",
+        "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men where kind in ('case', 'project') group by entity_id)",
+        "sal as (select entity_id, case when s = 0 then 0.5::double else s end as salience from (select entity_id, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as s from per))",
+        f"anchor as (select email_id as anchor, entity_id from m where {anchors})",
+        "h1 as (select start, dst as node, max(weight) as score from (select distinct entity_id as start from anchor) join step on src = start where dst <> start group by all)",
+        "h2 as (select start, dst as node, max(score * weight / 2) as score from h1 join step on src = node where dst <> start group by all)",
+        "near as (select *, 1 as hop from h1 union all select *, 2 from h2 where not exists (from h1 where h1.start = h2.start and h1.node = h2.node))",
+        f"hits as (select anchor, m.email_id, max(salience * score / hop) as score from anchor join sal using (entity_id) join near on start = anchor.entity_id join m on m.entity_id = node and m.email_id <> anchor where m.{targets} group by all)" if targets != "true" else "hits as (select anchor, m.email_id, max(salience * score / hop) as score from anchor join sal using (entity_id) join near on start = anchor.entity_id join m on m.entity_id = node and m.email_id <> anchor group by all)",
+        "gs as (select anchor, row_number() over (partition by anchor order by round(score, 6) desc, email_id)::int as rank, email_id, round(score, 6) as score from hits qualify rank <= 10)",
+    ]
+
+
 ORACLE_SQL: dict[str, str] = {
     "review_queue": _with(_MSG, _SIG, _LOG, _PRIORS, _FED) + f"select email_id, sender, level, score, round({_FLOOR} + 25.0::double * row_number() over (partition by level order by score, received_at, email_id) / (count(*) over (partition by level) + 1), 6) as spread from done order by spread desc, received_at desc, email_id limit 20",
     "score_messages": _with(_MSG, _SIG) + f"select email_id, level, score from {_score('sig')}",
@@ -145,14 +175,17 @@ ORACLE_SQL: dict[str, str] = {
       group by src, dst, rel having rel <> 'belongs_to' or count(*) >= 2""",
     "fragmentation": _with(_MEN) + "select kind, count(*) as nodes, count(*) filter (emails = 1) as one_email, round(100.0::double * count(*) filter (emails = 1) / count(*), 4) as percent from (select kind, entity_id, count(distinct email_id) as emails from men group by all) group by kind",
     "neighbors_weighted": _with(_MEN, _EDGES, "s as (select distinct src as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)")
-    + "select start, node, round(max(score), 6) as score, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start group by start, node",
-    "neighbors_decayed": _with(_MEN, _EDGES, "s as (select distinct src as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start where dst <> start group by all), h2 as (select start, dst as node, max(score * weight / 2) as score from h1 join step on src = node where dst <> start group by all)")
-    + "select start, node, round(score, 6) as score, 1 as hop from h1 union all select start, node, round(score, 6), 2 from h2 where not exists (from h1 where h1.start = h2.start and h1.node = h2.node)",
+    + "select start, node, round(raw, 6) as score, hop from (select start, node, max(score) as raw, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start group by start, node) qualify row_number() over (partition by start order by raw desc, node) <= 20",
+    "neighbors_decayed": _with(_MEN, _EDGES, "s as (select distinct src as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start where dst <> start group by all), h2 as (select start, dst as node, max(score * weight * 0.5::double) as score from h1 join step on src = node where dst <> start group by all)")
+    + "select start, node, round(raw, 6) as score, hop from (select start, node, score as raw, 1 as hop from h1 union all select start, node, score, 2 from h2 where not exists (from h1 where h1.start = h2.start and h1.node = h2.node)) qualify row_number() over (partition by start order by raw desc, node) <= 20",
     "evidence_fingerprint": _with(_MEN) + _FP.format("kind in ('case', 'project')"),
     "dirty_briefs": _with(_MEN, f"a as ({_FP.format('kind = ' + _lit('case') + ' and email_id % 1000 <> 1')}), b as ({_FP.format('kind = ' + _lit('case'))})") + "select b.entity_id, b.emails, b.hash from b left join a using (entity_id) where b.hash is distinct from a.hash",
     "bm25_search": _with(_TERMS) + "select query_id, rank, chunk_id, score from bm",
     "vector_search": _with(_VEC % "q.vec_id % 50 = 0") + "select query_id, rank, vec_id, score from vec",
-    "hybrid_search": _with(_TERMS, _VEC % "q.vec_id % 50 = 0", "ch as (select query_id, chunk_id, rank, 'text' as channel from bm union all select query_id, vec_id, rank, 'vector' from vec)")
+    "body_vectors": _with(_VEC % "q.vec_id % 50 = 0", _BODY) + "select query_id, rank, chunk_id, score from vb",
+    "first_chunk": _with(_FIRST) + "select email_id, chunk_id from fc",
+    "hybrid_search": _with(_TERMS, _VEC % "q.vec_id % 50 = 0", _BODY, _FIRST, *_graph("email_id in (select doc_id // 2 from documents where doc_id % 50 = 0)", "email_id in (select email_id from fc)"), "ask as (select doc_id as query_id, doc_id // 2 as anchor from documents where doc_id % 50 = 0)",
+        "ch as (select query_id, chunk_id, rank, 'bm25' as channel from bm union all select query_id, chunk_id, rank, 'vector' from vb union all select query_id, chunk_id, rank, 'graph' from gs join fc using (email_id) join ask using (anchor))")
     + "select query_id, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank, chunk_id, score, channel from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 6) as score, string_agg(distinct channel, '+' order by channel) as channel from ch group by all) qualify rank <= 10",
     "build_pack": "select conv_id as anchor, turn as priority, length(cut)::int as chars, md5(cut) as digest from (select conv_id, turn, left(text, (1500 - before)::int) as cut from (select *, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from conversations) where before < 1500)",
     "find_addresses": r"select doc_id, array_to_string(list_distinct_ordered, ',') as addresses from (select doc_id, list_reduce(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: [lower(x)]), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))",
@@ -179,17 +212,8 @@ ORACLE_SQL: dict[str, str] = {
     "stream_dedupe": "select event_id, user_id from events",
     "stream_latest": "select user_id, event_type, max_by(value, (ts, event_id)) as value from events group by all",
     "stream_sessions": "select user_id, min(ts) as session_start, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 0 else 1 end as fresh from events)) group by user_id, s",
-    "graph_search": _with(
-        _MEN, _EDGES, "m as (select distinct email_id, entity_id from men where kind in ('case', 'project'))",
-        "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men where kind in ('case', 'project') group by entity_id)",
-        "sal as (select entity_id, case when s = 0 then 0.5::double else s end as salience from (select entity_id, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as s from per))",
-        "anchor as (select email_id as anchor, entity_id from m where email_id % 50 = 0)",
-        "h1 as (select start, dst as node, max(weight) as score from (select distinct entity_id as start from anchor) join step on src = start where dst <> start group by all)",
-        "h2 as (select start, dst as node, max(score * weight / 2) as score from h1 join step on src = node where dst <> start group by all)",
-        "near as (select *, 1 as hop from h1 union all select *, 2 from h2 where not exists (from h1 where h1.start = h2.start and h1.node = h2.node))",
-        "hits as (select anchor, m.email_id, max(salience * score / hop) as score from anchor join sal using (entity_id) join near on start = anchor.entity_id join m on m.entity_id = node and m.email_id <> anchor group by all)",
-    )
-    + "select anchor, row_number() over (partition by anchor order by round(score, 6) desc, email_id)::int as rank, email_id, round(score, 6) as score from hits qualify rank <= 10",
+    "graph_search": _with(*_graph("email_id % 50 = 0", "true"))
+    + "select anchor, rank, email_id, score from gs",
     "related_context": _with(_MEN, "m as (select distinct email_id, entity_id from men where kind = 'case')")
     + "select anchor, row_number() over (partition by anchor order by shared desc, email_id)::int as rank, email_id, shared from (select a.email_id as anchor, b.email_id, count(*) as shared from m a join m b on a.entity_id = b.entity_id and a.email_id <> b.email_id where a.email_id % 50 = 0 group by all) qualify rank <= 10",
     "project_rollup": _with(_MEN, _EDGES, "s as (select distinct dst as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)",
@@ -203,7 +227,5 @@ ORACLE_SQL: dict[str, str] = {
     "sender_counts": _with(_MSG) + "select split_part(sender, '@', 1) as local, 'example' as org, count(*) as n, count(*) filter (read_status = 'unread') as unread from msg group by all",
     "first_claimant": "select o_custkey, o_orderpriority, min(o_orderkey) as o_orderkey from orders group by all",
     "table_counts": _with(_MSG, _LOG, _MEN) + "select 'messages' as name, count(*) as n from msg union all select 'mentions', count(*) from men union all select 'chunks', count(*) from documents union all select 'feedback', count(*) from log",
-    "match_vector": """select item_id, entity_id, score from (select i.vec_id as item_id, e.vec_id as entity_id,
-       round(list_dot_product(i.embedding::double[], e.embedding::double[]) / (sqrt(list_dot_product(i.embedding::double[], i.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[]))), 6) as score
-     from embeddings i join embeddings e on e.label = i.label and e.vec_id <> i.vec_id where i.vec_id % 20 = 0) qualify row_number() over (partition by item_id order by score desc, entity_id) = 1 and score >= 0.3""",
+    "match_vector": _with(_NAMES) + "select id, entity_id, score from nr qualify row_number() over (partition by id order by score desc, entity_id) = 1",
 }

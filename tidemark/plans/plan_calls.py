@@ -121,28 +121,22 @@ def zones(s, d):
 # resolution
 
 
-def _named(s, d):
-    """Vectors as names of things: the kind is the label, the key the number."""
-    v = V.table(s, d, "embeddings")
-    return v.select(F.concat(F.lit("kind"), "label").alias("kind"), F.concat(F.lit("name "), "vec_id").alias("key"), F.col("embedding").alias("vec"), "vec_id")
-
-
-@query("""with v as (select vec_id, label, embedding::double[] as x from embeddings), p as (select a.vec_id as id, b.vec_id as entity_id, round(list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)), 6) as score
-  from v a join v b on a.label = b.label and a.vec_id % 4 = 0 and b.vec_id % 4 <> 0) select id, entity_id, score from p where score >= 0.3""")
+@query("select id, entity_id, score from nr", O._NAMES)
 def near_entities(s, d):
-    n = _named(s, d)
-    items = n.where("vec_id % 4 = 0").select(F.col("vec_id").alias("id"), "kind", "key", "vec")
-    return resolution.near(items, n.where("vec_id % 4 != 0").select(F.col("vec_id").alias("entity_id"), "kind", "key", "vec"), 0.3, 0.3)
+    """The pairs of names that are near enough, one in four names against the others."""
+    n = V.names(s, d)
+    return resolution.near(n.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "id"), n.where("vec_id % 4 != 0").withColumnRenamed("vec_id", "entity_id"))
 
 
 @query()
 def resolve_names(s, d):
-    """Every vector's name, resolved against those of one in four, with the rest in the order of their numbers."""
-    n = _named(s, d)
+    """Every name twice, the second time with an article, resolved against one in four that is known, in the order of their numbers."""
+    n = V.names(s, d)
     entities = n.where("vec_id % 4 = 0").select(F.concat(F.lit("e"), "vec_id").alias("entity_id"), "kind", "key", "vec")
-    aliases = n.where("vec_id % 10 = 1").select("kind", "key", F.concat(F.lit("e"), F.col("vec_id") - 1).alias("entity_id"))
-    mentions = n.select("kind", "key", F.col("key").alias("span"), F.col("vec_id").alias("place"))
-    return resolution.resolve(mentions, entities, aliases, n.select("kind", "key", "vec"), bar=0.35)
+    aliases = n.where("vec_id % 12 = 1").select("kind", "key", F.concat(F.lit("e"), F.col("vec_id") - 1).alias("entity_id"))
+    some = n.select("vec_id", "kind", "key", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    mentions = some.select("kind", "key", F.when(F.col("again") == 0, F.col("key")).otherwise(F.concat(F.lit("The "), "key")).alias("span"), (F.col("vec_id") * 2 + F.col("again") * 101).alias("place"))
+    return resolution.resolve(mentions, entities, aliases, n.select("kind", "key", "vec"))
 
 
 @query("select kind, entity_id, min(email_id) as first_email from men where kind = 'project' group by kind, entity_id", O._MEN)
@@ -151,10 +145,10 @@ def texts_to_embed(s, d):
     return resolution.texts_to_embed(m.where("kind != 'org'")).select("kind", F.col("key").alias("entity_id"), F.col("text").cast("long").alias("first_email"))
 
 
-@query("select case when substr(entity_id, 6)::bigint % 2 = 0 then 'exact' when substr(entity_id, 6)::bigint % 3 = 0 then 'alias' else 'new' end as rung, count(distinct entity_id) as n from men where kind = 'case' group by rung", O._MEN)
+@query("select rung, sum(n)::bigint as n from (select case when k % 2 = 0 then 'exact' when k % 3 = 0 then 'alias' else 'new' end as rung, case when k % 2 = 0 or k % 3 = 0 then n else 1 end as n from (select substr(entity_id, 6)::bigint as k, count(*) as n from men where kind = 'case' group by entity_id) union all select 'exact', n - 1 from (select substr(entity_id, 6)::bigint as k, count(*) as n from men where kind = 'case' group by entity_id) where k % 2 <> 0 and k % 3 <> 0) where n > 0 group by rung", O._MEN)
 def rung_counts(s, d):
-    """How the cases resolve where even ones are known and every third has an alias."""
-    m = V.mentions(s, d).where("kind = 'case'").select("kind", F.col("entity_id").alias("key"), F.col("entity_id").alias("span"), F.col("email_id").alias("place"))
+    """How the mentions of cases resolve where even ones are known and every third has an alias: the others are new once."""
+    m = V.mentions(s, d).where("kind = 'case'").select("kind", F.col("entity_id").alias("key"), F.col("entity_id").alias("span"), F.monotonically_increasing_id().alias("place"))
     number = F.substring_index("key", ":", -1).cast("long")
     one = m.select("kind", "key").distinct()
     entities = one.where(number % 2 == 0).select(F.col("key").alias("entity_id"), "kind", "key", F.array().cast("array<float>").alias("vec"))

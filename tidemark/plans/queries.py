@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import chunking, graph, intervals, maintain, merge, queue, retrieval
+from tidemark.operators import chunking, graph, intervals, maintain, merge, postings, queue, retrieval
 from tidemark.sources import views as V
 from tidemark.sources.tables import keep
 from tidemark.streaming import streams
@@ -238,14 +238,14 @@ def _edges(s, d):
 def neighbors_weighted(s, d):
     e = keep(_edges(s, d), "edges")
     starts = e.select(F.col("src").alias("entity_id")).distinct()
-    return graph.neighbors_weighted(e, starts).withColumn("score", F.round("score", 6))
+    return graph.neighbors_weighted(e, starts, k=20).withColumn("score", F.round("score", 6))
 
 
 @query
 def neighbors_decayed(s, d):
     e = keep(_edges(s, d), "edges")
     starts = e.select(F.col("src").alias("entity_id")).distinct()
-    return graph.neighbors_decayed(e, starts).withColumn("score", F.round("score", 6))
+    return graph.neighbors_decayed(e, starts, k=20).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -262,17 +262,21 @@ def dirty_briefs(s, d):
 # search
 
 
-def _asked(table):
-    """A query for every chunk whose id is divisible by 50: its two most frequent words of five to eight letters."""
+def _asked(s, d, table):
+    """A query (query_id, query) for every chunk whose id is divisible by 50: its two most frequent words of five to eight letters, or the first of these and a phrase of the chunk's first two words."""
     some = table.where("chunk_id % 50 = 0 and length(term) between 5 and 8")
     nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("tf"), "term"))
-    return some.withColumn("nth", nth).where("nth <= 2").select(F.col("chunk_id").alias("query_id"), "term")
+    frequent = some.withColumn("nth", nth).groupBy("chunk_id").agg(F.max(F.when(F.col("nth") == 1, F.col("term"))).alias("one"), F.max(F.when(F.col("nth") == 2, F.col("term"))).alias("two"))
+    chunks = V.chunks(s, d).where("chunk_id % 50 = 0").withColumn("words", postings.words(F.col("text")))
+    phrase = F.when(F.size("words") >= 2, F.concat_ws("-", F.get("words", F.lit(0)), F.get("words", F.lit(1))))
+    query = F.concat_ws(" ", "one", F.when(F.col("chunk_id") % 100 == 0, F.col("two")).otherwise(phrase))
+    return chunks.join(frequent, "chunk_id", "left").select(F.col("chunk_id").alias("query_id"), query.alias("query"))
 
 
 @query
 def bm25_search(s, d):
-    table = keep(retrieval.terms(V.chunks(s, d)), "terms")
-    return retrieval.bm25(table, V.chunks(s, d), _asked(table))
+    table = keep(postings.postings(V.chunks(s, d)), "postings")
+    return postings.search(table, V.chunks(s, d), _asked(s, d, table))
 
 
 @query
@@ -281,12 +285,32 @@ def vector_search(s, d):
     return retrieval.vector_topk(v, v.where("vec_id % 50 = 0"))
 
 
+@query
+def body_vectors(s, d):
+    """The body chunks among the nearest vectors."""
+    return retrieval.body_hits(vector_search(s, d), V.chunks(s, d))
+
+
+def _near_messages(s, d, anchors, targets=None):
+    m = V.mentions(s, d).where("kind in ('case', 'project')")
+    return graph.graph_search(_edges(s, d), m, graph.salience(m), anchors, targets=targets)
+
+
 @query
 def hybrid_search(s, d):
-    """Words and vectors of every chunk whose id is divisible by 50 against all chunks; a chunk's vector has its number."""
-    text = bm25_search(s, d)
-    near = vector_search(s, d).withColumnRenamed("vec_id", "chunk_id")
-    return retrieval.fuse({"text": text, "vector": near})
+    """Every chunk whose id is divisible by 50 as a query against all chunks: its words, its vector, which has its number, and the graph around its message, which shows the first body chunk of each message."""
+    chunks = V.chunks(s, d)
+    first = keep(graph.first_chunks(chunks), "first_chunks")
+    asked = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("email_id").alias("anchor"))
+    near = _near_messages(s, d, asked.select(F.col("anchor").alias("email_id")), first.select("email_id"))
+    linked = near.join(first, "email_id").join(asked, "anchor").select("query_id", "rank", "chunk_id")
+    return retrieval.fuse({"bm25": bm25_search(s, d), "vector": body_vectors(s, d), "graph": linked})
+
+
+@query
+def first_chunk(s, d):
+    """The first body chunk of each message."""
+    return graph.first_chunks(V.chunks(s, d))
 
 
 @query
@@ -471,8 +495,7 @@ def stream_sessions(s, d):
 
 @query
 def graph_search(s, d):
-    m = V.mentions(s, d).where("kind in ('case', 'project')")
-    return graph.graph_search(keep(_edges(s, d), "edges"), m, graph.salience(m), m.where("email_id % 50 = 0").select("email_id").distinct())
+    return _near_messages(s, d, V.mentions(s, d).where("kind in ('case', 'project') and email_id % 50 = 0").select("email_id").distinct())
 
 
 @query
@@ -549,5 +572,5 @@ def table_counts(s, d):
 
 @query
 def match_vector(s, d):
-    v = V.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("kind"), F.col("embedding").alias("vec"))
-    return retrieval.match_vector(v.where("id % 20 = 0"), v, bar=0.3)
+    n = V.names(s, d)
+    return retrieval.match_vector(n.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "id"), n.where("vec_id % 4 != 0").withColumnRenamed("vec_id", "entity_id"))

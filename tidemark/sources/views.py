@@ -58,10 +58,22 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as text chunks (chunk_id, kind, text)."""
+    """Documents as text chunks (chunk_id, email_id, ord, kind, text), two a message."""
     d = table(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 10 == 8, "quoted").when(F.col("doc_id") % 10 == 9, "signature").otherwise("body")
-    return d.select(F.col("doc_id").alias("chunk_id"), kind.alias("kind"), "text")
+    return d.select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 2).alias("email_id"), (F.col("doc_id") % 2).cast("int").alias("ord"), kind.alias("kind"), "text")
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as names of things, five of a group near each other: (vec_id, kind, key, vec). Some names contain others."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    base = v.select((F.col("vec_id")).alias("base"), F.col("embedding").alias("centre"))
+    v = v.withColumn("base", F.col("vec_id") - F.col("vec_id") % 5).join(base, "base")
+    nth, group = F.col("vec_id") % 5, F.floor(F.col("vec_id") / 5).cast("string")
+    key = F.when(nth == 0, F.concat(F.lit("lot "), group)).when(nth == 1, F.concat(F.lit("anshun lot "), group)).when(nth == 2, F.concat(F.lit("lot "), group, F.lit(" dock"))).otherwise(F.concat(F.lit("item "), F.col("vec_id").cast("string")))
+    kind = F.element_at(F.array(F.lit("topic"), F.lit("org"), F.lit("case")), (F.floor(F.col("vec_id") / 5) % 3 + 1).cast("int"))
+    share = 0.25 + 0.1 * nth
+    return v.select("vec_id", kind.alias("kind"), key.alias("key"), F.zip_with("centre", "embedding", lambda c, e: c.cast("double") + share * e.cast("double")).alias("vec"))
 
 
 def busy(spark: SparkSession, sf_dir: str) -> DataFrame:
