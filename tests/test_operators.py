@@ -101,9 +101,11 @@ def test_vector_search_in_blocks_equals_broadcast(spark, monkeypatch):
 
 
 def test_todos_reconcile(spark):
-    stored = spark.createDataFrame([("a", "open"), ("b", "done"), ("c", "open")], "todo_id string, status string")
-    desired = spark.createDataFrame([("a",), ("d",)], "todo_id string")
-    assert rows(maintain.sync_todos(stored, desired)) == [("a", "open"), ("b", "done"), ("c", "closed"), ("d", "open")]
+    columns = "todo_id string, email_id int, kind string, text string"
+    stored = spark.createDataFrame([("a", 1, "k", "t", "open"), ("b", 1, "k", "t", "done"), ("c", 2, "k", "t", "open"), ("e", 3, "k", "t", "open")], columns + ", status string")
+    desired = spark.createDataFrame([("a", 1, "k", "t"), ("d", 2, "k", "t")], columns)
+    got = maintain.sync_todos(stored, desired, spark.createDataFrame([(1,), (2,)], "email_id int"))
+    assert rows(got.select("todo_id", "status")) == [("a", "open"), ("b", "done"), ("c", "done"), ("d", "open"), ("e", "open")]
 
 
 @pytest.mark.parametrize(
@@ -198,3 +200,42 @@ def test_working_hours_follow_daylight_saving(spark):
     got = rows(intervals.working_windows(df, "America/Los_Angeles"))
     hours = [(a % intervals.DAY // intervals.HOUR, (b - a) // intervals.HOUR) for _, a, b in got]
     assert hours == [(0, 0), (16, 8), (17, 7)] or hours == [(16, 8), (17, 7)]
+
+
+def test_bodies_are_packed_by_paragraphs_and_sentences():
+    assert chunking.split_body("a\n\nb\n \nc") == ["a\n\nb\n\nc"]
+    assert chunking.split_body("one two. three four; five\nsix no end", 12, 0) == ["one two.", "three four;", "five", "six no end"]
+    assert chunking.split_body("x" * 30 + ". " + "y" * 5, 10, 0) == ["x" * 30 + ".", "y" * 5]
+    first, second = chunking.split_body("First one here. The last words.\n\n" + "z" * 30, 40, 20)
+    assert first == "First one here. The last words." and second == "here. The last words."[-20:].split(". ")[1].strip() + "\n\n" + "z" * 30
+    assert chunking.split_body("tail without an end\n\n" + "z" * 20, 24, 10)[1].startswith("out an end\n\n")
+    assert "".join("".join(chunking.split_body("w " * 3000, overlap=0)).split()) == "w" * 3000
+
+
+def test_quoted_text_below_much_else_stays():
+    quoted = lambda t: chunking.split_quoted(t)
+    assert quoted("> a\n" + "x" * 200)[1] and not quoted("> a\n" + "x" * 201)[1]
+    assert quoted("> a\n\n  " + "x" * 100 + "\n> b\n" + " " * 400 + "y" * 99 + "\n\n \n")[0] == "> a\n\n  " + "x" * 100  # blanks between lines count
+    assert quoted("> a\n \n\n" + "x" * 200 + "  \n \n") == ("", "> a\n \n\n" + "x" * 200)
+
+
+def test_many_blank_lines_take_linear_time():
+    import time
+
+    began = time.time()
+    text = "\n" * 200_000 + "end"
+    assert chunking.split_quoted(text)[1] == "" and chunking.split_signature(text)[1] == "" and chunking.split_body(text) == ["end"]
+    assert time.time() - began < 5
+
+
+def test_replies_are_owed_for_classified_read_unsent_mail(spark):
+    df = spark.createDataFrame([(1, False, "read", None), (2, None, "read", None), (3, True, "read", None), (4, False, "unread", None), (5, False, "read", "sent"), (6, False, "read", "suggested")], "email_id int, is_no_reply boolean, read_status string, outline_status string")
+    assert rows(df.where(maintain.needs_reply(df)).select("email_id")) == [(1,), (6,)]
+
+
+def test_invitations_are_decisive(spark):
+    cases = [("text/calendar", "x", False), ('x/y; name="A.ICS"', "x", True), ("a/b; method = request", "x", False), ("text/plain", "friday", False), ("text/plain", "friday 3 pm", False), ("text/plain", "friday 3 pm", True), (None, "when works", True)]
+    df = spark.createDataFrame(cases, "kind string, subject string, bulk boolean")
+    got = [r.f for r in df.select(T.scheduling_signals(F.col("subject"), F.lit(None).cast("string"), F.col("kind"), F.col("bulk")).alias("f")).collect()]
+    assert [g.related for g in got] == [True, True, True, False, True, False, True] and got[0].points == 0
+    assert got[0].reasons == [T.INVITE_WHY] and got[5].reasons[-1] == T.BULK_WHY and len(got[5].reasons) == 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,20 @@ WEAK = (
 )
 
 
+#: Why each phrase counts, in the order of the phrases; content types, methods and the reasons of invitations and of bulk mail.
+STRONG_WHY = (
+    "asks whether the recipient is free", "asks when the recipient is free", "asks for availability", "asks for times", "proposes scheduling a meeting", "proposes finding a time", "asks to reschedule", "mentions rescheduling",
+    "proposes a specific time", "asks what time works", "asks when works", "proposes a time for confirmation", "references a calendar invite", "is a meeting request", "offers to send an invite", "proposes blocking time",
+    "proposes pencilling in a time", "proposes a call", "proposes meeting up",
+)
+WEAK_WHY = (
+    "mentions a meeting", "mentions catching up", "mentions a calendar", "mentions availability", "mentions a slot", "names a weekday", "names a relative day", "names a clock time", "names a clock time", "mentions a meeting tool",
+    "names a time of day", "mentions being free",
+)
+INVITES, INVITE_METHODS = ("text/calendar", "application/ics"), ("method=request", "method=reply", "method=cancel")
+INVITE_WHY, BULK_WHY = "carries a calendar invite (text/calendar)", "discounted: bulk/automated headers, no explicit ask"
+
+
 def addr_only(value: Column) -> Column:
     """The bare address of ``Name <addr>``, in lower case."""
     v = F.trim(value)
@@ -145,11 +161,34 @@ def urgency_hits(subject: Column, body: Column | None = None) -> Column:
     return F.filter(F.array(*[F.lit(w) for w in URGENCY]), lambda w: F.contains(text, w))
 
 
-def scheduling_score(text: Column, invite: Column, bulk: Column) -> Column:
-    """Two points a strong phrase, one a weak; nothing for bulk mail with weak ones only."""
-    hits = lambda patterns: sum((F.coalesce(text.rlike("(?i)" + p), F.lit(False)).cast("int") for p in patterns), F.lit(0))
-    strong = hits(STRONG)
-    return F.when(bulk & (strong == 0) & ~invite, 0).otherwise(2 * strong + hits(WEAK))
+def is_invite(content_type: Column) -> Column:
+    """Whether a content type is that of a calendar invitation, or names a file of one."""
+    kind = F.lower(F.coalesce(content_type, F.lit("")))
+    return F.contains(kind, F.lit(".ics")) | reduce_or([F.contains(kind, F.lit(x)) for x in INVITES]) | reduce_or([F.contains(F.replace(kind, F.lit(" "), F.lit("")), F.lit(x)) for x in INVITE_METHODS])
+
+
+def reduce_or(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def scheduling_signals(subject: Column, body: Column, content_type: Column, bulk: Column, most: int = 2000) -> Column:
+    """struct<points, reasons, related>: whether a message arranges a time, and why.
+
+    Subject and the first ``most`` characters of the body are searched: two points a strong phrase, one a weak one, each once. Bulk mail with weak ones only has none. Two points are enough, and an invitation is, whatever its points.
+    """
+    text = F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), F.left(F.coalesce(body, F.lit("")), F.lit(most)))
+    invite, bulk = is_invite(content_type), F.coalesce(bulk, F.lit(False))
+    # the text is named once, so that it isn't put together for each pattern
+    hit = lambda t, patterns, whys: [F.when(t.rlike("(?i)" + p), F.lit(why)) for p, why in zip(patterns, whys, strict=True)]
+    found = F.transform(F.array(text), lambda t: F.struct(F.array_compact(F.array(*hit(t, STRONG, STRONG_WHY))).alias("strong"), F.array_compact(F.array(*hit(t, WEAK, WEAK_WHY))).alias("weak")))
+
+    def judged(f: Column) -> Column:
+        void = bulk & (F.size(f.strong) == 0) & ~invite
+        points = F.when(void, 0).otherwise(2 * F.size(f.strong) + F.size(f.weak))
+        reasons = F.concat(F.when(invite, F.array(F.lit(INVITE_WHY))).otherwise(F.array().cast("array<string>")), f.strong, f.weak, F.when(void, F.array(F.lit(BULK_WHY))).otherwise(F.array().cast("array<string>")))
+        return F.struct(points.alias("points"), reasons.alias("reasons"), (invite | (points >= 2)).alias("related"))
+
+    return F.element_at(F.transform(found, judged), 1)
 
 
 def no_reply(sender: Column, precedence: Column, unsubscribe: Column, auto: Column, reply_to: Column) -> Column:

@@ -15,8 +15,8 @@ from tidemark.functions import text as T
 SIZE, OVERLAP, SIGNATURE_REACH, MOST_AFTER = 800, 100, 900, 200
 #: How reply history begins.
 QUOTE_STARTS = (
-    r"(?ms)^On\s(?=[^\n]*\d).{3,240}?\bwrote:", r"(?m)^.{0,120}?\bwrote:\s*$", r"(?mi)^\s*-{2,}\s*Original Message\s*-{2,}", r"(?mi)^\s*-{2,}\s*Forwarded message\s*-{2,}",
-    r"(?m)^\s*_{5,}\s*$", r"(?m)^\s*From:\s*\S.*\n\s*(?:Sent|Date|To):\s",
+    r"(?ms)^On\s(?=[^\n]*\d).{3,240}?\bwrote:", r"(?m)^.{0,120}?\bwrote:[^\S\n]*$", r"(?mi)^[^\S\n]*-{2,}\s*Original Message\s*-{2,}", r"(?mi)^[^\S\n]*-{2,}\s*Forwarded message\s*-{2,}",
+    r"(?m)^[^\S\n]*_{5,}[^\S\n]*$", r"(?m)^[^\S\n]*From:\s*\S.*\n\s*(?:Sent|Date|To):\s",
 )
 #: What lines of a signature hold, and the line above one.
 CONTACT = (
@@ -25,7 +25,7 @@ CONTACT = (
     r"(?i)\b(?:CEO|CTO|COO|CFO|VP|Director|Manager|Lead|Head of|Founder|Partner|Engineer|Analyst|Coordinator|President|Officer|Specialist|Consultant)\b",
     r"(?i)^Sent from my ", r"(?i)\b(?:unsubscribe|opt out|opt-out|you'?re receiving this|don'?t want these)\b", r"(?m)^\s*\S.*\|\s*\S",
 )
-DELIMITER = r"(?m)^\s*(?:--+|__+|—)\s*$"
+DELIMITER = r"(?m)^[^\S\n]*(?:--+|__+|—)[^\S\n]*$"
 CONTACT_BLOCK = 400
 _STARTS, _CONTACT, _DELIMITER = [re.compile(p) for p in QUOTE_STARTS], [re.compile(p) for p in CONTACT], re.compile(DELIMITER)
 
@@ -33,15 +33,19 @@ _STARTS, _CONTACT, _DELIMITER = [re.compile(p) for p in QUOTE_STARTS], [re.compi
 def split_quoted(text: str) -> tuple[str, str]:
     """(text, quoted): from the first attribution, divider or header block on, or from the first line of ``>`` after which little unquoted text is left."""
     cuts = [m.start() for m in (p.search(text) for p in _STARTS) if m]
-    at, after = len(text), ""
-    for line in reversed(text.split("\n")):  # from the end, with the unquoted text below
+    at, below, blank, lead = len(text), 0, 0, 0
+    for line in reversed(text.split("\n")):  # from the end, with the length of the unquoted text below: from its topmost line on, white space around it aside
         at -= len(line)
         if line.lstrip().startswith(">"):
-            if len(after.strip()) > MOST_AFTER:
+            if below > MOST_AFTER:
                 break
             cuts.append(at)
-        else:
-            after = f"{line}\n{after}"
+        elif line.strip():
+            bare = line.lstrip()
+            below = len(bare) + 1 + blank + lead + below if below else len(bare.rstrip())
+            blank, lead = 0, len(line) - len(bare)
+        elif below:
+            blank += len(line) + 1
         at -= 1
     cut = min(cuts, default=len(text))
     return text[:cut].rstrip(), text[cut:].strip()
@@ -73,19 +77,48 @@ def split_signature(text: str) -> tuple[str, str]:
     return (text[:cut].rstrip(), text[cut:].strip()) if cut else (text, "")
 
 
+_PARAGRAPH, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?;:])\s+|\n")
+
+
+def _packed(parts: list[str], size: int, between: str) -> Iterator[list[str]]:
+    """Neighbouring parts in groups whose text, joined by ``between``, is ``size`` characters at most; a longer part is alone."""
+    group: list[str] = []
+    length = 0
+    for part in parts:
+        if group and length + len(between) + len(part) > size:
+            yield group
+            group, length = [], -len(between)
+        length = length + len(between) + len(part) if group else len(part)
+        group.append(part)
+    if group:
+        yield group
+
+
 def split_body(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:
-    """Pieces of about ``size`` characters that end at paragraphs, else at sentences; each begins with the last sentences of the one before."""
-    parts = [s for p in re.split(r"\n\s*\n", text) for s in ([p] if len(p) <= size else re.split(r"(?<=[.!?])\s+", p)) if s.strip()]
+    """Pieces of about ``size`` characters that end at paragraphs; longer paragraphs are cut at sentences, and a longer sentence stays whole.
+
+    A piece begins with the last ``overlap`` characters of the one before, from where a sentence begins in them, else all of them, and its paragraphs are a blank line apart.
+    """
+    blocks: list[str] = []
+    for paragraph in filter(None, map(str.strip, _PARAGRAPH.split(text.strip()))):
+        if len(paragraph) <= size:
+            blocks.append(paragraph)
+        else:
+            sentences = [x for x in _SENTENCE.split(paragraph) if x.strip()]
+            blocks += [" ".join(g) for g in _packed(sentences, size, " ")]
     out: list[str] = []
-    now = ""
-    for part in parts:
-        if now and len(now) + len(part) + 1 > size:
-            out.append(now)
-            tail = now[-overlap:] if overlap else ""
-            cut = re.search(r"[.!?]\s+", tail)
-            now = tail[cut.end() :] if cut else ""
-        now = f"{now}\n{part}" if now else part
-    return [*out, now] if now.strip() else out
+    now: list[str] = []
+    length = 0
+    for block in blocks:
+        if now and length + 2 + len(block) > size:
+            out.append("\n\n".join(now))
+            tail = out[-1][-overlap:] if overlap > 0 else ""
+            begins = _SENTENCE.search(tail)
+            tail = (tail[begins.end() :] if begins else tail).strip()
+            now, length = ([tail], len(tail)) if tail else ([], 0)
+        length += len(block) + (2 if now else 0)
+        now.append(block)
+    return [*out, "\n\n".join(now)] if now else out
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

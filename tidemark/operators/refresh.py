@@ -45,13 +45,13 @@ def refresh(messages: DataFrame, log: DataFrame, todos: DataFrame, stages: dict[
     scored = queue.score_messages(queue.with_signals(rows, owner))
     fed = keep(queue.apply_feedback(scored, queue.sender_priors(log)), "fed")
     spread = keep(queue.spread_scores(fed.drop("prior_level", "prior_no_reply", "old_level", "old_no_reply", "old_score")), "spread")
-    return {"plan": plan, "messages": rows, "changed": fed.where("changed"), "spread": spread, "todos": keep(maintain.sync_todos(todos, maintain.desired_todos(fed)), "todos")}
+    return {"plan": plan, "messages": rows, "changed": fed.where("changed"), "spread": spread, "todos": keep(maintain.sync_todos(todos, maintain.desired_todos(fed), fed), "todos")}
 
 
 def refresh_subset(messages: DataFrame, ids: DataFrame, log: DataFrame, todos: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]], owner: str) -> dict[str, DataFrame]:
     """``refresh`` of the messages of ``ids`` alone; only their to-dos are reconciled."""
     some = messages.join(ids.select("email_id").distinct(), "email_id", "left_semi")
-    return refresh(some, log, todos.join(ids.select("email_id").distinct(), "email_id", "left_semi"), stages, owner)
+    return refresh(some, log, todos, stages, owner)
 
 
 def feedback_cycle(messages: DataFrame, log: DataFrame, entry: DataFrame, owner: str) -> dict[str, DataFrame]:

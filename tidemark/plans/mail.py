@@ -112,15 +112,15 @@ def orphan_priors(s, d):
 _TODOS = "todos as (select *, case when email_id % 3 = 0 then 'done' else 'open' end as status from todo)"
 
 
-@query("select t.todo_id, t.email_id, thread_id, kind, text, subject, sender, score, level from todos t join sc using (email_id) where status = 'open'", O._MSG, _SC, O._TODO.format("msg"), _TODOS)
+@query("select t.todo_id, t.email_id, thread_id, kind, text, subject, sender, score, level from todos t join sc using (email_id) where status = 'open'", O._MSG, _SC, O._PROC, O._TODO.format("proc"), _TODOS)
 def list_open_todos(s, d):
     m = scored(s, d)
-    return serving.list_open_todos(maintain.desired_todos(m).withColumn("status", F.when(F.col("email_id") % 3 == 0, "done").otherwise("open")), m)
+    return serving.list_open_todos(maintain.desired_todos(V.processed(s, d)).withColumn("status", F.when(F.col("email_id") % 3 == 0, "done").otherwise("open")), m)
 
 
-@query("select kind, count(*) as n, count(distinct text) as texts from todo where kind = 'needs_reply' group by kind", O._MSG, O._TODO.format("msg"))
+@query("select kind, count(*) as n, count(distinct text) as texts from todo where kind = 'needs_reply' group by kind", O._MSG, O._PROC, O._TODO.format("proc"))
 def todo_by_kind(s, d):
-    return maintain.desired_todos(V.messages(s, d)).where("kind = 'needs_reply'").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+    return maintain.desired_todos(V.processed(s, d)).where("kind = 'needs_reply'").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
 
 
 @query("select email_id, coalesce(try_cast(json_extract_string(j, '$.points') as int), -1) as points, coalesce(json_extract_string(j, '$.title'), '') as title from (select email_id, case when email_id % 9 <> 0 then to_json({'title': subject, 'points': outline_points}) end as j from msg)", O._MSG)

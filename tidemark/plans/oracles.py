@@ -104,12 +104,22 @@ _NAMES = """nm as (select e.vec_id, (['topic', 'org', 'case'])[(e.vec_id // 5) %
 _VEC = """vec as (select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from (
    select q.vec_id as query_id, v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score
    from embeddings v join embeddings q on q.vec_id <> v.vec_id where %s) qualify rank <= 10)"""
-_TODO = """todo as (select substr(sha1(email_id || '|' || kind || '|' || text), 1, 16) as todo_id, email_id, kind, text from (
-   select email_id, 'action_item' as kind, subject as text from (select * from {0} where outline_points > 0 qualify row_number() over (partition by thread_id, lower(subject) order by received_at, email_id) = 1)
-   union all select email_id, 'needs_reply', 'Reply to "' || subject || '"' from {0} where read_status = 'read' and outline_points > 0 and not coalesce(is_no_reply, false)))"""
-_STAGES = "select email_id, list_filter([case when is_no_reply is null then 'classify' end, case when is_scheduling is null then 'schedule' end, case when outline_points is null and not coalesce(is_no_reply, false) then 'outline' end], lambda x: x is not null) as stages from msg"
+_PROC = """proc as (select *, email_id % 17 <> 0 as processed, email_id % 12 <> 0 as context, email_id % 13 <> 0 as scored, email_id % 14 <> 0 as summarized, email_id % 9 <> 0 as dated, email_id % 10 <> 3 as listed, email_id % 3 <> 0 as seen,
+   case when email_id % 2 = 0 then 'none' else 'suggested' end as proposal, email_id % 5 <> 1 as drafted, email_id % 15 = 1 as sent, [subject, 'Review the ' || category || ' report'] as items from msg)"""
+_REPLY = "coalesce(not is_no_reply, false) and read_status = 'read' and not sent"
+_TODO = """todo as (select substr(sha1(email_id || '|' || kind || '|' || text), 1, 24) as todo_id, email_id, kind, text from (
+   select email_id, 'action_item' as kind, trim(text) as text from (select *, unnest(items) as text, generate_subscripts(items, 1) as place from {0} where listed)
+     where length(trim(text)) >= 6 and regexp_matches(trim(text), '^[\\p{{L}}\\p{{N}}]') and regexp_matches(text, '[A-Za-z]{{2}}')
+     qualify row_number() over (partition by thread_id, lower(trim(text)) order by received_at, email_id, place) = 1
+   union all select email_id, 'needs_reply', 'Reply to "' || subject || '"' from {0} where """ + _REPLY + """))"""
+_DUE = {
+    "chunk": "not context", "embed": "not context", "extract": "not context", "classify": "is_no_reply is null", "score": "not scored", "summarize": "not summarized or not dated", "action_items": "not listed", "categorize": "category is null",
+    "scheduling": "is_scheduling is null", "calendar": "is_scheduling is null or (is_scheduling and not seen)", "propose_event": "is_scheduling is null or (is_scheduling and (not seen or proposal = 'none'))",
+    "outline": "coalesce(not is_no_reply, false) and coalesce(outline_points, 0) = 0", "expand": "coalesce(not is_no_reply, false) and (coalesce(outline_points, 0) = 0 or not drafted)",
+}
+_STAGES = "select email_id, list_filter([" + ", ".join(f"case when not processed or {test} then '{stage}' end" for stage, test in _DUE.items()) + "], lambda x: x is not null) as stages from proc"
 _BARE = r"trim(regexp_replace(subject, '^\s*(?:(?:re|fwd|fw|aw|sv)\s*:\s*)+', '', 'i'))"
-_POINTS = lambda patterns: " + ".join(f"(regexp_matches(subject, {_lit('(?i)' + p)}))::int" for p in patterns)
+_SIGNALS = lambda patterns, whys: "list_filter([" + ", ".join(f"case when regexp_matches(said, {_lit('(?i)' + p)}) then {_lit(w)} end" for p, w in zip(patterns, whys)) + "], lambda x: x is not null)"
 _LANE = "sum(('0x' || substr(md5(email_id::varchar), {0}, 15))::bigint::hugeint)::varchar"
 _FP = "select entity_id, count(*)::int as emails, substr(sha1(" + _LANE.format(1) + " || ':' || " + _LANE.format(17) + "), 1, 20) as hash from (select distinct entity_id, email_id from men where {0}) group by entity_id"
 
@@ -194,7 +204,9 @@ ORACLE_SQL: dict[str, str] = {
     "message_ids": _with(_MSG) + rf"""select email_id, id, case when split_part(id, '-', 1) in ({", ".join(map(_lit, T.CASE_PREFIXES))}) or starts_with(id, '#') then 'case' else 'document' end as kind, upper(regexp_replace(id, '[^\w]+', '', 'g')) as key
       from (select email_id, unnest(list_concat(regexp_extract_all(subject, '\b([A-Z]{{2,10}}-\d{{1,6}}(?:-\d{{1,6}})?)\b', 1), regexp_extract_all(subject, '(#\d{{3,}})', 1))) as id from msg)""",
     "urgency_hits": _with(_MSG) + f"select email_id, array_to_string(list_filter([{', '.join(map(_lit, T.URGENCY))}], lambda w: contains(lower(subject), w)), ',') as hits from msg where hits <> ''",
-    "scheduling_signals": _with(_MSG) + f"select email_id, points, points >= 2 as related from (select email_id, case when email_id % 5 = 0 and strong = 0 and not contains(subject, 'invite') then 0 else 2 * strong + weak end as points from (select *, {_POINTS(T.STRONG)} as strong, {_POINTS(T.WEAK)} as weak from msg))",
+    "scheduling_signals": _with(_MSG, "t as (select email_id, subject || chr(10) || left(repeat('x ', 990) || category || ' let us find some time', 2000) as said, email_id % 13 in (0, 1, 2) as invite, email_id % 5 = 0 as bulk from msg)",
+        f"f as (select *, {_SIGNALS(T.STRONG, T.STRONG_WHY)} as strong, {_SIGNALS(T.WEAK, T.WEAK_WHY)} as weak from t)")
+    + f"select email_id, points, array_to_string(list_concat(case when invite then [{_lit(T.INVITE_WHY)}] else [] end, strong, weak, case when void then [{_lit(T.BULK_WHY)}] else [] end), ';') as reasons, invite or points >= 2 as related from (select *, case when void then 0 else 2 * len(strong) + len(weak) end::int as points from (select *, bulk and len(strong) = 0 and not invite as void from f))",
     "no_reply_rules": _with(_MSG, "h as (select email_id, case when email_id % 9 = 0 then 'noreply@example.com' when email_id % 9 = 1 then 'alerts@example.com' else sender end as a, email_id % 8 = 0 as bulk, email_id % 6 = 0 as uns, email_id % 7 = 0 as auto, email_id % 12 = 0 as rt from msg)")
     + "select email_id, case when starts_with(a, 'noreply') or bulk or (uns and not rt) or (starts_with(a, 'alerts') and uns) then true when not starts_with(a, 'alerts') and not uns and not auto and not bulk then false end as verdict from h",
     "reply_effort": _with(_MSG) + "select email_id, case when outline_points > 0 then case when outline_points + coalesce(is_scheduling, false)::int <= 2 then 'quick' when outline_points + coalesce(is_scheduling, false)::int <= 4 then 'moderate' else 'involved' end end as effort from msg",
@@ -203,11 +215,11 @@ ORACLE_SQL: dict[str, str] = {
     "suggest_slots": _with(_BUSY, _MERGED, _FREE) + f"select calendar_id, row_number() over (partition by calendar_id order by slot)::int as nth, slot from (select calendar_id, free_from // {_DAY} as day, min(free_from) as slot from free where free_to - free_from >= 1800000000 group by all) qualify nth <= 3",
     "slot_conflicts": _with(_BUSY) + "select a.event_id as slot_id, count(distinct b.event_id) as conflicts from busy a left join busy b on b.calendar_id = a.calendar_id and b.e > b.s and a.s < b.e and b.s < a.s + 3600000000 where a.event_id % 10 = 0 group by a.event_id",
     "events_by_day": "select ts::date as day, event_type, count(*) as n from events group by all",
-    "due_stages": _with(_MSG) + f"select email_id, array_to_string(stages, ',') as stages from ({_STAGES}) where len(stages) > 0",
-    "plan_summary": _with(_MSG) + f"select stage, count(*) as n from (select unnest(stages) as stage from ({_STAGES})) group by stage",
-    "desired_todos": _with(_MSG, _TODO.format("msg")) + "select * from todo",
-    "sync_todos": _with(_MSG, _TODO.format("msg"), "half as (select * from msg where email_id % 2 = 0)", _TODO.format("half").replace("todo as", "had as", 1), "st as (select todo_id, case when email_id % 3 = 0 then 'done' else 'open' end as status from had)")
-    + "select case when s.status is null then 'open' when s.status = 'open' and t.todo_id is null then 'closed' else s.status end as status, count(*) as n from st s full join todo t on s.todo_id = t.todo_id group by 1",
+    "due_stages": _with(_MSG, _PROC) + f"select email_id, array_to_string(stages, ',') as stages from ({_STAGES}) where len(stages) > 0",
+    "plan_summary": _with(_MSG, _PROC) + f"select stage, count(*) as n from (select unnest(stages) as stage from ({_STAGES})) group by stage",
+    "desired_todos": _with(_MSG, _PROC, _TODO.format("proc")) + "select * from todo",
+    "sync_todos": _with(_MSG, _PROC, "batch as (select * from proc where email_id % 7 <> 0)", _TODO.format("batch"), "half as (select * from proc where email_id % 2 = 0)", _TODO.format("half").replace("todo as", "had as", 1), "st as (select *, case when email_id % 3 = 0 then 'done' else 'open' end as status from had)")
+    + "select todo_id, email_id, kind, text, case when status = 'open' and email_id % 7 <> 0 and todo_id not in (select todo_id from todo) then 'done' else status end as status from st union all select *, 'open' from todo where todo_id not in (select todo_id from st)",
     "stream_stats": "select date_trunc('day', ts) as window_start, event_type, count(*) as n from events group by all",
     "stream_dedupe": "select event_id, user_id from events",
     "stream_latest": "select user_id, event_type, max_by(value, (ts, event_id)) as value from events group by all",

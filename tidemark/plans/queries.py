@@ -356,8 +356,10 @@ def urgency_hits(s, d):
 
 @query
 def scheduling_signals(s, d):
-    score = T.scheduling_score(F.col("subject"), F.col("subject").contains("invite"), F.col("email_id") % 5 == 0)
-    return V.messages(s, d).select("email_id", score.alias("points"), (score >= 2).alias("related"))
+    e = F.col("email_id")
+    kind = F.when(e % 13 == 0, "Text/Calendar; method=REQUEST").when(e % 13 == 1, 'multipart/mixed; name="plan.ics"').when(e % 13 == 2, "multipart/alternative; METHOD = reply").otherwise("text/plain")
+    found = T.scheduling_signals(F.col("subject"), F.concat(F.repeat(F.lit("x "), 990), "category", F.lit(" let us find some time")), kind, e % 5 == 0)
+    return V.messages(s, d).select("email_id", found.alias("f")).select("email_id", "f.points", F.array_join("f.reasons", ";").alias("reasons"), "f.related")
 
 
 @query
@@ -447,24 +449,26 @@ def events_by_day(s, d):
 
 @query
 def due_stages(s, d):
-    return maintain.due_stages(V.messages(s, d)).select("email_id", F.array_join("stages", ",").alias("stages"))
+    return maintain.due_stages(V.processed(s, d)).select("email_id", F.array_join("stages", ",").alias("stages"))
 
 
 @query
 def plan_summary(s, d):
-    return maintain.plan_summary(maintain.due_stages(V.messages(s, d)))
+    return maintain.plan_summary(maintain.due_stages(V.processed(s, d)))
 
 
 @query
 def desired_todos(s, d):
-    return maintain.desired_todos(V.messages(s, d))
+    return maintain.desired_todos(V.processed(s, d))
 
 
 @query
 def sync_todos(s, d):
-    m = V.messages(s, d)
+    """The to-dos after a run over all messages whose id isn't divisible by seven, where those of even ids were stored, claimed among themselves, and some are done."""
+    m = V.processed(s, d)
     stored = maintain.desired_todos(m.where("email_id % 2 = 0")).withColumn("status", F.when(F.col("email_id") % 3 == 0, "done").otherwise("open"))
-    return maintain.sync_todos(stored, maintain.desired_todos(m)).groupBy("status").agg(F.count("*").alias("n"))
+    batch = m.where("email_id % 7 != 0")
+    return maintain.sync_todos(stored, maintain.desired_todos(batch), batch)
 
 
 # streams

@@ -92,46 +92,58 @@ def due_context_stages(s, d):
     return refresh.due_context_stages(V.messages(s, d), coverage).select("email_id", F.array_join("stages", ",").alias("stages"))
 
 
-@query("select email_id, array_to_string(list_filter(stages, lambda x: x <> 'classify'), ',') as stages from (" + O._STAGES + ") where len(list_filter(stages, lambda x: x <> 'classify')) > 0", O._MSG)
+@query("select email_id, array_to_string(list_filter(stages, lambda x: x <> 'classify'), ',') as stages from (" + O._STAGES + ") where len(list_filter(stages, lambda x: x <> 'classify')) > 0", O._MSG, O._PROC)
 def stage_skip(s, d):
-    return refresh.skip_stages(maintain.due_stages(V.messages(s, d)), "classify").select("email_id", F.array_join("stages", ",").alias("stages"))
+    return refresh.skip_stages(maintain.due_stages(V.processed(s, d)), "classify").select("email_id", F.array_join("stages", ",").alias("stages"))
 
 
 def _stages():
+    """Stand-ins for three stages: they set what they are asked for; the outline only where a message may be answered."""
     false = lambda column: lambda df: df.withColumn(column, F.lit(False))
-    return {"classify": false("is_no_reply"), "schedule": false("is_scheduling"), "outline": lambda df: df.withColumn("outline_points", F.lit(2))}
+    may = maintain.eligible(F.col("is_no_reply"))
+    return {"classify": false("is_no_reply"), "scheduling": false("is_scheduling"), "outline": lambda df: df.withColumn("outline_points", F.when(may, 2).otherwise(F.col("outline_points")))}
 
 
-@query("""select count(*) as planned, (select count(*) from msg) as messages, (select count(*) filter (not coalesce(outline_points, 2) > 0) from msg) as without_outline, (select count(*) from msg where is_no_reply is null) as classified from (select * from (""" + O._STAGES + """) where len(stages) > 0)""", O._MSG)
+def _refreshed(some: str) -> list[str]:
+    """Views of the messages of a refresh: after the stages, with corrections and scores."""
+    new = "not processed"
+    ran = f"""msg2 as (select * replace (case when {new} or is_no_reply is null then false else is_no_reply end as is_no_reply, case when {new} or is_scheduling is null then false else is_scheduling end as is_scheduling,
+      case when {new} or ({O._DUE["outline"]}) then case when {new} or is_no_reply is null or not is_no_reply then 2 else outline_points end else outline_points end as outline_points) from proc where {some})"""
+    return [O._MSG, O._PROC, ran, O._SIG.replace("from msg", "from msg2"), O._LOG, O._PRIORS, O._FED]
+
+
+_SPREAD = f"select email_id, level, is_no_reply, coalesce(outline_points, -1) as outline_points, score, round({O._FLOOR} + 25.0::double * row_number() over (partition by level order by score, received_at, email_id) / (count(*) over (partition by level) + 1), 6) as spread from done"
+_ROWS = lambda: ["email_id", "level", "is_no_reply", F.coalesce("outline_points", F.lit(-1)).alias("outline_points"), "score", "spread"]
+
+
+@query(_SPREAD, *_refreshed("true"))
 def refresh_job(s, d):
-    """A whole refresh: what was planned, and what the messages are afterwards."""
-    m = V.messages(s, d)
+    """The messages after a whole refresh."""
+    m = V.processed(s, d)
     todos = maintain.desired_todos(m.where("email_id % 2 = 0")).withColumn("status", F.lit("open"))
-    made = refresh.refresh(m, V.feedback_log(s, d), todos, _stages(), V.OWNER)
-    spread = made["spread"].agg(F.count("*").alias("messages"))
-    rows = made["messages"].agg(F.count_if(~(F.col("outline_points") > 0)).alias("without_outline"))
-    done = made["messages"].join(m.where("is_no_reply is null").select("email_id"), "email_id", "left_semi").where("is_no_reply = false").agg(F.count("*").alias("classified"))
-    return made["plan"].agg(F.count("*").alias("planned")).crossJoin(spread).crossJoin(rows).crossJoin(done)  # one row each
+    return refresh.refresh(m, V.feedback_log(s, d), todos, _stages(), V.OWNER)["spread"].select(*_ROWS())
 
 
-@query("select count(*) as messages, count(*) filter (is_no_reply is null or is_scheduling is null or (outline_points is null and not coalesce(is_no_reply, false))) as planned from msg where email_id in (select o_orderkey from orders where o_orderkey % 7 = 0)", O._MSG)
+@query(_SPREAD, *_refreshed("email_id in (select o_orderkey from orders where o_orderkey % 7 = 0)"))
 def refresh_subset(s, d):
-    m, ids = V.messages(s, d), V.table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("email_id"))
+    """The messages of some ids after a refresh of these alone."""
+    m, ids = V.processed(s, d), V.table(s, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("email_id"))
     todos = maintain.desired_todos(m).withColumn("status", F.lit("open"))
-    made = refresh.refresh_subset(m, ids, V.feedback_log(s, d), todos, _stages(), V.OWNER)
-    return made["spread"].agg(F.count("*").alias("messages")).crossJoin(made["plan"].agg(F.count("*").alias("planned")))  # one row each
+    return refresh.refresh_subset(m, ids, V.feedback_log(s, d), todos, _stages(), V.OWNER)["spread"].select(*_ROWS())
 
 
-@query("select (select count(*) + 1 from log) as entries, count(*) as affected from (select email_id, case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as old, is_no_reply, sender from msg where sender = 'u3@example.com') left join priors using (sender) where old <> case when coalesce(prior_no_reply, is_no_reply, false) then 'medium' else 'urgent' end or coalesce(prior_no_reply, is_no_reply) is distinct from is_no_reply", O._MSG, O._LOG, O._PRIORS)
+@query("select level, is_no_reply, email_id, old from (select email_id, case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as old, case when coalesce(prior_no_reply, is_no_reply, false) then 'medium' else 'urgent' end as level, coalesce(prior_no_reply, is_no_reply) as is_no_reply, is_no_reply as old_no_reply from msg left join priors using (sender) where sender = 'u3@example.com') where old <> level or is_no_reply is distinct from old_no_reply", O._MSG, O._LOG, O._PRIORS)
 def feedback_cycle(s, d):
+    """The messages that a new correction of one sender changes."""
     log = V.feedback_log(s, d)
     one = s.range(1).select(F.lit(-1).cast("long").alias("id"), F.lit("U 3 <u3@example.com>").alias("sender"), F.lit("level").alias("kind"), F.lit("urgent").alias("value"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("created_at"))
-    made = refresh.feedback_cycle(V.messages(s, d), log, one, V.OWNER)
-    return made["log"].agg(F.count("*").alias("entries")).crossJoin(made["affected"].agg(F.count("*").alias("affected")))  # one row each
+    return refresh.feedback_cycle(V.messages(s, d), log, one, V.OWNER)["affected"].select("email_id", F.col("old_level").alias("old"), "level", "is_no_reply")
 
 
 @query("select email_id, thread_id from (select *, max(received_at) over (partition by thread_id) as newest from msg) where outline_points is not null and received_at < newest", O._MSG)
 def stream_stale(s, d):
-    """Stale outlines by the state of a stream that keeps the newest message of every thread."""
-    newest = streams.drain(streams.thread_latest(streams.events(s, d)), "complete")
-    return streams.stale(V.messages(s, d).where("outline_points is not null"), newest).select("email_id", "thread_id")
+    """Stale outlines as messages land, by the state of their threads."""
+    e = streams.events(s, d)
+    landing = e.select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("email_id"), F.col("ts").alias("received_at"), (F.col("event_id") % 6 != 0).alias("has_outline"))
+    with streams.keyed_state(s):
+        return streams.drain(streams.stale_outlines(landing), "append").select("email_id", "thread_id")

@@ -38,6 +38,17 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with what earlier runs have stored of each stage; some outputs are missing."""
+    e = F.col("email_id")
+    items = F.array(F.col("subject"), F.concat(F.lit(" Review the "), "category", F.lit(" report ")), F.lit("ok"), F.lit("- - - -"))
+    return messages(spark, sf_dir).withColumns({
+        "processed": e % 17 != 0, "context_at": F.when(e % 12 != 0, F.col("received_at")), "score": F.when(e % 13 != 0, F.col("value")), "summary": F.when(e % 14 != 0, F.col("subject")), "mentioned_dates": F.when(e % 9 != 0, ""),
+        "action_items": F.when(e % 10 != 3, items), "calendar_context": F.when(e % 3 != 0, "{}"), "proposal_status": F.when(e % 2 == 0, "none").otherwise("suggested"), "draft": F.when(e % 5 != 1, "Hello"),
+        "outline_status": F.when(e % 15 == 1, "sent").when(F.col("is_no_reply"), "not_applicable").otherwise("suggested"),
+    })
+
+
 def feedback_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An append-only log of corrections: one event in fifty sets the level or the no-reply flag of its sender."""
     m = messages(spark, sf_dir).where("email_id % 50 = 0")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.sources.tables import shared_dir
 
@@ -16,6 +20,18 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside use the state store that processors with state of their own need; the session's setting is put back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """All that is there now, through the stream, as a table in the shared folder.
 
@@ -56,14 +72,58 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
-def thread_latest(stream: DataFrame) -> DataFrame:
-    """(thread_id, newest, batch rows seen): the newest message time of each thread, kept as state; a message is stale once a newer one of its thread lands."""
-    return stream.groupBy(F.col("user_id").alias("thread_id")).agg(F.max("ts").alias("newest"), F.count("*").alias("n"))
-
-
-def stale(outlines: DataFrame, newest: DataFrame) -> DataFrame:
-    """The outlines (email_id, thread_id, received_at) that a newer message of their thread has overtaken, by the state of ``thread_latest``."""
-    return outlines.join(newest.select("thread_id", "newest"), "thread_id").where("received_at < newest").drop("newest")
+class _Threads(StatefulProcessor):
+    """Of each thread the newest time, and the outlines of that time: all others have been told to be stale."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "micros long")
+        self.fresh = handle.getMapState("fresh", "email_id long", "micros long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.newest.get()[0] if self.newest.exists() else None
+        for batch in rows:
+            outlined = batch[batch["has_outline"].fillna(False).astype(bool)]
+            newest = int(batch["micros"].max()) if before is None else max(before, int(batch["micros"].max()))
+            stale = outlined[outlined["micros"] < newest]["email_id"].tolist()
+            if before is not None and newest > before:
+                stale += [k[0] for k in self.fresh.keys()]
+                self.fresh.clear()
+            for email in outlined[outlined["micros"] == newest]["email_id"].tolist():
+                self.fresh.updateValue((email,), (newest,))
+            if newest != before:
+                self.newest.update((newest,))
+                if self.idle is not None:
+                    for timer in list(self.handle.listTimers()):
+                        self.handle.deleteTimer(timer)
+                    self.handle.registerTimer(newest // 1000 + self.idle)
+            before = newest
+            if stale:
+                yield pd.DataFrame({"email_id": stale, "thread_id": [key[0]] * len(stale), "overtaken": [newest] * len(stale)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        self.fresh.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stale_outlines(messages: DataFrame, idle: int | None = None, late: str = "1 hour") -> DataFrame:
+    """(email_id, thread_id, overtaken) as messages land (email_id, thread_id, received_at, has_outline): every outline that a newer message of its thread overtakes, once, with that message's time in microseconds.
+
+    State is the newest time of each thread and the outlines of that very time. With ``idle`` (milliseconds) threads are forgotten once the watermark is so far past their newest message; what lands later begins them anew.
+    Start the query inside ``keyed_state``.
+    """
+    rows = messages.select("thread_id", "email_id", "received_at", F.unix_micros("received_at").alias("micros"), "has_outline").where("received_at is not null")
+    if idle is not None:
+        rows = rows.withWatermark("received_at", late)
+    told = rows.groupBy("thread_id").transformWithStateInPandas(_Threads(idle), "email_id long, thread_id long, overtaken long", "append", "none" if idle is None else "eventTime")
+    return told
 
 
 def upsert(stream: DataFrame, path: str, keys: list[str]):
