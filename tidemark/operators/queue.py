@@ -14,15 +14,16 @@ FLOORS = {"low": 0.0, "medium": 25.0, "high": 50.0, "urgent": 75.0}
 WEIGHTS = {"vip": 0.30, "direct": 0.20, "urgency": 0.30, "unread_age": 0.15, "recency": 0.05}
 
 
-def filter_queue(rows: DataFrame, read=None, level=None, category=None, no_reply=None, scheduling=None, search=None) -> DataFrame:
-    """All given predicates; ``no_reply`` leaves out unknown rows, ``scheduling`` takes unknown as false."""
+def filter_queue(rows: DataFrame, read=None, level=None, category=None, no_reply=None, scheduling=None, search=None, has_outline=None) -> DataFrame:
+    """All given predicates; ``no_reply`` leaves out unknown rows, ``scheduling`` takes unknown as false. ``search`` looks into subject and sender, and into the summary where the rows have one; ``has_outline`` asks for points."""
     tests = {
         "read_status": None if read is None else F.col("read_status") == read,
         "level": None if level is None else F.col("level") == level,
         "category": None if category is None else F.lower("category") == category.lower().strip(),
         "no_reply": None if no_reply is None else F.col("is_no_reply").eqNullSafe(no_reply),
         "scheduling": None if scheduling is None else F.coalesce("is_scheduling", F.lit(False)) == scheduling,
-        "search": None if search is None else F.lower(F.concat_ws("\n", "subject", "sender")).contains(search.lower().strip()),
+        "search": None if search is None else F.lower(F.concat_ws("\n", "subject", "sender", *[c for c in ("summary",) if c in rows.columns])).contains(search.lower().strip()),
+        "has_outline": None if has_outline is None else (F.coalesce("outline_points", F.lit(0)) > 0) == has_outline,
     }
     for test in tests.values():
         rows = rows if test is None else rows.where(test)
@@ -45,23 +46,26 @@ def score_in_band(level: Column, no_reply: Column, vip: Column, direct: Column,
 
 
 def with_signals(rows: DataFrame, owner: str | None) -> DataFrame:
-    """``rows`` with is_vip, whether the sender is among those who write most, and is_direct, whether the owner is addressed and not only copied."""
+    """``rows`` with is_vip, whether the sender is among those who write most, is_direct, whether the owner is addressed and not only copied, and age_hours, back from the newest message."""
     address = T.addr_only(F.col("sender"))
+    now = rows.agg(F.max("received_at").alias("_now"))
     vips = vip_senders(rows.select("email_id", address.alias("entity_id"))).where(F.lit(True) if owner is None else F.col("entity_id") != owner)
     vips = vips.select(F.col("entity_id").alias("_address"), F.lit(True).alias("_vip"))
-    marked = rows.join(vips, address == F.col("_address"), "left").withColumn("is_vip", F.coalesce("_vip", F.lit(False))).drop("_address", "_vip")
-    return marked.withColumn("is_direct", M.is_direct(F.col("to_line"), F.col("cc_line"), owner))
+    marked = rows.join(vips, address == F.col("_address"), "left").withColumn("is_vip", F.coalesce("_vip", F.lit(False))).drop("_address", "_vip").crossJoin(F.broadcast(now))  # one row
+    age = F.bround((F.unix_micros("_now") - F.unix_micros("received_at")) / 3_600_000_000, 1)
+    return marked.withColumns({"is_direct": M.is_direct(F.col("to_line"), F.col("cc_line"), owner), "age_hours": age}).drop("_now")
+
+
+def _own_score(level: Column, no_reply: Column) -> Column:
+    """The score of a message with its signals (is_vip, is_direct, age_hours) at a level."""
+    unread = F.when(F.col("read_status") == "unread", F.col("age_hours"))
+    return score_in_band(level, no_reply, F.col("is_vip"), F.col("is_direct"), F.size(T.urgency_hits(F.col("subject"))), unread, F.col("age_hours"))
 
 
 def score_messages(rows: DataFrame) -> DataFrame:
-    """level (no-reply mail at most medium) and score of each message with its signals (is_vip, is_direct); ages count back from the newest message."""
-    now = rows.agg(F.max("received_at").alias("now"))
-    rows = rows.crossJoin(F.broadcast(now))  # one row
+    """level (no-reply mail at most medium) and score of each message with its signals (see ``with_signals``)."""
     level = F.when(F.coalesce("is_no_reply", F.lit(False)) & F.col("level").isin("high", "urgent"), "medium").otherwise(F.col("level"))
-    age = F.bround((F.unix_micros("now") - F.unix_micros("received_at")) / 3_600_000_000, 1)
-    unread = F.when(F.col("read_status") == "unread", age)
-    hits = F.size(T.urgency_hits(F.col("subject")))
-    return rows.withColumn("level", level).withColumn("score", score_in_band(F.col("level"), F.col("is_no_reply"), F.col("is_vip"), F.col("is_direct"), hits, unread, age)).drop("now")
+    return rows.withColumn("level", level).withColumn("score", _own_score(F.col("level"), F.col("is_no_reply")))
 
 
 def sender_priors(log: DataFrame) -> DataFrame:
@@ -79,13 +83,51 @@ def clear_priors(log: DataFrame, senders: DataFrame, kind: str | None = None) ->
     return log.where(~hit).unionByName(log.where(hit).join(keys, of, "left_anti")), log.where(hit).join(keys, of, "left_semi")
 
 
-def apply_feedback(rows: DataFrame, priors: DataFrame) -> DataFrame:
-    """Rows with their senders' priors applied, rescored, and whether that changed them."""
-    both = rows.join(priors.withColumnRenamed("sender", "_address"), T.addr_only(F.col("sender")) == F.col("_address"), "left").drop("_address").withColumnRenamed("level", "old_level").withColumnRenamed("is_no_reply", "old_no_reply").withColumnRenamed("score", "old_score")
-    both = both.withColumn("level", F.coalesce("prior_level", "old_level")).withColumn("is_no_reply", F.coalesce("prior_no_reply", "old_no_reply"))
-    scored = score_messages(both)
-    changed = ~(F.col("level").eqNullSafe(F.col("old_level")) & F.col("is_no_reply").eqNullSafe(F.col("old_no_reply")))
-    return scored.withColumn("changed", changed)
+#: What is said of rows that corrections change.
+PINNED, MARKED, UNMARKED = "Pinned to {0} by your feedback on this sender.", "your feedback: sender marked automated", "your feedback: sender marked as a real correspondent"
+
+
+def apply_feedback(rows: DataFrame, priors: DataFrame, raw: DataFrame | None = None) -> DataFrame:
+    """Scored rows with their senders' priors applied: ``changed`` tells whether that changed them; old_level and old_no_reply are what they were.
+
+    A pinned level is taken as it is, and only a row whose level it changes, or that has no score, is scored anew: by its own signals, or with ``raw`` (email_id) at its band's floor where its raw message is gone. Marked mail loses its
+    outline (outline_points, outline_status, where the rows have them); mail that is unmarked may get one again. ``no_reply_reason`` and ``justification`` are set where they are told anew.
+    """
+    both = rows.join(priors.withColumnRenamed("sender", "_address"), T.addr_only(F.col("sender")) == F.col("_address"), "left").drop("_address")
+    if raw is not None:
+        both = both.join(raw.select("email_id", F.lit(True).alias("_raw")).distinct(), "email_id", "left")
+    c = F.col
+    marked = c("prior_no_reply").isNotNull() & ~c("is_no_reply").eqNullSafe(c("prior_no_reply"))
+    pinned = c("prior_level").isNotNull() & (~c("level").eqNullSafe(c("prior_level")) | c("score").isNull())
+    no_reply = F.coalesce("prior_no_reply", "is_no_reply")
+    floor = F.element_at(F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair]), c("prior_level"))
+    anew = _own_score(c("prior_level"), no_reply)
+    keep_ = lambda name, kind: c(name) if name in rows.columns else F.lit(None).cast(kind)
+    new = {
+        "changed": marked | pinned, "old_level": c("level"), "old_no_reply": c("is_no_reply"), "level": F.coalesce("prior_level", "level"), "is_no_reply": no_reply,
+        "score": F.when(pinned, anew if raw is None else F.when(c("_raw").isNotNull(), anew).otherwise(floor)).otherwise(c("score")),
+        "no_reply_reason": F.when(marked, F.when(c("prior_no_reply"), MARKED).otherwise(UNMARKED)).otherwise(keep_("no_reply_reason", "string")),
+        "justification": F.when(pinned, F.concat(F.lit(PINNED.partition("{0}")[0]), c("prior_level"), F.lit(PINNED.partition("{0}")[2]))).otherwise(keep_("justification", "string")),
+    }
+    if "outline_points" in rows.columns:
+        new["outline_points"] = F.when(~(marked & c("prior_no_reply")), c("outline_points"))
+    if "outline_status" in rows.columns:
+        status = c("outline_status")
+        new["outline_status"] = F.when(marked & c("prior_no_reply"), "not_applicable").when(marked & (status == "not_applicable"), "none").otherwise(status)
+    done = both.select(*[new[x].alias(x) if x in new else c(x) for x in rows.columns], *[v.alias(k) for k, v in new.items() if k not in rows.columns])
+    return done
+
+
+def top_of_queue(rows: DataFrame, n: int, digits: int = 6) -> DataFrame:
+    """The ``n`` rows of the highest spread scores (see ``spread_scores``), with ``spread``: ranks are needed of these rows alone, counted from the top of their level."""
+    floor = F.element_at(F.create_map(*[F.lit(x) for pair in FLOORS.items() for x in pair]), F.col("level"))
+    known = rows.where("score is not null and level is not null")
+    order = [F.desc("score"), F.desc("received_at"), F.desc("email_id")]
+    sizes = known.groupBy("level").agg(F.count("*").alias("_n"))  # a row a level
+    first = known.orderBy(floor.desc(), *order).limit(n)
+    first = first.withColumn("_nth", F.row_number().over(Window.partitionBy("level").orderBy(*order))).join(F.broadcast(sizes), "level")
+    spread = F.round(floor + 25.0 * (F.col("_n") - F.col("_nth") + 1) / (F.col("_n") + 1), digits)
+    return first.withColumn("spread", spread).drop("_nth", "_n").orderBy(F.desc("spread"), F.desc("received_at"), "email_id")
 
 
 def spread_scores(rows: DataFrame, digits: int = 6) -> DataFrame:

@@ -44,7 +44,7 @@ def refresh(messages: DataFrame, log: DataFrame, todos: DataFrame, stages: dict[
         rows = keep(merge_latest(rows, done, ["email_id"]), "messages")
     scored = queue.score_messages(queue.with_signals(rows, owner))
     fed = keep(queue.apply_feedback(scored, queue.sender_priors(log)), "fed")
-    spread = keep(queue.spread_scores(fed.drop("prior_level", "prior_no_reply", "old_level", "old_no_reply", "old_score")), "spread")
+    spread = keep(queue.spread_scores(fed), "spread")
     return {"plan": plan, "messages": rows, "changed": fed.where("changed"), "spread": spread, "todos": keep(maintain.sync_todos(todos, maintain.desired_todos(fed), fed), "todos")}
 
 
@@ -57,8 +57,21 @@ def refresh_subset(messages: DataFrame, ids: DataFrame, log: DataFrame, todos: D
 def feedback_cycle(messages: DataFrame, log: DataFrame, entry: DataFrame, owner: str) -> dict[str, DataFrame]:
     """After a correction ``entry`` is recorded: the log, the rows of its senders with their corrections applied, and the spread of all scores."""
     grown = log.unionByName(entry.select(log.columns))
+    return {"log": grown, **_after(messages, grown, entry, owner)}
+
+
+def _after(messages: DataFrame, log: DataFrame, senders: DataFrame, owner: str) -> dict[str, DataFrame]:
     scored = queue.score_messages(queue.with_signals(messages, owner))
-    fed = keep(queue.apply_feedback(scored, queue.sender_priors(grown)), "fed")
-    of = entry.select(T.addr_only(F.col("sender")).alias("_address")).distinct()
+    fed = keep(queue.apply_feedback(scored, queue.sender_priors(log)), "fed")
+    of = senders.select(T.addr_only(F.col("sender")).alias("_address")).distinct()
     affected = fed.where("changed").join(of, T.addr_only(F.col("sender")) == F.col("_address"), "left_semi")
-    return {"log": grown, "affected": affected, "spread": queue.spread_scores(fed.drop("prior_level", "prior_no_reply", "old_level", "old_no_reply", "old_score"))}
+    return {"affected": affected, "spread": queue.spread_scores(fed)}
+
+
+def feedback_cleared(messages: DataFrame, log: DataFrame, senders: DataFrame, owner: str, kind: str | None = None) -> dict[str, DataFrame]:
+    """After the corrections of ``senders`` (sender), of one kind where it is given, are cleared: the log without them, the cleared entries, the senders' rows that other corrections still change, and the spread of all scores.
+
+    ``messages`` are as the stages left them: what a cleared correction had changed is back.
+    """
+    left, gone = queue.clear_priors(log, senders, kind)
+    return {"log": left, "cleared": gone, **_after(messages, left, senders, owner)}

@@ -27,23 +27,22 @@ _SIG = """counts as (select sender, count(distinct email_id) as n from msg group
  sig as (select *, sender in (select sender from vips) as is_vip,
    to_line is null or contains(lower(to_line), 'owner@example.com') or not coalesce(contains(lower(cc_line), 'owner@example.com'), false) as is_direct from msg)"""
 _FLOOR = "case level when 'urgent' then 75.0::double when 'high' then 50.0 when 'medium' then 25.0 else 0.0 end"
+_CAPPED = "case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end"
 _HITS = " + ".join(f"(contains(lower(subject), {_lit(w)}))::int" for w in T.URGENCY)
 
 
-def _scored(source: str) -> str:
-    """Rows of ``source`` with the capped level and the score."""
-    return f"""(select * replace (case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as level),
-      round_even((epoch_us((select max(received_at) from {source})) - epoch_us(received_at)) / 3600000000.0, 1)::double as age from {source})"""
+_WEIGHED = f"""weighed as (select *, least(is_vip::int * 0.30::double + is_direct::int * 0.20::double + least({_HITS}, 3) / 3.0::double * 0.30
+    + coalesce(least(case when read_status = 'unread' then age end, 72.0) / 72.0::double, 0.0) * 0.15 + greatest(0.0, 1.0 - least(age, 168.0) / 168.0::double) * 0.05, 1.0::double) as w
+   from (select *, round_even((epoch_us((select max(received_at) from sig)) - epoch_us(received_at)) / 3600000000.0, 1)::double as age from sig))"""
 
 
-def _score(source: str) -> str:
-    return f"""(select *, case when coalesce(is_no_reply, false) then {_FLOOR} else round_even(
-        case when level = 'urgent' then raw else least(raw, {_FLOOR} + 24.9) end, 1) end as score
-      from (select *, {_FLOOR} + 25.0::double * least(is_vip::int * 0.30::double + is_direct::int * 0.20::double + least({_HITS}, 3) / 3.0::double * 0.30
-        + coalesce(least(case when read_status = 'unread' then age end, 72.0) / 72.0::double, 0.0) * 0.15 + greatest(0.0, 1.0 - least(age, 168.0) / 168.0::double) * 0.05, 1.0::double) as raw
-        from {_scored(source)}))"""
+def _points(level: str, no_reply: str) -> str:
+    """The score at a level, by the weight of the signals."""
+    floor = _FLOOR.replace("case level", f"case {level}", 1)
+    return f"case when coalesce({no_reply}, false) then {floor} else round_even(case when {level} = 'urgent' then {floor} + 25.0::double * w else least({floor} + 25.0::double * w, {floor} + 24.9) end, 1) end"
 
 
+_SCORED = f"scored as (select *, {_points('level', 'is_no_reply')} as score from (select * replace ({_CAPPED} as level) from weighed))"
 _LOG = """log as (
   select email_id as id, sender, case when email_id % 100 = 0 then 'level' else 'no_reply' end as kind,
     case when email_id % 100 = 0 then (['low', 'medium', 'high', 'urgent'])[(email_id // 100) % 4 + 1]
@@ -52,10 +51,19 @@ _LOG = """log as (
 _PRIORS = """priors as (
   select sender, max_by(value, (created_at, id)) filter (kind = 'level') as prior_level, max_by(value, (created_at, id)) filter (kind = 'no_reply') = 'true' as prior_no_reply
   from log group by sender)"""
-_FED = f"""first_ as (select * exclude (level), case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as level from sig),
- fed as (select f.* exclude (level, is_no_reply), level as old_level, is_no_reply as old_no_reply, coalesce(prior_level, level) as level, coalesce(prior_no_reply, is_no_reply) as is_no_reply
-  from first_ f left join priors using (sender)),
- done as (select * from {_score("fed")})"""
+_MARKED, _PINNED = "(prior_no_reply is not null and is_no_reply is distinct from prior_no_reply)", "(prior_level is not null and level <> prior_level)"
+
+
+def _fed(gone: str = "false") -> str:
+    """Views that end in ``done``: scored messages with corrections; those of which ``gone`` holds are at their band's floor."""
+    new = _points("prior_level", "coalesce(prior_no_reply, is_no_reply)")
+    floor = _FLOOR.replace("case level", "case prior_level", 1)
+    return f"""{_WEIGHED}, {_SCORED},
+ fed as (select * exclude (score), score as old_score, {_MARKED} as marked, {_PINNED} as pinned, case when {_PINNED} then case when {gone} then {floor} else {new} end else score end as score from scored left join priors using (sender)),
+ done as (select * replace (coalesce(prior_level, level) as level, coalesce(prior_no_reply, is_no_reply) as is_no_reply, case when not (marked and prior_no_reply) then outline_points end as outline_points), level as old_level, is_no_reply as old_no_reply, marked or pinned as changed from fed)"""
+
+
+_FED = _fed()
 _MEN = """men as (
   select l_orderkey as email_id, m.kind || ':' || m.key as entity_id, m.kind as kind, case when l_discount < 0.03 then 0.4::double else 1.0::double end as confidence
   from (select l_orderkey, l_discount, unnest([{'kind': 'person', 'key': o_custkey::varchar}, {'kind': 'case', 'key': l_suppkey::varchar}, {'kind': 'project', 'key': p_brand}, {'kind': 'org', 'key': l_linestatus}]) as m
@@ -145,8 +153,8 @@ def _graph(anchors: str, targets: str) -> list[str]:
 
 ORACLE_SQL: dict[str, str] = {
     "review_queue": _with(_MSG, _SIG, _LOG, _PRIORS, _FED) + f"select email_id, sender, level, score, round({_FLOOR} + 25.0::double * row_number() over (partition by level order by score, received_at, email_id) / (count(*) over (partition by level) + 1), 6) as spread from done order by spread desc, received_at desc, email_id limit 20",
-    "score_messages": _with(_MSG, _SIG) + f"select email_id, level, score from {_score('sig')}",
-    "filter_queue": _with(_MSG) + "select email_id, sender, subject from msg where read_status = 'unread' and is_no_reply is false and not coalesce(is_scheduling, false) and contains(lower(subject || chr(10) || sender), 're')",
+    "score_messages": _with(_MSG, _SIG, _WEIGHED, _SCORED) + "select email_id, level, score from scored",
+    "filter_queue": _with(_MSG) + "select email_id, sender, subject from msg where read_status = 'unread' and is_no_reply is false and not coalesce(is_scheduling, false) and contains(lower(concat_ws(chr(10), subject, sender, case when email_id % 14 <> 0 then subject end)), 're') and outline_points > 0",
     "filter_review": _with(_MSG) + "select email_id from msg where not coalesce(is_no_reply, false) and coalesce(is_scheduling, false)",
     "urgent_unread": _with(_MSG) + "select email_id, sender from msg where level = 'urgent' and read_status = 'unread'",
     "page_queue": _with(_MSG) + "select email_id, value, (select count(*) from msg where category = 'click') as total from msg where category = 'click' order by value desc, email_id limit 20 offset 20",
@@ -159,7 +167,11 @@ ORACLE_SQL: dict[str, str] = {
     "last_n_turns": "select conv_id, turn, role from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
     "conversation_heads": "select conv_id, max(turn) as last_turn, count(*) as turns from conversations group by conv_id",
     "sender_priors": _with(_MSG, _LOG, _PRIORS) + "select * from priors",
-    "apply_feedback": _with(_MSG, _SIG, _LOG, _PRIORS, _FED) + "select email_id, level, is_no_reply, score from done where level is distinct from old_level or is_no_reply is distinct from old_no_reply",
+    "spread_scores": _with(_MSG, _SIG, _LOG, _PRIORS, _FED) + f"select email_id, level, round({_FLOOR} + 25.0::double * row_number() over (partition by level order by score, received_at, email_id) / (count(*) over (partition by level) + 1), 6) as spread from done",
+    "apply_feedback": _with(_MSG, _SIG, _LOG, _PRIORS, _fed("email_id % 9 = 2"))
+    + """select email_id, level, is_no_reply, score, coalesce(outline_points, -1) as outline_points, case when marked and prior_no_reply then 'not_applicable' when marked and st = 'not_applicable' then 'none' else st end as outline_status,
+      case when pinned then 'Pinned to ' || level || ' by your feedback on this sender.' when prior_no_reply then 'your feedback: sender marked automated' else 'your feedback: sender marked as a real correspondent' end as why
+      from (select *, case when email_id % 15 = 1 then 'sent' when old_no_reply then 'not_applicable' else 'suggested' end as st from done) where changed""",
     "clear_priors": _with(_MSG, _SIG, _LOG) + "select kind, count(*) as n, (select count(*) from log where kind = 'level' and sender in (select sender from vips)) as cleared from log where kind <> 'level' or sender not in (select sender from vips) group by kind",
     "vip_senders": _with(_MEN, "c as (select entity_id, count(distinct email_id) as emails from men where kind = 'person' group by entity_id), r as (select emails, row_number() over (order by emails) as nth, count(*) over () as n from c)") + "select entity_id, emails from c where emails >= (select min(emails) from r where nth >= round_even(0.9::double * (n - 1), 0) + 1)",
     "score_spread_stats": _with(_MSG) + "select level, count(value) as n, min(value) as least, max(value) as most, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as stdev, count(distinct value) as \"values\" from msg group by level",

@@ -26,11 +26,19 @@ def _ntz(df: DataFrame) -> DataFrame:
 # the review queue
 
 
+def _fed(s, d):
+    """Scored messages with the corrections of their senders."""
+    return queue.apply_feedback(queue.score_messages(queue.with_signals(V.messages(s, d), V.OWNER)), queue.sender_priors(V.feedback_log(s, d)))
+
+
 @query
 def review_queue(s, d):
-    scored = queue.apply_feedback(queue.score_messages(queue.with_signals(V.messages(s, d), V.OWNER)), queue.sender_priors(V.feedback_log(s, d)))
-    spread = queue.spread_scores(scored.drop("prior_level", "prior_no_reply", "old_level", "old_no_reply", "old_score"))
-    return spread.orderBy(F.desc_nulls_last("spread"), F.desc("received_at"), "email_id").limit(20).select("email_id", "sender", "level", "score", "spread")
+    return queue.top_of_queue(keep(_fed(s, d), "fed"), 20).select("email_id", "sender", "level", "score", "spread")
+
+
+@query
+def spread_scores(s, d):
+    return queue.spread_scores(_fed(s, d)).select("email_id", "level", "spread")
 
 
 @query
@@ -40,7 +48,7 @@ def score_messages(s, d):
 
 @query
 def filter_queue(s, d):
-    return queue.filter_queue(V.messages(s, d), read="unread", no_reply=False, scheduling=False, search="re").select("email_id", "sender", "subject")
+    return queue.filter_queue(V.processed(s, d), read="unread", no_reply=False, scheduling=False, search="re", has_outline=True).select("email_id", "sender", "subject")
 
 
 @query
@@ -109,8 +117,11 @@ def sender_priors(s, d):
 
 @query
 def apply_feedback(s, d):
-    rows = queue.apply_feedback(queue.score_messages(queue.with_signals(V.messages(s, d), V.OWNER)), queue.sender_priors(V.feedback_log(s, d)))
-    return rows.where("changed").select("email_id", "level", "is_no_reply", "score")
+    """What corrections change, where the raw message of one in nine is gone."""
+    m = V.processed(s, d)
+    scored = queue.score_messages(queue.with_signals(m, V.OWNER))
+    fed = queue.apply_feedback(scored, queue.sender_priors(V.feedback_log(s, d)), m.where("email_id % 9 != 2"))
+    return fed.where("changed").select("email_id", "level", "is_no_reply", "score", F.coalesce("outline_points", F.lit(-1)).alias("outline_points"), "outline_status", F.coalesce("justification", "no_reply_reason").alias("why"))
 
 
 @query

@@ -132,7 +132,7 @@ def refresh_subset(s, d):
     return refresh.refresh_subset(m, ids, V.feedback_log(s, d), todos, _stages(), V.OWNER)["spread"].select(*_ROWS())
 
 
-@query("select level, is_no_reply, email_id, old from (select email_id, case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as old, case when coalesce(prior_no_reply, is_no_reply, false) then 'medium' else 'urgent' end as level, coalesce(prior_no_reply, is_no_reply) as is_no_reply, is_no_reply as old_no_reply from msg left join priors using (sender) where sender = 'u3@example.com') where old <> level or is_no_reply is distinct from old_no_reply", O._MSG, O._LOG, O._PRIORS)
+@query("select level, is_no_reply, email_id, old from (select email_id, case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as old, 'urgent' as level, coalesce(prior_no_reply, is_no_reply) as is_no_reply, is_no_reply as old_no_reply from msg left join priors using (sender) where sender = 'u3@example.com') where old <> level or is_no_reply is distinct from old_no_reply", O._MSG, O._LOG, O._PRIORS)
 def feedback_cycle(s, d):
     """The messages that a new correction of one sender changes."""
     log = V.feedback_log(s, d)
