@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import evidence
+
 
 def candidate_nodes(entities: DataFrame, messages: DataFrame) -> DataFrame:
     """(node_type, node_id): every case, project and thread."""
@@ -18,9 +20,7 @@ def evidence_hash(pairs: DataFrame, keys: list[str], item: Column) -> DataFrame:
 
     Sums of two independent hashes are folded as rows come, so a node with any number of messages is never gathered.
     """
-    lane = lambda seed: F.sum(F.xxhash64(F.col("_item"), F.lit(seed)).cast("decimal(38,0)"))
-    rows = pairs.select(*keys, item.cast("string").alias("_item")).distinct()
-    return rows.groupBy(*keys).agg(F.count("*").alias("emails"), F.sha1(F.concat_ws(":", lane(1).cast("string"), lane(2).cast("string"))).alias("hash"))
+    return evidence.fingerprints(evidence.fingerprint_sums(pairs, keys, item), keys)
 
 
 def is_generated(generated_at: Column, body: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.tables import keep
@@ -22,6 +22,22 @@ def entity_idf(pairs: DataFrame, share: float = 0.5, least: int = 20) -> DataFra
     return df.crossJoin(n).select("entity_id", "kind", "df", (F.log1p(F.col("n") / F.col("df")) / F.log1p("n")).alias("idf"), ((F.col("n") >= least) & (F.col("df") / F.col("n") > share)).alias("ubiquitous"))
 
 
+def relation(a_kind: Column, b_kind: Column, a: Column, b: Column) -> Column:
+    """How the entity ``a`` of a message relates to ``b``; null where the pair is told from the other side."""
+    work = ("case", "project")
+    return (
+        F.when((a_kind == "person") & b_kind.isin(*work), "participant_in")
+        .when((a_kind == "case") & (b_kind == "project"), "belongs_to")
+        .when(((b_kind == "person") & a_kind.isin(*work)) | ((a_kind == "project") & (b_kind == "case")), None)
+        .when(a < b, "mentions")
+    )
+
+
+def base_weight(rel: Column, a_confidence: Column, b_confidence: Column) -> Column:
+    """What one message adds to a pair, before the rarity of its entities."""
+    return F.when(rel == "participant_in", b_confidence).when(rel == "belongs_to", a_confidence).otherwise(0.5)
+
+
 def relations(mentions: DataFrame) -> DataFrame:
     """(src, dst, rel, weight, evidence): people take part in cases and projects, cases belong to projects, others are mentioned together.
 
@@ -32,14 +48,8 @@ def relations(mentions: DataFrame) -> DataFrame:
     known = keep(pairs.join(idf, "entity_id"), "known_pairs")
     a, b = known.alias("a"), known.alias("b")
     both = a.join(b, (F.col("a.email_id") == F.col("b.email_id")) & (F.col("a.entity_id") != F.col("b.entity_id")))
-    ka, kb, work = F.col("a.kind"), F.col("b.kind"), ("case", "project")
-    rel = (
-        F.when((ka == "person") & kb.isin(*work), "participant_in")
-        .when((ka == "case") & (kb == "project"), "belongs_to")
-        .when(((kb == "person") & ka.isin(*work)) | ((ka == "project") & (kb == "case")), None)
-        .when(F.col("a.entity_id") < F.col("b.entity_id"), "mentions")
-    )
-    base = F.when(rel == "participant_in", F.col("b.confidence")).when(rel == "belongs_to", F.col("a.confidence")).otherwise(0.5)
+    rel = relation(F.col("a.kind"), F.col("b.kind"), F.col("a.entity_id"), F.col("b.entity_id"))
+    base = base_weight(rel, F.col("a.confidence"), F.col("b.confidence"))
     edges = both.select(F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst"), rel.alias("rel"), (base * F.col("a.idf") * F.col("b.idf")).alias("w"), F.col("a.email_id").alias("email_id")).where("rel is not null")
     edges = edges.groupBy("src", "dst", "rel").agg(F.round(F.sum("w"), 4).alias("weight"), F.count("*").alias("evidence"))
     return edges.where("rel != 'belongs_to' or evidence >= 2")

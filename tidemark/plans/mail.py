@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import mail as M
 from tidemark.functions import text as T
-from tidemark.operators import briefs, graph, maintain, merge, queue, resolution, serving
+from tidemark.operators import briefs, evidence, graph, maintain, merge, queue, resolution, serving
 from tidemark.plans import oracles as O
 from tidemark.plans.registry import registry
 from tidemark.sources import views as V
@@ -279,3 +279,69 @@ def context_packs(s, d):
     of = men.join(n, "entity_id").join(m.select("email_id"), "email_id", "left_semi").withColumn("nth", nth)
     foreign = m.select((F.col("email_id") - 1).alias("anchor"), F.lit(1).alias("rank"), "email_id", F.col("subject").alias("text")).join(m.select(F.col("email_id").alias("anchor")), "anchor", "left_semi")
     return briefs.build_pack(briefs.sections(m, _briefs(s, d), of, foreign), 120)
+
+
+# evidence that is kept up
+
+_REL = O.ORACLE_SQL["relations"]
+
+
+def _parts_of(s, d):
+    """Mentions of cases, projects and organisations in two parts: all messages but one in a hundred, and these."""
+    m = V.mentions(s, d).where("kind != 'person'")
+    return m.where("email_id % 100 != 1"), m.where("email_id % 100 = 1")
+
+
+_MOST = O._MEN.replace("men as (", "men as (select * from (", 1) + " where kind <> 'person')"
+_RELATED = _REL[_REL.index("select src, dst, rel, round(sum(w), 4)"):]
+
+
+@query(_RELATED.replace("round(sum(w), 4) as weight", "round(sum(base) * any_value(ia) * any_value(ib), 4) as weight").replace("* a.idf * b.idf as w", "as base, a.idf as ia, b.idf as ib"), _MOST, O._PAIRS, O._IDF, "k as (select email_id, entity_id, p.kind, confidence, idf from pairs p join idf using (entity_id) where not ubiquitous)")
+def relations_kept_up(s, d):
+    """Relations by sums that were kept of most messages, to which those of the others are added, and from which some are taken away and added again."""
+    most, rest = _parts_of(s, d)
+    sums = evidence.pair_sums(evidence.pairs(most))
+    again = most.where("email_id % 100 = 2")
+    delta = evidence.pair_sums(evidence.pairs(rest.unionByName(again))).unionByName(evidence.pair_sums(evidence.pairs(again), -1))
+    sums = evidence.applied(sums, evidence.changed(sums, delta, evidence.PAIR), evidence.PAIR, "n")
+    counts = evidence.entity_counts(most)
+    counts = evidence.applied(counts, evidence.changed(counts, evidence.entity_counts(rest), ["entity_id", "kind"]), ["entity_id", "kind"], "df")
+    n = most.unionByName(rest).agg(F.count_distinct("email_id").alias("n"))
+    return evidence.weigh(sums, counts, n)
+
+
+@query("select src, dst, rel, chunk, array_to_string(list_sort(list(email_id)), ',') as ids from (select src, dst, rel, email_id // 4096 as chunk, email_id from (" + _RELATED[_RELATED.index("from (") + 6 : _RELATED.index(") where rel is not null")] + ") where rel is not null) group by all", _MOST, O._PAIRS, "k as (select *, 1 as idf from pairs where kind in ('case', 'project'))")
+def relation_evidence(s, d):
+    """The message ids of every pair of cases and projects, kept in chunks, after those of the last messages were added."""
+    most, rest = (p.where("kind in ('case', 'project')") for p in _parts_of(s, d))
+    sets = evidence.id_sets(evidence.pairs(most), evidence.PAIR)
+    changes = evidence.changed_sets(sets, evidence.pairs(rest), evidence.pairs(rest.limit(0)), evidence.PAIR)
+    both = sets.join(changes.select(*evidence.PAIR, "chunk"), [*evidence.PAIR, "chunk"], "left_anti").unionByName(changes.where(F.size("ids") > 0))
+    return both.select(*evidence.PAIR, "chunk", F.array_join("ids", ",").alias("ids"))
+
+
+@query("select 'case' as node_type, entity_id as node_id, headline, open_items, emails, due from (select entity_id, count(distinct email_id) as emails, substr(entity_id, 6)::bigint % 5 = 0 or count(distinct email_id) <> count(distinct email_id) filter (email_id % 500 <> 1) as due, case when due then null else 'Case ' || entity_id end as headline, case when due then 0 else 1 end::int as open_items from men where kind = 'case' group by entity_id)", O._MEN)
+def marked_briefs(s, d):
+    """Briefs of cases after their evidence moved: one in five has none yet, and some have new messages. Fingerprints are kept up by what was added."""
+    keys = ["node_type", "node_id"]
+    m = V.mentions(s, d).where("kind = 'case'").select(F.lit("case").alias("node_type"), F.col("entity_id").alias("node_id"), "email_id")
+    kept = evidence.fingerprint_sums(m.where("email_id % 500 != 1"), keys, F.col("email_id"))
+    now = evidence.applied(kept, evidence.changed(kept, evidence.fingerprint_sums(m.where("email_id % 500 = 1"), keys, F.col("email_id")), keys), keys, "emails")
+    told = evidence.fingerprints(kept, keys).where(F.substring_index("node_id", ":", -1).cast("long") % 5 != 0)
+    stored = told.select(*keys, F.concat(F.lit("Case "), "node_id").alias("headline"), F.lit("text").alias("body"), F.array(F.lit("item")).alias("open_items"), "hash", F.lit(1).alias("generated_at"))
+    current = evidence.fingerprints(now, keys)
+    marked = evidence.mark_dirty(stored, current)
+    briefs_ = merge.merge_latest(stored, marked, keys).join(current.select(*keys, "emails"), keys)
+    return briefs_.select(*keys, "headline", F.size("open_items").alias("open_items"), "emails", F.col("headline").isNull().alias("due"))
+
+
+@query("select src, dst, rel, round(max(w), 4) as weight, string_agg(distinct e, ',' order by e) as evidence from (select src, dst, 'mentions' as rel, weight as w, e from (select *, unnest([src, 'b']) as e from step where src < dst and src like 'case:%' and dst < 'project:Brand#2') union all select src, dst, 'mentions', weight, unnest(['a', 'a']) from step where src < dst and src like 'case:%' and dst >= 'project:Brand#2') group by all", O._MEN, O._EDGES)
+def merge_relations(s, d):
+    """Relations of which some are replaced by new ones, with evidence sorted and without repeats."""
+    from tidemark.plans.queries import _edges
+
+    e = graph.both_directions(_edges(s, d)).where("src < dst and src like 'case:%'").withColumn("rel", F.lit("mentions"))
+    columns = ["src", "dst", "rel", "weight", "evidence"]
+    old = e.withColumn("evidence", F.array(F.lit("a"))).select(columns)
+    new = e.where("dst < 'project:Brand#2'").withColumn("evidence", F.array("src", F.lit("b"), "src")).select(columns)
+    return merge.merge_edges(old, new).select("src", "dst", "rel", F.round("weight", 4).alias("weight"), F.array_join("evidence", ",").alias("evidence"))
