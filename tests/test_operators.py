@@ -183,7 +183,24 @@ def test_parse_messages(spark):
     assert got["1"].sender == "Jö <j@x.org>" and got["1"].recipients == ["a@x", "b@y", "c@z"] and got["1"].body == "plain é"
     assert got["1"].has_attachments and got["1"].read_status == "unread" and got["1"].received_at.year == 2023 and "X-Other" not in got["1"].headers
     assert got["2"].body == "a & b\nc" and got["2"].received_at is None and got["2"].sender is None
-    assert parse_messages(df).where("error is not null").count() == 2
+    assert sorted(r.error for r in parse_messages(df).where("error is not null").collect()) == ["not JSON", "not JSON"]
+
+
+def test_parse_messages_of_odd_shape(spark):
+    import json
+
+    from tidemark.sources.messages import DEPTH, decoded, decoded_words, parse_messages
+
+    deep = {"mimeType": "text/plain", "body": {"data": _b64("deep")}}
+    for _ in range(DEPTH):
+        deep = {"mimeType": "multipart/mixed", "parts": [deep]}
+    raw = [{"id": "deep", "payload": deep}, {"id": "deeper", "payload": {"parts": [deep]}}, {"id": "none"}, {"payload": {}}, {"id": 7, "internalDate": 1000, "labelIds": [], "payload": {"headers": [], "parts": [], "body": {}}}, ["list"]]
+    two = {"id": "two", "payload": {"parts": [{"parts": [{"mimeType": "text/plain", "body": {"data": _b64("b")}}]}, {"mimeType": "text/plain", "filename": "", "body": {"data": _b64("c") + "="}}, {"mimeType": "text/plain", "body": {"data": "!"}}]}}
+    got = {r.email_id or r.error: r for r in parse_messages(spark.createDataFrame([(json.dumps(x),) for x in [*raw, two]], "raw string")).collect()}
+    assert set(got) == {"deep", "nested too deeply", "none", "no id", "7", "two"}
+    assert got["deep"].body == "deep" and got["none"].body == "" and got["7"].received_at is not None and got["two"].body == "b\nc"
+    one = spark.range(1).select(decoded(F.lit("4oKs_-8")).alias("a"), decoded(F.lit(None).cast("string")).alias("b"), *[decoded_words(F.lit(x)).alias(k) for k, x in (("c", "=?ISO-8859-1?Q?a=E9_b?="), ("d", "x =?utf-8?b?w7w=?=\n =?utf-8?B?w7w=?= y"), ("e", "=?koi8-r?B?w7w=?="), ("f", "a=?b"))]).first()
+    assert one.a.startswith("€") and one.b == "" and (one.c, one.d, one.e, one.f) == ("aé b", "x üü y", "=?koi8-r?B?w7w=?=", "a=?b")
 
 
 def test_parse_calendar(spark):

@@ -164,3 +164,40 @@ def age_hours(s, d):
     now = F.broadcast(m.agg(F.max("received_at").alias("now")))  # one row
     age = F.bround((F.unix_micros("now") - F.unix_micros("received_at")) / 3_600_000_000, 1)
     return m.crossJoin(now).groupBy("thread_id").agg(F.round(F.sum("value"), 4).alias("total"), F.count_if(age <= 24.0).alias("fresh"))
+
+
+_EXPORT = """exp as (select *, case when email_id % 4 = 0 then 'Jö Ü' || email_id else 'Ann' end as name, 'Body ' || subject || ' ä€ ' || email_id as said from msg)"""
+
+
+def exported(s, d):
+    """Messages as the JSON of a mail export: (raw). Names are encoded words, bodies lie two levels deep in the tree, some as HTML only, some are attached, and one in 23 can't be read."""
+    e = F.col("email_id")
+    m = V.messages(s, d)
+    name = F.when(e % 8 == 0, F.concat(F.lit("=?UTF-8?B?"), F.base64(F.encode(F.concat(F.lit("Jö Ü"), e.cast("string")), "UTF-8")), F.lit("?= "))).when(e % 4 == 0, F.concat(F.lit("=?utf-8?q?J=C3=B6_=C3=9C?= =?utf-8?q?"), e.cast("string"), F.lit("?= "))).otherwise("Ann ")
+    head = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    headers = F.array(head("FROM", F.concat(name, F.lit("<"), "sender", F.lit(">"))), head("to", F.coalesce("to_line", F.lit(""))), head("Cc", F.coalesce("cc_line", F.lit(""))), head("Subject", F.col("subject")), head("subject", F.lit("later")), head("X-Other", F.lit("n")))
+    said = F.concat(F.lit("Body "), "subject", F.lit(" ä€ "), e.cast("string"))
+    data = lambda text: F.rtrim(F.translate(F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", ""), "+/", "-_"), F.lit("="))
+    part = lambda kind, text, file="": F.struct(kind.alias("mimeType"), F.lit(file).alias("filename"), F.struct(data(text).alias("data")).alias("body"))
+    inner = F.array(part(F.lit("text/html"), F.concat(F.lit("<p>"), said, F.lit("</p><script>x</script>"))), part(F.when(e % 3 == 0, "text/enriched").otherwise("text/plain"), F.concat(F.lit(" "), said, F.lit("\n"))))
+    both = F.array(F.struct(F.lit("multipart/alternative").alias("mimeType"), inner.alias("parts"), F.lit(None).cast("string").alias("filename"), F.lit(None).cast("struct<data:string>").alias("body")))
+    file = part(F.lit("text/plain"), F.lit("attached"), "a.txt")
+    attached = F.array(F.struct(file.mimeType.alias("mimeType"), F.lit(None).cast(both_type(m, inner)).alias("parts"), file.filename.alias("filename"), file.body.alias("body")))
+    parts = F.when(e % 5 == 0, F.concat(both, attached)).otherwise(both)
+    one = F.struct(e.cast("string").alias("id"), F.col("thread_id").cast("string").alias("threadId"), F.unix_millis("received_at").cast("string").alias("internalDate"), F.when(F.col("read_status") == "unread", F.array(F.lit("INBOX"), F.lit("UNREAD"))).alias("labelIds"), F.struct(F.lit("multipart/mixed").alias("mimeType"), headers.alias("headers"), parts.alias("parts")).alias("payload"))
+    return m.select(F.when(e % 23 == 7, F.lit("{broken")).otherwise(F.to_json(one)).alias("raw"))
+
+
+def both_type(m, inner):
+    return m.select(inner.alias("x")).schema["x"].dataType
+
+
+@query("""select email_id::varchar as email_id, thread_id::varchar as thread_id, name || ' <' || sender || '>' as sender, subject, said as body, read_status, email_id % 5 = 0 as attached, epoch_us(received_at) // 1000 as ms,
+  array_to_string(list_filter(list_transform(string_split(concat_ws(',', coalesce(to_line, ''), coalesce(cc_line, '')), ','), lambda x: trim(x)), lambda x: x <> ''), '|') as recipients, 'Cc,From,Subject,To' as headers from exp where email_id % 23 <> 7
+  union all select null, null, null, null, null, null, null, -1, null, 'not JSON' from exp where email_id % 23 = 7""", O._MSG, _EXPORT)
+def parsed_messages(s, d):
+    from tidemark.sources.messages import parse_messages
+
+    p = parse_messages(exported(s, d))
+    names = F.coalesce("error", F.array_join(F.array_sort(F.map_keys("headers")), ","))
+    return p.select("email_id", "thread_id", "sender", "subject", "body", "read_status", F.col("has_attachments").alias("attached"), F.coalesce(F.unix_millis("received_at"), F.lit(-1)).alias("ms"), F.array_join("recipients", "|").alias("recipients"), names.alias("headers"))

@@ -1,110 +1,93 @@
-"""Raw message resources (JSON with a recursive MIME tree) as typed rows, and calendar event JSON as flat rows."""
+"""Raw message resources (JSON with a recursive MIME tree) as typed rows, and calendar event JSON as flat rows, by VARIANT and built-in functions alone."""
 
 from __future__ import annotations
 
-import base64
-import json
-from collections.abc import Iterator
-from email.header import decode_header, make_header
-from html.parser import HTMLParser
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as T
+
 #: The headers that are kept, by their usual names.
 KEPT = ("From", "To", "Cc", "Subject", "Date", "Reply-To", "List-Unsubscribe", "List-Id", "Precedence", "Auto-Submitted", "Content-Type")
-SCHEMA = "email_id string, thread_id string, sender string, recipients array<string>, subject string, body string, received_ms bigint, read_status string, headers map<string,string>, has_attachments boolean, error string"
-
-
-class _Text(HTMLParser):
-    """The visible text of a page; block elements end lines."""
-
-    HIDDEN, BLOCKS = {"script", "style", "head", "title"}, {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.hidden = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in self.HIDDEN
-        if tag in self.BLOCKS:
-            self.out.append("\n")
-
-    def handle_endtag(self, tag):
-        self.hidden -= tag in self.HIDDEN and self.hidden > 0
-        if tag in self.BLOCKS:
-            self.out.append("\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
-
-
-def visible(html: str) -> str:
-    page = _Text()
-    page.feed(html)
-    lines = [" ".join(x.split()) for x in "".join(page.out).split("\n")]
-    return "\n".join(x for i, x in enumerate(lines) if x or (i and lines[i - 1])).strip()
-
-
-def decoded(data: str | None) -> str:
-    """Unpadded base64url as text; what can't be read is replaced."""
-    if not data:
-        return ""
-    try:
-        return base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace")
-    except ValueError:
-        return ""
-
-
-def _leaves(part: dict) -> Iterator[dict]:
-    stack = [part]
-    while stack:
-        now = stack.pop()
-        stack.extend(reversed(now.get("parts") or []))
-        yield now
-
-
-def parse(raw: str) -> dict:
-    """One message; plain text goes before HTML, attachments are not text."""
-    m = json.loads(raw)
-    payload = m.get("payload") or {}
-    headers: dict[str, str] = {}
-    names = {k.lower(): k for k in KEPT}
-    for h in payload.get("headers") or []:
-        name = names.get(h.get("name", "").lower())
-        if name and name not in headers:
-            headers[name] = str(make_header(decode_header(h.get("value") or "")))
-    parts = list(_leaves(payload))
-    of = lambda kind: [decoded((p.get("body") or {}).get("data")) for p in parts if p.get("mimeType") == kind and not p.get("filename")]
-    plain, html = "\n".join(filter(None, of("text/plain"))), "\n".join(filter(None, of("text/html")))
-    ms = str(m.get("internalDate") or "")
-    return {
-        "email_id": m["id"], "thread_id": m.get("threadId"), "sender": headers.get("From"), "recipients": [x.strip() for x in ",".join(filter(None, (headers.get("To"), headers.get("Cc")))).split(",") if x.strip()],
-        "subject": headers.get("Subject"), "body": plain.strip() or visible(html), "received_ms": int(ms) if ms.lstrip("-").isdigit() else None,
-        "read_status": "unread" if "UNREAD" in (m.get("labelIds") or []) else "read", "headers": headers, "has_attachments": any(p.get("filename") for p in parts), "error": None,
-    }
+#: Levels of parts inside parts that are read.
+DEPTH = 16
+
+
+def decoded(data: Column) -> Column:
+    """base64url with or without padding as text; what is no UTF-8 is replaced, and what is no base64 is empty."""
+    bare = F.rtrim(F.translate(data, "-_", "+/"), F.lit("="))
+    whole = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "=")
+    return F.coalesce(F.make_valid_utf8(F.try_to_binary(whole, F.lit("base64")).cast("string")), F.lit(""))
+
+
+def decoded_words(value: Column) -> Column:
+    """A header with its encoded words read (base64 or quoted, in UTF-8, ASCII or Latin-1); words in other charsets stay as they are."""
+    v = F.regexp_replace(F.coalesce(value, F.lit("")), r"(\?=)\s+(?==\?)", "$1")
+    words = F.array_distinct(F.regexp_extract_all(v, F.lit(r"=\?[^?\s]+\?[BbQq]\?[^?]*\?="), F.lit(0)))
+
+    def quoted(data: Column) -> Column:
+        tokens = F.regexp_extract_all(F.replace(data, F.lit("_"), F.lit(" ")), F.lit("(?s)=[0-9A-Fa-f]{2}|."), F.lit(0))
+        return F.unhex(F.array_join(F.transform(tokens, lambda t: F.when((F.length(t) == 3) & F.startswith(t, F.lit("=")), F.substring(t, 2, 2)).otherwise(F.hex(F.encode(t, "UTF-8")))), ""))
 
+    def read(word: Column) -> Column:
+        part = lambda n: F.split_part(word, F.lit("?"), F.lit(n))
+        data = F.when(F.upper(part(3)) == "B", F.try_to_binary(part(4), F.lit("base64"))).otherwise(quoted(part(4)))
+        charset = F.lower(part(2))
+        text = F.when(charset.isin("utf-8", "utf8", "us-ascii"), F.make_valid_utf8(data.cast("string"))).when(charset.isin("iso-8859-1", "latin-1", "latin1"), F.decode(data, "ISO-8859-1"))
+        return F.coalesce(text, word)
 
-def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split(" ")[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")]
-    for batch in batches:
-        rows = []
-        for raw in batch["raw"]:
-            try:
-                rows.append(parse(raw))
-            except Exception as e:  # a message that can't be read stays as a row with its error
-                rows.append(dict.fromkeys(columns) | {"error": f"{type(e).__name__}: {e}"})
-        out = pd.DataFrame(rows, columns=columns, dtype=object)
-        out["received_ms"] = out["received_ms"].astype("Int64")
-        yield out
+    return F.aggregate(words, v, lambda t, w: F.replace(t, w, read(w)))
+
+
+def _parts(payload: Column) -> tuple[Column, Column]:
+    """array<struct<path, part>> of a message's parts in the order of the tree, each before its own parts, and whether some lie deeper than is read."""
+    one = lambda path, part: F.struct(path.alias("path"), part.alias("part"))
+
+    def below(level: Column) -> Column:
+        def of(p: Column) -> Column:
+            inner = F.coalesce(F.try_variant_get(p.part, "$.parts", "array<variant>"), F.array().cast("array<variant>"))
+            return F.transform(inner, lambda x, i: one(F.concat(p.path, F.lit("."), F.lpad(i.cast("string"), 6, "0")), x))
+
+        return F.flatten(F.transform(level, of))
+
+    # each level is bound as an element of an array, so that the levels below don't read it again
+    start = F.struct(F.array(one(F.lit(""), payload)).alias("level"), F.array(one(F.lit(""), payload)).alias("all"))
+
+    def step(state: Column, _: Column) -> Column:
+        return F.element_at(F.transform(F.array(below(state.level)), lambda found: F.struct(found.alias("level"), F.concat(state.all, found).alias("all"))), 1)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), start, step)
+    flat = lambda all_: F.transform(all_, lambda p: F.struct(p.path.alias("path"), F.try_variant_get(p.part, "$.mimeType", "string").alias("kind"), F.coalesce(F.try_variant_get(p.part, "$.filename", "string"), F.lit("")).alias("filename"), F.try_variant_get(p.part, "$.body.data", "string").alias("data")))
+    told = F.element_at(F.transform(F.array(walked), lambda w: F.struct(F.array_sort(flat(w.all)).alias("parts"), F.exists(w.level, lambda p: F.try_variant_get(p.part, "$.parts", "array<variant>").isNotNull()).alias("deep"))), 1)
+    return told
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:
-    """Typed rows from a column ``raw`` of message JSON; ``error`` is set where a message can't be read."""
-    rows = raw.select("raw").mapInPandas(_parsed, SCHEMA)
-    return rows.withColumn("received_at", F.timestamp_millis("received_ms")).drop("received_ms")
+    """(email_id, thread_id, sender, recipients, subject, body, read_status, headers, has_attachments, error, received_at) from a column ``raw`` of message JSON.
+
+    Plain text goes before HTML, and attachments are not text. Only the headers of ``KEPT`` are kept, of each name the first, with encoded words read. ``error`` is set, and all else null, where a message can't be read:
+    it is no JSON object, has no id, or has parts nested deeper than ``DEPTH``.
+    """
+    rows = raw.select(F.try_parse_json("raw").alias("m"))
+    get = lambda path, kind="string": F.try_variant_get("m", path, kind)
+    heads = F.coalesce(get("$.payload.headers", "array<struct<name:string,value:string>>"), F.array().cast("array<struct<name:string,value:string>>"))
+    rows = rows.select("m", get("$.id").alias("id"), heads.alias("heads"), _parts(get("$.payload", "variant")).alias("tree"))
+    first = lambda name: F.get(F.filter("heads", lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))
+    entries = F.array_compact(F.array(*[F.when(first(n).isNotNull(), F.struct(F.lit(n).alias("key"), decoded_words(first(n)["value"]).alias("value"))) for n in KEPT]))
+    text = lambda kind: F.array_join(F.filter(F.transform(F.filter("tree.parts", lambda p: (p.kind == kind) & (p.filename == "")), lambda p: decoded(F.coalesce(p.data, F.lit("")))), lambda t: t != ""), "\n")
+    error = F.when(F.col("m").isNull(), "not JSON").when(F.col("id").isNull(), "no id").when(F.col("tree.deep"), "nested too deeply")
+    labels = F.coalesce(get("$.labelIds", "array<string>"), F.array().cast("array<string>"))
+    read = rows.select("m", "id", F.map_from_entries(entries).alias("headers"), F.btrim(text("text/plain"), F.lit(" \t\r\n\f")).alias("plain"), text("text/html").alias("html"), F.exists("tree.parts", lambda p: p.filename != "").alias("attached"), labels.alias("labels"), error.alias("error"))
+    header = lambda name: F.element_at("headers", name)
+    people = F.filter(F.transform(F.split(F.concat_ws(",", header("To"), header("Cc")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    body = F.when(F.col("plain") != "", F.col("plain")).otherwise(T.html_to_text(F.col("html")))
+    known = {
+        "email_id": F.col("id"), "thread_id": get("$.threadId"), "sender": header("From"), "recipients": people, "subject": header("Subject"), "body": body, "read_status": F.when(F.array_contains("labels", "UNREAD"), "unread").otherwise("read"),
+        "headers": F.col("headers"), "has_attachments": F.col("attached"), "received_at": F.timestamp_millis(F.expr("try_cast(try_variant_get(m, '$.internalDate', 'string') as bigint)")),
+    }
+    good = F.col("error").isNull()
+    out = {k: F.when(good, v) for k, v in known.items()}
+    return read.select(*[out[k].alias(k) for k in list(known)[:-1]], "error", out["received_at"].alias("received_at"))
 
 
 def read_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
