@@ -30,6 +30,7 @@ class Stage:
     inputs: Callable[[], dict[str, Column]]
     answer: str
     after: Callable[[Column], Column]
+    empty: str | None = None  # the error of an answer of which nothing is left
 
 
 def _subject_and(body: Column) -> dict[str, Column]:
@@ -54,18 +55,47 @@ def _level(a: Column) -> Column:
     return F.when(F.coalesce("is_no_reply", F.lit(False)) & known.isin("high", "urgent"), "medium").otherwise(known)
 
 
+def _summary(a: Column) -> Column:
+    """struct<summary, dates>: three bullets that say something, trimmed to sentences, and five dates as they were written; null where no bullet does."""
+    bullets = M.join_bullets(F.slice(F.transform(a.bullets, lambda x: F.left(x, F.lit(200))), 1, 3))
+    return F.when(bullets != "", F.struct(bullets.alias("summary"), F.slice(F.transform(F.coalesce(a.dates, F.array().cast("array<string>")), lambda x: F.left(x, F.lit(60))), 1, 5).alias("dates")))
+
+
+def _names(a: Column) -> Column:
+    """The answer with each list cut to its most, and its texts to theirs."""
+    chars = {"projects": 60, "deliverables": 60, "topics": 40, "primary_ids": 24, "case_ids": 24}
+    cut = lambda n: lambda x: F.left(x, F.lit(n))
+    lists = [F.transform(M.capped(a.getField(f), f), cut(n)).alias(f) for f, n in chars.items()]
+    return F.struct(*lists, M.clamp(a.confidence, 0.5).alias("confidence"))
+
+
+def _brief(a: Column) -> Column:
+    """struct<headline, body, open_items> within 120 and 2,000 characters and eight items of 200; null without headline and body."""
+    cut = lambda c, n: F.left(F.trim(F.coalesce(c, F.lit(""))), F.lit(n))
+    items = F.slice(F.transform(F.coalesce(a.open_items, F.array().cast("array<string>")), lambda x: F.left(x, F.lit(200))), 1, 8)
+    return F.when((cut(a.headline, 120) != "") & (cut(a.body, 2000) != ""), F.struct(cut(a.headline, 120).alias("headline"), cut(a.body, 2000).alias("body"), items.alias("open_items")))
+
+
+def _unit(a: Column) -> Column:
+    """The vector at length one; a vector of zeros stays."""
+    norm = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    return F.element_at(F.transform(F.array(norm), lambda n: F.transform(a, lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)).cast("float"))), 1)
+
+
 STAGES = {
     s.name: s
     for s in (
         Stage("classify", lambda: F.col("is_no_reply").isNull(), lambda: _subject_and(M.first_lines(F.col("body"))), "boolean", lambda a: ~a),
         Stage("score_level", _always, _bounded("score"), "string", _level),
-        Stage("summarize", _always, _bounded("summarize"), "array<string>", lambda a: F.nullif(M.join_bullets(F.slice(F.transform(a, lambda x: F.left(x, F.lit(200))), 1, 3)), F.lit(""))),
+        Stage("summarize", _always, _bounded("summarize"), "struct<bullets: array<string>, dates: array<string>>", _summary, "empty summary"),
         Stage("action_items", _always, _bounded("summarize"), "array<string>", _items(8, 200)),
         Stage("categorize", _always, _bounded("score"), "string", lambda a: F.left(T.normalize_topic(a), F.lit(40))),
         Stage("propose_event", lambda: F.coalesce("is_scheduling", F.lit(False)), _bounded("score"), "struct<title: string, start: string, end: string>", lambda a: a),
-        Stage("outline", lambda: ~F.coalesce("is_no_reply", F.lit(True)), _bounded("outline"), "array<string>", lambda a: F.when(F.size(a) >= 2, F.slice(F.transform(a, lambda x: F.left(x, F.lit(150))), 1, 5))),
+        Stage("outline", lambda: ~F.coalesce("is_no_reply", F.lit(True)), _bounded("outline"), "array<string>", lambda a: F.when(F.size(a) >= 2, F.slice(F.transform(F.filter(a, lambda x: F.trim(x) != ""), lambda x: F.left(F.trim(x), F.lit(150))), 1, 5))),
         Stage("expand", lambda: F.col("draft").isNull() & F.coalesce(F.size("outline") > 0, F.lit(False)), lambda: _subject_and(F.array_join("outline", "\n")), "string", M.clean_draft),
-        Stage("embed", lambda: F.length(F.trim(F.coalesce("body", F.lit("")))) > 0, lambda: {"body": F.col("body")}, "array<float>", lambda a: a),
+        Stage("extract_names", _always, _bounded("extract"), "struct<projects: array<string>, deliverables: array<string>, topics: array<string>, primary_ids: array<string>, case_ids: array<string>, confidence: double>", _names),
+        Stage("brief", lambda: F.coalesce("evidence", F.lit("")) != "", lambda: {"evidence": F.col("evidence")}, "struct<headline: string, body: string, open_items: array<string>>", _brief, "empty brief"),
+        Stage("embed", lambda: F.length(F.trim(F.coalesce("body", F.lit("")))) > 0, lambda: {"body": F.col("body")}, "array<float>", _unit),
     )
 }
 
@@ -79,7 +109,39 @@ def run_stage(rows: DataFrame, stage: Stage, fn: Callable, key: str = "email_id"
     answers = model_stage(asked, plain, columns, stage.answer)
     given = asked.join(answers, columns).select(key, F.col("value").alias("_value"), F.col("error").alias("_error"), F.lit(True).alias("_asked"))
     both = rows.join(given, key, "left")
-    return both.withColumns({stage.name: F.when(F.col("_asked"), stage.after(F.col("_value"))), f"{stage.name}_error": F.col("_error")}).drop("_value", "_error", "_asked")
+    value, error = F.when(F.col("_asked"), stage.after(F.col("_value"))), F.col("_error")
+    if stage.empty:
+        error = F.coalesce(error, F.when(F.col("_asked") & value.isNull(), stage.empty))
+    return both.withColumns({stage.name: value, f"{stage.name}_error": error}).drop("_value", "_error", "_asked")
+
+
+def embedded(rows: DataFrame, fn: Callable, key: str = "email_id") -> DataFrame:
+    """``rows`` with the stage ``embed``: vectors of length one, and zeros of the same width for blank texts; null where the call failed."""
+    done = run_stage(rows, STAGES["embed"], fn, key)
+    width = F.broadcast(done.agg(F.coalesce(F.max(F.size("embed")), F.lit(0)).alias("_width")))  # one row
+    blank = F.length(F.trim(F.coalesce("body", F.lit("")))) == 0
+    return done.crossJoin(width).withColumn("embed", F.when(blank & (F.col("_width") > 0), F.array_repeat(F.lit(0.0).cast("float"), F.col("_width"))).otherwise(F.col("embed"))).drop("_width")
+
+
+def with_free_time(rows: DataFrame) -> DataFrame:
+    """``rows`` (outline, is_scheduling, calendar_read, slots) with the sentence on free time as the last point of a scheduling message's outline."""
+    said = M.availability(F.col("is_scheduling"), F.col("calendar_read"), F.col("slots"))
+    return rows.withColumn("outline", F.when(F.col("outline").isNotNull() & said.isNotNull(), F.concat("outline", F.array(said))).otherwise(F.col("outline")))
+
+
+def evidence_lines(pairs: DataFrame, messages: DataFrame, most: int = 100) -> DataFrame:
+    """(node_type, node_id, evidence): what a model reads for a brief: a head and a line for each message of the node (email_id, sender, received_at, subject, summary, body), in order of time.
+
+    A prompt is bounded: of a node's messages the ``most`` newest are told, ranked before any is gathered. Ids without a stored message are left out.
+    """
+    told = pairs.select("node_type", "node_id", "email_id").distinct().join(messages, "email_id")
+    nth = F.row_number().over(Window.partitionBy("node_type", "node_id").orderBy(F.desc("received_at"), F.desc("email_id")))
+    some = told.withColumn("nth", nth).where(F.col("nth") <= most)
+    excerpt = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.left(F.coalesce("body", F.lit("")), F.lit(500)))
+    line = F.concat(F.lit("- From "), F.coalesce("sender", F.lit("")), F.lit(", "), F.date_format("received_at", "yyyy-MM-dd"), F.lit(", re: "), F.coalesce("subject", F.lit("")), F.lit(": "), excerpt)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("nth")).alias("at"), line.alias("line")))), lambda x: x.line)
+    head = F.concat(F.lit("State document for "), "node_type", F.lit(" "), "node_id", F.lit(". Evidence emails:"))
+    return some.groupBy("node_type", "node_id").agg(lines.alias("lines")).select("node_type", "node_id", F.concat_ws("\n", head, F.array_join("lines", "\n")).alias("evidence"))
 
 
 def summarize_groups(rows: DataFrame, fn: Callable, most: int = 20) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import mail as MAIL
 from tidemark.functions import text as T
 from tidemark.operators import maintain, queue, refresh, stages
 from tidemark.plans import oracles as O
@@ -55,6 +56,79 @@ def stage_outline(s, d):
     return stages.run_stage(_mail(s, d), stages.STAGES["outline"], _words).select("email_id", F.array_join("outline", "|").alias("outline"))
 
 
+def _bullets(rows):
+    """A stand-in for a model: nothing to say of thanks, else three bullets, and all words with digits for dates."""
+    said = lambda r: ["", " .. ", "x"] if r["subject"] == "Thanks" else [r["subject"] + ".", "cut off. here", "..", "A fourth."]
+    return [{"bullets": said(r), "dates": [w for w in r["body"].split() if any(c.isdigit() for c in w)] * 6} for r in rows]
+
+
+@query("""select email_id, case when subject <> 'Thanks' then subject || '.' || chr(10) || 'cut off.' end as summary, case when subject <> 'Thanks' then coalesce(array_to_string(list_concat(ds, ds, ds, ds, ds)[1:5], '|'), '') end as dates, case when subject = 'Thanks' then 'empty summary' end as error
+  from (select *, list_filter(string_split_regex(subject || '. ' || category, '\\s+'), lambda w: regexp_matches(w, '[0-9]')) as ds from msg)""", O._MSG)
+def stage_summarize(s, d):
+    done = stages.run_stage(_mail(s, d), stages.STAGES["summarize"], _bullets)
+    return done.select("email_id", "summarize.summary", F.array_join("summarize.dates", "|").alias("dates"), F.col("summarize_error").alias("error"))
+
+
+@query("select email_id, left(coalesce(nullif(array_to_string((string_split_regex(trim(regexp_replace(lower(subject), '[\"''.]', '', 'g')), '\\s+'))[1:3], ' '), ''), 'other'), 40) as topic from msg", O._MSG)
+def stage_categorize(s, d):
+    return stages.run_stage(_mail(s, d), stages.STAGES["categorize"], lambda rows: [r["subject"] for r in rows]).select("email_id", F.col("categorize").alias("topic"))
+
+
+@query("select email_id, case when coalesce(is_scheduling, false) then subject end as title, case when coalesce(is_scheduling, false) then '2026-01-02T10:00:00Z' end as start from msg", O._MSG)
+def stage_propose(s, d):
+    fn = lambda rows: [{"title": r["subject"], "start": "2026-01-02T10:00:00Z", "end": "2026-01-02T11:00:00Z"} for r in rows]
+    return stages.run_stage(_mail(s, d), stages.STAGES["propose_event"], fn).select("email_id", "propose_event.title", "propose_event.start")
+
+
+@query("select email_id, case when email_id % 4 <> 0 and email_id % 3 = 1 then 'Dear all: one / ' || subject end as draft from msg", O._MSG)
+def stage_expand(s, d):
+    e = F.col("email_id")
+    m = _mail(s, d).withColumns({"draft": F.when(e % 4 == 0, "kept"), "outline": F.when(e % 3 == 1, F.array(F.lit("one"), "subject")).when(e % 3 == 2, F.array().cast("array<string>"))})
+    return stages.run_stage(m, stages.STAGES["expand"], lambda rows: ["]} Dear all: " + r["body"].replace("\n", " / ") for r in rows]).select("email_id", F.col("expand").alias("draft"))
+
+
+@query("select email_id, least(len(ws), 4)::int as projects, least(len(ws), 8)::int as ids, case when email_id % 2 = 0 then 1.0::double else 0.5::double end as confidence, left(ws[1], 40) as topic from (select email_id, string_split_regex(trim(subject || '. ' || category || ' ' || (email_id % 2)), '\\s+') as ws from msg)", O._MSG)
+def stage_extract(s, d):
+    def fn(rows):
+        words = [r["body"].split() for r in rows]
+        return [{"projects": w, "deliverables": w, "topics": w, "primary_ids": w, "case_ids": w, "confidence": 7.5 if w[-1] == "0" else None} for w in words]
+
+    m = _mail(s, d).withColumn("body", F.concat_ws(" ", "body", (F.col("email_id") % 2).cast("string")))
+    done = stages.run_stage(m, stages.STAGES["extract_names"], fn).select("email_id", "extract_names.*")
+    return done.select("email_id", F.size("projects").alias("projects"), F.size("case_ids").alias("ids"), "confidence", F.element_at("topics", 1).alias("topic"))
+
+
+@query("""select node_id, case when emails > 3 then headline end as headline, case when emails > 3 then least(n, 8)::int end as items, case when emails > 3 then lines end as lines, case when emails <= 3 then 'empty brief' end as error from (
+  select thread_id::varchar as node_id, count(*) as emails, 'State document for thread ' || thread_id || '. Evidence emails:' as headline, least(count(*), 100)::int as n,
+    md5(left(string_agg('- From ' || sender || ', ' || strftime(received_at, '%Y-%m-%d') || ', re: ' || subject || ': ' || case when email_id % 14 <> 0 then subject else category end, chr(10) order by received_at, email_id) filter (nth <= 100), 2000)) as lines
+  from (select *, row_number() over (partition by thread_id order by received_at desc, email_id desc) as nth from msg) group by thread_id)""", O._MSG)
+def stage_brief(s, d):
+    """A brief of every thread by a stand-in that repeats its evidence and has nothing to say of few messages."""
+    def fn(rows):
+        lines = [r["evidence"].split("\n") for r in rows]
+        return [{"headline": x[0], "body": "\n".join(x[1:]), "open_items": x[1:]} if len(x) > 4 else {"headline": " ", "body": "", "open_items": None} for x in lines]
+
+    m = V.processed(s, d).withColumn("body", F.col("category"))
+    pairs = m.select(F.lit("thread").alias("node_type"), F.col("thread_id").cast("string").alias("node_id"), "email_id")
+    nodes = stages.evidence_lines(pairs, m.select("email_id", "sender", "received_at", "subject", "summary", "body"))
+    done = stages.run_stage(nodes, stages.STAGES["brief"], fn, "node_id")
+    return done.select("node_id", "brief.headline", F.when(F.col("brief").isNotNull(), F.size("brief.open_items")).alias("items"), F.md5("brief.body").alias("lines"), F.col("brief_error").alias("error"))
+
+
+@query("select email_id, case when email_id % 6 = 0 then '0.0|0.0' else round(3.0 / sqrt(9.0 + length(subject) * length(subject)), 4) || '|' || round(length(subject) / sqrt(9.0 + length(subject) * length(subject)), 4) end as vec from msg", O._MSG)
+def stage_embed(s, d):
+    m = V.messages(s, d).withColumn("body", F.when(F.col("email_id") % 6 != 0, F.col("subject")).otherwise(" "))
+    done = stages.embedded(m, lambda rows: [[3.0, float(len(r["body"]))] for r in rows])
+    return done.select("email_id", F.array_join(F.transform("embed", lambda v: F.round(v.cast("double"), 4).cast("string")), "|").alias("vec"))
+
+
+@query(f"select email_id, case when not coalesce(is_no_reply, true) then array_to_string(list_concat(string_split_regex(trim(subject || '. ' || category), '\\s+')[1:5], case when coalesce(is_scheduling, false) then [case when email_id % 5 = 0 then {O._lit(MAIL.NO_CALENDAR)} when email_id % 5 = 1 then {O._lit(MAIL.NONE_FREE)} else {O._lit(MAIL.OFFER)} || 'Mon 10:00' end] else [] end), '|') end as outline from msg", O._MSG)
+def stage_outline_with_time(s, d):
+    e = F.col("email_id") % 5
+    m = _mail(s, d).withColumns({"calendar_read": e != 0, "slots": F.when(e > 1, F.array(F.lit("Mon 10:00"))).otherwise(F.array().cast("array<string>"))})
+    return stages.with_free_time(stages.run_stage(m, stages.STAGES["outline"], _words)).select("email_id", F.array_join("outline", "|").alias("outline"))
+
+
 def _joined(rows):
     return [" / ".join(r["texts"].split("\n")) for r in rows]
 
@@ -147,3 +221,12 @@ def stream_stale(s, d):
     landing = e.select(F.col("user_id").alias("thread_id"), F.col("event_id").alias("email_id"), F.col("ts").alias("received_at"), (F.col("event_id") % 6 != 0).alias("has_outline"))
     with streams.keyed_state(s):
         return streams.drain(streams.stale_outlines(landing), "append").select("email_id", "thread_id")
+
+
+@query("select email_id, level, is_no_reply, (select count(*) from log where kind = 'level' and sender = 'u3@example.com') as cleared from (select *, is_no_reply is distinct from coalesce(prior_no_reply, is_no_reply) as marked from (select email_id, sender, case when coalesce(is_no_reply, false) and level in ('high', 'urgent') then 'medium' else level end as level, is_no_reply from msg where sender = 'u3@example.com') left join priors using (sender)) m where marked".replace("select email_id, level, is_no_reply, (", "select email_id, level, coalesce(prior_no_reply, is_no_reply) as is_no_reply, ("), O._MSG, O._LOG, O._PRIORS)
+def feedback_cleared(s, d):
+    """The messages of a sender that corrections still change once those of its level are cleared."""
+    gone = s.createDataFrame([("U 3 <U3@example.com>",)], "sender string")
+    made = refresh.feedback_cleared(V.messages(s, d), V.feedback_log(s, d), gone, V.OWNER, "level")
+    cleared = F.broadcast(made["cleared"].agg(F.count("*").alias("cleared")))  # one row
+    return made["affected"].crossJoin(cleared).select("email_id", "level", "is_no_reply", "cleared")
