@@ -68,12 +68,30 @@ def strip_reply_prefixes(subject: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"(?i)^\s*(?:(?:re|fwd|fw|aw|sv)\s*:\s*)+", ""))
 
 
+#: Fixed value: an address in running text.
+ADDRESS = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
+
+
 def find_addresses(text: Column) -> Column:
     """All addresses of a text, in lower case, each once, in order."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ADDRESS), F.lit(0))
     return F.array_distinct(F.transform(found, lambda x: F.lower(x)))
 
 
+def parse_rfc3339(value: Column, zone: str = "UTC") -> Column:
+    """A time as calendars write it: with an offset or Z, without one in ``zone``, a bare date as midnight there; fractions beyond microseconds are cut. Null for what can't be read."""
+    text = F.regexp_replace(F.regexp_replace(F.trim(value), "[zZ]$", "+00:00"), r"(\.\d{6})\d+", "$1")
+    text = F.regexp_replace(text, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
+    offset = text.rlike(r"[+-]\d{2}:?\d{2}(:\d{2})?$") & text.rlike("[T ]")
+    at = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.try_to_timestamp(F.when(offset, text).otherwise(F.concat(text, F.lit("+00:00")))))
+    return F.when(offset, at).otherwise(F.to_utc_timestamp(at, zone))
+
+
+def default_range(now: Column, days: int = 7) -> Column:
+    """struct<start, end>: the usual look-ahead."""
+    return F.struct(now.alias("start"), F.timestamp_micros(F.unix_micros(now) + days * 86_400_000_000).alias("end"))
+
+
 def normalize_id(text: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)[^\w]+", ""))
 

@@ -82,7 +82,7 @@ def suggest_slots(ranges: DataFrame, busy: DataFrame, now: Column, zone: str = "
     return daily.withColumn("nth", nth).where(F.col("nth") <= count).select("calendar_id", "nth", "start", (F.col("start") + minutes * MINUTE).alias("end"))
 
 
-def zone_or_utc(zone: Column, known: DataFrame) -> Column:
-    """A zone's name where it is among ``known`` (zone), the names of the platform, a few hundred; else UTC."""
-    names = [r["zone"] for r in known.limit(1000).collect()]
-    return F.when(zone.isin(*names), zone).otherwise("UTC")
+def with_zone(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``rows`` with ``column`` kept where it is among ``known`` (zone), the names of the platform, else UTC."""
+    names = known.select(F.col("zone").alias(column)).distinct().withColumn("_known", F.lit(True))
+    return rows.join(names, column, "left").withColumn(column, F.when(F.col("_known"), F.col(column)).otherwise("UTC")).drop("_known").select(*rows.columns)

@@ -196,3 +196,10 @@ def fingerprint(mentions: DataFrame) -> DataFrame:
     digest = F.md5(F.col("email_id").cast("string"))
     lane = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
     return pairs.groupBy("entity_id").agg(F.count("*").cast("int").alias("emails"), F.substring(F.sha1(F.concat_ws(":", lane(1), lane(17))), 1, 20).alias("hash"))
+
+
+def fragmentation(entities: DataFrame, mentions: DataFrame, exact: tuple[str, ...] = ("case", "document", "person")) -> DataFrame:
+    """(kind, keyed, nodes, one_email, percent): of each kind of entity (entity_id, kind) how it is told apart, how many there are, and how many stand in one message at most."""
+    per = entities.select("entity_id", "kind").distinct().join(mentions.groupBy("entity_id").agg(F.count_distinct("email_id").alias("emails")), "entity_id", "left")
+    counted = per.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("emails", F.lit(0)) <= 1).alias("one_email"))
+    return counted.select("kind", F.when(F.col("kind").isin(*exact), "exact").otherwise("name").alias("keyed"), "nodes", "one_email", F.round(100.0 * F.col("one_email") / F.col("nodes"), 4).alias("percent"))

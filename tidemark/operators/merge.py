@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -73,3 +74,51 @@ def apply_updates(rows: DataFrame, edits: DataFrame, key: str, column: str, allo
 def conform(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Adds the columns that are missing, with their defaults; drops none."""
     return rows.select("*", *[v.alias(c) for c, v in defaults.items() if c not in rows.columns])
+
+
+def _conformed(value: Column, have: DataType, want: DataType, path: str, defaults: dict[str, Column]) -> Column:
+    """``value`` of the type ``have`` as ``want``, with what only ``have`` holds kept behind."""
+    if isinstance(have, StructType) and isinstance(want, StructType):
+        known = {f.name: f.dataType for f in have.fields}
+        at = lambda name: f"{path}.{name}" if path else name
+        fields = [(_conformed(value[f.name], known[f.name], f.dataType, at(f.name), defaults) if f.name in known else defaults.get(at(f.name), F.lit(None)).cast(f.dataType)).alias(f.name) for f in want.fields]
+        more = [value[n].alias(n) for n in known if n not in want.fieldNames()]
+        return F.when(value.isNotNull(), F.struct(*fields, *more))
+    if isinstance(have, ArrayType) and isinstance(want, ArrayType):
+        return F.transform(value, lambda x: _conformed(x, have.elementType, want.elementType, path, defaults))
+    if isinstance(have, MapType) and isinstance(want, MapType):
+        return F.transform_values(value, lambda k, x: _conformed(x, have.valueType, want.valueType, path, defaults))
+    return value if have == want else value.try_cast(want)
+
+
+def conform_to(rows: DataFrame, schema: StructType, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` of an older version with the columns of ``schema`` in its order, then all others: missing columns, and missing fields of structs at any depth, in arrays and maps too, get their default by path (``a.b.c``), else null; changed types are cast, to null where a value can't be. Nothing is dropped."""
+    defaults = defaults or {}
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    new = [(_conformed(F.col(f"`{f.name}`"), have[f.name], f.dataType, f.name, defaults) if f.name in have else defaults.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in schema.fields]
+    return rows.select(*new, *[F.col(f"`{c}`") for c in rows.columns if c not in schema.fieldNames()])
+
+
+def encode_structs(rows: DataFrame) -> DataFrame:
+    """``rows`` with structs, arrays and maps as JSON text, as a table of plain columns stores them; null stays null."""
+    nested = (StructType, ArrayType, MapType)
+    return rows.select(*[(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name)) for f in rows.schema.fields])
+
+
+def decode_structs(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The inverse of ``encode_structs`` by the columns' types in ``schema``: text that can't be read gives an empty list, and null for structs and maps."""
+    kinds = {f.name: f.dataType for f in schema.fields}
+
+    def read(name: str) -> Column:
+        kind = kinds.get(name)
+        if not isinstance(kind, StructType | ArrayType | MapType):
+            return F.col(name)
+        value = F.from_json(name, kind)
+        if isinstance(kind, ArrayType):
+            value = F.when(F.col(name).isNotNull(), F.coalesce(value, F.array().cast(kind)))
+        elif isinstance(kind, StructType):
+            # of broken text the parser makes a struct of nulls
+            value = F.when(F.try_parse_json(name).isNotNull(), value)
+        return value.alias(name)
+
+    return rows.select(*[read(c) for c in rows.columns])

@@ -87,13 +87,18 @@ def touching(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return out.unionByName(into)
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text."""
+    n = F.length(text) - size + 1
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def match_entities(entities: DataFrame, aliases: DataFrame, needles: DataFrame) -> DataFrame:
-    """(needle, entity_id) where the needle is a part of the entity's name or of an alias, in any case. Needles are what people type, so they are broadcast after a count."""
-    if needles.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 needles")
-    wanted = F.broadcast(needles.select(F.lower(F.trim("needle")).alias("needle")).where("needle != ''").distinct())
-    named = entities.select("entity_id", F.lower("name").alias("said")).unionByName(aliases.select("entity_id", F.lower("alias").alias("said")))
-    return named.join(wanted, F.contains("said", "needle")).select("needle", "entity_id").distinct()
+    """(needle, entity_id) where the needle is a part of the entity's name or of an alias, in any case. Any number of needles: they meet the names that have their first three characters (fewer, if they are shorter), and these are then searched."""
+    wanted = needles.select(F.lower(F.trim("needle")).alias("needle")).where("needle != ''").distinct().withColumn("gram", F.left("needle", F.lit(3)))
+    named = entities.select("entity_id", F.lower("name").alias("said")).unionByName(aliases.select("entity_id", F.lower("alias").alias("said"))).where("said is not null").distinct()
+    grams = named.withColumn("gram", F.explode(F.concat(*[_grams(F.col("said"), size) for size in (1, 2, 3)])))
+    return grams.join(wanted, "gram").where(F.contains("said", "needle")).select("needle", "entity_id").distinct()
 
 
 def open_items(briefs: DataFrame, most: int = MOST_LISTED) -> DataFrame:
@@ -164,3 +169,37 @@ def events_by_day(events: DataFrame, zone: str) -> DataFrame:
     """(week, day, n): events (start, all_day) by local day, those of whole days by the day in UTC; weeks begin on Monday."""
     day = F.to_date(F.when(F.col("all_day"), F.timestamp_micros("start")).otherwise(F.from_utc_timestamp(F.timestamp_micros("start"), zone)))
     return events.groupBy(F.to_date(F.date_trunc("week", day)).alias("week"), day.alias("day")).agg(F.count("*").alias("n"))
+
+
+def iso(at: Column) -> Column:
+    """A time with its offset from UTC, seconds and, where there are some, their fractions."""
+    whole, zone = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.date_format(at, "xxx")
+    micros = F.pmod(F.unix_micros(at), F.lit(1_000_000))
+    return F.concat(whole, F.when(micros > 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))).otherwise(""), zone)
+
+
+def wire_calendar(context: Column) -> Column:
+    """A calendar context as clients read it (null for null): struct<range_start, range_end, busy_blocks, suggested_slots (arrays of struct<start, end>), existing_events (array of struct<summary, start, end, all_day>), generated_at>."""
+    slot = lambda x: F.struct(iso(x.start).alias("start"), iso(x.end).alias("end"))
+    event = lambda x: F.struct(x.summary.alias("summary"), iso(x.start).alias("start"), iso(x.end).alias("end"), F.coalesce(x.all_day, F.lit(False)).alias("allDay"))
+    c = context
+    shown = F.struct(
+        iso(c.range_start).alias("rangeStart"), iso(c.range_end).alias("rangeEnd"), F.transform(c.busy_blocks, slot).alias("busyBlocks"), F.transform(c.suggested_slots, slot).alias("suggestedSlots"),
+        F.size(c.existing_events).alias("eventCount"), F.transform(c.existing_events, event).alias("events"), iso(c.generated_at).alias("generatedAt"),
+    )
+    return F.when(context.isNotNull(), shown)
+
+
+def wire_todos(todos: DataFrame) -> DataFrame:
+    """Open to-dos with their messages (see ``list_open_todos``) as clients read them."""
+    at = iso(F.col("created_at")) if "created_at" in todos.columns else F.lit(None).cast("string")
+    return todos.select(
+        F.col("todo_id").alias("todoId"), F.col("email_id").alias("emailId"), F.col("thread_id").alias("threadId"), "kind", "text", at.alias("createdAt"), F.coalesce("subject", F.lit("")).alias("subject"), "sender",
+        F.col("score").alias("importanceScore"), F.col("level").alias("importanceLevel"),
+    )
+
+
+def tally(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(email_id, what, name, n): a message's mentions by source and its chunks by kind."""
+    count = lambda df, what, name: df.groupBy("email_id", F.col(name).alias("name")).agg(F.count("*").alias("n")).select("email_id", F.lit(what).alias("what"), "name", "n")
+    return count(mentions, "mentions", "source").unionByName(count(chunks, "chunks", "kind"))

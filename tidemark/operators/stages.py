@@ -186,3 +186,18 @@ def extract_full(found: DataFrame, answers: DataFrame) -> DataFrame:
     """All mentions: those found by rule, after the model's word on their ids, and the model's names. Messages whose call failed have no row in ``answers`` and keep what the rules found."""
     columns = ["email_id", "kind", "key", "span", "source", "confidence"]
     return judge_ids(found.select(columns), answers).select(columns).unionByName(model_mentions(answers).select(columns))
+
+
+def compare_backends(results: DataFrame) -> DataFrame:
+    """(backend, failures, mean_seconds, n, least, most, mean, stdev, distinct, clustered) of results (item_id, backend, value, seconds): failures have no value, times are those of successes; a backend is clustered when its values are too few different ones to rank by."""
+    ok, v = F.col("value").isNotNull(), F.col("value")
+    per = results.groupBy("backend").agg(
+        F.count_if(~ok).alias("failures"), F.round(F.coalesce(F.avg(F.when(ok, F.col("seconds"))), F.lit(0.0)), 6).alias("mean_seconds"), F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"),
+        F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("stdev"), F.count_distinct(v).alias("distinct"),
+    )
+    return per.withColumn("clustered", F.col("distinct") <= F.greatest(F.lit(2), F.floor(F.col("n") / 4)))
+
+
+def side_by_side(results: DataFrame, backends: list[str]) -> DataFrame:
+    """(item_id, a column a backend): the values that the backends gave each item."""
+    return results.groupBy("item_id").pivot("backend", backends).agg(F.max("value"))

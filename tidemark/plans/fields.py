@@ -201,3 +201,15 @@ def parsed_messages(s, d):
     p = parse_messages(exported(s, d))
     names = F.coalesce("error", F.array_join(F.array_sort(F.map_keys("headers")), ","))
     return p.select("email_id", "thread_id", "sender", "subject", "body", "read_status", F.col("has_attachments").alias("attached"), F.coalesce(F.unix_millis("received_at"), F.lit(-1)).alias("ms"), F.array_join("recipients", "|").alias("recipients"), names.alias("headers"))
+
+
+_TIMES = ("2026-08-24T09:00:00Z", "2026-08-24T09:00:00.123456789-07:00", "2026-08-24", " 2026-08-24T09:00:00 ", "soon", "2026-13-01T00:00:00Z", None)
+_READ = ("2026-08-24T09:00:00+00:00", "2026-08-24T16:00:00.123456+00:00", "2026-08-24T07:00:00+00:00", "2026-08-24T16:00:00+00:00", None, None, None)
+
+
+@query(f"select email_id, {_sql(*_READ)} as at, {_sql(*[x and x.replace('-24T', '-31T') for x in _READ])} as until from msg", O._MSG)
+def times(s, d):
+    from tidemark.operators.serving import iso
+
+    at = T.parse_rfc3339(_pick(*_TIMES), "America/Los_Angeles")
+    return V.messages(s, d).select("email_id", at.alias("at")).select("email_id", iso(F.col("at")).alias("at"), iso(T.default_range(F.col("at")).end).alias("until"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import mail as M
 from tidemark.functions import text as T
-from tidemark.operators import briefs, evidence, graph, maintain, merge, queue, resolution, serving
+from tidemark.operators import briefs, evidence, graph, maintain, merge, queue, resolution, serving, stages
 from tidemark.plans import oracles as O
 from tidemark.plans.registry import registry
 from tidemark.sources import views as V
@@ -123,12 +123,62 @@ def todo_by_kind(s, d):
     return maintain.desired_todos(V.processed(s, d)).where("kind = 'needs_reply'").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
 
 
-@query("select email_id, coalesce(try_cast(json_extract_string(j, '$.points') as int), -1) as points, coalesce(json_extract_string(j, '$.title'), '') as title from (select email_id, case when email_id % 9 <> 0 then to_json({'title': subject, 'points': outline_points}) end as j from msg)", O._MSG)
+@query("select email_id, case when email_id % 9 <> 0 then coalesce(outline_points, -1) else -2 end as points, case when email_id % 9 <> 0 then subject end as title, case when email_id % 7 = 0 then 0 else 2 end as items from msg", O._MSG)
 def encode_structs(s, d):
-    """Struct columns as JSON text and back; text that isn't JSON reads as nothing."""
-    coded = V.messages(s, d).select("email_id", F.when(F.col("email_id") % 9 == 0, "{broken").otherwise(F.to_json(F.struct(F.col("subject").alias("title"), F.col("outline_points").alias("points")))).alias("j"))
-    read = coded.select("email_id", F.from_json("j", "title string, points int").alias("x"))
-    return read.select("email_id", F.coalesce("x.points", F.lit(-1)).alias("points"), F.coalesce("x.title", F.lit("")).alias("title"))
+    """Structs and lists as JSON text and back; text that isn't JSON reads as null, or as an empty list."""
+    rows = V.messages(s, d).select("email_id", F.struct(F.col("subject").alias("title"), F.col("outline_points").alias("points")).alias("head"), F.array("subject", "category").alias("items"))
+    coded = merge.encode_structs(rows)
+    broken = coded.withColumns({"head": F.when(F.col("email_id") % 9 != 0, F.col("head")).otherwise("{broken"), "items": F.when(F.col("email_id") % 7 != 0, F.col("items")).otherwise("[broken")})
+    read = merge.decode_structs(broken, rows.schema)
+    points = F.when(F.col("head").isNotNull(), F.coalesce("head.points", F.lit(-1))).otherwise(-2)
+    return read.select("email_id", points.alias("points"), "head.title", F.size("items").alias("items"))
+
+
+_CONTEXT = "struct<range_start:timestamp,range_end:timestamp,busy_blocks:array<struct<start:timestamp,end:timestamp>>,suggested_slots:array<struct<start:timestamp,end:timestamp>>,existing_events:array<struct<summary:string,start:timestamp,end:timestamp,all_day:boolean>>,generated_at:timestamp>"
+
+
+def _contexts(s, d) -> DataFrame:
+    """Calendar contexts of an older version: (email_id, context), with times as text, events without ``all_day``, no slots, and one field more."""
+    at = lambda hours: F.date_format(F.col("received_at") + F.expr(f"interval {hours} hours"), "yyyy-MM-dd HH:mm:ss")
+    slot = F.struct(at(1).alias("start"), at(2).alias("end"))
+    event = F.struct(F.col("subject").alias("summary"), at(3).alias("start"), F.when(F.col("email_id") % 5 == 0, "soon").otherwise(at(4)).alias("end"))
+    old = F.struct(at(0).alias("range_start"), at(24).alias("range_end"), F.array(slot).alias("busy_blocks"), F.array(event).alias("existing_events"), F.lit("v1").alias("version"))
+    return V.messages(s, d).select("email_id", F.when(F.col("email_id") % 3 != 0, old).alias("context"))
+
+
+def _conformed_contexts(s, d) -> DataFrame:
+    schema = s.createDataFrame([], f"email_id long, context {_CONTEXT}, note string").schema
+    defaults = {"context.existing_events.all_day": F.lit(False), "context.suggested_slots": F.array(), "note": F.lit("-")}
+    return merge.conform_to(_contexts(s, d), schema, defaults)
+
+
+_ISO = "strftime(date_trunc('second', received_at) + interval {0} hour, '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+@query(f"select email_id, '-' as note, case when email_id % 3 <> 0 then 'v1' end as version, case when email_id % 3 <> 0 then 0 else -1 end as slots, case when email_id % 3 <> 0 then false end as all_day, case when email_id % 3 <> 0 and email_id % 5 <> 0 then {_ISO.format(4)} end as ends from msg", O._MSG)
+def conformed_contexts(s, d):
+    from tidemark.operators.serving import iso
+
+    c = _conformed_contexts(s, d)
+    event = F.element_at("context.existing_events", 1)
+    return c.select("email_id", "note", "context.version", F.when(F.col("context").isNotNull(), F.size("context.suggested_slots")).otherwise(-1).alias("slots"), event.all_day.alias("all_day"), iso(event.end).alias("ends"))
+
+
+@query(f"select email_id, {_ISO.format(24)} as range_end, 1 as event_count, subject as summary, false as all_day, {_ISO.format(1)} as busy_from, 0 as slots from msg where email_id % 3 <> 0", O._MSG)
+def export_calendar(s, d):
+    """Calendar contexts as clients read them, through JSON."""
+    shown = _conformed_contexts(s, d).where("context is not null").select("email_id", serving.wire_calendar(F.col("context")).alias("c"))
+    read = shown.select("email_id", F.to_json("c").alias("j"))
+    get = lambda path: F.get_json_object("j", path)
+    slots = F.size(F.from_json(get("$.suggestedSlots"), "array<string>"))
+    return read.select("email_id", get("$.rangeEnd").alias("range_end"), get("$.eventCount").cast("int").alias("event_count"), get("$.events[0].summary").alias("summary"), get("$.events[0].allDay").cast("boolean").alias("all_day"), get("$.busyBlocks[0].start").alias("busy_from"), slots.alias("slots"))
+
+
+@query("select t.todo_id as \"todoId\", t.email_id as \"emailId\", thread_id as \"threadId\", kind, text, '2026-01-02T03:04:05.000006+00:00' as \"createdAt\", subject, sender, score as \"importanceScore\", level as \"importanceLevel\" from todos t join sc using (email_id) where status = 'open'", O._MSG, _SC, O._PROC, O._TODO.format("proc"), _TODOS)
+def export_todos(s, d):
+    m = scored(s, d)
+    open_ = serving.list_open_todos(maintain.desired_todos(V.processed(s, d)).withColumn("status", F.when(F.col("email_id") % 3 == 0, "done").otherwise("open")), m)
+    return serving.wire_todos(open_.withColumn("created_at", F.timestamp_micros(F.lit(1_767_323_045_000_006))))
 
 
 @query("select vec_id, dim, label from (select vec_id, len(embedding)::int as dim, label from embeddings where vec_id % 3 <> 0 and not (vec_id % 2 = 0 and vec_id % 10 <> 0) union all select vec_id, len(embedding)::int, 99 from embeddings where vec_id % 2 = 0 and vec_id % 10 <> 0)")
@@ -192,10 +242,10 @@ def collect_aliases(s, d):
     return o.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("aliases"))
 
 
-@query("select email_id, count(*) filter (kind = 'case') as cases, count(*) filter (kind = 'project') as projects, count(*) filter (kind = 'person') as people from men group by email_id", O._MEN)
+@query("select email_id, 'mentions' as what, case when kind in ('person', 'org') then 'header' else 'regex' end as name, count(*) as n from men group by all union all select doc_id // 2, 'chunks', case when doc_id % 10 = 8 then 'quoted' when doc_id % 10 = 9 then 'signature' else 'body' end, count(*) from documents group by all", O._MEN)
 def mention_tally(s, d):
-    count = lambda k: F.count_if(F.col("kind") == k)
-    return V.mentions(s, d).groupBy("email_id").agg(count("case").alias("cases"), count("project").alias("projects"), count("person").alias("people"))
+    m = V.mentions(s, d).withColumn("source", F.when(F.col("kind").isin("person", "org"), "header").otherwise("regex"))
+    return serving.tally(m, V.chunks(s, d))
 
 
 @query("select entity_id, arg_min(vec_id, vec_id) as vec_id, any_value(len(embedding))::int as dim from cases join embeddings on vec_id = email_id group by entity_id", O._MEN, _CASES)
@@ -206,12 +256,24 @@ def entity_vectors(s, d):
     return both.select("entity_id", "first.vec_id", F.size("first.embedding").alias("dim"))
 
 
-@query("select category as backend, count(*) filter (value < 10) as failures, round(coalesce(avg(value) filter (value >= 10), 0.0), 6) as mean_seconds, count(distinct case when value >= 10 then value end) <= greatest(2, count(*) filter (value >= 10) // 4) as clustered from msg group by category", O._MSG)
+_RESULTS = "res as (select email_id as item_id, category as backend, case when value >= 10 then value end as value, value / 4 as seconds from msg)"
+
+
+@query("select backend, count(*) filter (value is null) as failures, round(coalesce(avg(seconds) filter (value is not null), 0.0), 6) as mean_seconds, count(value) as n, min(value) as least, max(value) as most, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as stdev, count(distinct value) as distinct_, count(distinct value) <= greatest(2, count(value) // 4) as clustered from res group by backend", O._MSG, _RESULTS)
 def backend_compare(s, d):
-    """Of each backend the failures, the mean time of successes, and whether its answers are too few different ones to rank by."""
+    """Every category as a backend: failures, times, spread, and whether it is clustered."""
+    return stages.compare_backends(_results(s, d)).withColumnRenamed("distinct", "distinct_")
+
+
+def _results(s, d) -> DataFrame:
     ok = F.col("value") >= 10
-    clustered = F.count_distinct(F.when(ok, F.col("value"))) <= F.greatest(F.lit(2), F.floor(F.count_if(ok) / 4))
-    return V.messages(s, d).groupBy(F.col("category").alias("backend")).agg(F.count_if(~ok).alias("failures"), F.round(F.coalesce(F.avg(F.when(ok, F.col("value"))), F.lit(0.0)), 6).alias("mean_seconds"), clustered.alias("clustered"))
+    return V.messages(s, d).select(F.col("email_id").alias("item_id"), F.col("category").alias("backend"), F.when(ok, F.col("value")).alias("value"), (F.col("value") / 4).alias("seconds"))
+
+
+@query("select item_id // 10 as item_id, max(value) filter (backend = 'click') as click, max(value) filter (backend = 'error') as error from res group by 1", O._MSG, _RESULTS)
+def backends_side_by_side(s, d):
+    r = _results(s, d).withColumn("item_id", F.floor(F.col("item_id") / 10))
+    return stages.side_by_side(r, ["click", "error"])
 
 
 @query("select thread_id, email_id, value from msg qualify row_number() over (partition by thread_id order by value desc, email_id) = 1", O._MSG)

@@ -195,7 +195,7 @@ ORACLE_SQL: dict[str, str] = {
         (case when a.kind = 'person' and b.kind in ('case', 'project') then b.confidence when a.kind = 'case' and b.kind = 'project' then a.confidence else 0.5::double end) * a.idf * b.idf as w
       from k a join k b on a.email_id = b.email_id and a.entity_id <> b.entity_id) where rel is not null
       group by src, dst, rel having rel <> 'belongs_to' or count(*) >= 2""",
-    "fragmentation": _with(_MEN) + "select kind, count(*) as nodes, count(*) filter (emails = 1) as one_email, round(100.0::double * count(*) filter (emails = 1) / count(*), 4) as percent from (select kind, entity_id, count(distinct email_id) as emails from men group by all) group by kind",
+    "fragmentation": _with(_MEN) + "select kind, case when kind in ('case', 'document', 'person') then 'exact' else 'name' end as keyed, count(*) as nodes, count(*) filter (emails <= 1) as one_email, round(100.0::double * count(*) filter (emails <= 1) / count(*), 4) as percent from (select kind, entity_id, count(distinct email_id) filter (email_id % 2 = 0) as emails from men group by all) group by kind",
     "neighbors_weighted": _with(_MEN, _EDGES, "s as (select distinct src as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)")
     + "select start, node, round(raw, 6) as score, hop from (select start, node, max(score) as raw, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start group by start, node) qualify row_number() over (partition by start order by raw desc, node) <= 20",
     "neighbors_decayed": _with(_MEN, _EDGES, "s as (select distinct src as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start where dst <> start group by all), h2 as (select start, dst as node, max(score * weight * 0.5::double) as score from h1 join step on src = node where dst <> start group by all)")
@@ -210,7 +210,7 @@ ORACLE_SQL: dict[str, str] = {
         "ch as (select query_id, chunk_id, rank, 'bm25' as channel from bm union all select query_id, chunk_id, rank, 'vector' from vb union all select query_id, chunk_id, rank, 'graph' from gs join fc using (email_id) join ask using (anchor))")
     + "select query_id, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank, chunk_id, score, channel from (select query_id, chunk_id, round(sum(1.0::double / (60 + rank)), 6) as score, string_agg(distinct channel, '+' order by channel) as channel from ch group by all) qualify rank <= 10",
     "build_pack": "select conv_id as anchor, turn as priority, length(cut)::int as chars, md5(cut) as digest from (select conv_id, turn, left(text, (1500 - before)::int) as cut from (select *, coalesce(sum(length(text)) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) as before from conversations) where before < 1500)",
-    "find_addresses": r"select doc_id, array_to_string(list_distinct_ordered, ',') as addresses from (select doc_id, list_reduce(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: [lower(x)]), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from documents where regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))",
+    "find_addresses": r"select doc_id, array_to_string(list_distinct_ordered, ',') as addresses from (select doc_id, list_reduce(list_transform(regexp_extract_all(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+'), lambda x: [lower(x)]), lambda a, b: case when list_contains(a, b[1]) then a else list_concat(a, b) end) as list_distinct_ordered from documents where regexp_matches(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+'))",
     "normalize_topic": r"""select conv_id, turn, coalesce(nullif(array_to_string((string_split_regex(trim(regexp_replace(lower(text), '["''.]', '', 'g')), '\s+'))[1:3], ' '), ''), 'other') as topic from conversations""",
     "reply_subjects": _with(_MSG) + rf"select email_id, {_BARE} as bare, nullif(regexp_extract(subject, '(?i)^((?:\s*(?:re|fwd|fw)\s*:\s*)*)\[\s*([^\]\s@]+@[^\]\s@]+\.[^\]\s@]+)\s*\]', 2), '') as relayed, regexp_replace(subject, '(?i)^((?:\s*(?:re|fwd|fw)\s*:\s*)*)\[\s*[^\]\s@]+@[^\]\s@]+\.[^\]\s@]+\s*\]\s*', '\1') as rest from msg",
     "message_ids": _with(_MSG) + rf"""select email_id, id, case when split_part(id, '-', 1) in ({", ".join(map(_lit, T.CASE_PREFIXES))}) or starts_with(id, '#') then 'case' else 'document' end as kind, upper(regexp_replace(id, '[^\w]+', '', 'g')) as key

@@ -115,7 +115,7 @@ def open_slots(s, d):
 def zones(s, d):
     known = s.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "zone string")
     name = F.when(F.col("email_id") % 3 == 0, "America/Los_Angeles").when(F.col("email_id") % 3 == 1, "Mars/Base")
-    return V.messages(s, d).select("email_id", calendars.zone_or_utc(name, known).alias("zone"))
+    return calendars.with_zone(V.messages(s, d).select("email_id", name.alias("zone")), "zone", known)
 
 
 # resolution

@@ -233,8 +233,8 @@ def relations(s, d):
 
 @query
 def fragmentation(s, d):
-    per = V.mentions(s, d).groupBy("kind", "entity_id").agg(F.count_distinct("email_id").alias("emails"))
-    return per.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("emails") == 1).alias("one_email")).withColumn("percent", F.round(100.0 * F.col("one_email") / F.col("nodes"), 4))
+    m = V.mentions(s, d)
+    return graph.fragmentation(m.select("entity_id", "kind"), m.where("email_id % 2 = 0"))
 
 
 def _edges(s, d):
