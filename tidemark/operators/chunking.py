@@ -164,6 +164,43 @@ def header_mentions(messages: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "place").withColumn("confidence", F.lit(1.0))
 
 
+#: Fixed value: the headers that name people.
+PARTICIPANTS = ("From", "To", "Cc", "Bcc", "Reply-To")
+
+
+def extract_deterministic(messages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(email_id, chunk_id, kind, key, span, source, confidence) by rules alone: people and organisations of the sender, the recipients, five headers and the subject, and ids of the subject (no chunk) and of body chunks; of one kind, key and chunk the first.
+
+    ``messages``: (email_id, sender, recipients, headers, subject); ``chunks``: (email_id, chunk_id, kind, text). A message's own mentions are told apart inside its row, a chunk's inside the chunk's.
+    """
+    none = F.array().cast("array<string>")
+    lines = F.concat(F.array(F.coalesce("sender", F.lit(""))), F.coalesce("recipients", none), *[F.coalesce(F.split(T.header(F.col("headers"), h), ","), none) for h in PARTICIPANTS])
+    bare = T.strip_reply_prefixes(F.col("subject"))
+    one = lambda kind, key, span, source: F.struct(kind.alias("kind"), key.alias("key"), span.alias("span"), F.lit(source).alias("source"))
+
+    def person(source: str):
+        def of(x):
+            address = T.addr_only(x)
+            org = T.org_from_domain(address)
+            return F.array(one(F.lit("person"), address, F.coalesce(M.display_name(x), address) if source == "header" else address, source), one(F.lit("org"), T.normalize_name(org, singular=True), org, source))
+
+        return of
+
+    people = F.flatten(F.transform(F.filter(lines, lambda x: F.contains(T.addr_only(x), F.lit("@"))), person("header")))
+    told = F.flatten(F.transform(T.find_addresses(bare), person("regex")))
+    ids = lambda text: F.transform(T.find_ids(text), lambda i: one(i.kind, T.normalize_id(i.id), i.id, "regex"))
+    found = F.filter(F.concat(people, told, ids(bare)), lambda m: (F.coalesce(m.key, F.lit("")) != "") & m.span.isNotNull())
+
+    def firsts(all_):
+        """The first of each kind and key."""
+        return F.filter(all_, lambda m, i: F.forall(F.slice(all_, F.lit(1), i), lambda n: (n.kind != m.kind) | (n.key != m.key)))
+
+    fresh = F.element_at(F.transform(F.array(found), firsts), 1)
+    own = messages.select("email_id", F.lit(None).cast("string").alias("chunk_id"), F.inline(fresh))
+    body = chunks.where("kind = 'body'").select("email_id", F.col("chunk_id").cast("string").alias("chunk_id"), F.inline(F.element_at(F.transform(F.array(ids(F.col("text"))), firsts), 1)))
+    return own.unionByName(body).withColumn("confidence", F.lit(1.0))
+
+
 def resolve_entities(mentions: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
     """(kind, key, entity_id, rung) of each distinct mention: the known entity of that key, else of that alias, else a new one with a content id."""
     keys = mentions.select("kind", "key").distinct()

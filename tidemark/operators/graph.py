@@ -203,3 +203,24 @@ def fragmentation(entities: DataFrame, mentions: DataFrame, exact: tuple[str, ..
     per = entities.select("entity_id", "kind").distinct().join(mentions.groupBy("entity_id").agg(F.count_distinct("email_id").alias("emails")), "entity_id", "left")
     counted = per.groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.coalesce("emails", F.lit(0)) <= 1).alias("one_email"))
     return counted.select("kind", F.when(F.col("kind").isin(*exact), "exact").otherwise("name").alias("keyed"), "nodes", "one_email", F.round(100.0 * F.col("one_email") / F.col("nodes"), 4).alias("percent"))
+
+
+def rollup(projects: DataFrame, edges: DataFrame, entities: DataFrame, kinds: tuple[str, ...] = ("case", "person"), projects_shown: int = 20, most: int = 12) -> DataFrame:
+    """(project, place, kind, nth, node, score, hop, more): the most salient projects (entity_id, salience), and of each the ``most`` nearest entities of each kind within two hops, the nearest hop first, and how many more there are. ``entities``: (entity_id, kind)."""
+    shown = projects.orderBy(F.desc("salience"), "entity_id").limit(projects_shown)
+    shown = shown.select("entity_id", F.row_number().over(Window.orderBy(F.desc("salience"), "entity_id")).alias("place"))  # as many rows as are shown
+    shown = keep(shown, "projects")
+    near = neighbors_weighted(edges, shown).join(entities.where(F.col("kind").isin(*kinds)).select(F.col("entity_id").alias("node"), "kind").distinct(), "node")
+    w = Window.partitionBy("start", "kind")
+    ranked = near.withColumn("nth", F.row_number().over(w.orderBy("hop", F.desc("score"), "node"))).withColumn("n", F.count("*").over(w)).where(F.col("nth") <= most)
+    return ranked.join(shown.withColumnRenamed("entity_id", "start"), "start").select(F.col("start").alias("project"), "place", "kind", "nth", "node", "score", "hop", F.greatest(F.col("n") - most, F.lit(0)).alias("more"))
+
+
+def email_sketches(mentions: DataFrame, bucket: Column) -> DataFrame:
+    """(entity_id, bucket, sketch): mergeable sketches of the messages of each entity, one a bucket (a day, say), so that new messages only add buckets."""
+    return mentions.groupBy("entity_id", bucket.alias("bucket")).agg(F.hll_sketch_agg("email_id", F.lit(14)).alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame) -> DataFrame:
+    """(entity_id, emails): about how many messages mention each entity, from its sketches of any buckets; within 3 % nearly always."""
+    return sketches.groupBy("entity_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("emails"))

@@ -203,3 +203,36 @@ def tally(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(email_id, what, name, n): a message's mentions by source and its chunks by kind."""
     count = lambda df, what, name: df.groupBy("email_id", F.col(name).alias("name")).agg(F.count("*").alias("n")).select("email_id", F.lit(what).alias("what"), "name", "n")
     return count(mentions, "mentions", "source").unionByName(count(chunks, "chunks", "kind"))
+
+
+def related_context(mentions: DataFrame, salience: DataFrame, anchors: DataFrame, most: int = 10) -> DataFrame:
+    """(email_id, what, nth, id): of each anchor (email_id) its ``most`` most salient entities, and the first ``most`` other messages by id that share one of these.
+
+    ``mentions``: (email_id, entity_id) of cases and projects; ``salience``: (entity_id, salience). Of an entity's messages none but the first ``most`` and one can be among them, so no more of a frequent one is joined.
+    """
+    linked = mentions.select("email_id", "entity_id").distinct()
+    top = entities_for_email(linked.join(anchors.select("email_id").distinct(), "email_id", "left_semi"), salience).where(F.col("nth") <= most)
+    at = F.row_number().over(Window.partitionBy("entity_id").orderBy("email_id"))
+    first = linked.withColumn("_at", at).where(F.col("_at") <= most + 1).select("entity_id", F.col("email_id").alias("other"))
+    shared = top.select("email_id", "entity_id").join(first, "entity_id").where("other != email_id").select("email_id", "other").distinct()
+    nth = F.row_number().over(Window.partitionBy("email_id").orderBy("other"))
+    others = shared.withColumn("nth", nth).where(F.col("nth") <= most).select("email_id", F.lit("message").alias("what"), "nth", F.col("other").cast("string").alias("id"))
+    return top.select("email_id", F.lit("entity").alias("what"), "nth", F.col("entity_id").alias("id")).unionByName(others)
+
+
+def email_mentions(mentions: DataFrame, ids: DataFrame) -> DataFrame:
+    """The mentions of the messages of ``ids`` (email_id), by source, kind and entity in each."""
+    nth = F.row_number().over(Window.partitionBy("email_id").orderBy("source", "kind", "entity_id"))
+    return get_many(mentions, ids, "email_id").withColumn("nth", nth)
+
+
+def email_chunks(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of the messages of ``ids`` (email_id), in their order."""
+    return get_many(chunks, ids, "email_id").withColumn("nth", F.row_number().over(Window.partitionBy("email_id").orderBy("ord", "chunk_id")))
+
+
+def entity_index(entities: DataFrame, aliases: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(entity_id, kind, key, aliases, vec): all that resolution needs of the stored entities; an entity's names in order."""
+    names = aliases.groupBy("entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    both = entities.select("entity_id", "kind", "key").join(names, "entity_id", "left").join(vectors.select("entity_id", "vec"), "entity_id", "left")
+    return both.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))

@@ -235,11 +235,32 @@ def fold_mentions(s, d):
     return resolution.fold(m, stored)
 
 
-@query("select o_custkey as entity_id, string_agg(distinct o_orderpriority, ',' order by o_orderpriority) as aliases from orders group by o_custkey")
+@query("select distinct o_custkey as entity_id, o_orderpriority as alias from orders join f using (o_custkey) where o_orderpriority <> first_", "f as (select o_custkey, arg_min(o_orderpriority, o_orderkey) as first_ from orders group by o_custkey)")
 def collect_aliases(s, d):
-    """The distinct names of each customer's orders."""
-    o = V.table(s, d, "orders")
-    return o.groupBy(F.col("o_custkey").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("aliases"))
+    """The names of each customer's orders but the first one's."""
+    o = V.table(s, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.lit("person").alias("kind"), F.col("o_custkey").cast("string").alias("key"), F.concat(F.lit(" "), "o_orderpriority").alias("span"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").alias("seen"))
+    return resolution.new_aliases(o, resolution.fold(o))
+
+
+@query("select email_id, nth, entity_id from (select *, row_number() over (partition by email_id order by source, kind, entity_id)::int as nth from (select distinct email_id, kind, entity_id, case when kind in ('person', 'org') then 'header' else 'regex' end as source from men where email_id % 50 = 0))", O._MEN)
+def email_mentions(s, d):
+    m = V.mentions(s, d).select("email_id", "kind", "entity_id", F.when(F.col("kind").isin("person", "org"), "header").otherwise("regex").alias("source")).distinct()
+    return serving.email_mentions(m, m.where("email_id % 50 = 0")).select("email_id", "nth", "entity_id")
+
+
+@query("select doc_id // 2 as email_id, row_number() over (partition by doc_id // 2 order by doc_id % 2, doc_id)::int as nth, doc_id as chunk_id from documents where (doc_id // 2) % 50 = 0")
+def email_chunks(s, d):
+    c = V.chunks(s, d)
+    return serving.email_chunks(c, c.where("email_id % 50 = 0")).select("email_id", "nth", "chunk_id")
+
+
+@query("select entity_id, kind, entity_id as key, coalesce(s_name, '') as aliases, case when len(embedding) is null then -1 else len(embedding) end::int as dim from (select distinct kind, entity_id from cases) left join (select 'case:' || s_suppkey as entity_id, s_name from supplier where s_suppkey % 2 = 0) using (entity_id) left join (select 'case:' || vec_id as entity_id, embedding from embeddings) using (entity_id)", O._MEN, _CASES)
+def entity_index(s, d):
+    e = _cases(s, d).select("entity_id", "kind", F.col("entity_id").alias("key")).distinct()
+    names = V.table(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("case:"), "s_suppkey").alias("entity_id"), F.col("s_name").alias("alias"))
+    vectors = V.table(s, d, "embeddings").select(F.concat(F.lit("case:"), "vec_id").alias("entity_id"), F.col("embedding").alias("vec"))
+    found = serving.entity_index(e, names, vectors)
+    return found.select("entity_id", "kind", "key", F.array_join("aliases", ",").alias("aliases"), F.coalesce(F.size("vec"), F.lit(-1)).alias("dim"))
 
 
 @query("select email_id, 'mentions' as what, case when kind in ('person', 'org') then 'header' else 'regex' end as name, count(*) as n from men group by all union all select doc_id // 2, 'chunks', case when doc_id % 10 = 8 then 'quoted' when doc_id % 10 = 9 then 'signature' else 'body' end, count(*) from documents group by all", O._MEN)

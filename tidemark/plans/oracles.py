@@ -184,6 +184,7 @@ ORACLE_SQL: dict[str, str] = {
     "remap_keys": _with(_MEN) + "select case when regexp_matches(entity_id, '[02468]$') then 'merged:' || right(entity_id, 1) else entity_id end as entity_id, count(*) as n from men where kind = 'case' group by 1",
     "entity_counts": _with(_MEN) + "select kind, count(distinct entity_id) as entities, count(*) as mentions from men group by kind",
     "email_counts": _with(_MEN) + "select entity_id, count(distinct email_id) as emails from men group by entity_id",
+    "email_counts_sketched": _with(_MEN) + "select entity_id, count(distinct email_id) as emails, true as near from men group by entity_id",
     "cooccurrence": _with(_MEN, _PAIRS) + "select * from pairs",
     "entity_idf": _with(_MEN, _PAIRS, _IDF) + "select * replace (round(idf, 6) as idf) from idf",
     "salience": _with(_MEN, "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men group by entity_id)") + "select entity_id, emails, mentions, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as salience from per",
@@ -238,18 +239,23 @@ ORACLE_SQL: dict[str, str] = {
     "stream_sessions": "select user_id, min(ts) as session_start, count(*) as n from (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as s from (select *, case when ts < lag(ts) over (partition by user_id order by ts, event_id) + interval 30 minutes then 0 else 1 end as fresh from events)) group by user_id, s",
     "graph_search": _with(*_graph("email_id % 50 = 0", "true"))
     + "select anchor, rank, email_id, score from gs",
-    "related_context": _with(_MEN, "m as (select distinct email_id, entity_id from men where kind = 'case')")
-    + "select anchor, row_number() over (partition by anchor order by shared desc, email_id)::int as rank, email_id, shared from (select a.email_id as anchor, b.email_id, count(*) as shared from m a join m b on a.entity_id = b.entity_id and a.email_id <> b.email_id where a.email_id % 50 = 0 group by all) qualify rank <= 10",
-    "project_rollup": _with(_MEN, _EDGES, "s as (select distinct dst as start from e), h1 as (select start, dst as node, max(weight) as score from s join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)",
-        "best as (select start, node, max(score) as score, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start and node like 'case:%' group by start, node)")
-    + "select start as project, row_number() over (partition by start order by hop, round(score, 6) desc, node)::int as nth, node, hop from best qualify nth <= 12",
+    "related_context": _with(*_graph("email_id % 50 = 0", "true")[:6], "sl as (select entity_id, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as salience from per)",
+        "tp as (select anchor, entity_id, row_number() over (partition by anchor order by salience desc, entity_id)::int as nth from anchor join sl using (entity_id) qualify nth <= 10)")
+    + "select anchor as email_id, 'entity' as what, nth, entity_id as id from tp union all select anchor, 'message', row_number() over (partition by anchor order by email_id)::int as nth, email_id::varchar from (select distinct anchor, m.email_id from tp join m using (entity_id) where m.email_id <> anchor) qualify nth <= 10",
+    "project_rollup": _with(_MEN, _EDGES, "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men where kind in ('case', 'project') group by entity_id)",
+        "tp as (select entity_id as start, row_number() over (order by salience desc, entity_id)::int as place from (select entity_id, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as salience from per where entity_id like 'project:%') qualify place <= 20)",
+        "h1 as (select start, dst as node, max(weight) as score from tp join step on src = start group by all), h2 as (select start, dst as node, max(score * weight) as score from h1 join step on src = node group by all)",
+        "best as (select start, node, max(score) as score, arg_max(hop, (score, -hop))::int as hop from (select *, 1 as hop from h1 union all select *, 2 from h2) where node <> start group by start, node)",
+        "rk as (select *, split_part(node, ':', 1) as kind, row_number() over (partition by start, split_part(node, ':', 1) order by hop, score desc, node)::int as nth, count(*) over (partition by start, split_part(node, ':', 1)) as n from best)")
+    + "select start as project, place, kind, nth, node, round(score, 6) as score, hop, greatest(n - 12, 0) as more from rk join tp using (start) where nth <= 12",
     "entity_listing": _with(_MEN, "per as (select entity_id, count(distinct email_id) as emails, count(*) as mentions from men group by entity_id)", "sal as (select entity_id, mentions, round(least(1.0::double, 0.75::double * ln(1 + emails) / ln(1 + (select max(emails) from per)) + 0.25::double * least(1.0::double, ln(1 + mentions) / ln(51::double))), 4) as salience from per)")
     + "select entity_id, salience, mentions, (select count(*) from sal) as total from sal order by salience desc, mentions desc, entity_id limit 25",
     "batch_rows": _with(_MSG) + "select sender, batch, count(*) as n, min(email_id) as least from (select *, (row_number() over (partition by sender order by received_at, email_id) - 1) // 20 as batch from msg) group by all",
     "sort_by_effort": _with(_MSG) + "select email_id, effort, value from (select *, case when outline_points > 0 then case when outline_points + coalesce(is_scheduling, false)::int <= 2 then 0 when outline_points + coalesce(is_scheduling, false)::int <= 4 then 1 else 2 end end as effort from msg) order by effort nulls last, value desc, email_id limit 50",
     "agenda": _with(_BUSY) + f"select s // {_DAY} as day, calendar_id, count(*) as n, sum(e - s)::bigint as micros from busy where s >= (select max(s) - 3 * {_DAY} from busy) group by all",
     "sender_counts": _with(_MSG) + "select split_part(sender, '@', 1) as local, 'example' as org, count(*) as n, count(*) filter (read_status = 'unread') as unread from msg group by all",
-    "first_claimant": "select o_custkey, o_orderpriority, min(o_orderkey) as o_orderkey from orders group by all",
+    "first_claimant": "select lower(o_orderpriority) as name, 'ent_' || substr(sha1('person:' || arg_min(o_custkey, o_orderkey)), 1, 16) as entity_id, min(o_orderkey) as place from (select *, regexp_replace(o_orderpriority, '[^A-Za-z0-9 @.+-]+', ' ') as x from orders) group by o_orderpriority",
+    "normalize_name": "select p_partkey, lower(p_name) || ' projects' as name from part",
     "table_counts": _with(_MSG, _LOG, _MEN) + "select 'messages' as name, count(*) as n from msg union all select 'mentions', count(*) from men union all select 'chunks', count(*) from documents union all select 'feedback', count(*) from log",
     "match_vector": _with(_NAMES) + "select id, entity_id, score from nr qualify row_number() over (partition by id order by score desc, entity_id) = 1",
 }

@@ -225,3 +225,21 @@ def insert_aliases(s, d):
     o = V.table(s, d, "orders").select(F.col("o_custkey").alias("entity_id"), F.when(F.col("o_custkey") % 5 != 0, F.lower("o_orderpriority")).otherwise(" ").alias("normalized_alias"), F.col("o_orderpriority").alias("alias"))
     old = merge.latest(o.where("entity_id % 5 != 0 and entity_id % 2 = 0"), ["entity_id", "normalized_alias"], F.col("alias"))
     return merge.insert_aliases(old, o).groupBy("entity_id").agg(F.count("*").alias("n"))
+
+
+_BODY_IDS = "unnest(list_distinct(list_concat(regexp_extract_all(text, '\\b([A-Z]{2,10}-\\d{1,6}(?:-\\d{1,6})?)\\b', 1), regexp_extract_all(text, '(#\\d{3,})', 1))))"
+_KIND = "case when split_part(span, '-', 1) in (" + ", ".join(map(O._lit, T.CASE_PREFIXES)) + ") or span like '#%' then 'case' else 'document' end"
+_KEY = "upper(regexp_replace(span, '[^A-Za-z0-9_]+', '', 'g'))"
+
+
+@query(f"""select email_id, -1 as chunk, kind, key from (select email_id, 'person' as kind, unnest(list_distinct(list_concat({_ADDR}, case when email_id % 4 = 0 then ['boss@acme.io'] else [] end))) as key from msg union all select email_id, 'org', unnest(list_distinct(list_concat(['example'], case when email_id % 4 = 0 then ['acme'] else [] end))) from msg)
+  union all select email_id, -1, 'person', 'ops@example.org' from msg where contains(subject, 'ops@example.org')
+  union all select distinct email_id, -1, {_KIND}, {_KEY} from (select email_id, {_BODY_IDS.replace("text", "subject")} as span from msg)
+  union all select distinct doc_id // 2, doc_id, {_KIND}, {_KEY} from (select doc_id, {_BODY_IDS} as span from documents where doc_id % 10 < 8)""", O._MSG)
+def deterministic_mentions(s, d):
+    """All mentions that rules find in messages, with a header that names one person more in every fourth, and in the chunks of documents."""
+    e = F.col("email_id")
+    headers = F.map_filter(F.create_map(F.lit("TO"), F.col("to_line"), F.lit("cc"), F.col("cc_line"), F.lit("reply-to"), F.when(e % 4 == 0, "The Boss <Boss@Acme.io>")), lambda k, v: v.isNotNull())
+    m = V.messages(s, d).select("email_id", "sender", F.array("sender").alias("recipients"), headers.alias("headers"), "subject")
+    found = chunking.extract_deterministic(m, V.chunks(s, d))
+    return found.select("email_id", F.coalesce(F.col("chunk_id").cast("long"), F.lit(-1)).alias("chunk"), "kind", "key")

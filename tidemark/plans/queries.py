@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import chunking, graph, intervals, maintain, merge, postings, queue, retrieval
+from tidemark.operators import chunking, graph, intervals, maintain, merge, postings, queue, resolution, retrieval, serving
 from tidemark.sources import views as V
 from tidemark.sources.tables import keep
 from tidemark.streaming import streams
@@ -211,6 +211,15 @@ def email_counts(s, d):
     return V.mentions(s, d).groupBy("entity_id").agg(F.count_distinct("email_id").alias("emails"))
 
 
+@query
+def email_counts_sketched(s, d):
+    """The exact numbers of messages, and whether those merged from sketches of a thousand ids each are within 3 %."""
+    m = V.mentions(s, d)
+    about = graph.sketched_counts(graph.email_sketches(m, F.floor(F.col("email_id") / 1000))).withColumnRenamed("emails", "about")
+    exact = m.groupBy("entity_id").agg(F.count_distinct("email_id").alias("emails"))
+    return exact.join(about, "entity_id").select("entity_id", "emails", (F.abs(F.col("about") - F.col("emails")) <= 0.03 * F.col("emails")).alias("near"))
+
+
 @query
 def cooccurrence(s, d):
     return graph.cooccurrence(V.mentions(s, d))
@@ -515,21 +524,17 @@ def graph_search(s, d):
 
 @query
 def related_context(s, d):
-    """For every message whose id is divisible by 50 the ten that have the most cases in common with it."""
-    m = V.mentions(s, d).where("kind = 'case'").select("email_id", "entity_id").distinct()
-    a, b = m.where("email_id % 50 = 0").alias("a"), m.alias("b")
-    both = a.join(b, (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.email_id") != F.col("b.email_id"))).groupBy(F.col("a.email_id").alias("anchor"), F.col("b.email_id").alias("email_id")).agg(F.count("*").alias("shared"))
-    nth = F.row_number().over(Window.partitionBy("anchor").orderBy(F.desc("shared"), "email_id"))
-    return both.withColumn("rank", nth).where("rank <= 10").select("anchor", "rank", "email_id", "shared")
+    """Cases and projects of every message whose id is divisible by 50, and other messages that share them."""
+    m = V.mentions(s, d).where("kind in ('case', 'project')")
+    return serving.related_context(m, graph.salience(m), m.where("email_id % 50 = 0"))
 
 
 @query
 def project_rollup(s, d):
-    """Each project's twelve nearest cases by (hop, weight)."""
-    e = keep(_edges(s, d), "edges")
-    near = graph.neighbors_weighted(e, e.select(F.col("dst").alias("entity_id")).distinct()).where("node like 'case:%'")
-    nth = F.row_number().over(Window.partitionBy("start").orderBy("hop", F.desc(F.round("score", 6)), "node"))
-    return near.withColumn("nth", nth).where("nth <= 12").select(F.col("start").alias("project"), "nth", "node", "hop")
+    """The twenty most salient projects with their nearest cases."""
+    m = V.mentions(s, d).where("kind in ('case', 'project')")
+    projects = graph.salience(m).where("entity_id like 'project:%'")
+    return graph.rollup(projects, _edges(s, d), m.select("entity_id", "kind"), ("case", "project")).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -574,8 +579,11 @@ def sender_counts(s, d):
 
 @query
 def first_claimant(s, d):
-    """The oldest order to use each (customer, priority) pair."""
-    return merge.latest(V.table(s, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), ["o_custkey", "o_orderpriority"], F.col("o_orderkey"))
+    """Customers that place orders under names that others use too: whose entity each name belongs to, by the order of the orders."""
+    o = V.table(s, d, "orders").select(F.lit("person").alias("kind"), F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("span"), F.col("o_orderkey").alias("place"))
+    none = s.createDataFrame([], "entity_id string, kind string, key string, vec array<double>")
+    _, claimed = resolution.resolve_all(o, none, none.select("kind", "key", "entity_id"), none.select("kind", "key", "vec"))
+    return claimed.select("name", "entity_id", "place")
 
 
 @query
