@@ -95,9 +95,24 @@ def test_budget_cuts_the_last_section(spark):
     assert rows(retrieval.budget_prefix(df, 6)) == [(1, 1, "aaaa"), (1, 2, "bb")]
 
 
-def test_vector_search_in_blocks_equals_broadcast(spark, monkeypatch):
-    v = spark.range(40).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).cast("array<float>").alias("embedding"))
-    assert retrieval.vector_topk(v, v.where("vec_id < 4"), k=3).count() == 12
+@pytest.mark.parametrize(("k", "block"), [(3, 7), (3, 2048), (50, 2048)])
+def test_vector_search_in_blocks_equals_all_pairs(spark, k, block):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows_ = [(i, [float(v) for v in rng.integers(-2, 3, 3 if i % 9 else 2)]) for i in range(60)] + [(60, []), (61, None), (62, [0.0] * 3)]
+    v = spark.createDataFrame(rows_, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, retrieval.vector_topk(v, v.where("vec_id % 4 = 0"), k, block).collect()))
+    want = []
+    for q, x in rows_:
+        if q % 4 == 0 and x:
+            near = []
+            for i, y in rows_:
+                if i != q and y and len(y) == len(x):
+                    norm = np.linalg.norm(x) * np.linalg.norm(y)
+                    near.append((-round(float(np.dot(x, y) / norm), 6) if norm else 0.0, i))
+            want += [(q, n + 1, i, -s + 0.0) for n, (s, i) in enumerate(sorted(near)[:k])]
+    assert got == sorted(want)
 
 
 def test_todos_reconcile(spark):

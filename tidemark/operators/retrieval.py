@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import nearness
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) by cosine. Queries are broadcast only when counted to be few; else vectors and queries meet in blocks."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    unit = lambda df, name: df.select(F.col("vec_id").alias(name), "embedding", F.size("embedding").alias("dim"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    v, q = unit(vectors, "vec_id"), unit(queries, "query_id").withColumnRenamed("embedding", "wanted").withColumnRenamed("norm", "wanted_norm")
-    n = q.count()
-    if n > 2000:
-        blocks = -(-n // 2000)
-        v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        both = v.join(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), ["dim", "block"])
-    else:
-        both = v.join(F.broadcast(q), "dim")
-    score = F.round(F.when((F.col("norm") > 0) & (F.col("wanted_norm") > 0), dot(F.col("embedding"), F.col("wanted")) / (F.col("norm") * F.col("wanted_norm"))).otherwise(0.0), 6)
-    scored = both.where("vec_id != query_id").select("query_id", "vec_id", score.alias("score"))
+
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """(query_id, rank, vec_id, score) by cosine, zero for vectors of zeros; the smaller vec_id of equal ones, never the query's own.
+
+    Vectors and queries (vec_id, embedding) of one dimension meet in blocks of about ``block`` rows each, a product of two matrices a pair of blocks, of which only each query's best k go on.
+    """
+    numbered = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).where(F.size("vec") > 0).withColumn("dim", F.size("vec"))
+    v, q = numbered(vectors), numbered(queries)
+    parts = lambda df: -(-df.count() // block) or 1
+    n_v, n_q = parts(v), parts(q)
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("v_part", part(n_v)).withColumn("q_part", every(n_q))
+    q = q.withColumn("q_part", part(n_q)).withColumn("v_part", every(n_v))
+    keys = ["dim", "v_part", "q_part"]
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+
+    def best(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, wanted = stored.column("vec_id").combine_chunks(), asked.column("vec_id").combine_chunks()
+        if not len(ids) or not len(wanted):
+            return pa.table({"query_id": wanted.slice(0, 0), "vec_id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        x, y = nearness._matrix(asked.column("vec")), nearness._matrix(stored.column("vec"))
+        known, own = ids.to_numpy(zero_copy_only=False), wanted.to_numpy(zero_copy_only=False)
+        place = np.empty(len(known), np.int64)
+        place[np.argsort(known, kind="stable")] = np.arange(len(known))
+        rows, columns, scores = [], [], []
+        for at in range(0, len(x), block):
+            s = np.round(x[at : at + block] @ y.T, 6) + 0.0  # no negative zeros
+            s[own[at : at + block, None] == known[None, :]] = -np.inf
+            bar = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+            i, j = np.nonzero((s >= bar[:, None]) & np.isfinite(s))
+            order = np.lexsort((place[j], -s[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, i)  # where each query's hits begin
+            top = np.arange(len(i)) - first < k
+            rows.append(i[top] + at)
+            columns.append(j[top])
+            scores.append(s[i[top], j[top]])
+        take = lambda a, parts: a.take(pa.array(np.concatenate(parts)))
+        return pa.table({"query_id": take(wanted, rows), "vec_id": take(ids, columns), "score": pa.array(np.concatenate(scores))})
+
+    scored = v.select("vec_id", "vec", *keys).groupBy(*keys).cogroup(q.select("vec_id", "vec", *keys).groupBy(*keys)).applyInArrow(best, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
