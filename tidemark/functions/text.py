@@ -154,9 +154,11 @@ def unescape(text: Column) -> Column:
     codes = F.array_distinct(F.regexp_extract_all(text, F.lit("&#(?:[0-9]{2,5}|[xX][0-9a-fA-F]{2,4});"), F.lit(0)))
     codes = F.filter(codes, lambda e: (number(e) < 0xD800) | number(e).between(0xE000, 0xFFFF))
     t = F.aggregate(codes, text, lambda t, e: F.replace(t, e, char(e)))
-    for entity, shown in ENTITIES.items():
-        t = F.replace(t, F.lit(f"&{entity};"), F.lit(shown))
-    return t
+    # only the named characters that a text has are looked for in it; the ampersand comes last, so that nothing is read twice
+    pattern = F.lit("&(?:" + "|".join(e for e in ENTITIES if e != "amp") + ");")
+    shown = F.create_map(*[F.lit(x) for e, c in ENTITIES.items() for x in (f"&{e};", c)])
+    told = F.element_at(F.transform(F.array(t), lambda x: F.aggregate(F.array_distinct(F.regexp_extract_all(x, pattern, F.lit(0))), x, lambda text, e: F.replace(text, e, F.element_at(shown, e)))), 1)
+    return F.replace(told, F.lit("&amp;"), F.lit("&"))
 
 
 def html_to_text(html: Column) -> Column:
