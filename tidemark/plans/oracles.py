@@ -136,6 +136,17 @@ def _with(*views: str) -> str:
     return "with " + ", ".join(views) + " "
 
 
+def _page_text(html: str) -> str:
+    """The visible text of a page without numbered characters."""
+    steps = [*((rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "") for tag in T.SKIP_TAGS), ("(?s)<!--.*?-->", ""), (rf"(?i)</?(?:{'|'.join(T.BLOCK_TAGS)})\b[^>]*>", "\n"), (r"</?[A-Za-z!][^>]*>", "")]
+    told = lambda t, some: t if not some else told(f"regexp_replace({t}, {_lit(some[0][0])}, {_lit(some[0][1])}, 'g')", some[1:])
+    t = told(f"coalesce({html}, '')", steps)
+    for name, shown in T.ENTITIES.items():
+        t = f"replace({t}, {_lit(f'&{name};')}, {_lit(shown)})"
+    chars = lambda x: x.encode().decode("unicode_escape")
+    return told(t, [(r"\r\n?", "\n"), (chars(T.INVISIBLE), ""), (chars(T.SPACES), " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+$", "")])
+
+
 def _graph(anchors: str, targets: str) -> list[str]:
     """Views that end in ``gs``: the messages near the anchors, by two hops of the graph."""
     return [
@@ -223,6 +234,8 @@ ORACLE_SQL: dict[str, str] = {
     "no_reply_rules": _with(_MSG, "h as (select email_id, case when email_id % 9 = 0 then 'noreply@example.com' when email_id % 9 = 1 then 'alerts@example.com' else sender end as a, email_id % 8 = 0 as bulk, email_id % 6 = 0 as uns, email_id % 7 = 0 as auto, email_id % 12 = 0 as rt from msg)")
     + "select email_id, case when starts_with(a, 'noreply') or bulk or (uns and not rt) or (starts_with(a, 'alerts') and uns) then true when not starts_with(a, 'alerts') and not uns and not auto and not bulk then false end as verdict from h",
     "reply_effort": _with(_MSG) + "select email_id, case when outline_points > 0 then case when outline_points + coalesce(is_scheduling, false)::int <= 2 then 'quick' when outline_points + coalesce(is_scheduling, false)::int <= 4 then 'moderate' else 'involved' end end as effort from msg",
+    "html_to_text": f"select page_id, {_page_text('html')} as text from pages",
+    "model_stage": "select doc_id, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> '')[1:3], ' ') as value, null::varchar as error from documents",
     "merge_intervals": _with(_BUSY, _MERGED) + 'select calendar_id, s as start, e as "end" from merged',
     "free_windows": _with(_BUSY, _MERGED, _FREE) + "select calendar_id, free_from, free_to from free where free_from < free_to",
     "suggest_slots": _with(_BUSY, _MERGED, _FREE) + f"select calendar_id, row_number() over (partition by calendar_id order by slot)::int as nth, slot from (select calendar_id, free_from // {_DAY} as day, min(free_from) as slot from free where free_to - free_from >= 1800000000 group by all) qualify nth <= 3",
