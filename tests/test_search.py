@@ -105,3 +105,21 @@ def test_graph_search_of_few_nodes_equals_that_of_all(spark):
 def test_first_chunks(spark):
     c = spark.createDataFrame([(1, 2, "1:2", "body"), (1, 1, "1:1", "body"), (1, 0, "1:0", "quoted"), (2, 0, "2:0", "signature")], "email_id long, ord int, chunk_id string, kind string")
     assert [tuple(r) for r in graph.first_chunks(c).collect()] == [(1, "1:1")]
+
+
+def test_signals_need_their_words(spark):
+    from pyspark.sql import functions as F
+    from tidemark.functions import text as T
+
+    said = [
+        "Are you free", "when are you AVAILABLE", "your availability", "let me know what times", "set up a call", "line up\tan interview", "book our catch-up", "find some time", "Re-Schedule it", "push back our long meeting",
+        "does noon work for you", "what time works", "when works", "works for you", "calendar invite", "meeting request", "send over an invite", "block off 30 mins", "block 2hours", "pencil us in", "hop on a zoom", "grab a coffee",
+        "standup", "catch up", "calendar", "available", "timeslot", "Tuesday", "next week", "3 PM", "12:30am", "9:15", "google meet", "evening", "free", "nothing", "",
+    ]
+    df = spark.createDataFrame([(s,) for s in said], "said string")
+    f = T.scheduling_signals(F.lit(None).cast("string"), F.col("said"), F.lit("text/plain"), F.lit(False)).reasons
+    whys = dict.fromkeys(T.STRONG_WHY) | dict.fromkeys(T.WEAK_WHY)
+    plain = F.array_compact(F.array(*[F.when(F.col("said").rlike("(?i)" + p), F.lit(w)) for p, w in zip(T.STRONG + T.WEAK, T.STRONG_WHY + T.WEAK_WHY, strict=True)]))
+    rows = df.select(f.alias("got"), plain.alias("want")).collect()
+    assert len(T.STRONG_NEEDS) == len(T.STRONG) and len(T.WEAK_NEEDS) == len(T.WEAK)
+    assert all(r.got == r.want for r in rows) and {w for r in rows for w in r.want} == set(whys)
