@@ -107,6 +107,17 @@ def test_first_chunks(spark):
     assert [tuple(r) for r in graph.first_chunks(c).collect()] == [(1, "1:1")]
 
 
+def test_graph_search_walks_no_second_hop_without_need(spark, monkeypatch):
+    m = [(i, "p") for i in range(40)] + [(100, "a"), (101, "b"), (102, "a")]
+    mentions = spark.createDataFrame(m, "email_id long, entity_id string")
+    edges = spark.createDataFrame([("a", "p", 0.9), ("b", "p", 0.8), ("a", "b", 0.1)], "src string, dst string, weight double")
+    sal = spark.createDataFrame([(e, 1.0) for e in "abp"], "entity_id string, salience double")
+    # the full walk isn't needed, as the nearest node has messages enough
+    monkeypatch.setattr(graph, "neighbors_decayed", None)
+    found = graph.graph_search(edges, mentions, sal, spark.createDataFrame([(100,)], "email_id long"), 5)
+    assert [(r.email_id, r.score) for r in found.orderBy("rank").collect()] == [(i, 0.9) for i in range(5)]
+
+
 def test_signals_need_their_words(spark):
     from pyspark.sql import functions as F
     from tidemark.functions import text as T
