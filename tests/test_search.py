@@ -107,6 +107,15 @@ def test_first_chunks(spark):
     assert [tuple(r) for r in graph.first_chunks(c).collect()] == [(1, "1:1")]
 
 
+def test_whole_neighbour_queries_keep_every_node(spark, data):
+    from tidemark.plans.catalog import QUERIES
+
+    # each start reaches more than twenty nodes on these tables, and all of them are told
+    for name in ("neighbors_weighted", "neighbors_decayed"):
+        per = QUERIES[name](spark, data).groupBy("start").count().collect()
+        assert per and max(r["count"] for r in per) > 20
+
+
 def test_graph_search_walks_no_second_hop_without_need(spark, monkeypatch):
     m = [(i, "p") for i in range(40)] + [(100, "a"), (101, "b"), (102, "a")]
     mentions = spark.createDataFrame(m, "email_id long, entity_id string")
