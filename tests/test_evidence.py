@@ -55,3 +55,19 @@ def test_unmoved_briefs_are_untouched(spark):
     now = spark.createDataFrame([("case", "a", "1"), ("case", "b", "2"), ("case", "c", "1"), ("case", "d", "1")], "node_type string, node_id string, hash string")
     got = sorted(map(tuple, evidence.mark_dirty(stored, now).collect()))
     assert got == [("case", n, None, None, [], h, None) for n, h in (("b", "2"), ("c", "1"), ("d", "1"))]
+
+
+def test_mentions_are_dealt_by_message_in_parts_that_grow(spark, data, monkeypatch):
+    from tidemark.operators import evidence, graph
+    from tidemark.sources import tables, views
+
+    assert tables.parts(spark, 10_000_000) == 100 and tables.parts(spark, 1) == spark.sparkContext.defaultParallelism
+    m = views.mentions(spark, data)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    # what is counted or joined by message needs no shuffle of its own
+    base = plan(m).count("Exchange hashpartitioning")
+    assert plan(graph.cooccurrence(m)).count("Exchange hashpartitioning") == base
+    assert plan(evidence.pairs(m)).count("Exchange hashpartitioning") == 2 * base
+    # sets of ids are made where the pairs are
+    chunked = evidence.pairs(m, 5)
+    assert plan(evidence.id_sets(chunked, evidence.PAIR)).count("Exchange hashpartitioning") == plan(chunked).count("Exchange hashpartitioning")
