@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import nearness
-from tidemark.sources.tables import keep
+from tidemark.sources.tables import keep, small
 
 #: Cosines from which names are one entity, the lower where one name contains the other; kinds that vectors never join, kinds that are embedded, and kinds whose names lose a plural.
 BAR, CONTAINED_BAR = 0.86, 0.65
@@ -128,7 +128,9 @@ def resolve_all(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, ve
     own = _union(decided).select("kind", "key", "said", F.col("entity_id").alias("d_id"), F.col("rung").alias("d_rung"), F.col("place").alias("d_at"))
     exact = _union(keys).groupBy("kind", "key").agg(F.min_by("entity_id", "place").alias("x_id"), F.min("place").alias("x_at"))
     by = lambda column, p: first.select("kind", F.col("name").alias(column), F.col("entity_id").alias(f"{p}_id"), F.col("place").alias(f"{p}_at"))
-    joined = rows.join(own, ["kind", "key", "said"]).join(exact, ["kind", "key"], "left").join(by("key", "k"), ["kind", "key"], "left").join(by("said", "s"), ["kind", "said"], "left")
+    # all that decides a mention but its place is known from its kind, key and name, so mentions are joined once
+    own = own.join(exact, ["kind", "key"], "left").join(by("key", "k"), ["kind", "key"], "left").join(by("said", "s"), ["kind", "said"], "left")
+    joined = rows.join(small(keep(own, "outcomes"), 500_000), ["kind", "key", "said"])
     before = lambda x: F.coalesce(F.col(f"{x}_at") < F.col("place"), F.lit(False))
     itself = F.col("d_at") == F.col("place")
     entity = F.when(itself, F.col("d_id")).when(before("x"), F.col("x_id")).when(before("k"), F.col("k_id")).when(before("s"), F.col("s_id")).otherwise(F.col("d_id"))
