@@ -599,6 +599,16 @@ def test_likeness_follows_from_the_fingerprints_alone(spark):
     assert len(sets[0]) == len(set(long))
 
 
+def test_stuck_tables_are_told_from_places_and_dealt_again(spark):
+    rng = random.Random(4)
+    sets = [[rng.getrandbits(32) for _ in range(n)] for n in (0, 1, 5, 12, 20, 26, 40) for _ in range(8)] + [[1 << 12, 2 << 12], [5 + (i << 12) for i in range(8)]]
+    df = spark.createDataFrame([(s,) for s in sets], "lows array<bigint>").select(F.transform("lows", fingerprint._checked).alias("keys"))
+    got = df.select(F.size("keys").alias("n"), fingerprint._stuck(F.col("keys")).alias("stuck"), fingerprint._peel(fingerprint.table(F.col("keys"))).alias("peeled"), fingerprint._difference(F.col("keys"), F.lit(1)).alias("d")).collect()
+    assert all(r.stuck == (r.peeled is None) and r.peeled in (None, r.n) for r in got) and {r.stuck for r in got} == {True, False}
+    # eight digests in the same cells come apart by their next three bits
+    assert got[-1].stuck and got[-1].d == 8 and got[-2].stuck and got[-2].d == 2
+
+
 def test_next_text_with_a_far_off_id(spark):
     ids = [*range(2000), 10**15, -(10**12)]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id bigint, text string")

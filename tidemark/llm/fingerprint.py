@@ -11,7 +11,7 @@ is made, and the digests of one that gets stuck follow the cells as a stash. So
 and what a comparison says is a function of the two fingerprints alone.
 
 A comparison first subtracts the two fingerprints folded to one table each, which gives back up to about 24 differing digests; when peeling gets stuck it retries with the digests of both in
-2^i tables of about ``LOAD`` digests of both texts together, then twice and four times that. Stuck even then, the digests that both fingerprints give back are compared as they are.
+2^i tables of about ``LOAD`` digests of both texts together, of which those that get stuck are dealt to two, four and eight tables. Stuck even then, the digests that both fingerprints give back are compared as they are.
 With d differing digests the likeness of two texts of a and b digests is (a + b - d) / (a + b + d), the Jaccard
 similarity of their paragraph sets; 1 for two texts without paragraphs.
 
@@ -21,10 +21,12 @@ fingerprints; extra columns pass through ``row``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASHES, CELLS, LOAD, OWN, ROUNDS = 4, 8, 6, 12, 10
+HASHES, CELLS, LOAD, OWN, ROUNDS, RETRIES = 4, 8, 6, 12, 10, 3
 FEW_LINES = 4
 #: Characters of which alone no paragraph is made.
 _BLANK = " \t\r\f\v"
@@ -45,34 +47,69 @@ def digests(text: Column, few_lines: int | None = FEW_LINES) -> Column:
     return F.array_distinct(F.transform(parts, lambda p: F.transform(F.array(F.xxhash64(p).bitwiseAND(F.lit(_LOW))), _checked)[0]))
 
 
-def _cell(k: Column, j: int) -> Column:
-    return F.shiftrightunsigned(k, 3 * j).bitwiseAND(F.lit(CELLS - 1).cast("long"))
+#: Bits that tell the cell of a subtable, and the first of the bits that deal a digest to one of several tables.
+_BITS, _DEAL = 3, 3 * HASHES
+
+
+def _held(j: int, c: int) -> tuple[Column, Column]:
+    """Mask and value of the bits of a digest that is in cell ``c`` of subtable ``j``."""
+    return F.lit((CELLS - 1) << (_BITS * j)).cast("long"), F.lit(c << (_BITS * j)).cast("long")
+
+
+def _xor(keys: Column, start: Column | None = None) -> Column:
+    return F.aggregate(keys, F.lit(0).cast("long") if start is None else start, lambda a, k: a.bitwiseXOR(k))
+
+
+def _cells(keys: Column, start: Column | None = None) -> Column:
+    """The 32 cells of the digests ``keys``, on top of the cells ``start``. Only digests that are in a cell are folded into it; the others cost one comparison of bits."""
+
+    def cell(j: int, c: int) -> Column:
+        mask, value = _held(j, c)
+        return _xor(F.filter(keys, lambda k: k.bitwiseAND(mask) == value), None if start is None else F.get(start, F.lit(CELLS * j + c)))
+
+    return F.array(*[cell(j, c) for j in range(HASHES) for c in range(CELLS)])
 
 
 def table(keys: Column) -> Column:
     """The 32 cells of one table: subtable j has a digest in the cell of its bits 3j to 3j + 2."""
+    return _cells(keys)
 
-    def subtable(j: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: F.when(_cell(k, j) == c, a.bitwiseXOR(k)).otherwise(a)))
 
-    return F.concat(*[subtable(j) for j in range(HASHES)])
+def _stuck(keys: Column) -> Column:
+    """Whether the table of ``keys`` gets stuck when it is peeled, told from where its digests are: in each round those go that are alone in a cell. A set of cells is a word of 32 bits, so a round costs a few operations a digest."""
+    one = F.lit(1).cast("long")
+    places = F.transform(keys, lambda k: _any([F.call_function("shiftleft", one, F.shiftrightunsigned(k, _BITS * j).bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int") + CELLS * j) for j in range(HASHES)]))
+    start = F.struct(F.lit(0).cast("long").alias("once"), F.lit(0).cast("long").alias("twice"))
 
+    def step(left: Column, _: Column) -> Column:
+        seen = F.aggregate(left, start, lambda s, p: F.struct(s.once.bitwiseOR(p).alias("once"), s.twice.bitwiseOR(s.once.bitwiseAND(p)).alias("twice")), lambda s: s.once.bitwiseAND(F.bitwise_not(s.twice)))
+        # bound once: what a lambda only refers to would be computed again for each element
+        fewer = F.transform(F.array(F.struct(left.alias("left"), seen.alias("alone"))), lambda s: F.filter(s.left, lambda p: p.bitwiseAND(s.alone) == 0))[0]
+        return F.when(F.size(left) > 0, fewer).otherwise(left)
+
+    return F.size(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), places, step)) > 0
 
-def _peel(cells: Column) -> Column:
-    """Number of digests recovered from subtracted cells, or null when peeling got stuck."""
 
-    def removed(cs: Column, found: Column) -> Column:
-        def less(c: Column, i: Column) -> Column:
-            shift = (F.shiftrightunsigned(i, 3) * 3).cast("int")
-            place = i.bitwiseAND(F.lit(CELLS - 1)).cast("long")
-            return F.aggregate(found, c, lambda a, k: F.when(F.call_function("shiftrightunsigned", k, shift).bitwiseAND(F.lit(CELLS - 1).cast("long")) == place, a.bitwiseXOR(k)).otherwise(a))
+def _any(columns: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), columns)
+
+
+def _peel(cells: Column) -> Column:
+    """Number of digests recovered from subtracted cells, or null when peeling got stuck.
 
-        return F.transform(cs, less)
+    Each digest is once in each subtable, so the cells of one fold to all that is left; when the digests found in a round fold to the same, nothing is left and they need not be removed.
+    """
 
     def step(state: Column, _: Column) -> Column:
         found = F.array_distinct(F.filter(state.cs, lambda c: (c != 0) & (_checked(c.bitwiseAND(F.lit(_LOW))) == c)))
-        more = F.transform(F.array(found), lambda f: F.when(F.size(f) > 0, F.struct(removed(state.cs, f).alias("cs"), (state.d + F.size(f)).alias("d"), F.lit(True).alias("open"))).otherwise(F.struct(state.cs.alias("cs"), state.d.alias("d"), F.lit(False).alias("open"))))[0]
-        return F.when(state.open, more).otherwise(state)
+        left = _xor(F.slice(state.cs, 1, CELLS))
+
+        def removed(f: Column) -> Column:
+            d, last = state.d + F.size(f), F.struct(state.cs.alias("cs"), state.d.alias("d"), F.lit(False).alias("open"))
+            done = F.struct(F.array_repeat(F.lit(0).cast("long"), HASHES * CELLS).alias("cs"), d.alias("d"), F.lit(False).alias("open"))
+            return F.when(F.size(f) == 0, last).when(_xor(f) == left, done).otherwise(F.struct(_cells(f, state.cs).alias("cs"), d.alias("d"), F.lit(True).alias("open")))
+
+        return F.when(state.open, F.transform(F.array(found), removed)[0]).otherwise(state)
 
     start = F.struct(cells.alias("cs"), F.lit(0).alias("d"), F.lit(True).alias("open"))
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
@@ -84,7 +121,7 @@ def _less(a: Column, b: Column) -> Column:
 
 
 def _part(keys: Column, mask: Column, at: Column) -> Column:
-    return F.filter(keys, lambda k: F.shiftrightunsigned(k, 3 * HASHES).bitwiseAND(mask) == at)
+    return F.filter(keys, lambda k: F.shiftrightunsigned(k, _DEAL).bitwiseAND(mask) == at)
 
 
 def _tables_for(n: Column, load: int) -> Column:
@@ -107,10 +144,23 @@ def dealt(keys: Column, tables: Column) -> Column:
     return F.transform(F.array(bound), lambda p: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), p.groups - 1), lambda g: of_group(p, g))))[0]
 
 
-def _difference(a: Column, b: Column, tables: Column) -> Column:
-    """Differing digests of two texts by ``tables`` tables each, or null when one of them got stuck."""
-    pairs = F.zip_with(dealt(a, tables), dealt(b, tables), lambda x, y: _less(table(x), table(y)))
-    return F.aggregate(F.transform(pairs, _peel), F.lit(0), lambda x, d: x + d)
+def _difference(both: Column, tables: Column) -> Column:
+    """Differing digests of two texts, of which ``both`` holds the digests one after the other, by ``tables`` tables (a power of two), or null when one of them got stuck.
+
+    A digest of both texts cancels itself where it is put in twice, which is what subtracting the cells of two tables does. The digests of a table that gets stuck are dealt to two, four and eight tables by their next bits; the other tables are not made again.
+    """
+    n = tables.cast("long")
+    share = lambda i: F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << i) - 1).cast("long")), lambda v: F.struct((n * ((1 << i) - 1)).alias("mask"), (n * v).alias("value")))
+    bound = F.struct(dealt(both, tables).alias("parts"), F.array(*[share(i) for i in range(RETRIES + 1)]).alias("levels"))
+
+    def one(keys: Column, levels: Column) -> Column:
+        def by(level: Column) -> Column:
+            split = F.transform(level, lambda w: F.filter(keys, lambda k: F.shiftrightunsigned(k, _DEAL).bitwiseAND(w.mask) == w.value))
+            return F.aggregate(F.transform(split, lambda ks: _peel(table(ks))), F.lit(0), lambda x, d: x + d)
+
+        return F.when(F.size(keys) == 0, F.lit(0)).otherwise(F.aggregate(levels, F.lit(None).cast("int"), lambda d, level: F.when(d.isNotNull(), d).otherwise(by(level))))
+
+    return F.transform(F.array(bound), lambda p: F.aggregate(F.transform(p.parts, lambda ks: one(ks, p.levels)), F.lit(0), lambda x, d: x + d))[0]
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
@@ -119,23 +169,30 @@ def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:
     most = _tables_for(both, LOAD)
     # 24 differing digests are the most that 32 cells can give back; texts whose sizes differ by more need no first try
     first = F.when(F.abs(F.size(a) - F.size(b)) <= 24, _peel(_less(cells_a, cells_b)))
-    retries = [_difference(a, b, F.least(most * i, F.lit(1 << 20))) for i in (1, 2, 4)]
+    retry = _difference(F.concat(a, b), F.least(most, F.lit(1 << 20)))
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    d = F.coalesce(first, *retries, plain)
-    return F.when(both == 0, F.lit(1.0)).otherwise((both - d).cast("double") / (both + d))
+    d = F.coalesce(first, retry, plain)
+    # bound once: the difference would be computed again where it is named again
+    told = F.transform(F.array(d), lambda d: (both - d).cast("double") / (both + d))[0]
+    return F.when(both == 0, F.lit(1.0)).otherwise(told)
 
 
-def as_text(keys: Column) -> Column:
-    """Number of digests and the cells of all tables, in hexadecimal, with the digests of tables that get stuck after a colon."""
-    cells = F.transform(dealt(keys, _tables_for(F.size(keys), OWN)), lambda ks: F.struct(ks.alias("keys"), table(ks).alias("cells")))
-    checked = F.transform(cells, lambda t: F.struct(t.cells.alias("cells"), F.when(_peel(t.cells).isNull(), t["keys"]).otherwise(F.array().cast("array<bigint>")).alias("stash")))
-    hexes = lambda xs: F.array_join(F.transform(xs, lambda c: F.hex(c)), "-")
+def tables_of(keys: Column) -> Column:
+    """array<struct<keys, cells>>: the tables of a fingerprint, one for about every ``OWN`` digests, with their digests."""
+    return F.transform(dealt(keys, _tables_for(F.size(keys), OWN)), lambda ks: F.struct(ks.alias("keys"), table(ks).alias("cells")))
+
 
-    def shown(ts: Column) -> Column:
-        stash = F.flatten(F.transform(ts, lambda t: t.stash))
-        return F.concat(hexes(F.flatten(F.transform(ts, lambda t: t.cells))), F.when(F.size(stash) > 0, F.concat(F.lit(":"), hexes(stash))).otherwise(F.lit("")))
+def folded(tables: Column) -> Column:
+    """The cells of all tables of a fingerprint as one table."""
+    return F.aggregate(tables, F.array_repeat(F.lit(0).cast("long"), HASHES * CELLS), lambda a, t: _less(a, t.cells))
 
-    return F.lower(F.concat(F.hex(F.size(keys)), F.lit("-"), F.transform(F.array(checked), shown)[0]))
+
+def as_text(n: Column, tables: Column) -> Column:
+    """Number of digests and the cells of all tables, in hexadecimal, with the digests of tables that get stuck after a colon."""
+    hexes = lambda xs: F.array_join(F.transform(xs, lambda c: F.hex(c)), "-")
+    stash = F.flatten(F.transform(F.filter(tables, lambda t: _stuck(t["keys"])), lambda t: t["keys"]))
+    said = F.transform(F.array(stash), lambda s: F.when(F.size(s) > 0, F.concat(F.lit(":"), hexes(s))).otherwise(F.lit("")))[0]
+    return F.lower(F.concat(F.hex(n), F.lit("-"), hexes(F.flatten(F.transform(tables, lambda t: t.cells))), said))
 
 
 def with_next(docs: DataFrame, per_group: int = 512) -> DataFrame:
@@ -203,6 +260,8 @@ def fingerprints(docs: DataFrame, few_lines: int | None = FEW_LINES) -> DataFram
     """(row, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``; texts of fewer lines than ``few_lines`` count their sentences too, with None all texts do."""
     rows = with_next(docs).withColumn("edited_text", edited(F.col("text"), F.col("next")))
     keyed = rows.select("row", F.length("text").cast("long").alias("n_chars"), "edited_text", *[digests(F.col(c), few_lines).alias(k) for c, k in (("text", "own"), ("edited_text", "changed"), ("next", "other"))])
-    tabled = keyed.select("*", *[table(F.col(c)).alias(f"{c}_cells") for c in ("own", "changed", "other")])
+    made = keyed.select("*", *[tables_of(F.col(c)).alias(f"{c}_tables") for c in ("own", "changed")], table(F.col("other")).alias("other_cells"))
+    tabled = made.select("*", *[folded(F.col(f"{c}_tables")).alias(f"{c}_cells") for c in ("own", "changed")])
     near = lambda c: likeness(F.col("own"), F.col(c), F.col("own_cells"), F.col(f"{c}_cells"))
-    return tabled.select("row", "n_chars", "edited_text", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))
+    told = lambda c: as_text(F.size(c), F.col(f"{c}_tables"))
+    return tabled.select("row", "n_chars", "edited_text", told("own").alias("fingerprint"), told("changed").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("other").alias("near_next"))
