@@ -271,3 +271,12 @@ def test_invitations_are_decisive(spark):
     got = [r.f for r in df.select(T.scheduling_signals(F.col("subject"), F.lit(None).cast("string"), F.col("kind"), F.col("bulk")).alias("f")).collect()]
     assert [g.related for g in got] == [True, True, True, False, True, False, True] and got[0].points == 0
     assert got[0].reasons == [T.INVITE_WHY] and got[5].reasons[-1] == T.BULK_WHY and len(got[5].reasons) == 3
+
+
+def test_mentions_read_the_chunks_once(spark):
+    texts = [(1, "Ask ann@desk.org or bob@mail.example.com about CS-40350 and CS-40350"), (2, None), (3, "ann@desk.org again")]
+    found = chunking.extract_mentions(chunking.chunk_corpus(spark.createDataFrame(texts, "email_id long, body string")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    got = [(r.email_id, r.kind, r.key) for r in found.collect()]
+    assert len(got) == len(set(got)) and {(1, "person", "ann@desk.org"), (1, "person", "bob@mail.example.com"), (3, "person", "ann@desk.org")} <= set(got)
+    assert sum(kind == "case" for _, kind, _ in got) == 1
