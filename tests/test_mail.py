@@ -92,6 +92,19 @@ def test_resolution_equals_one_mention_after_the_other(spark, seed):
     assert resolution.resolve(df.limit(0), e, a, v.limit(0)).count() == 0
 
 
+def test_names_near_each_other_take_few_rounds_and_no_broadcast(spark, monkeypatch):
+    rounds, plans, decide, keep = [], {}, resolution._decide, resolution.keep
+    monkeypatch.setattr(resolution, "_decide", lambda *args: rounds.append(1) or decide(*args))
+    monkeypatch.setattr(resolution, "keep", lambda df, name="kept": plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or keep(df, name))
+    rows = [("topic", f"n{i}", f"n{i}", i) for i in range(12)]
+    df = spark.createDataFrame(rows, "kind string, key string, span string, place bigint")
+    none = spark.createDataFrame([], "entity_id string, kind string, key string, vec array<float>")
+    vectors = spark.createDataFrame([(k, n, [1.0, i / 100]) for k, n, _, i in rows], "kind string, key string, vec array<float>")
+    got = {r.place: r for r in resolution.resolve(df, none, none.select("kind", "key", "entity_id"), vectors).collect()}
+    assert [got[i].rung for i in range(12)] == ["new"] + ["vector"] * 11 and len({r.entity_id for r in got.values()}) == 1
+    assert len(rounds) <= 3 and all("Broadcast" not in plans[name] for name in ("seen", "round"))
+
+
 def test_near_pairs_equal_all_pairs(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))

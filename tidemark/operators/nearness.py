@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import keep
+from tidemark.sources.tables import dealt, keep
 
 #: Pivots a dimension, rows a block, and what is added to angles for rounding.
 PIVOTS, BLOCK, SLACK = 32, 2048, 1e-6
@@ -92,8 +92,8 @@ def by_angle(items: DataFrame, stored: DataFrame, bar: float) -> tuple[DataFrame
     salt = F.pmod(F.xxhash64("id"), F.greatest(blocks, F.lit(8))).cast("int")
     met = met.withColumn("part", salt)
     sizes = cells.select("kind", "dim", "cell", blocks.alias("blocks"))
-    dealt = known.join(F.broadcast(sizes) if cells.limit(10_001).count() <= 10_000 else sizes, ["kind", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(8)) - 1)))
+    split = known.join(F.broadcast(sizes) if cells.limit(10_001).count() <= 10_000 else sizes, ["kind", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    split = split.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(8)) - 1)))
     keys = ["kind", "dim", "cell", "block", "part"]
     ids, entities = items.schema["id"].dataType.simpleString(), stored.schema["entity_id"].dataType.simpleString()
 
@@ -111,7 +111,7 @@ def by_angle(items: DataFrame, stored: DataFrame, bar: float) -> tuple[DataFrame
         n = pa.nulls(0, pa.float64()) if not score else pa.array(np.concatenate(score))
         return pa.table({"id": one(found_id, left.column("id")), "entity_id": one(found_entity, right.column("entity_id")), "score": n})
 
-    pairs = met.select("id", "vec", *keys).groupBy(*keys).cogroup(dealt.select("entity_id", "vec", *keys).groupBy(*keys)).applyInArrow(compare, f"id {ids}, entity_id {entities}, score double")
+    pairs = met.select("id", "vec", *keys).groupBy(*keys).cogroup(split.select("entity_id", "vec", *keys).groupBy(*keys)).applyInArrow(compare, f"id {ids}, entity_id {entities}, score double")
     work = met.groupBy("kind", "dim", "cell", "block").agg(F.count("*").alias("asked"), F.first("n").alias("n")).select((F.col("asked") * F.col("n") / F.ceil(F.col("n") / BLOCK)).alias("pairs"))
     return pairs, work.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("pairs"), F.lit(0.0)).cast("long").alias("pairs"))
 
@@ -128,8 +128,8 @@ def contained(items: DataFrame, stored: DataFrame) -> DataFrame:
 
     i, e = split(items), split(stored)
     whole = lambda df, key: df.where(f"n > 0 and length(key) >= {LEAST_PART}").select(key, "kind", F.array_join("words", " ").alias("run"))
-    inside = whole(i, "id").join(parts(e, "entity_id"), ["kind", "run"]).select("id", "entity_id")
-    return inside.unionByName(parts(i, "id").join(whole(e, "entity_id"), ["kind", "run"]).select("id", "entity_id")).distinct()
+    inside = whole(i, "id").join(dealt(parts(e, "entity_id")), ["kind", "run"]).select("id", "entity_id")
+    return inside.unionByName(parts(i, "id").join(dealt(whole(e, "entity_id")), ["kind", "run"]).select("id", "entity_id")).distinct()
 
 
 def near(items: DataFrame, stored: DataFrame, bar: float, contained_bar: float) -> DataFrame:
@@ -139,7 +139,7 @@ def near(items: DataFrame, stored: DataFrame, bar: float, contained_bar: float)
     """
     items, stored = keep(items, "near_items"), keep(stored, "near_stored")
     pairs = by_angle(items, stored, bar)[0]
-    nested = contained(items, stored).join(items.select("id", F.col("vec").alias("x")), "id").join(stored.select("entity_id", F.col("vec").alias("y")), "entity_id").where("size(x) > 0 and size(x) = size(y)")
+    nested = contained(items, stored).join(dealt(items.select("id", F.col("vec").alias("x"))), "id").join(dealt(stored.select("entity_id", F.col("vec").alias("y"))), "entity_id").where("size(x) > 0 and size(x) = size(y)")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     x, y = F.col("x"), F.col("y")
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import nearness
-from tidemark.sources.tables import keep, small
+from tidemark.sources.tables import dealt, keep, small
 
 #: Cosines from which names are one entity, the lower where one name contains the other; kinds that vectors never join, kinds that are embedded, and kinds whose names lose a plural.
 BAR, CONTAINED_BAR = 0.86, 0.65
@@ -54,37 +54,39 @@ def _first(claims: DataFrame) -> DataFrame:
 
 
 def _decide(open_: DataFrame, keys: DataFrame, claims: DataFrame, static: DataFrame, mutual: DataFrame) -> DataFrame:
-    """``open_`` (kind, key, said, nid, place) with entity_id, nk (the entity's key) and rung where they are certain."""
-    by_key = open_.groupBy("kind", "key").agg(F.min("place").alias("at"))
-    by_name = open_.where("said != ''").groupBy("kind", F.col("said").alias("name")).agg(F.min("place").alias("at"))
+    """``open_`` (kind, key, said, nid, place) with entity_id, nk (the entity's key) and rung where they are certain.
+
+    An undecided mention for which something earlier is known, be it a name near its own, will not create an entity, so no later one waits for that; else of many names near each other only one would be decided in a round.
+    """
     first = _first(claims)
-    claim = lambda name, p: first.select("kind", F.col("name").alias(name), F.col("entity_id").alias(f"{p}_id"), F.col("nk").alias(f"{p}_nk"), F.col("place").alias(f"{p}_at"))
-    waits = lambda df, column, name, alias: df.select("kind", F.col(column).alias(name), F.col("at").alias(alias))
-    known = keys.select("kind", "key", F.col("entity_id").alias("x_id"), F.col("place").alias("x_at"))
-    rows = open_.join(known, ["kind", "key"], "left").join(waits(by_key, "key", "key", "w_key"), ["kind", "key"], "left")
-    rows = rows.join(claim("key", "k"), ["kind", "key"], "left").join(waits(by_name, "name", "key", "w_k"), ["kind", "key"], "left")
-    rows = rows.join(claim("said", "s"), ["kind", "said"], "left").join(waits(by_name, "name", "said", "w_s"), ["kind", "said"], "left")
+    claim = lambda name, p: dealt(first.select("kind", F.col("name").alias(name), F.col("entity_id").alias(f"{p}_id"), F.col("nk").alias(f"{p}_nk"), F.col("place").alias(f"{p}_at")))
+    waits = lambda df, column, name, alias: dealt(df.select("kind", F.col(column).alias(name), F.col("at").alias(alias)))
     c, place = F.col, F.col("place")
     earlier = lambda x: F.coalesce(c(x) < place, F.lit(False))
-    # a claim is the first one unless an undecided mention before it may claim the same name
-    sure = lambda p, w: earlier(f"{p}_at") & (c(w).isNull() | (c(f"{p}_at") < c(w)))
-    step = F.when(earlier("x_at"), "exact").when(earlier("w_key"), "wait").when(sure("k", "w_k"), "alias").when(earlier("w_k"), "wait").when(sure("s", "w_s"), "said").when(earlier("w_s"), "wait").otherwise("vector")
-    rows = keep(rows.withColumn("step", step), "judged")
+    known = keys.select("kind", "key", F.col("entity_id").alias("x_id"), F.col("place").alias("x_at"))
     # the vector rung: names created before, and stored entities
-    asked = rows.where(c("step") == "vector").select("kind", "key", "place")
-    others = asked.join(mutual, ["kind", "key"])
+    others = open_.select("kind", "key", "place").join(dealt(mutual), ["kind", "key"])
     created = keys.where("place >= 0").select("kind", F.col("key").alias("other"), "entity_id", F.col("place").alias("made"))
-    undecided = by_key.select("kind", F.col("key").alias("other"), F.col("at").alias("w_other"))
-    others = others.join(created, ["kind", "other"], "left").join(undecided, ["kind", "other"], "left")
-    seen = F.when(c("made") < place, F.struct((-c("score")).alias("far"), c("made"), c("entity_id"), c("other").alias("nk")))
-    others = others.groupBy("place").agg(F.min(seen).alias("made"), F.coalesce(F.max(c("w_other") < place), F.lit(False)).alias("wait"))
+    found = F.struct((-c("score")).alias("far"), c("made"), c("entity_id"), c("other").alias("nk"))
+    made = others.join(dealt(created), ["kind", "other"]).where("made < place").groupBy("place").agg(F.min(found).alias("made"))
     stored = static.select("kind", "key", F.struct((-c("score")).alias("far"), F.lit(-1).cast("long").alias("made"), c("entity_id"), c("nk")).alias("stored"))
-    joined = rows.join(others, "place", "left").join(stored, ["kind", "key"], "left")
-    found = F.when(c("step") == "vector", F.least("made", "stored"))
+    rows = open_.join(dealt(known), ["kind", "key"], "left").join(claim("key", "k"), ["kind", "key"], "left").join(dealt(stored), ["kind", "key"], "left")
+    rows = rows.join(claim("said", "s"), ["kind", "said"], "left").join(dealt(made), "place", "left").withColumn("found", F.least("made", "stored"))
+    rows = keep(rows.drop("made", "stored").withColumn("may_create", ~(earlier("x_at") | earlier("k_at") | earlier("s_at") | c("found").isNotNull())), "seen")
+    by_key = rows.where("may_create").groupBy("kind", "key").agg(F.min("place").alias("at"))
+    by_name = rows.where("said != ''").groupBy("kind", F.col("said").alias("name")).agg(F.min("place").alias("at"))
+    wait = rows.select("kind", "key", "place").join(dealt(mutual), ["kind", "key"]).join(waits(by_key, "key", "other", "w_other"), ["kind", "other"])
+    wait = wait.where("w_other < place").select("place", F.lit(True).alias("wait")).distinct()
+    joined = rows.join(waits(by_key, "key", "key", "w_key"), ["kind", "key"], "left").join(waits(by_name, "name", "key", "w_k"), ["kind", "key"], "left")
+    joined = joined.join(waits(by_name, "name", "said", "w_s"), ["kind", "said"], "left").join(dealt(wait), "place", "left")
+    # a claim is the first one unless an undecided mention before it may claim the same name
+    sure = lambda p, w: earlier(f"{p}_at") & (c(w).isNull() | (c(f"{p}_at") < c(w)))
+    step = F.when(earlier("x_at"), "exact").when(earlier("w_key"), "wait").when(sure("k", "w_k"), "alias").when(earlier("w_k"), "wait").when(sure("s", "w_s"), "said").when(earlier("w_s"), "wait").otherwise("vector")
+    joined = joined.withColumn("step", step)
     new = F.concat(F.lit("ent_"), F.substring(F.sha1(F.concat_ws(":", "kind", "key")), 1, 16))
-    rung = F.when(c("step").isin("exact", "alias"), c("step")).when(c("step") == "said", "alias").when((c("step") == "vector") & ~F.coalesce("wait", F.lit(False)), F.when(found.isNotNull(), "vector").otherwise("new"))
-    entity = F.when(c("step") == "exact", c("x_id")).when(c("step") == "alias", c("k_id")).when(c("step") == "said", c("s_id")).when(rung == "vector", found.entity_id).when(rung == "new", new)
-    nk = F.when(c("step") == "exact", c("key")).when(c("step") == "alias", c("k_nk")).when(c("step") == "said", c("s_nk")).when(rung == "vector", found.nk).when(rung == "new", c("key"))
+    rung = F.when(c("step").isin("exact", "alias"), c("step")).when(c("step") == "said", "alias").when((c("step") == "vector") & ~F.coalesce("wait", F.lit(False)), F.when(c("found").isNotNull(), "vector").otherwise("new"))
+    entity = F.when(c("step") == "exact", c("x_id")).when(c("step") == "alias", c("k_id")).when(c("step") == "said", c("s_id")).when(rung == "vector", c("found").entity_id).when(rung == "new", new)
+    nk = F.when(c("step") == "exact", c("key")).when(c("step") == "alias", c("k_nk")).when(c("step") == "said", c("s_nk")).when(rung == "vector", c("found").nk).when(rung == "new", c("key"))
     return joined.select("kind", "key", "said", "nid", "place", entity.alias("entity_id"), nk.alias("nk"), rung.alias("rung"))
 
 
@@ -102,14 +104,14 @@ def resolve_all(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, ve
     known = keep(entities.groupBy("kind", "key").agg(F.min("entity_id").alias("entity_id")), "known_keys")
     order = ["place", "entity_id"] if "place" in aliases.columns else ["entity_id"]
     named = aliases.groupBy("kind", F.col("key").alias("name")).agg(F.min_by("entity_id", F.struct(*order)).alias("entity_id"))
-    named = keep(stored(named.join(entities.select("entity_id", F.col("key").alias("nk")), "entity_id", "left").select("kind", "name", "entity_id", "nk")), "claims")
+    named = keep(stored(named.join(dealt(entities.select("entity_id", F.col("key").alias("nk"))), "entity_id", "left").select("kind", "name", "entity_id", "nk")), "claims")
     # vectors are compared for names that no stored key or alias decides
-    loose = open_.select("kind", "key").distinct().join(known, ["kind", "key"], "left_anti").join(named.select("kind", F.col("name").alias("key")), ["kind", "key"], "left_anti")
-    loose = keep(loose.join(vectors, ["kind", "key"]).select(F.concat_ws(":", "kind", "key").alias("id"), "kind", "key", "vec"), "loose_keys")
-    static = best(near(loose, entities, bar, contained)).join(loose.select("id", "kind", "key"), "id").join(entities.select("entity_id", F.col("key").alias("nk")), "entity_id")
+    loose = open_.select("kind", "key").distinct().join(dealt(known), ["kind", "key"], "left_anti").join(dealt(named.select("kind", F.col("name").alias("key"))), ["kind", "key"], "left_anti")
+    loose = keep(loose.join(dealt(vectors), ["kind", "key"]).select(F.concat_ws(":", "kind", "key").alias("id"), "kind", "key", "vec"), "loose_keys")
+    static = best(near(loose, entities, bar, contained)).join(dealt(loose.select("id", "kind", "key")), "id").join(dealt(entities.select("entity_id", F.col("key").alias("nk"))), "entity_id")
     static = keep(static.select("kind", "key", "entity_id", "nk", "score"), "near_stored_entities")
     pairs = near(loose, loose.select(F.col("id").alias("entity_id"), "kind", "key", "vec"), bar, contained).where("id != entity_id")
-    mutual = pairs.join(loose.select("id", "kind", "key"), "id").join(loose.select(F.col("id").alias("entity_id"), F.col("key").alias("other")), "entity_id")
+    mutual = pairs.join(dealt(loose.select("id", "kind", "key")), "id").join(dealt(loose.select(F.col("id").alias("entity_id"), F.col("key").alias("other"))), "entity_id")
     mutual = keep(mutual.select("kind", "key", "other", "score"), "near_keys")
     decided: list[DataFrame] = []
     keys, claims = [stored(known)], [named]
@@ -129,7 +131,7 @@ def resolve_all(mentions: DataFrame, entities: DataFrame, aliases: DataFrame, ve
     exact = _union(keys).groupBy("kind", "key").agg(F.min_by("entity_id", "place").alias("x_id"), F.min("place").alias("x_at"))
     by = lambda column, p: first.select("kind", F.col("name").alias(column), F.col("entity_id").alias(f"{p}_id"), F.col("place").alias(f"{p}_at"))
     # all that decides a mention but its place is known from its kind, key and name, so mentions are joined once
-    own = own.join(exact, ["kind", "key"], "left").join(by("key", "k"), ["kind", "key"], "left").join(by("said", "s"), ["kind", "said"], "left")
+    own = own.join(dealt(exact), ["kind", "key"], "left").join(dealt(by("key", "k")), ["kind", "key"], "left").join(dealt(by("said", "s")), ["kind", "said"], "left")
     joined = rows.join(small(keep(own, "outcomes"), 500_000), ["kind", "key", "said"])
     before = lambda x: F.coalesce(F.col(f"{x}_at") < F.col("place"), F.lit(False))
     itself = F.col("d_at") == F.col("place")
