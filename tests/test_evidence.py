@@ -71,3 +71,17 @@ def test_mentions_are_dealt_by_message_in_parts_that_grow(spark, data, monkeypat
     # sets of ids are made where the pairs are
     chunked = evidence.pairs(m, 5)
     assert plan(evidence.id_sets(chunked, evidence.PAIR)).count("Exchange hashpartitioning") == plan(chunked).count("Exchange hashpartitioning")
+
+
+def test_mentions_meet_a_large_part_table_in_parts_that_grow(spark, data, monkeypatch):
+    from tidemark.sources import tables, views
+
+    want = sorted(map(tuple, views.mentions(spark, data).collect()))
+    monkeypatch.setattr(tables, "small", lambda df, most=0: df)
+    monkeypatch.setattr(views, "parts", lambda spark, rows: 7)
+    m = views.mentions(spark, data)
+    plan = m._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # both tables of each of the two joins, whatever the session's shuffle partitions are
+    assert len(dealt) == 4 and sum("l_partkey" in line for line in dealt) == 2 and all(", 7)" in line for line in dealt)
+    assert sorted(map(tuple, m.collect())) == want
