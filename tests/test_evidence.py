@@ -85,3 +85,17 @@ def test_mentions_meet_a_large_part_table_in_parts_that_grow(spark, data, monkey
     # both tables of each of the two joins, whatever the session's shuffle partitions are
     assert len(dealt) == 4 and sum("l_partkey" in line for line in dealt) == 2 and all(", 7)" in line for line in dealt)
     assert sorted(map(tuple, m.collect())) == want
+
+
+def test_salience_and_listings_count_mentions_once(spark, data):
+    from tidemark.operators import graph
+    from tidemark.plans import catalog
+    from tidemark.sources import views
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    m = views.mentions(spark, data)
+    both = graph.salience(m, "kind")
+    assert "lineitem" in plan(m) and "lineitem" not in plan(both)
+    assert sorted(map(tuple, both.drop("kind").collect())) == sorted(map(tuple, graph.salience(m).collect()))
+    assert all(r.entity_id.startswith(f"{r.kind}:") for r in both.collect())
+    assert "lineitem" not in plan(catalog.QUERIES["list_entities"](spark, data))
