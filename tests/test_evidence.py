@@ -99,3 +99,40 @@ def test_salience_and_listings_count_mentions_once(spark, data):
     assert sorted(map(tuple, both.drop("kind").collect())) == sorted(map(tuple, graph.salience(m).collect()))
     assert all(r.entity_id.startswith(f"{r.kind}:") for r in both.collect())
     assert "lineitem" not in plan(catalog.QUERIES["list_entities"](spark, data))
+
+
+def test_walks_from_few_starts_equal_those_in_blocks(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import graph
+
+    r = random.Random(5)
+    # one node that all others meet, and pairs at random
+    pairs = {("hub", f"n{i}") for i in range(60)} | {(f"n{r.randrange(60)}", f"n{r.randrange(60)}") for _ in range(120)}
+    edges = spark.createDataFrame([(a, b, r.random()) for a, b in sorted(pairs)], "src string, dst string, weight double")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(0, 60, 6)] + [("hub",)], "entity_id string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(graph, "CELL", 9)  # several columns of ends
+    for walks in (graph.neighbors_weighted, graph.neighbors_decayed):
+        monkeypatch.setattr(graph, "FEW", 50)
+        few = walks(edges, starts)
+        monkeypatch.setattr(graph, "FEW", 0)
+        blocks = walks(edges, starts)
+        assert "collect_list" not in plan(few) and "collect_list" in plan(blocks)
+        got = sorted(map(tuple, few.collect()))
+        assert got == sorted(map(tuple, blocks.collect())) and len(got) == 11 * 60
+
+
+def test_rollup_ranks_no_whole_group(spark):
+    from tidemark.operators import graph
+
+    projects = spark.createDataFrame([("project:a", 0.9), ("project:b", 0.8)], "entity_id string, salience double")
+    edges = spark.createDataFrame([(f"case:{i:02d}", "project:a", 0.5 + i / 100) for i in range(20)] + [("case:03", "project:b", 0.9)], "src string, dst string, weight double")
+    kinds = spark.createDataFrame([(f"case:{i:02d}", "case") for i in range(20)] + [("project:a", "project"), ("project:b", "project")], "entity_id string, kind string")
+    out = graph.rollup(projects, edges, kinds, ("case", "project"), most=3)
+    assert "WindowGroupLimit" in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.project, r.kind, r.nth, r.node, r.more) for r in out.collect())
+    assert got == [
+        ("project:a", "case", 1, "case:19", 17), ("project:a", "case", 2, "case:18", 17), ("project:a", "case", 3, "case:17", 17), ("project:a", "project", 1, "project:b", 0),
+        ("project:b", "case", 1, "case:03", 0), ("project:b", "project", 1, "project:a", 0),
+    ]
