@@ -136,3 +136,12 @@ def test_rollup_ranks_no_whole_group(spark):
         ("project:a", "case", 1, "case:19", 17), ("project:a", "case", 2, "case:18", 17), ("project:a", "case", 3, "case:17", 17), ("project:a", "project", 1, "project:b", 0),
         ("project:b", "case", 1, "case:03", 0), ("project:b", "project", 1, "project:a", 0),
     ]
+
+
+def test_entities_for_email_tells_entities_of_every_kind(spark, data):
+    from tidemark.plans import catalog
+    from tidemark.sources import views
+
+    pairs = lambda df: set(map(tuple, df.select("email_id", "entity_id").collect()))
+    got = pairs(catalog.QUERIES["entities_for_email"](spark, data))
+    assert got == pairs(views.mentions(spark, data)) and {e.split(":")[0] for _, e in got} == {"person", "case", "project", "org"}
