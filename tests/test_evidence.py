@@ -145,3 +145,11 @@ def test_entities_for_email_tells_entities_of_every_kind(spark, data):
     pairs = lambda df: set(map(tuple, df.select("email_id", "entity_id").collect()))
     got = pairs(catalog.QUERIES["entities_for_email"](spark, data))
     assert got == pairs(views.mentions(spark, data)) and {e.split(":")[0] for _, e in got} == {"person", "case", "project", "org"}
+
+
+def test_evidence_fingerprint_has_entities_of_every_kind(spark, data):
+    from tidemark.plans import catalog
+    from tidemark.sources import views
+
+    got = {r.entity_id: r.emails for r in catalog.QUERIES["evidence_fingerprint"](spark, data).collect()}
+    assert got == {r.entity_id: r.n for r in views.mentions(spark, data).groupBy("entity_id").agg(F.count_distinct("email_id").alias("n")).collect()}
