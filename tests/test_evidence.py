@@ -153,3 +153,76 @@ def test_evidence_fingerprint_has_entities_of_every_kind(spark, data):
 
     got = {r.entity_id: r.emails for r in catalog.QUERIES["evidence_fingerprint"](spark, data).collect()}
     assert got == {r.entity_id: r.n for r in views.mentions(spark, data).groupBy("entity_id").agg(F.count_distinct("email_id").alias("n")).collect()}
+
+
+def test_walks_are_made_as_arrays_and_equal_a_loop(spark, monkeypatch):
+    from tidemark.operators import graph
+
+    r = random.Random(8)
+    # a few nodes that all others meet, pairs at random, equal weights, and weights that take part in nothing
+    pairs = {(f"n{i}", f"hub{j}") for i in range(150) for j in range(3)} | {(f"n{r.randrange(150)}", f"n{r.randrange(150)}") for _ in range(90)} | {("one", "two")}
+    edges = [(a, b, r.choice([0.25, 0.5, r.random(), r.random()])) for a, b in sorted(pairs)] + [("n1", "n2", None), ("n3", "n4", 0.0), ("n5", "n6", -1.0)]
+    starts = [f"n{i}" for i in range(0, 150, 2)] + ["hub0", "one", "nobody"]
+    weight = {}
+    for a, b, w in edges:
+        if a != b and w and w > 0:
+            weight[a, b] = max(w, weight.get((a, b), 0))
+    step = {}
+    for (a, b), w in weight.items():
+        for x, y in ((a, b), (b, a)):
+            step.setdefault(x, {})[y] = max(w, step.get(x, {}).get(y, 0))
+    want = {0.5: {}, 1.0: {}}
+    for s in starts:
+        one = step.get(s, {})
+        for share, found in want.items():
+            far = {}
+            for m, w in one.items():
+                for t, v in step[m].items():
+                    if t != s:
+                        far[t] = max(far.get(t, 0), w * v * share)
+            for t in one.keys() | far.keys():
+                if share == 0.5:
+                    found[s, t] = (one[t], 1) if t in one else (far[t], 2)
+                else:
+                    found[s, t] = (one[t], 1) if one.get(t, 0) >= far.get(t, 0) else (far[t], 2)
+    e = spark.createDataFrame(edges, "src string, dst string, weight double")
+    s = spark.createDataFrame([(x,) for x in starts], "entity_id string")
+    monkeypatch.setattr(graph, "CELL", 40)
+    for band, listed, most in ((7, 5, 10**6), (64, 1 << 20, 50)):
+        monkeypatch.setattr(graph, "BAND", band)
+        monkeypatch.setattr(graph, "LISTED", listed)
+        monkeypatch.setattr(graph, "BLOCK_EDGES", most)
+        for share, walks in ((1.0, graph.neighbors_weighted), (0.5, graph.neighbors_decayed)):
+            out = walks(e, s)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            # no walk is a row: what is not told by arrays is no join and no explosion after the cells are made
+            assert "MapInArrow" in plan and "Join" not in plan
+            assert {(x.start, x.node): (x.score, x.hop) for x in out.collect()} == want[share]
+
+
+def test_dense_and_listed_walks_are_equal():
+    import numpy as np
+    from tidemark.operators import graph
+
+    r = np.random.default_rng(3)
+    for size in (3, 60, 100):
+        # 100 starts and ends, each edge to one of eight nodes with a chance
+        have, near = r.random((100, 8)) < size / 100, r.random((100, 8))
+        there, far = r.random((100, 8)) < size / 100, r.random((100, 8))
+        at, node = np.nonzero(have)
+        to, last = np.nonzero(there)
+        order = np.argsort(last, kind="stable")
+        begin, end = (np.searchsorted(last[order], np.arange(8), side) for side in ("left", "right"))
+        got = graph._band(100, at, node, near[at, node], begin, end, to[order], far[to, last][order], 100)
+        both = np.where(have[:, None] & there[None], near[:, None] * far[None], -1.0)
+        assert (got == both.max(axis=2)).all()
+
+
+def test_rounded_equals_round(spark):
+    from tidemark.functions.numbers import rounded
+
+    r = random.Random(2)
+    some = [i / 2e6 for i in range(-3, 40)] + [round(r.random(), 6) * round(r.random(), 6) * 0.5 for _ in range(3000)] + [r.random() * 10 ** r.randrange(-12, 14) for _ in range(2000)]
+    some += [-1.23456789, 0.0, -0.0, None, float("nan"), float("inf"), float("-inf"), 1e300, 0.0000005, 1.0000005, 0.1234565]
+    df = spark.createDataFrame([(x,) for x in some], "x double")
+    assert df.where(~rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
