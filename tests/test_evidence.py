@@ -226,3 +226,60 @@ def test_rounded_equals_round(spark):
     some += [-1.23456789, 0.0, -0.0, None, float("nan"), float("inf"), float("-inf"), 1e300, 0.0000005, 1.0000005, 0.1234565]
     df = spark.createDataFrame([(x,) for x in some], "x double")
     assert df.where(~rounded(F.col("x")).eqNullSafe(F.round("x", 6))).count() == 0
+
+
+def test_sets_after_changes_equal_recomputation(spark, monkeypatch):
+    """Ids that are kept, removed, added, or removed and added again, in several chunks, without a shuffle of pairs or a table of sets."""
+    rng = random.Random(11)
+    before, new = mentions(rng, range(80)), mentions(rng, range(60, 100))
+    monkeypatch.setattr(evidence, "CHUNK", 16)
+    lists = lambda rows, change: evidence.entity_lists(spark.createDataFrame(rows, MENTION)).withColumn("change", F.lit(change))
+    gone = [m for m in before if m[0] >= 55]
+    before += [(7, "person:zz", "case", 0.4), (8, "odd", None, 0.7), (8, "\U0001f600", "org", 0.7), (8, "\uffee", "org", 0.7)]
+    changed = lists(before, 0).unionByName(lists(gone, -1)).unionByName(lists(new, 1))
+    got = evidence.sets_after(changed, 3)
+    after = spark.createDataFrame([m for m in before if m[0] < 55] + new, MENTION)
+    want = evidence.id_sets(evidence.pairs(after), evidence.PAIR, 16)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+    assert plan.count("Exchange hashpartitioning(chunk") == 1 and "Exchange hashpartitioning(src" not in plan and "Join" not in plan
+
+
+def test_each_pair_of_a_message_is_made_once(spark):
+    rng = random.Random(4)
+    m = spark.createDataFrame(mentions(rng, range(50)) + [(7, "person:zz", "case", 0.4), (8, "odd", None, 0.7), (8, "case:odd", "case", 0.123457)], MENTION)
+    lists = evidence.entity_lists(m)
+    of = lambda df: sorted(map(repr, df.select(*evidence.PAIR, "email_id", "base").collect()))
+    assert of(evidence.pairs_of(lists)) == of(evidence.pairs(m)) == of(evidence.pairs(m, 3))
+    assert "Join" not in evidence.pairs_of(lists)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relation_evidence_writes_and_joins_no_sets(spark, data):
+    from tidemark.plans import catalog
+
+    plan = catalog.QUERIES["relation_evidence"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # sets are neither read from a table nor dealt by pair
+    assert "id_sets" not in plan and "hashpartitioning(src" not in plan
+
+
+def test_relations_of_kinds_are_those_of_columns(spark):
+    kinds = ["person", "case", "project", "org", "topic", None]
+    rows = [(x, y, a, b) for x in kinds for y in kinds for a, b in (("a", "b"), ("b", "a"))]
+    df = spark.createDataFrame(rows, "x string, y string, a string, b string")
+    got = df.select("*", graph.relation(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("rel")).collect()
+    assert all(r.rel == graph.told(r.x, r.y, r.a < r.b) for r in got) and len(got) == 72
+
+
+def test_sums_by_chunk_equal_sums_of_pairs(spark, monkeypatch):
+    """Messages are counted, counted again and taken away, in several chunks."""
+    rng = random.Random(12)
+    some, more = mentions(rng, range(70)) + [(8, "odd", None, 0.7), (8, "case:odd", "case", 0.123457)], mentions(rng, range(70, 90))
+    monkeypatch.setattr(evidence, "CHUNK", 16)
+    lists = lambda rows, change: evidence.entity_lists(spark.createDataFrame(rows, MENTION)).withColumn("change", F.lit(change))
+    gone = [m for m in some if m[0] % 5 == 0]
+    sums = evidence.sums_by_chunk(lists(some, 1).unionByName(lists(more, 1)).unionByName(lists(gone, -1)), 3)
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(src" not in plan and "Join" not in plan
+    want = evidence.pair_sums(evidence.pairs(spark.createDataFrame([m for m in some if m[0] % 5] + more, MENTION)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(evidence.summed(sums, evidence.PAIR, "n", 5)) == rows(want) and sums.count() > want.count()
