@@ -283,3 +283,19 @@ def test_sums_by_chunk_equal_sums_of_pairs(spark, monkeypatch):
     want = evidence.pair_sums(evidence.pairs(spark.createDataFrame([m for m in some if m[0] % 5] + more, MENTION)))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(evidence.summed(sums, evidence.PAIR, "n", 5)) == rows(want) and sums.count() > want.count()
+
+
+def test_relations_kept_up_have_entities_of_every_kind(spark, data):
+    from tidemark.plans import catalog
+
+    got = {(r.src, r.dst, r.rel): r.evidence for r in catalog.QUERIES["relations_kept_up"](spark, data).collect()}
+    assert got == {(r.src, r.dst, r.rel): r.evidence for r in catalog.QUERIES["relations"](spark, data).collect()}
+    assert any(rel == "participant_in" for _, _, rel in got)
+
+
+def test_relations_kept_up_join_no_state(spark, data):
+    from tidemark.plans import catalog
+
+    plan = catalog.QUERIES["relations_kept_up"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # two joins with the rarities, sent to every task, and the sums are dealt by pair once
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and plan.count("hashpartitioning(src") == 1
