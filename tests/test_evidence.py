@@ -188,9 +188,7 @@ def test_walks_are_made_as_arrays_and_equal_a_loop(spark, monkeypatch):
     e = spark.createDataFrame(edges, "src string, dst string, weight double")
     s = spark.createDataFrame([(x,) for x in starts], "entity_id string")
     monkeypatch.setattr(graph, "CELL", 40)
-    for band, listed, most in ((7, 5, 10**6), (64, 1 << 20, 50)):
-        monkeypatch.setattr(graph, "BAND", band)
-        monkeypatch.setattr(graph, "LISTED", listed)
+    for most in (10**6, 50):
         monkeypatch.setattr(graph, "BLOCK_EDGES", most)
         for share, walks in ((1.0, graph.neighbors_weighted), (0.5, graph.neighbors_decayed)):
             out = walks(e, s)
@@ -200,10 +198,11 @@ def test_walks_are_made_as_arrays_and_equal_a_loop(spark, monkeypatch):
             assert {(x.start, x.node): (x.score, x.hop) for x in out.collect()} == want[share]
 
 
-def test_dense_and_listed_walks_are_equal():
+def test_dense_and_listed_walks_are_equal(monkeypatch):
     import numpy as np
     from tidemark.operators import graph
 
+    monkeypatch.setattr(graph, "LISTED", 50)
     r = np.random.default_rng(3)
     for size in (3, 60, 100):
         # 100 starts and ends, each edge to one of eight nodes with a chance

@@ -245,3 +245,50 @@ def test_signatures_by_delimiter_and_contact_details():
     assert split_signature("Call me\nabout the plan\nof the day") == ("Call me\nabout the plan\nof the day", "")
     far = "x\n--\n" + "y" * 1000
     assert split_signature(far) == (far, "") and split_signature(block) == (block, "")
+
+
+def test_long_inputs_of_a_stage_meet_by_digest_in_parts_and_are_held_in_slices(spark, monkeypatch):
+    from tidemark.operators import chunking, stages
+
+    texts = [None, "", "-", "x" * 40, "1:a|-", "bad", *[f"text {i} " + "y" * 30 for i in range(50)]]
+    rows = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(2 * len(texts))], "node_id long, evidence string").repartition(2)
+
+    def fn(asked):
+        if any(r["evidence"] == "bad" for r in asked):
+            raise ValueError("no")
+        held = sum(len(r["evidence"]) for r in asked)
+        return [{"headline": r["evidence"][:9], "body": "much" if held > 600 else "little", "open_items": [r["evidence"]]} for r in asked]
+
+    def done(n, held):
+        monkeypatch.setattr(chunking, "HELD", held)
+        got = stages.run_stage(rows, stages.STAGES["brief"], fn, "node_id", n)
+        return got, sorted((r.node_id, r.brief and (r.brief.headline, r.brief.open_items), r.brief and r.brief.body, r.brief_error) for r in got.collect())
+
+    whole, long_ = done(None, 2_000_000)[1], done(7, 100)
+    assert [r[:2] + r[3:] for r in long_[1]] == [r[:2] + r[3:] for r in whole]
+    # no more than about 100 characters were held at once, here and without parts
+    assert {r[2] for r in long_[1]} == {None, "little"} and {r[2] for r in done(None, 100)[1]} == {None, "little"}
+    plan = long_[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert dealt and all(", 7)" in line and "evidence" not in line for line in dealt)
+
+
+def test_briefs_are_made_in_parts_that_grow(spark, data):
+    from tidemark.plans import catalog
+
+    plan = catalog.QUERIES["stage_brief"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # evidence is read from its table, and no text is a key
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "collect_list" not in plan and dealt and all("REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_lines_of_evidence_are_gathered_in_parts(spark):
+    from tidemark.operators import stages
+
+    pairs = spark.createDataFrame([(i % 5, i) for i in range(40)], "node long, email_id long").select(F.lit("thread").alias("node_type"), F.col("node").cast("string").alias("node_id"), "email_id")
+    messages = spark.createDataFrame([(i, "a", None, f"s{i}", None, "b") for i in range(40)], "email_id long, sender string, received_at timestamp, subject string, summary string, body string")
+    messages = messages.withColumn("received_at", F.timestamp_seconds("email_id"))
+    parts = stages.evidence_lines(pairs, messages, 3, 9)
+    dealt = [line for line in parts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 3 and all(", 9)" in line for line in dealt)
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, stages.evidence_lines(pairs, messages, 3).collect()))

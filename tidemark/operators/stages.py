@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import mail as M
 from tidemark.functions import text as T
-from tidemark.operators.chunking import model_stage
+from tidemark.operators.chunking import digest, model_stage
 
 #: Bounds of inputs and answers; the confidence of an id that a message is not about, and prefixes of documents.
 BODY = {"score": 2000, "extract": 4000, "summarize": 8000, "outline": 8000}
@@ -100,15 +100,22 @@ STAGES = {
 }
 
 
-def run_stage(rows: DataFrame, stage: Stage, fn: Callable, key: str = "email_id") -> DataFrame:
-    """``rows`` with the stage's output in a column of its name and its error in ``<name>_error``; rows that don't pass the gate have neither."""
+def run_stage(rows: DataFrame, stage: Stage, fn: Callable, key: str = "email_id", n: int | None = None) -> DataFrame:
+    """``rows`` with the stage's output in a column of its name and its error in ``<name>_error``; rows that don't pass the gate have neither.
+
+    ``n`` is for long inputs: these are dealt to that many parts once, and only their digests and the answers meet the rows, in as many parts; Spark's own parts grow with the texts, as they are sized as compressed.
+    """
     inputs = stage.inputs()
-    asked = rows.where(stage.gate()).select(key, *[c.alias(f"_{n}") for n, c in inputs.items()])
-    columns = [f"_{n}" for n in inputs]
+    asked = rows.where(stage.gate()).select(key, *[c.alias(f"_{i}") for i, c in inputs.items()])
+    columns = [f"_{i}" for i in inputs]
     plain = lambda batch: fn([{k[1:]: v for k, v in r.items()} for r in batch])
-    answers = model_stage(asked, plain, columns, stage.answer)
-    given = asked.join(answers, columns).select(key, F.col("value").alias("_value"), F.col("error").alias("_error"), F.lit(True).alias("_asked"))
-    both = rows.join(given, key, "left")
+    by = columns
+    if n:
+        asked, by = asked.withColumn("_digest", digest(columns)), ["_digest"]
+    answers = model_stage(asked, plain, columns, stage.answer, n)
+    meet = lambda df, *c: df.repartition(n, *c) if n else df
+    given = meet(asked.select(key, *by), *by).join(meet(answers, *by), by).select(key, F.col("value").alias("_value"), F.col("error").alias("_error"), F.lit(True).alias("_asked"))
+    both = meet(rows, key).join(meet(given, key), key, "left")
     value, error = F.when(F.col("_asked"), stage.after(F.col("_value"))), F.col("_error")
     if stage.empty:
         error = F.coalesce(error, F.when(F.col("_asked") & value.isNull(), stage.empty))
@@ -129,12 +136,14 @@ def with_free_time(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outline", F.when(F.col("outline").isNotNull() & said.isNotNull(), F.concat("outline", F.array(said))).otherwise(F.col("outline")))
 
 
-def evidence_lines(pairs: DataFrame, messages: DataFrame, most: int = 100) -> DataFrame:
+def evidence_lines(pairs: DataFrame, messages: DataFrame, most: int = 100, n: int | None = None) -> DataFrame:
     """(node_type, node_id, evidence): what a model reads for a brief: a head and a line for each message of the node (email_id, sender, received_at, subject, summary, body), in order of time.
 
-    A prompt is bounded: of a node's messages the ``most`` newest are told, ranked before any is gathered. Ids without a stored message are left out.
+    A prompt is bounded: of a node's messages the ``most`` newest are told, ranked before any is gathered. Ids without a stored message are left out. With ``n`` messages and nodes are dealt to that many parts, in which they meet and their lines are gathered.
     """
-    told = pairs.select("node_type", "node_id", "email_id").distinct().join(messages, "email_id")
+    deal = lambda df, *c: df.repartition(n, *c) if n else df
+    told = deal(pairs.select("node_type", "node_id", "email_id"), "email_id").distinct().join(deal(messages, "email_id"), "email_id")
+    told = deal(told, "node_id")  # a type that all nodes share would be no key of the ranks, which would deal them anew
     nth = F.row_number().over(Window.partitionBy("node_type", "node_id").orderBy(F.desc("received_at"), F.desc("email_id")))
     some = told.withColumn("nth", nth).where(F.col("nth") <= most)
     excerpt = F.coalesce(F.nullif(F.col("summary"), F.lit("")), F.left(F.coalesce("body", F.lit("")), F.lit(500)))

@@ -10,6 +10,7 @@ from tidemark.operators import maintain, queue, refresh, stages
 from tidemark.plans import oracles as O
 from tidemark.plans.registry import registry
 from tidemark.sources import views as V
+from tidemark.sources.tables import keep, parts
 from tidemark.streaming import streams
 
 query, QUERIES, ORACLE_SQL = registry()
@@ -110,8 +111,9 @@ def stage_brief(s, d):
 
     m = V.processed(s, d).withColumn("body", F.col("category"))
     pairs = m.select(F.lit("thread").alias("node_type"), F.col("thread_id").cast("string").alias("node_id"), "email_id")
-    nodes = stages.evidence_lines(pairs, m.select("email_id", "sender", "received_at", "subject", "summary", "body"))
-    done = stages.run_stage(nodes, stages.STAGES["brief"], fn, "node_id")
+    n = parts(s, V.table(s, d, "events").count(), 50_000)
+    nodes = keep(stages.evidence_lines(pairs, m.select("email_id", "sender", "received_at", "subject", "summary", "body"), n=n), "evidence_lines")
+    done = stages.run_stage(nodes, stages.STAGES["brief"], fn, "node_id", n)
     return done.select("node_id", "brief.headline", F.when(F.col("brief").isNotNull(), F.size("brief.open_items")).alias("items"), F.md5("brief.body").alias("lines"), F.col("brief_error").alias("error"))
 
 
