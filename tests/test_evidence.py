@@ -298,3 +298,17 @@ def test_relations_kept_up_join_no_state(spark, data):
     plan = catalog.QUERIES["relations_kept_up"](spark, data)._jdf.queryExecution().executedPlan().toString()
     # two joins with the rarities, sent to every task, and the sums are dealt by pair once
     assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and plan.count("hashpartitioning(src") == 1
+
+
+def test_relations_kept_up_meet_many_rarities_in_parts(spark, data, monkeypatch):
+    from tidemark.plans import catalog
+    from tidemark.sources import tables
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(catalog.QUERIES["relations_kept_up"](spark, data))
+    monkeypatch.setattr(tables, "small", lambda df, most=0: df)
+    got = catalog.QUERIES["relations_kept_up"](spark, data)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # pairs are not sorted, and no entity is sent to every task
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 0
+    assert rows(got) == want
